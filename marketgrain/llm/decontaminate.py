@@ -39,15 +39,15 @@ def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return word_hashes(*text_buffers(column), NOT_ALNUM, lower=True)
 
 
-def window_minima(values: np.ndarray, width: int) -> np.ndarray:
-    """The least of ``width`` consecutive values, for each place where there are so many."""
+def window_minima(values: np.ndarray, width: int, least=np.minimum) -> np.ndarray:
+    """The least of ``width`` consecutive values, for each place where there are so many; with np.maximum, the greatest."""
     if len(values) < width:
         return values[:0]
-    least, span = values, 1
-    while span * 2 <= width:  # doubling: minima of 2, 4, 8 ... values
-        least, span = np.minimum(least[: len(least) - span], least[span:]), span * 2
+    best, span = values, 1
+    while span * 2 <= width:  # doubling: over 2, 4, 8 ... values
+        best, span = least(best[: len(best) - span], best[span:]), span * 2
     n = len(values) - width + 1
-    return np.minimum(least[:n], least[width - span : width - span + n])
+    return least(best[:n], best[width - span : width - span + n])
 
 
 def fingerprints(hashes: np.ndarray) -> np.ndarray:

@@ -37,6 +37,13 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marketgrain.llm.licenses import known_licenses, license_scan
+
+    found = license_scan(_table(spark, sf_dir, "documents").select("doc_id", "text"), known_licenses(spark))
+    return found.select("doc_id", "text_sha256", "license", "n_license_lines", F.array_join("line_licenses", ",").alias("line_licenses"))
+
+
 def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marketgrain.llm.sstable import read_shards, write_shards
 
@@ -52,6 +59,14 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_kept_words", "base_failed", "kept")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marketgrain.llm.toxicity import fit, score
+
+    docs = _table(spark, sf_dir, "documents")
+    scored = score(docs, fit(docs, _table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", "expected_severity", "grade", "toxic", (~F.col("toxic")).alias("kept"))
+
+
 URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 #: Hosts whose pages make up the query's URL list.
 LISTED_HOSTS = r"^adult-"
@@ -80,8 +95,14 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marketgrain.llm.substrings import remove_repeats
+
+    return remove_repeats(_table(spark, sf_dir, "documents"), with_text=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_near_dedup, op3_decontamination, op5_token_shards, op6_quality_rules, op8_url_filter, op9_warc)
+    f.__name__: f for f in (op1_packing, op2_near_dedup, op3_decontamination, op4_license_scan, op5_token_shards, op6_quality_rules, op7_toxicity, op8_url_filter, op9_warc, op10_substring_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {}
