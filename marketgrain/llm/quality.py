@@ -22,7 +22,7 @@ MAX_REPEAT_PERCENT = 50
 MIN_KEPT_PERCENT = 50
 #: Symbols a word from which a line counts as symbols rather than prose.
 MAX_LINE_SYMBOLS_PERCENT = 50
-BOILERPLATE = r"(?i)\b(all rights reserved|terms of (use|service)|privacy policy|use of cookies|cookie policy|enable javascript|lorem ipsum|click here|sign up for our|powered by)\b"
+BOILERPLATE = ("all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy", "use of cookies", "enable javascript", "lorem ipsum", "click here", "sign up for our", "powered by")
 #: Documents of up to so many words sort window hashes with the position in the low bits of one number.
 _SHORT_BITS = 17
 
@@ -53,46 +53,73 @@ def repeated_window_words(words: Column) -> Column:
     n = F.size(words)
     # the last two words start no window; windows are told apart by 64-bit hashes, 47 bits in shorter texts
     heads = F.slice(words, 1, F.greatest(n - 2, F.lit(0)))
-    window = lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2))
+    hashes = F.transform(heads, lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)))
     low, high = F.lit((1 << _SHORT_BITS) - 1).cast("long"), F.lit(-(1 << _SHORT_BITS)).cast("long")
-    packed = F.sort_array(F.transform(heads, lambda w, i: window(w, i).bitwiseAND(high).bitwiseOR(i.cast("long"))))
-    short = _let(packed, lambda p: F.transform(_not_alone(p, lambda a, b: F.shiftright(a, _SHORT_BITS) == F.shiftright(b, _SHORT_BITS)), lambda x: x.bitwiseAND(low)))
-    paired = F.array_sort(F.transform(heads, lambda w, i: F.struct(window(w, i).alias("h"), i.cast("long").alias("i"))))
-    long = _let(paired, lambda p: F.transform(_not_alone(p, lambda a, b: a["h"] == b["h"]), lambda x: x["i"]))
-    return _let(F.sort_array(F.when(n <= (1 << _SHORT_BITS), short).otherwise(long)), _covered)
 
+    def short(h: Column) -> Column:
+        packed = F.sort_array(F.transform(h, lambda x, i: x.bitwiseAND(high).bitwiseOR(i.cast("long"))))
+        return _let(packed, lambda p: F.transform(_not_alone(p, lambda a, b: F.shiftright(a, _SHORT_BITS) == F.shiftright(b, _SHORT_BITS)), lambda x: x.bitwiseAND(low)))
 
-def line_fails(line: Column) -> Column:
-    """Whether a line breaks a rule; lines without a word don't."""
-    return _let(F.size(words_of(line)), lambda n: _line_fails(line, n))
+    def long(h: Column) -> Column:
+        paired = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.cast("long").alias("i"))))
+        return _let(paired, lambda p: F.transform(_not_alone(p, lambda a, b: a["h"] == b["h"]), lambda x: x["i"]))
 
+    def covered(h: Column) -> Column:
+        starts = F.sort_array(F.when(F.size(h) < (1 << _SHORT_BITS), short(h)).otherwise(long(h)))
+        # most texts repeat no window: they need no sort
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(_let(starts, _covered))
 
-def _line_fails(line: Column, n: Column) -> Column:
-    symbols = F.length(line) - F.length(F.regexp_replace(line, SYMBOLS, ""))
-    navigation = F.length(line) - F.length(F.regexp_replace(line, r"[|>»]", "")) >= 3
-    scrap = (n < 3) & ~line.rlike(r"[.!?:;…\"'”’)]" + SPACE + "*$")
-    return (n > 0) & (navigation | line.rlike(BOILERPLATE) | (100 * symbols >= MAX_LINE_SYMBOLS_PERCENT * n) | scrap)
+    return _let(hashes, covered)
+
+
+def _boilerplate(text: Column) -> Column:
+    low, found = F.lower(text), F.lit(False)
+    for phrase in BOILERPLATE:
+        found = found | low.contains(phrase)
+    return found
+
+
+def _count(text: Column, character: str) -> Column:
+    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(character), F.lit("")))
+
+
+def line_fails(line: Column, symbols: Column, boilerplate: Column) -> Column:
+    """Whether a line breaks a rule; lines without a word don't. ``symbols`` and ``boilerplate`` tell whether the
+    document has any, so that most lines are spared those tests."""
+    worded = line.rlike(r"[^\x20\x09-\x0D]")
+    navigation = symbols & (_count(line, "|") + _count(line, "<") + _count(line, ">") >= 3)
+    symbolic = symbols & (100 * (F.length(line) - F.length(F.regexp_replace(line, SYMBOLS, ""))) >= MAX_LINE_SYMBOLS_PERCENT * F.size(words_of(line)))
+    three_words = line.rlike(r"[^\x20\x09-\x0D][\x20\x09-\x0D]+[^\x20\x09-\x0D]+[\x20\x09-\x0D]+[^\x20\x09-\x0D]")
+    scrap = ~three_words & worded & ~line.rlike(r"[.!?:;…\"'”’)]" + SPACE + "*$")
+    return scrap | navigation | symbolic | (boilerplate & _boilerplate(line))
 
 
 def quality_rules(docs: DataFrame, text_column: str = "text", with_text: bool = True) -> DataFrame:
     """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_kept_words, base_failed, kept, and cleaned_text if asked for."""
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_kept_words", "base_failed", "kept", "cleaned_text", "_text", "_words", "_lines")
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_kept_words", "base_failed", "kept", "cleaned_text", "_text", "_words", "_lines", "_boilerplate")
     docs = docs.select("*", F.coalesce(F.col(text_column), F.lit("")).alias("__text")).drop(*names).withColumnRenamed("__text", "_text")
     text, words, lines = F.col("_text"), F.col("_words"), F.col("_lines")
-    split = docs.withColumns({"_words": words_of(text), "_lines": F.split(text, "\n")})
+    split = docs.withColumns(
+        {
+            "_words": words_of(text),
+            "_lines": F.split(text, "\n"),
+            "n_symbols": (F.length(text) - F.length(F.regexp_replace(text, SYMBOLS, ""))).cast("long"),
+            "_boilerplate": _boilerplate(text),
+        }
+    )
     worded = F.filter(lines, lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    kept_lines = F.filter(lines, lambda x: ~line_fails(x))
+    fails = lambda x: line_fails(x, F.col("n_symbols") > 0, F.col("_boilerplate"))
+    lost = F.aggregate(F.filter(lines, fails), F.lit(0).cast("long"), lambda n, x: n + F.size(words_of(x)))
     counted = split.withColumns(
         {
             "n_words": F.size(words).cast("long"),
             "word_chars": F.length(F.array_join(words, "")).cast("long"),
-            "n_symbols": (F.length(text) - F.length(F.regexp_replace(text, SYMBOLS, ""))).cast("long"),
             "n_dup_lines": _let(worded, lambda w: F.size(w) - F.size(F.array_distinct(w))).cast("long"),
             "n_repeat_words": repeated_window_words(words),
-            "n_kept_words": F.aggregate(kept_lines, F.lit(0).cast("long"), lambda n, x: n + F.size(words_of(x))),
+            "n_kept_words": F.size(words) - lost,
         }
-        | ({"cleaned_text": F.array_join(kept_lines, "\n")} if with_text else {})
+        | ({"cleaned_text": F.array_join(F.filter(lines, lambda x: ~fails(x)), "\n")} if with_text else {})
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     judged = counted.withColumn("base_failed", failed)
-    return judged.withColumn("kept", ~F.col("base_failed") & (100 * F.col("n_kept_words") >= MIN_KEPT_PERCENT * F.col("n_words"))).drop("_text", "_words", "_lines")
+    return judged.withColumn("kept", ~F.col("base_failed") & (100 * F.col("n_kept_words") >= MIN_KEPT_PERCENT * F.col("n_words"))).drop("_text", "_words", "_lines", "_boilerplate")
