@@ -7,10 +7,12 @@ order for all classes, rare ones first; of two classes that agree in 28 of 64 co
 each share one, so the 27 most common postings are skipped. Agreements are then counted on the signatures, pairs
 below 28 are dropped, and what is left is confirmed on the full shingle sets.
 
-Lists are merged in two steps, so that no list gives all its pairs. First each class is compared with one leader, the
-least class of one of its lists; confirmed links give components. Then only lists that still hold two components or
-more are opened again, and only pairs across components are compared, with the list's main component on one side.
-A pair within one component would change nothing.
+Lists are merged without giving their pairs. Each list has a leader, its most central class (whose postings are the most
+common ones), and lists with the same leader are one group, so two classes that share a list share a group. First each class
+is compared with its leaders: in a group of near copies this links most of them, in linear work. Only classes that are
+not in their leader's component are then compared with the rest of the group, in blocks of bounded size: first signatures
+against signatures, which tells the classes that have a partner at all, then full sets, by counting shared shingles over
+an index of the block. A block returns at most one link for each pair of components that it joins, never its pairs.
 
 Nulls and edges: a text without words, or null, has an empty set and is linked with nothing; texts of fewer words than
 a shingle are one shingle; rows that share a doc_id share its component; a null doc_id has a null component and is
@@ -23,6 +25,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +41,8 @@ AGREEMENTS = 28
 PREFIX = COORDINATES - AGREEMENTS + 1
 #: Postings more common than one in so many are ordered by how common they are; there are no more of them than this.
 COMMON_POSTINGS = 50_000
+#: Outsiders, and members, of a block.
+BLOCK = 1024
 #: Up to so many identifiers are broadcast to select the texts to compare; beyond it they are joined.
 BROADCAST_IDS = 500_000
 
@@ -169,6 +174,57 @@ def similar(pairs: DataFrame, texts: DataFrame, percent: int = THRESHOLD_PERCENT
     return with_both.select("a", "b", "ta", "tb").mapInArrow(confirm, "a long, b long").distinct()
 
 
+def blocks(members: DataFrame) -> DataFrame:
+    """``members``: leader, rep, component, outside. Each outsider meets every member of its group in one block at least.
+
+    Adds the block numbers i and j; a block has about BLOCK outsiders and BLOCK members, whatever its group's size.
+    """
+    sizes = members.groupBy("leader").agg(F.ceil(F.count("*") / BLOCK).alias("nj"), F.ceil(F.count_if("outside") / BLOCK).alias("ni"))
+    sized = members.join(sizes.where("ni > 0"), "leader")
+    numbers = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    own = lambda n: F.pmod(F.xxhash64("rep"), n)
+    all_ = sized.withColumns({"j": own(F.col("nj")), "i": F.explode(numbers(F.col("ni")))})
+    outside = sized.where("outside").withColumns({"i": own(F.col("ni")), "j": F.explode(numbers(F.col("nj")))})
+    both = all_.withColumn("outside", F.col("outside") & (own(F.col("ni")) == F.col("i"))).unionByName(outside)
+    return both.drop("ni", "nj").dropDuplicates(["leader", "i", "j", "rep"])
+
+
+def _with_partners(block: pd.DataFrame) -> pd.DataFrame:
+    """The block's classes that agree well enough with a class of another component, outsiders against all."""
+    signed = _signature_rows(pa.array(block["signature"]))
+    component, outside = block["component"].to_numpy(), np.flatnonzero(block["outside"].to_numpy())
+    found = np.zeros(len(block), bool)
+    for k in outside:
+        partners = ((signed == signed[k]).sum(axis=1) >= AGREEMENTS) & (component != component[k])
+        found |= partners
+        found[k] |= partners.any()
+    return block.loc[found, ["leader", "rep"]]
+
+
+def _joined(percent: int):
+    def join(block: pd.DataFrame) -> pd.DataFrame:
+        """Links that join components: outsiders against all of the block, on full shingle sets."""
+        sets = shingle_sets(pa.array(block["text"]))
+        sizes = np.array([len(s) for s in sets])
+        shingles, doc = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+        order = np.argsort(shingles, kind="stable")
+        shingles, doc = shingles[order], doc[order]
+        reps, component = block["rep"].to_numpy(), block["component"].to_numpy().copy()
+        edges = []
+        for k in np.flatnonzero(block["outside"].to_numpy()):
+            a, b = np.searchsorted(shingles, sets[k], "left"), np.searchsorted(shingles, sets[k], "right")
+            n = b - a
+            shared = np.bincount(doc[np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())], minlength=len(sets))
+            linked = np.flatnonzero((100 * shared >= percent * (sizes + sizes[k] - shared)) & (component != component[k]))
+            for other in linked:
+                if component[other] != component[k]:
+                    edges.append((reps[k], reps[other]))
+                    component[component == component[other]] = component[k]
+        return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
+
+    return join
+
+
 def near_duplicates(docs: DataFrame, percent: int = THRESHOLD_PERCENT, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id (the least doc_id reachable), kept (it is that one)."""
     signed = written(signatures(docs, id_column, text_column), "signatures")
@@ -177,25 +233,35 @@ def near_duplicates(docs: DataFrame, percent: int = THRESHOLD_PERCENT, id_column
     posted = written(postings(classes), "postings")
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).where("doc_id is not null")
 
-    lists = posted.groupBy("token").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
-    led = posted.join(lists, "token").where("rep <> leader").groupBy("rep", "leader").agg(F.count("*").alias("n"))
-    best = led.groupBy("rep").agg(F.max(F.struct("n", (-F.col("leader")).alias("l"))).alias("x")).select(F.col("rep").alias("a"), (-F.col("x.l")).alias("b"))
-    tried = written(agreeing(best, classes), "led")
-    links = written(similar(tried, texts, percent), "links")
-    placed = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-
-    # lists that still hold two components or more: their other members against all, across components
-    where = posted.join(placed.withColumnRenamed("node", "rep"), "rep", "left").select("token", "rep", F.coalesce("component", "rep").alias("component"))
-    mixed = where.groupBy("token", "component").agg(F.count("*").alias("n")).groupBy("token").agg(F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("k")).where("k > 1").select("token", F.col("most.component").alias("main"))
-    opened = written(where.join(mixed, "token"), "opened")
-    side = opened.where("component <> main").select("token", F.col("rep").alias("a"), F.col("component").alias("ca"))
-    all_ = opened.select("token", F.col("rep").alias("b"), F.col("component").alias("cb"), "main")
-    across = side.join(all_, "token").where("ca <> cb and (cb = main or a < b)").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    untried = across.join(tried.select("a", "b"), ["a", "b"], "left_anti")
-    more = written(similar(written(agreeing(untried, classes), "across"), texts, percent), "links")
-    edges = links.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    lists = posted.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
+    shared = written(posted.join(lists, "token"), "shared")
+    central = shared.join(shared.groupBy("rep").agg(F.sum("n").alias("score")), "rep")
+    leaders = central.groupBy("token").agg(F.max(F.struct("score", (-F.col("rep")).alias("l"))).alias("x")).select("token", (-F.col("x.l")).alias("leader"))
+    led = written(shared.join(leaders, "token").select("leader", "rep").distinct(), "led")
+
+    tried = agreeing(led.where("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")), classes)
+    links = written(similar(written(tried, "tried"), texts, percent), "links")
+    edges = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
     placed = connected_components(edges)
 
+    # a pair with the leader has been compared; groups of two have no other
+    groups = led.join(led.groupBy("leader").agg(F.count("*").alias("n")).where("n > 2").select("leader"), "leader")
+    component = F.coalesce("component", "rep")
+    members = groups.join(placed.withColumnRenamed("node", "rep"), "rep", "left").select("leader", "rep", component.alias("component"))
+    of_leader = members.where("rep = leader").select("leader", F.col("component").alias("main"))
+    members = written(members.join(of_leader, "leader").select("leader", "rep", "component", (F.col("component") != F.col("main")).alias("outside")), "members")
+    key = ["leader", "i", "j"]
+    signatures_of = classes.select("rep", "signature")
+    flagged = blocks(members).join(signatures_of, "rep").groupBy(*key).applyInPandas(_with_partners, "leader long, rep long").distinct()
+    open_ = written(members.join(flagged, ["leader", "rep"]), "open")
+    few = texts
+    ids = open_.select(F.col("rep").alias("doc_id")).distinct()
+    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        few = texts.join(F.broadcast(ids), "doc_id", "left_semi")
+    few = few.select(F.col("doc_id").alias("rep"), "text").dropDuplicates(["rep"])
+    more = blocks(open_).join(few, "rep").groupBy(*key).applyInPandas(_joined(percent), "a long, b long")
+    placed = connected_components(edges.unionByName(written(more, "more").select(F.col("a").alias("u"), F.col("b").alias("v"))))
+
     members = signed.select("doc_id", "n_shingles", "set_key").join(classes.select("set_key", "rep"), "set_key", "left")
     joined = members.join(placed.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.coalesce("component", "rep", "doc_id")
