@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marketgrain.llm.oracles import ORACLE_SQL  # noqa: F401
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -104,5 +106,3 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_packing, op2_near_dedup, op3_decontamination, op4_license_scan, op5_token_shards, op6_quality_rules, op7_toxicity, op8_url_filter, op9_warc, op10_substring_dedup)
 }
-
-ORACLE_SQL: dict[str, str] = {}
