@@ -86,8 +86,10 @@ def first_node(nodes: Column, test) -> Column:
 
 def meta(nodes: Column, *names: str) -> Column:
     """The content of the first meta tag with one of the names as property or name."""
-    named = lambda n, want: (n["tag"] == "meta") & ((n["attrs"]["property"] == want) | (n["attrs"]["name"] == want))
-    return F.coalesce(*[_blank(first_node(nodes, lambda n, w=w: F.coalesce(named(n, w), F.lit(False)))["attrs"]["content"]) for w in names])
+    def has(want: str):
+        return lambda n: F.coalesce((n["tag"] == "meta") & ((n["attrs"]["property"] == want) | (n["attrs"]["name"] == want)), F.lit(False))
+
+    return F.coalesce(*[_blank(first_node(nodes, has(w))["attrs"]["content"]) for w in names])
 
 
 def og_type(nodes: Column) -> Column:
