@@ -219,7 +219,10 @@ def read_shards(manifest: DataFrame) -> DataFrame:
 def lookup(manifest: DataFrame, keys: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """The ids of the documents asked for: doc_id, ids (null where no shard has it). One range join, then reads by key."""
     wanted = keys.select(F.col(id_column).cast("long").alias("doc_id")).distinct()
-    placed = wanted.join(manifest.select("path", "first_id", "last_id"), F.col("doc_id").between(F.col("first_id"), F.col("last_id")), "left")
+    # null identifiers sort first: a shard that starts with one starts before every number
+    least = F.lit(-(2**63)).cast("long")
+    ranges = manifest.select("path", F.coalesce("first_id", least).alias("first_id"), F.coalesce("last_id", least).alias("last_id"))
+    placed = wanted.join(ranges, F.col("doc_id").between(F.col("first_id"), F.col("last_id")), "left")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path, shard = None, None
