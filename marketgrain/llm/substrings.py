@@ -211,32 +211,45 @@ def _rest(raw: bytes, gone: np.ndarray) -> bytes:
     return b"".join(keep)
 
 
-def _apply(with_text: bool):
-    """Rows of doc_id, text, tie, spans with their spans taken out."""
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = text_buffers(batch.column("text"))
-            ties, spans, known = _ties(data, offsets), batch.column("spans"), batch.column("tie")
-            raw, rows = data.tobytes(), []
-            for i in range(batch.num_rows):
-                own = raw[offsets[i] : offsets[i + 1]]
-                if known[i].is_valid and known[i].as_py() != ties[i]:
-                    continue  # another text under the same doc_id
-                words = own.split()
-                gone = _removed(spans[i], len(words))
-                n = int(gone.sum())
-                kept = b" ".join(w for w, g in zip(words, gone.tolist()) if not g) if n else b" ".join(words)
-                text = None if not with_text else (_rest(own, gone) if n else own).decode()
-                rows.append((batch.column(0)[i].as_py(), int(ties[i]), len(words), n, hashlib.sha256(kept).hexdigest(), text))
-            names = ["doc_id", "tie", "n_words", "n_removed", "kept_sha256", "kept_text"]
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names)
-
-    return read
+_RESULT = "doc_id long, tie long, n_words long, n_removed long, kept_sha256 string, kept_text string"
 
 
-_RESULT = "doc_id long, tie long, n_words long, n_removed long, kept_sha256 string, kept_text string"
+def _cut(batch: pa.RecordBatch, spans: list[pa.Scalar | None], with_text: bool) -> dict[str, pa.Array]:
+    """The result's columns for rows of doc_id and text; rows whose spans are None are left out."""
+    data, offsets = text_buffers(batch.column("text"))
+    ties, raw, rows = _ties(data, offsets), data.tobytes(), []
+    for i, own_spans in enumerate(spans):
+        if own_spans is None:
+            continue
+        own = raw[offsets[i] : offsets[i + 1]]
+        words = own.split()
+        gone = _removed(own_spans, len(words))
+        n = int(gone.sum())
+        kept = b" ".join(w for w, g in zip(words, gone.tolist()) if not g) if n else b" ".join(words)
+        text = None if not with_text else (_rest(own, gone) if n else own).decode()
+        rows.append((batch.column("doc_id")[i].as_py(), int(ties[i]), len(words), n, hashlib.sha256(kept).hexdigest(), text))
+    types = {"doc_id": pa.int64(), "tie": pa.int64(), "n_words": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string(), "kept_text": pa.string()}
+    return {name: pa.array([r[k] for r in rows], t) for k, (name, t) in enumerate(types.items())}
+
+
+def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of doc_id, text, tie, spans with their spans taken out; another text under the same doc_id is left out."""
+    for batch in batches:
+        ties = _ties(*text_buffers(batch.column("text")))
+        spans = [s if t.as_py() == own else None for s, t, own in zip(batch.column("spans"), batch.column("tie"), ties.tolist())]
+        columns = _cut(batch, spans, False)
+        yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+
+def _apply_to_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of doc_id, text, marks (tie and spans of each text under the doc_id) and carry; every row is returned."""
+    for batch in batches:
+        ties, none, spans = _ties(*text_buffers(batch.column("text"))), pa.scalar(None, pa.null()), []
+        for marks, own in zip(batch.column("marks"), ties.tolist()):
+            found = [m["spans"] for m in marks if m["tie"].as_py() == own] if marks.is_valid else []
+            spans.append(found[0] if found else none)
+        columns = _cut(batch, spans, True) | {"carry": batch.column("carry")}
+        yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
 
 def _holding(texts: DataFrame, info: DataFrame) -> DataFrame:
@@ -247,10 +260,11 @@ def _holding(texts: DataFrame, info: DataFrame) -> DataFrame:
     return texts.join(info, "doc_id")
 
 
-def remove_repeats(docs: DataFrame, with_text: bool = True, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, with_text: bool = True, id_column: str = "doc_id", text_column: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """One row a document: doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space), and kept_text if asked for.
 
-    A document that loses nothing keeps its text as it is; others keep what stands between their kept words.
+    A document that loses nothing keeps its text as it is; others keep what stands between their kept words. With texts,
+    the columns named in ``carry`` come along; name none of the result's own.
     """
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     named = rows.where("doc_id is not null")
@@ -265,9 +279,14 @@ def remove_repeats(docs: DataFrame, with_text: bool = True, id_column: str = "do
     copied = facts.join(copies.withColumn("copy", F.lit(True)), ["doc_id", "tie"], "left").join(spans.select("doc_id", "tie", F.lit(True).alias("cut")), ["doc_id", "tie"], "left")
     settled = copied.where("cut is null").select("doc_id", "n_words", F.when(F.col("copy"), F.col("n_words")).otherwise(0).alias("n_removed"), F.when(F.col("copy"), gone).otherwise(F.col("sha256")).alias("kept_sha256"))
     if not with_text:
-        changed = _holding(named, spans).select("doc_id", "text", "tie", "spans").mapInArrow(_apply(False), _RESULT)
+        changed = _holding(named, spans).select("doc_id", "text", "tie", "spans").mapInArrow(_apply, _RESULT)
         return settled.unionByName(changed.select("doc_id", "n_words", "n_removed", "kept_sha256"))
-    joined = rows.join(spans, "doc_id", "left").select("doc_id", "text", "tie", "spans").mapInArrow(_apply(True), _RESULT)
+    # one row of marks for each doc_id, so that no row is joined twice
+    marks = spans.groupBy("doc_id").agg(F.collect_list(F.struct("tie", "spans")).alias("marks"))
+    carried = F.struct(*[F.col(c) for c in carry]) if carry else F.struct(F.lit(0).alias("none"))
+    whole = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"), carried.alias("carry"))
+    kind = whole.schema["carry"].dataType.simpleString()
+    joined = whole.join(marks, "doc_id", "left").select("doc_id", "text", "marks", "carry").mapInArrow(_apply_to_all, f"{_RESULT}, carry {kind}")
     joined = joined.join(copies.withColumn("copy", F.lit(True)), ["doc_id", "tie"], "left")
     return joined.select(
         "doc_id",
@@ -275,6 +294,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = True, id_column: str = "do
         F.when(F.col("copy"), F.col("n_words")).otherwise(F.col("n_removed")).alias("n_removed"),
         F.when(F.col("copy"), gone).otherwise(F.col("kept_sha256")).alias("kept_sha256"),
         F.when(F.col("copy"), F.lit("")).otherwise(F.col("kept_text")).alias("kept_text"),
+        *[F.col("carry")[c].alias(c) for c in carry],
     )
 
 

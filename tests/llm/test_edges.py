@@ -11,6 +11,7 @@ from hypothesis import strategies as st
 from marketgrain.llm import decontaminate, encode, licenses, neardups, packing, quality, sstable, substrings, textarrays, toxicity, urls, warc
 from marketgrain.llm.components import connected_components
 
+TEXT = " ".join(f"w{i}" for i in range(21)) + " "
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -172,6 +173,9 @@ def test_substrings(odd_docs, no_docs, spark):
     assert (1, 21, 0) in got and got.count((5, 21, 21)) == 2 and (10, 42, 42) in got and (2, 0, 0) in got and (None, 21, 0) in got
     assert (6, 21, 0) in got  # words count as they are
     assert substrings.remove_repeats(no_docs).count() == 0
+    shared = spark.createDataFrame([(1, TEXT, "a"), (2, TEXT + "x", "b"), (2, "other words", "c"), (None, TEXT, "d")], "doc_id long, text string, source string")
+    kept = sorted((r.source, r.n_removed, r.kept_text) for r in substrings.remove_repeats(shared, carry=("source",)).collect())
+    assert kept == [("a", 0, TEXT), ("b", 21, "x"), ("c", 0, "other words"), ("d", 0, TEXT)]
     twins = spark.createDataFrame([(1, "a b c"), (1, "a b c")], "doc_id long, text string")
     assert [r.n_removed for r in substrings.remove_repeats(twins).collect()] == [0, 0]
 
