@@ -31,9 +31,8 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """All documents, without passages that occur earlier in the corpus."""
     from marketgrain.llm import substrings
 
-    cleaned = substrings.remove_repeats(docs).select("doc_id", F.col("kept_text").alias("text"))
-    rest = docs.select("doc_id", "lang", "source")
-    return cleaned.join(rest, "doc_id").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    cleaned = substrings.remove_repeats(docs, carry=("lang", "source")).withColumnRenamed("kept_text", "text")
+    return cleaned.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
