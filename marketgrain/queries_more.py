@@ -345,7 +345,7 @@ def disc_sample_trust(s: Star) -> DataFrame:
     return lifecycle.sampled_trust(rows).select("group", "url", "taken")
 
 
-@query("WITH RECURSIVE e AS (SELECT DISTINCT l_partkey % 500 AS src, l_suppkey * 7 % 500 AS dst FROM lineitem WHERE l_orderkey % 20 = 0), r AS (SELECT 0 AS node, 0 AS depth UNION SELECT e.dst, depth + 1 FROM r JOIN e ON e.src = r.node WHERE depth < 3) SELECT node, min(depth) AS depth FROM r GROUP BY 1")
+@query("WITH RECURSIVE e AS (SELECT DISTINCT l_partkey % 500 AS src, l_suppkey * 7 % 500 AS dst FROM lineitem WHERE l_orderkey % 20 = 0), r AS (SELECT CAST(0 AS BIGINT) AS node, 0 AS depth UNION SELECT e.dst, depth + 1 FROM r JOIN e ON e.src = r.node WHERE depth < 3) SELECT node, min(depth) AS depth FROM r GROUP BY 1")
 def disc_bfs(s: Star) -> DataFrame:
     edges = s.table("lineitem").where("l_orderkey % 20 = 0").select((F.col("l_partkey") % 500).alias("src"), (F.col("l_suppkey") * 7 % 500).alias("dst")).distinct()
     return lifecycle.reachable(edges, s.spark.range(1).select(F.col("id").alias("node")), 3)
