@@ -82,6 +82,19 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(pages, listed, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+#: Names that a URL list is about, at any label of a host.
+LISTED_NAMES = r"(^|\.)(adult-x|casino-win|free-bets|cheap-pills|spam-farm|ads-track)\."
+
+
+def op8_url_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op8_url_filter, whose list is empty on the tables at hand, with a list of every page of the listed names."""
+    from marketgrain.llm.urls import host_of, url_filter
+
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    listed = pages.where(host_of(F.col("url")).rlike(LISTED_NAMES)).select("url")
+    return url_filter(pages, listed, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marketgrain.llm.warc import page_id_of, read_warc, write_pages
 
@@ -104,5 +117,5 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_near_dedup, op3_decontamination, op4_license_scan, op5_token_shards, op6_quality_rules, op7_toxicity, op8_url_filter, op9_warc, op10_substring_dedup)
+    f.__name__: f for f in (op1_packing, op2_near_dedup, op3_decontamination, op4_license_scan, op5_token_shards, op6_quality_rules, op7_toxicity, op8_url_filter, op8_url_list, op9_warc, op10_substring_dedup)
 }
