@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketgrain.functions import html, money, text, urls
@@ -506,12 +506,21 @@ def src_fuel_feed(s: Star) -> DataFrame:
     return feeds.fuel_feed(s.spark.createDataFrame([('[{"symbol":"diesel_with_a_very_long_name","price":"1.7","unit":"l"},{"symbol":"x","price":"?"}]',)], "body string"))
 
 
-def _sitemaps(s: Star) -> DataFrame:
-    """A stored index and one sitemap file for each ten pages."""
+def _sitemap_files(s: Star) -> DataFrame:
+    """One sitemap file for each ten pages."""
     item = F.concat(F.lit("<url><loc>"), F.regexp_replace("url", "&", "&amp;"), F.lit("</loc></url>"))
-    files = s.table("pages").groupBy(F.concat(F.lit("http://m/"), F.floor(F.col("page_id") / 10).cast("string")).alias("url")).agg(F.concat(F.lit("<urlset>"), F.array_join(F.array_sort(F.collect_list(item)), ""), F.lit("</urlset>")).alias("body"))
+    return s.table("pages").groupBy(F.concat(F.lit("http://m/"), F.floor(F.col("page_id") / 10).cast("string")).alias("url")).agg(F.concat(F.lit("<urlset>"), F.array_join(F.array_sort(F.collect_list(item)), ""), F.lit("</urlset>")).alias("body"))
+
+
+def _index_of() -> Column:
     entry = F.concat(F.lit("<sitemap><loc>"), F.col("url"), F.lit("</loc></sitemap>"))
-    index = files.where("url < 'http://m/9'").orderBy("url").limit(12).agg(F.concat(F.lit('<sitemapindex xmlns="http://x">'), F.array_join(F.collect_list(entry), ""), F.lit("</sitemapindex>")).alias("body")).select(F.lit("http://m/index").alias("url"), "body")
+    return F.concat(F.lit('<sitemapindex xmlns="http://x">'), F.array_join(F.collect_list(entry), ""), F.lit("</sitemapindex>")).alias("body")
+
+
+def _sitemaps(s: Star) -> DataFrame:
+    """The files and a stored index of the first of them."""
+    files = _sitemap_files(s)
+    index = files.where("url < 'http://m/9'").orderBy("url").limit(12).agg(_index_of()).select(F.lit("http://m/index").alias("url"), "body")
     return files.unionByName(index)
 
 
@@ -526,6 +535,15 @@ def src_sitemap_walk(s: Star) -> DataFrame:
     return feeds.sitemap_walk(_sitemaps(s), s.spark.createDataFrame([("http://m/index",)], "url string"))
 
 
+@query("SELECT DISTINCT url FROM pages WHERE url IS NOT NULL")
+def src_sitemap_walk_all(s: Star) -> DataFrame:
+    """Every file, by an index for each hundred of them, without the limits of one crawl."""
+    files = _sitemap_files(s)
+    name = F.concat(F.lit("http://m/index/"), F.floor(F.substring("url", 10, 20).cast("long") / 100).cast("string"))
+    indexes = files.groupBy(name.alias("index")).agg(_index_of()).withColumnRenamed("index", "url")
+    return feeds.sitemap_walk(files.unionByName(indexes), indexes.select("url"), None, None)
+
+
 _OLD = "SELECT date_id, currency_code, source FROM rates"
 
 

@@ -91,12 +91,20 @@ def sitemap_locations(bodies: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([_locations(x) for x in b], columns=["urls", "sitemaps"])
 
 
-def sitemap_walk(files: DataFrame, roots: DataFrame, most_files: int = 15, most_urls: int = 50_000) -> DataFrame:
-    """URLs reachable from root sitemaps (``url``) over stored files (``url``, ``body``): breadth first, within the crawl's own limits."""
+def sitemap_walk(files: DataFrame, roots: DataFrame, most_files: int | None = 15, most_urls: int | None = 50_000) -> DataFrame:
+    """URLs reachable from root sitemaps (``url``) over stored files (``url``, ``body``): breadth first, three levels, within the crawl's own limits.
+
+    Files count over all levels together, by url within a level and whether they are stored or not; None lifts a limit.
+    """
+
+    def first(df: DataFrame, n: int | None, *by: str) -> DataFrame:
+        return df if n is None else df.orderBy(*by).limit(n)
+
     parsed = files.where(looks_like_sitemap(F.col("body"))).select("url", sitemap_locations("body").alias("x")).select("url", "x.urls", "x.sitemaps")
-    seen, frontier = None, roots.select("url").distinct().orderBy("url").limit(most_files)
-    for _ in range(3):
-        step = frontier.join(parsed, "url")
-        seen = step if seen is None else seen.unionByName(step)
-        frontier = step.select(F.explode("sitemaps").alias("url")).distinct().join(seen.select("url"), "url", "left_anti").orderBy("url").limit(most_files)
-    return seen.select(F.explode("urls").alias("url")).distinct().orderBy("url").limit(most_urls)
+    tried = frontier = first(roots.select("url", F.lit(0).alias("level")).distinct(), most_files, "url")
+    for k in (1, 2):
+        listed = frontier.select("url").join(parsed, "url").select(F.explode("sitemaps").alias("url")).distinct()
+        frontier = first(listed.join(tried.select("url"), "url", "left_anti").withColumn("level", F.lit(k)), most_files, "url")
+        tried = tried.unionByName(frontier)
+    found = first(tried, most_files, "level", "url").select("url").join(parsed, "url").select(F.explode("urls").alias("url")).distinct()
+    return first(found, most_urls, "url")
