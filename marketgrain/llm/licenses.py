@@ -10,6 +10,9 @@ along, except those named as the results; without known texts nothing is found.
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,9 +47,52 @@ KNOWN = {
 }
 
 
+#: Title lines that stand before texts which have none of their own.
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)"],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)", "The ISC License (ISC)"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License", "Simplified BSD License", "BSD 2-Clause \"Simplified\" License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License", "New BSD License", "BSD 3-Clause \"New\" or \"Revised\" License"],
+    "Unlicense": ["The Unlicense", "Unlicense"],
+}
+#: Where the terms end and an appendix begins that copies often leave out.
+APPENDIX = r"(?is)(?<=END OF TERMS AND CONDITIONS)\s.*$"
+#: Names that one-line notices call a license by; notices of MIT keep the identifier that KNOWN gives them.
+NAMES = {
+    "Apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License", "Apache-2.0 License"],
+    "MIT-notice": ["MIT License", "MIT license (MIT)"],
+    "ISC": ["ISC License"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "Simplified BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "New BSD License"],
+    "GPL-2.0-only": ["GNU General Public License, version 2", "GNU General Public License v2.0", "GNU GPLv2", "GPLv2"],
+    "GPL-3.0-only": ["GNU General Public License, version 3", "GNU General Public License v3.0", "GNU GPLv3", "GPLv3"],
+    "LGPL-2.1-only": ["GNU Lesser General Public License, version 2.1", "GNU LGPLv2.1", "LGPLv2.1"],
+    "LGPL-3.0-only": ["GNU Lesser General Public License, version 3", "GNU LGPLv3", "LGPLv3"],
+    "MPL-2.0": ["Mozilla Public License, version 2.0", "Mozilla Public License 2.0", "MPL 2.0"],
+    "Unlicense": ["Unlicense"],
+    "CC0-1.0": ["CC0 1.0 Universal", "CC0 1.0"],
+    "CC-BY-4.0": ["CC BY 4.0", "Creative Commons Attribution 4.0 International License"],
+    "CC-BY-SA-4.0": ["CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0 International License"],
+    "CC-BY-NC-4.0": ["CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0 International License"],
+}
+#: Wordings of one-line notices.
+WORDINGS = [f"{what}{verb} under {the}{{}}" for what in ("", "This work is ", "This project is ", "This software is ", "This file is ", "This program is ") for verb in ("licensed", "released", "distributed") for the in ("", "the ", "the terms of the ")]
+
+
+def _texts() -> list[tuple[str, str]]:
+    """KNOWN, and whole texts with and without title, wrapped or not and without appendix, and notices in many wordings."""
+    whole = [(p.stem, p.read_text(encoding="utf-8")) for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))] + [(n, KNOWN[n]) for n in ("MIT", "ISC")]
+    whole += [(n, re.sub(APPENDIX, "", t)) for n, t in whole]
+    whole += [(n, re.sub(r"(?<!\n)\n(?!\n)", " ", t)) for n, t in whole]
+    whole += [(n, f"{title}\n\n{t}") for n, t in whole for title in TITLES.get(n, [])]
+    notices = [(n, wording.format(name)) for n, names in NAMES.items() for name in names for wording in WORDINGS]
+    tags = [(n, f"SPDX-License-Identifier: {n.removesuffix('-notice')}") for n in NAMES]
+    return sorted({*KNOWN.items(), *whole, *notices, *tags})
+
+
 def known_licenses(spark: SparkSession) -> DataFrame:
     """license_id, text."""
-    return spark.createDataFrame(list(KNOWN.items()), "license_id string, text string")
+    return spark.createDataFrame(_texts(), "license_id string, text string")
 
 
 def normalised(text: Column) -> Column:
