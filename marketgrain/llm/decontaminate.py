@@ -9,7 +9,8 @@ Items with fewer than thirteen words are one window of their own length and are
 The benchmark's hashes are broadcast while they are few (checked); a larger benchmark is joined by shuffles.
 
 Nulls and edges: a null text has no words; an item without words has no window and matches nothing; a document
-without words has no hits and isn't contaminated; repeated items and documents each count; further columns are
+without words has no hits and isn't contaminated; items with a null id count as one item, which items_sha256 leaves
+out; repeated items and documents each count; further columns are
 ignored; without items nothing is contaminated.
 """
 
@@ -64,7 +65,7 @@ def benchmark_windows(items: DataFrame, id_column: str = "item_id", text_column:
             ids, widths, found = [], [], []
             for i, item in enumerate(batch.column(0).to_pylist()):
                 own = hashes[offsets[i] : offsets[i + 1]]
-                if len(own) == 0 or item is None:
+                if len(own) == 0:
                     continue
                 width = min(WINDOW, len(own))
                 got = np.unique(grams(own, np.array([0, len(own)]), width)[0])
@@ -111,21 +112,21 @@ def _covered(starts: np.ndarray, widths: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(steps[:n]) > 0
 
 
-def _digest(items: set[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+def _digest(items: set[str | None]) -> str:
+    return hashlib.sha256(",".join(sorted(x for x in items if x is not None)).encode()).hexdigest()
 
 
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, hit_starts array<int>, hit_ends array<int>"
 
 
-def _rows(ids: pa.Array, n_words: np.ndarray, hit: np.ndarray, offsets: np.ndarray, items: dict[int, set[str]]) -> pa.RecordBatch:
+def _rows(ids: pa.Array, n_words: np.ndarray, hit: np.ndarray, offsets: np.ndarray, items: dict[int, set[str | None]]) -> pa.RecordBatch:
     """One row a document from the hit flags of all words."""
     ends = np.concatenate([[0], np.cumsum(hit)])
     n_hit = ends[offsets[1:]] - ends[offsets[:-1]]
     empty = _digest(set())
     names, spans, stops = [], [], []
     for i in range(len(ids)):
-        names.append(sorted(items.get(i, ())))
+        names.append(sorted(items.get(i, ()), key=lambda x: (x is None, x or "")))
         edge = np.flatnonzero(np.diff(np.concatenate([[0], hit[offsets[i] : offsets[i + 1]].view(np.int8), [0]]))) if n_hit[i] else np.zeros(0, np.int64)
         spans.append(edge[::2].astype(np.int32))
         stops.append(edge[1::2].astype(np.int32))
@@ -219,7 +220,7 @@ def _by_shuffle(rows: DataFrame, windows: DataFrame, prints: DataFrame) -> DataF
     tried = rows.join(marked, "row").select("row", "text", "ats").mapInArrow(extend, "row long, at long, hash long, width int")
     if short:
         tried = tried.unionByName(emit(short, False))
-    found = tried.join(windows, ["hash", "width"]).groupBy("row").agg(F.collect_set(F.struct("at", "width")).alias("spans"), F.collect_set("item_id").alias("item_ids"))
+    found = tried.join(windows, ["hash", "width"]).groupBy("row").agg(F.collect_set(F.struct("at", "width")).alias("spans"), F.collect_set(F.struct("item_id")).alias("item_ids"))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -230,7 +231,7 @@ def _by_shuffle(rows: DataFrame, windows: DataFrame, prints: DataFrame) -> DataF
                     starts.append(span["at"] + offsets[i])
                     widths.append(span["width"])
                 if names:
-                    items[i] = set(names)
+                    items[i] = {x["item_id"] for x in names}
             hit = _covered(np.array(starts, np.int64), np.array(widths, np.int64), len(hashes))
             yield _rows(batch.column(0), np.diff(offsets), hit, offsets, items)
 
