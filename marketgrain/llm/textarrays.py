@@ -1,7 +1,10 @@
 """Words and word hashes of whole Arrow text columns, by array arithmetic.
 
-A word hash is a polynomial over random 64-bit byte values, mixed at the end, so equal words have equal
-hashes and two different words collide with a probability near 2**-60.
+A word hash has one or two lanes of 64 bits. Words of up to 64 bytes are read eight bytes at a time, and each eight go
+through a bijective, non-linear mixing of the lane's state, so words of one length that differ in eight bytes only never
+share a hash, and no pattern of bytes cancels; longer words are hashed by XXH3. Two other words share a lane with a
+probability near 2**-64, and both lanes with one near 2**-128. A window's hash is a sum of its words' hashes times odd
+seeds, lane by lane: the same holds for windows, with 2**-62 and 2**-124.
 """
 
 from __future__ import annotations
@@ -12,13 +15,16 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 #: Bytes between words: the white space of ``[^\x20\x09-\x0D]+``.
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
 #: Bytes between words of ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+``, once A-Z are lower case.
 NOT_ALNUM = bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
-_BASE = 0x9E3779B97F4A7C15
+#: Bytes of text hashed at once: what a processor's cache holds.
 _BLOCK = 1 << 18
+#: Words of more bytes are hashed one by one.
+_LONG = 64
 U = np.uint64
 
 
@@ -34,30 +40,19 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 @lru_cache(8)
-def _tables(separators: bytes, lower: bool) -> tuple[np.ndarray, np.ndarray]:
-    """For each byte its random value (0: separator), and whether it separates."""
-    value = np.random.default_rng(20240229).integers(1, 2**64 - 1, 256, dtype=np.uint64) | U(1)
+def _tables(separators: bytes, lower: bool) -> tuple[np.ndarray | None, np.ndarray]:
+    """For each byte what it counts as (None: itself), and whether it separates."""
+    counts_as = np.arange(256, dtype=np.uint8)
+    if lower:
+        counts_as[65:91] = counts_as[97:123]
     apart = np.zeros(256, bool)
     apart[list(separators)] = True
-    if lower:
-        value[65:91] = value[97:123]
-        apart[65:91] = apart[97:123]
-    value[apart] = 0
-    return value, apart
-
-
-_POWERS: list[np.ndarray] = []
+    return counts_as if lower else None, apart[counts_as]
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base, and of its inverse, modulo 2**64."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        n = max(n, _BLOCK + 1)
-        _POWERS[:] = [
-            np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n, b, np.uint64)]))
-            for b in (_BASE, pow(_BASE, -1, 2**64))
-        ]
-    return _POWERS[0], _POWERS[1]
+#: Masks of the first 0..8 bytes of eight.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+_LANES = (U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F))
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -67,38 +62,65 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(31))
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, separators: bytes = SPACES, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of every word, and the offsets of each text's words in that array."""
-    value, apart = _tables(separators, lower)
-    hashes, counts = [], np.zeros(len(offsets), np.int64)
-    i, n = 0, len(offsets) - 1
-    while i < n:
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + _BLOCK, "right")) - 1)
+def _hashed(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, lanes: int) -> np.ndarray:
+    """The hash of every word in ``data``, in rows of 64 bits."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eights = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    found = np.empty((lanes, len(starts)), np.uint64)
+    for k in range(lanes):
+        found[k] = mix(lengths.astype(np.uint64) * _LANES[k])
+    some = slice(None)
+    for at in range(0, _LONG, 8):
+        if at:
+            some = np.flatnonzero((lengths > at) & (lengths <= _LONG))
+            if not len(some):
+                break
+        value = eights[starts[some] + at] & _FIRST[np.minimum(lengths[some] - at, 8)]
+        for k in range(lanes):
+            found[k, some] = mix((found[k, some] ^ value) * _LANES[k])
+    for i in np.flatnonzero(lengths > _LONG):
+        found[:, i] = np.frombuffer(xxhash.xxh3_128_digest(data[starts[i] : starts[i] + lengths[i]].tobytes()), np.uint64)[:lanes]
+    return found
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, separators: bytes = SPACES, lower: bool = False, wide: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of every word, and the offsets of each text's words in that array; with ``wide`` two rows of 64 bits each."""
+    counts_as, apart = _tables(separators, lower)
+    hashes, counts = [np.zeros((1 + wide, 0), np.uint64)], np.zeros(len(offsets), np.int64)
+    for i, j in slices(len(offsets) - 1, offsets, _BLOCK):
         block = data[offsets[i] : offsets[j]]
         at = offsets[i : j + 1] - offsets[i]
-        if len(block):
-            gap = apart[block]
-            first = np.empty(len(block), bool)
-            first[0] = True
-            first[1:] = gap[:-1]
-            first[at[:-1][at[:-1] < len(block)]] = True
-            starts = np.flatnonzero(first & ~gap)
-            counts[i + 1 : j + 1] = np.diff(np.searchsorted(starts, at))
-            if len(starts):
-                up, down = _powers(len(block))
-                # separators are worth 0, so the sum up to the next start is the word's
-                sums = np.add.reduceat(value[block] * up[: len(block)], starts)
-                hashes.append(mix(sums * down[starts]))
-        i = j
-    return (np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)), np.cumsum(counts)
-
-
-def grams(hashes: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of k words from each word on, and whether those k words lie in one text."""
+        if not len(block):
+            continue
+        inside = ~apart[block]
+        first = inside.copy()
+        first[1:] &= ~inside[:-1]
+        edges = at[:-1][at[:-1] < len(block)]
+        first[edges] = inside[edges]
+        starts = np.flatnonzero(first)
+        counts[i + 1 : j + 1] = np.diff(np.searchsorted(starts, at))
+        if len(starts):
+            last = inside.copy()
+            last[:-1] &= ~inside[1:]
+            edges = at[1:][at[1:] > 0] - 1
+            last[edges] = inside[edges]
+            hashes.append(_hashed(block if counts_as is None else counts_as[block], starts, np.flatnonzero(last) + 1 - starts, 1 + wide))
+    found = np.concatenate(hashes, axis=1)
+    return found if wide else found[0], np.cumsum(counts)
+
+
+@lru_cache(128)
+def _seeds(k: int, lane: int) -> np.ndarray:
+    return np.random.default_rng(1000 + k + (lane << 20)).integers(1, 2**64 - 1, k, dtype=np.uint64) | U(1)
+
+
+def grams(hashes: np.ndarray, offsets: np.ndarray, k: int, lane: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of k words from each word on, and whether those k words lie in one text. ``hashes``: one row; further
+    rows of wide hashes take a ``lane`` of their own."""
     n = len(hashes)
     if n < k:
         return np.zeros(0, np.uint64), np.zeros(0, bool)
-    seeds = np.random.default_rng(1000 + k).integers(1, 2**64 - 1, k, dtype=np.uint64) | U(1)
+    seeds = _seeds(k, lane)
     total = np.zeros(n - k + 1, np.uint64)
     for j in range(k):
         total += hashes[j : n - k + 1 + j] * seeds[j]
@@ -108,9 +130,7 @@ def grams(hashes: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray,
 
 def sequence_hash(hashes: np.ndarray) -> int:
     """The hash of a whole sequence of any length; one of k words equals what grams() gives for k."""
-    k = len(hashes)
-    seeds = np.random.default_rng(1000 + k).integers(1, 2**64 - 1, k, dtype=np.uint64) | U(1)
-    return int(mix(np.array([(hashes * seeds).sum(dtype=np.uint64)], np.uint64))[0])
+    return int(mix(np.array([(hashes * _seeds(len(hashes), 0)).sum(dtype=np.uint64)], np.uint64))[0])
 
 
 def slices(n: int, offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
