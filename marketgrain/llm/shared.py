@@ -1,17 +1,29 @@
-"""Where stages keep what they cut off: the folder that driver and executors share."""
+"""Where stages keep what they cut off: the folder that driver and executors share; and joins on keys that may be hot."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A key with more than one in so many of a table's rows is hot, so there are fewer hot keys than this; and it has more rows than that.
+HOT_KEYS = 2_000
+LEAST_HOT_ROWS = 64
+
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a temporary folder only where it is unset (tests, one machine)."""
+    """The session's ``spark.checkpoint.dir``. Only a local session may go without: it gets a temporary folder."""
     known = spark.conf.get("spark.checkpoint.dir", None)
     if not known:
+        master = spark.sparkContext.master
+        if master.partition("[")[0] != "local":
+            raise ValueError(f"set spark.checkpoint.dir to a folder that driver and executors of {master} share")
         known = "file://" + tempfile.mkdtemp(prefix="marketgrain-")
         spark.conf.set("spark.checkpoint.dir", known)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -21,7 +33,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new folder name below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _made.get() is not None:
+        _made.get().append(path)
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -31,6 +46,47 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that ``fresh_path`` named."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What ``make`` returns, written; the folders that it wrote on the way are deleted."""
+    path = fresh_path(spark, name)
+    token = _made.set([])
+    try:
+        df = make()
+        df.write.option("compression", "zstd").parquet(path)
+        for made in _made.get():
+            remove(spark, made)
+    finally:
+        _made.reset(token)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def spread_join(big: DataFrame, small: DataFrame, key: str, by: str, how: str = "inner", counts: DataFrame | None = None, total: int | None = None) -> DataFrame:
+    """``big`` joined with ``small``, of few rows a key, on ``key``; rows of a hot key are dealt over tasks by ``by``.
+
+    ``counts`` (key, n) may tell how many rows of ``big`` each key has, ``total`` how many it has in all. Fewer than HOT_KEYS keys are hot, by their
+    share of all rows; ``small`` repeats theirs once a task, some HOT_KEYS rows more in all. Written tables only: hot
+    keys are counted before.
+    """
+    spark, n = big.sparkSession, big.count() if total is None else total
+    least = max(LEAST_HOT_ROWS, n // HOT_KEYS)
+    counts = counts if counts is not None else big.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
+    found = counts.where(F.col("n") > least).select(key, F.ceil(F.col("n") / least).cast("int").alias("_parts"))
+    rows = found.collect()
+    if not rows:
+        return big.join(small, key, how)
+    hot = F.broadcast(spark.createDataFrame(rows, found.schema))
+    parts = F.coalesce("_parts", F.lit(1))
+    dealt = big.join(hot, key, "left").withColumn("_part", F.pmod(F.xxhash64(by), parts).cast("int")).drop("_parts")
+    repeated = small.join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return dealt.join(repeated, [key, "_part"], how).drop("_part")
+
+
 def file_system(uri: str):
     """pyarrow's file system for ``uri`` and the path in it; plain paths are local."""
     from pyarrow import fs
