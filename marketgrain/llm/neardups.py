@@ -10,13 +10,20 @@ below 28 are dropped, and what is left is confirmed on the full shingle sets.
 Lists are merged without giving their pairs. Each list has a leader, its most central class (whose postings are the most
 common ones), and lists with the same leader are one group, so two classes that share a list share a group. First each class
 is compared with its leaders: in a group of near copies this links most of them, in linear work. Only classes that are
-not in their leader's component are then compared with the rest of the group, in blocks of bounded size: first signatures
-against signatures, which tells the classes that have a partner at all, then full sets, by counting shared shingles over
-an index of the block. A block returns at most one link for each pair of components that it joins, never its pairs.
+not in their leader's component are then compared with the rest of the group, in blocks of bounded classes and bytes: first
+signatures against signatures, which tells the classes that have a partner at all, then full sets, by counting shared
+shingles over an index of the block. A block returns at most one link for each pair of components that it joins, never its
+pairs. Joins on tokens and leaders deal hot ones over many tasks. A large group of texts that are half alike but no near
+copies is compared in full, block by block: its work grows with the square of the group, its memory doesn't.
+
+Rows are told apart by a number written with them, so that a doc_id may be shared or null. Sets are compared by 64-bit
+shingle hashes (see ``textarrays``) within a pair or block.
 
 Nulls and edges: a text without words, or null, has an empty set and is linked with nothing; texts of fewer words than
-a shingle are one shingle; rows that share a doc_id share its component; a null doc_id has a null component and is
-kept; an empty table gives no rows; further columns are ignored.
+a shingle are one shingle; rows that share a doc_id are one document and share its component; a row without doc_id is
+linked like others but has a null component_id and counts as kept, since no doc_id says otherwise: ``first`` tells which
+one row of a component stays, that of the least doc_id, then of the least row number, rows without doc_id last; long
+texts count whole; an empty table gives no rows; further columns are ignored unless named in ``carry``.
 """
 
 from __future__ import annotations
@@ -31,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketgrain.llm.components import connected_components
-from marketgrain.llm.shared import written
+from marketgrain.llm.shared import settled, spread_join, written
 from marketgrain.llm.textarrays import SPACES, U, grams, mix, sequence_hash, text_buffers, word_hashes
 
 SHINGLE_WORDS = 5
@@ -41,8 +48,9 @@ AGREEMENTS = 28
 PREFIX = COORDINATES - AGREEMENTS + 1
 #: Postings more common than one in so many are ordered by how common they are; there are no more of them than this.
 COMMON_POSTINGS = 50_000
-#: Outsiders, and members, of a block.
+#: Outsiders, and members, of a block, and bytes of their texts.
 BLOCK = 1024
+BLOCK_BYTES = 32 << 20
 #: Up to so many identifiers are broadcast to select the texts to compare; beyond it they are joined.
 BROADCAST_IDS = 500_000
 
@@ -78,13 +86,14 @@ def minhash(own: np.ndarray, seeds: tuple[np.ndarray, np.ndarray]) -> np.ndarray
     return least
 
 
-def signatures(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id, n_shingles, set_key (digest of the set; null if empty), signature (64 little-endian unsigned 32-bit values)."""
+def signatures(rows: DataFrame) -> DataFrame:
+    """Add to rows of doc_id, row, text and more: n_shingles, n_bytes, set_key (digest of the set; null if empty), signature
+    (64 little-endian unsigned 32-bit values)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds = _seeds()
         for batch in batches:
-            sets = shingle_sets(batch.column(1))
+            sets = shingle_sets(batch.column("text"))
             keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             known: dict[bytes, bytes] = {}
             signed = []
@@ -92,10 +101,12 @@ def signatures(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
                 if key is not None and key not in known:
                     known[key] = minhash(s, seeds).tobytes()
                 signed.append(None if key is None else known[key])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(signed, pa.binary())], ["doc_id", "n_shingles", "set_key", "signature"])
+            sizes = np.diff(text_buffers(batch.column("text"))[1])
+            added = [pa.array([len(s) for s in sets], pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(signed, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, "n_shingles", "n_bytes", "set_key", "signature"])
 
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    return rows.mapInArrow(sign, "doc_id long, n_shingles long, set_key binary, signature binary")
+    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInArrow(sign, f"{own}, n_shingles long, n_bytes long, set_key binary, signature binary")
 
 
 def _tokens(signed: np.ndarray) -> np.ndarray:
@@ -149,11 +160,18 @@ def agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
     left = classes.select(F.col("rep").alias("a"), F.col("signature").alias("sa"))
     right = classes.select(F.col("rep").alias("b"), F.col("signature").alias("sb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(count, "a long, b long")
+    return spread_join(pairs, right, "b", "a").join(left, "a").select("a", "b", "sa", "sb").mapInArrow(count, "a long, b long")
+
+
+def holding(texts: DataFrame, reps: DataFrame) -> DataFrame:
+    """The texts of the rows named; if these are few, the others are left out where they are."""
+    if reps.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        reps = F.broadcast(reps)
+    return texts.join(reps, "rep", "left_semi")
 
 
 def similar(pairs: DataFrame, texts: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets have the wanted Jaccard similarity. ``texts``: doc_id, text."""
+    """The pairs (a, b) whose full shingle sets have the wanted Jaccard similarity. ``texts``: rep, text."""
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,28 +183,30 @@ def similar(pairs: DataFrame, texts: DataFrame, percent: int = THRESHOLD_PERCENT
                 keep.append(100 * both >= percent * (len(sets[i]) + len(other) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    # texts that are in no pair stay where they are
-    texts = texts.join(F.broadcast(ids), "doc_id", "left_semi") if few else texts
-    with_a = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-    with_both = with_a.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
+    texts = holding(texts, pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct())
+    with_a = pairs.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("ta")), "a")
+    by_leader = pairs.groupBy("b").agg(F.count("*").alias("n"))
+    with_both = spread_join(with_a, texts.select(F.col("rep").alias("b"), F.col("text").alias("tb")), "b", "a", counts=by_leader, total=pairs.count())
     return with_both.select("a", "b", "ta", "tb").mapInArrow(confirm, "a long, b long").distinct()
 
 
 def blocks(members: DataFrame) -> DataFrame:
-    """``members``: leader, rep, component, outside. Each outsider meets every member of its group in one block at least.
+    """``members``: leader, rep, component, outside, n_bytes. Each outsider meets every member of its group in one block at least.
 
-    Adds the block numbers i and j; a block has about BLOCK outsiders and BLOCK members, whatever its group's size.
+    Adds the block numbers i and j; a block has about BLOCK outsiders and BLOCK members, and about twice BLOCK_BYTES of text at
+    most (a longer text stands with few others), whatever its group's size.
     """
-    sizes = members.groupBy("leader").agg(F.ceil(F.count("*") / BLOCK).alias("nj"), F.ceil(F.count_if("outside") / BLOCK).alias("ni"))
-    sized = members.join(sizes.where("ni > 0"), "leader")
+    parts = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(F.coalesce(size, F.lit(0)) / BLOCK_BYTES))
+    outer = F.when(F.col("outside"), F.col("n_bytes"))
+    sizes = members.groupBy("leader").agg(F.count("*").alias("n"), parts(F.count("*"), F.sum("n_bytes")).alias("nj"), parts(F.count_if("outside"), F.sum(outer)).alias("ni"))
+    sized = spread_join(members, sizes.where("ni > 0").drop("n"), "leader", "rep", counts=sizes.select("leader", "n"))
     numbers = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
     own = lambda n: F.pmod(F.xxhash64("rep"), n)
+    # an outsider goes to its own row and to its own column of blocks, an insider to its column only
     all_ = sized.withColumns({"j": own(F.col("nj")), "i": F.explode(numbers(F.col("ni")))})
     outside = sized.where("outside").withColumns({"i": own(F.col("ni")), "j": F.explode(numbers(F.col("nj")))})
-    both = all_.withColumn("outside", F.col("outside") & (own(F.col("ni")) == F.col("i"))).unionByName(outside)
-    return both.drop("ni", "nj").dropDuplicates(["leader", "i", "j", "rep"])
+    both = all_.withColumn("outside", F.col("outside") & (own(F.col("ni")) == F.col("i"))).unionByName(outside.where(F.col("j") != own(F.col("nj"))))
+    return both.drop("ni", "nj", "n_bytes")
 
 
 def _with_partners(block: pd.DataFrame) -> pd.DataFrame:
@@ -225,44 +245,72 @@ def _joined(percent: int):
     return join
 
 
-def near_duplicates(docs: DataFrame, percent: int = THRESHOLD_PERCENT, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row a document: doc_id, n_shingles, component_id (the least doc_id reachable), kept (it is that one)."""
-    signed = written(signatures(docs, id_column, text_column), "signatures")
-    some = signed.where(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
-    classes = written(some.groupBy("set_key").agg(F.min(F.struct("doc_id", "signature")).alias("c")).select("set_key", F.col("c.doc_id").alias("rep"), F.col("c.signature").alias("signature")), "classes")
+def _linked(classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) between classes that join all that are similar, but not every link."""
     posted = written(postings(classes), "postings")
-    texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).where("doc_id is not null")
-
-    lists = posted.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
-    shared = written(posted.join(lists, "token"), "shared")
+    lists = written(posted.groupBy("token").agg(F.count("*").alias("n")).where("n > 1"), "lists")
+    shared = written(spread_join(posted, lists, "token", "rep", counts=lists), "shared")
     central = shared.join(shared.groupBy("rep").agg(F.sum("n").alias("score")), "rep")
     leaders = central.groupBy("token").agg(F.max(F.struct("score", (-F.col("rep")).alias("l"))).alias("x")).select("token", (-F.col("x.l")).alias("leader"))
-    led = written(shared.join(leaders, "token").select("leader", "rep").distinct(), "led")
+    led = written(spread_join(shared, leaders, "token", "rep", counts=lists).select("leader", "rep").distinct(), "led")
 
     tried = agreeing(led.where("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")), classes)
-    links = written(similar(written(tried, "tried"), texts, percent), "links")
-    edges = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
-    placed = connected_components(edges)
+    links = written(similar(written(tried, "tried"), texts, percent).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+    placed = written(connected_components(links), "placed")
 
     # a pair with the leader has been compared; groups of two have no other
-    groups = led.join(led.groupBy("leader").agg(F.count("*").alias("n")).where("n > 2").select("leader"), "leader")
+    of_leader = led.groupBy("leader").agg(F.count("*").alias("n")).where("n > 2").join(placed.select(F.col("node").alias("leader"), F.col("component").alias("main")), "leader", "left")
+    of_leader = written(of_leader.select("leader", "n", F.coalesce("main", "leader").alias("main")), "leaders")
+    grouped = spread_join(led, of_leader, "leader", "rep", counts=of_leader).join(placed.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.coalesce("component", "rep")
-    members = groups.join(placed.withColumnRenamed("node", "rep"), "rep", "left").select("leader", "rep", component.alias("component"))
-    of_leader = members.where("rep = leader").select("leader", F.col("component").alias("main"))
-    members = written(members.join(of_leader, "leader").select("leader", "rep", "component", (F.col("component") != F.col("main")).alias("outside")), "members")
+    members = grouped.select("leader", "rep", component.alias("component"), (component != F.col("main")).alias("outside")).join(classes.select("rep", "n_bytes"), "rep")
+    members = written(members, "members")
     key = ["leader", "i", "j"]
-    signatures_of = classes.select("rep", "signature")
-    flagged = blocks(members).join(signatures_of, "rep").groupBy(*key).applyInPandas(_with_partners, "leader long, rep long").distinct()
+    flagged = blocks(members).join(classes.select("rep", "signature"), "rep").groupBy(*key).applyInPandas(_with_partners, "leader long, rep long").distinct()
     open_ = written(members.join(flagged, ["leader", "rep"]), "open")
-    few = texts
-    ids = open_.select(F.col("rep").alias("doc_id")).distinct()
-    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        few = texts.join(F.broadcast(ids), "doc_id", "left_semi")
-    few = few.select(F.col("doc_id").alias("rep"), "text").dropDuplicates(["rep"])
+    few = holding(texts, open_.select("rep").distinct())
     more = blocks(open_).join(few, "rep").groupBy(*key).applyInPandas(_joined(percent), "a long, b long")
-    placed = connected_components(edges.unionByName(written(more, "more").select(F.col("a").alias("u"), F.col("b").alias("v"))))
-
-    members = signed.select("doc_id", "n_shingles", "set_key").join(classes.select("set_key", "rep"), "set_key", "left")
-    joined = members.join(placed.withColumnRenamed("node", "rep"), "rep", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return links.unionByName(written(more, "more").select(F.col("a").alias("u"), F.col("b").alias("v")))
+
+
+def _same_document(signed: DataFrame, classes: DataFrame) -> DataFrame | None:
+    """Links (u, v) between the classes of rows that share a doc_id; None where no doc_id has several."""
+    some = signed.where("doc_id is not null and set_key is not null")
+    several = written(some.groupBy("doc_id").agg(F.min("set_key").alias("a"), F.max("set_key").alias("b"), F.count("*").alias("n")).where("a <> b"), "several")
+    if several.isEmpty():
+        return None
+    held = spread_join(some.select("doc_id", "row", "set_key"), several.select("doc_id", F.col("a").alias("first")), "doc_id", "row", counts=several.select("doc_id", "n"))
+    pairs = held.select("set_key", "first").where("set_key <> first").distinct()
+    u, v = classes.select("set_key", F.col("rep").alias("u")), classes.select(F.col("set_key").alias("first"), F.col("rep").alias("v"))
+    return pairs.join(u, "set_key").join(v, "first").select("u", "v")
+
+
+def near_duplicates(docs: DataFrame, percent: int = THRESHOLD_PERCENT, id_column: str = "doc_id", text_column: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row a document: doc_id, n_shingles, component_id (the least doc_id reachable), kept (it is that one), first (it is
+    the one row of its component that stays), and the columns of ``carry``."""
+    spark = docs.sparkSession
+    carried = [F.struct(*[F.col(c) for c in carry]).alias("carry")] if carry else []
+    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text_column).alias("text"), *carried)
+    signed = written(signatures(rows), "signatures")
+
+    def judged() -> DataFrame:
+        order = [F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row"]
+        some = signed.where(F.col("set_key").isNotNull())
+        least = some.groupBy("set_key").agg(F.min(F.struct(*order, "signature", "n_bytes")).alias("c"), F.count("*").alias("n"))
+        classes = written(least.select("set_key", "n", F.col("c.doc_id").alias("doc_id"), F.col("c.row").alias("rep"), F.col("c.signature").alias("signature"), F.col("c.n_bytes").alias("n_bytes")), "classes")
+        edges, same = _linked(classes, signed.select(F.col("row").alias("rep"), "text"), percent), _same_document(signed, classes)
+        placed = written(connected_components(edges if same is None else edges.unionByName(same)), "components").withColumnRenamed("node", "rep")
+
+        inside = written(classes.select("set_key", "n", "doc_id", "rep").join(placed, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "inside")
+        firsts = inside.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "rep")).alias("first"))
+        known = spread_join(inside, firsts, "component", "rep").select("set_key", F.col("first.doc_id").alias("root"), F.col("first.rep").alias("first_row"))
+        told = signed.select("doc_id", "row", "n_shingles", "set_key")
+        empty = told.where("set_key is null").withColumns({"root": F.col("doc_id"), "first_row": F.col("row")})
+        found = spread_join(told.where("set_key is not null"), known, "set_key", "row", counts=classes.select("set_key", "n")).unionByName(empty)
+        kept, root = F.coalesce(F.col("doc_id") == F.col("root"), F.lit(True)), F.when(F.col("doc_id").isNotNull(), F.col("root"))
+        return found.select("row", "doc_id", "n_shingles", root.alias("component_id"), kept.alias("kept"), (F.col("row") == F.col("first_row")).alias("first"))
+
+    result = settled(spark, judged, "near-duplicates")
+    if not carry:
+        return result.drop("row")
+    return result.join(signed.select("row", "carry"), "row").select(*(c for c in result.columns if c != "row"), *[F.col("carry")[c].alias(c) for c in carry])
