@@ -3,23 +3,24 @@
 The corpus is its own reference here, so reference automata would grow with it and every document would have to pass
 every one of them; the README says why this operator joins windows instead. A document's anchors are the least hashes
 of eight words within each window of twenty, so equal windows have equal anchors. Anchors that occur once rule out all
-their windows; only windows of recurring anchors are compared, by 64-bit hashes of their twenty words, and all but the
+their windows; only windows of recurring anchors are compared, by 128-bit hashes of their twenty words, and all but the
 earliest start of each are removed. For a reference of bounded size, see ``SuffixAutomaton`` and ``remove_reference``.
 
 Hot passages: each batch sends an anchor, and a window, once, whatever number of its documents hold it, and settles
-its own later starts itself. So what meets under one hash is bounded by the number of batches, not of documents.
+its own later starts itself. So one passage makes at most one row of each batch's hundred thousands, and no key is hot.
+Copies of whole documents, which may be many, are joined with their first one over several tasks.
 
 Nulls and edges: a null text has no words; texts shorter than a window keep all; a text whose words equal an earlier
-document's loses all of them if it has a window; rows that share doc_id and words are the same document (neither is
-earlier); rows that share a doc_id but not words are ordered by a checksum of their words; rows without a doc_id
-neither lose words nor count as earlier; an empty table gives no rows; further columns are ignored.
+document's loses all of them if it has a window; rows that share doc_id and text are the same document (neither is
+earlier); rows that share a doc_id but not the text are ordered by a hash of it; rows without a doc_id neither lose
+words nor count as earlier; long texts are read whole; an empty table gives no rows; further columns are ignored unless
+named in ``carry``.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketgrain.llm.decontaminate import window_minima
-from marketgrain.llm.shared import written
+from marketgrain.llm.shared import spread_join, written
 from marketgrain.llm.textarrays import SPACES, grams, slices, text_buffers, word_hashes
 
 WINDOW = 20
@@ -41,11 +42,11 @@ _BATCH_BYTES = 16 << 20
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
-def _ties(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """A checksum of each text's words, shifted to stand above a place: tells apart rows that share a doc_id."""
-    raw = data.tobytes()
-    sums = [zlib.crc32(b" ".join(raw[a:b].split())) >> 1 for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-    return np.array(sums, np.int64) << 32
+def numbered(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """doc_id, text, and tie: 0 if no doc_id is shared, else a hash of the text. doc_id and tie tell documents apart, and order them."""
+    doc_id = F.col(id_column).cast("long").alias("doc_id")
+    shared = not docs.select(doc_id).where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
+    return docs.withColumns({"__id": doc_id, "__text": F.col(text_column), "__tie": F.xxhash64(text_column) if shared else F.lit(0).cast("long")})
 
 
 def word_facts(docs: DataFrame) -> DataFrame:
@@ -53,17 +54,15 @@ def word_facts(docs: DataFrame) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = text_buffers(batch.column(1))
-            raw, ties, counts, digests = data.tobytes(), [], [], []
+            data, offsets = text_buffers(batch.column(2))
+            raw, counts, digests = data.tobytes(), [], []
             for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
                 words = raw[a:b].split()
-                joined = b" ".join(words)
-                ties.append((zlib.crc32(joined) >> 1) << 32)
                 counts.append(len(words))
-                digests.append(hashlib.sha256(joined).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ties, pa.int64()), pa.array(counts, pa.int64()), pa.array(digests, pa.string())], ["doc_id", "tie", "n_words", "sha256"])
+                digests.append(hashlib.sha256(b" ".join(words)).digest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(digests, pa.binary())], ["doc_id", "tie", "n_words", "sha256"])
 
-    return docs.mapInArrow(read, "doc_id long, tie long, n_words long, sha256 string")
+    return docs.select("doc_id", "tie", "text").mapInArrow(read, "doc_id long, tie long, n_words long, sha256 binary")
 
 
 def _parts(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
@@ -95,32 +94,41 @@ def _anchor_places(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
     return np.searchsorted(offsets, places, "right") - 1, eights[places]
 
 
+def _ranks(ids: np.ndarray, ties: np.ndarray) -> np.ndarray:
+    """Each row's document by number, in their order; rows of one document share it."""
+    order = np.lexsort((ties, ids))
+    new = np.ones(len(order), bool)
+    new[1:] = (ids[order][1:] != ids[order][:-1]) | (ties[order][1:] != ties[order][:-1])
+    ranks = np.empty(len(order), np.int64)
+    ranks[order] = np.cumsum(new) - 1
+    return ranks
+
+
 def anchors(docs: DataFrame) -> DataFrame:
     """anchor, doc_id, tie, role (0: sent for its batch; 1: sent and known to recur; 2: known to recur, not sent)."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy()
+            ids, ties = batch.column("doc_id").to_numpy(), batch.column("tie").to_numpy()
             for data, offsets, i, j in _parts(batch):
                 hashes, at = word_hashes(data, offsets, SPACES)
                 text, anchor = _anchor_places(hashes, at)
                 if not len(anchor):
                     continue
-                ties = _ties(data, offsets)[text]
-                own = ids[i:j][text]
-                order = np.lexsort((ties, own, anchor))
-                anchor, own, ties = anchor[order], own[order], ties[order]
+                own = _ranks(ids[i:j], ties[i:j])[text]
+                order = np.lexsort((own, anchor))
+                anchor, own, text = anchor[order], own[order], text[order]
                 same = anchor[1:] == anchor[:-1]
-                again = same & (own[1:] == own[:-1]) & (ties[1:] == ties[:-1])
+                again = same & (own[1:] == own[:-1])
                 first = np.concatenate([[True], ~same])
                 group = np.cumsum(first) - 1
                 many = np.bincount(group) > 1
                 role = np.where(first, many[group].astype(np.int8), 2)
                 keep = np.concatenate([[True], ~again])
-                columns = [pa.array(anchor[keep].view(np.int64)), pa.array(own[keep]), pa.array(ties[keep]), pa.array(role[keep].astype(np.int8))]
+                columns = [pa.array(anchor[keep].view(np.int64)), pa.array(ids[i:j][text[keep]]), pa.array(ties[i:j][text[keep]]), pa.array(role[keep].astype(np.int8))]
                 yield pa.RecordBatch.from_arrays(columns, ["anchor", "doc_id", "tie", "role"])
 
-    return docs.mapInArrow(read, "anchor long, doc_id long, tie long, role byte")
+    return docs.select("doc_id", "tie", "text").mapInArrow(read, "anchor long, doc_id long, tie long, role byte")
 
 
 def recurring(found: DataFrame) -> DataFrame:
@@ -130,66 +138,61 @@ def recurring(found: DataFrame) -> DataFrame:
     return known.groupBy("doc_id", "tie").agg(F.collect_set("anchor").alias("anchors"))
 
 
-def _spans(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted window starts as covered spans: first words and lengths."""
-    cut = np.flatnonzero(np.diff(starts) > WINDOW) + 1
-    first = starts[np.concatenate([[0], cut])] if len(starts) else starts
-    last = starts[np.concatenate([cut - 1, [len(starts) - 1]])] if len(starts) else starts
-    return first, last - first + WINDOW
+_WINDOW_ROWS = "hash long, hash2 long, doc_id long, tie long, at int, n int"
 
 
 def windows(docs: DataFrame) -> DataFrame:
-    """``docs``: doc_id, text, tie, anchors. Rows of two kinds: a batch's earliest start of each window (hash, doc_id,
-    place, n = 0), and spans that are copies within the batch (null hash, doc_id, place, n words). A place is the tie
-    plus the word's number."""
+    """``docs``: doc_id, tie, text, anchors. Rows of two kinds: a batch's earliest start of each window (its hashes, doc_id,
+    tie, at: the word's number, n = 0), and spans that are copies within the batch (null hashes, n words)."""
+    names = [c.split()[0] for c in _WINDOW_ROWS.split(", ")]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, known_ties = batch.column(0).to_numpy(), batch.column("tie").to_numpy()
-            recur = batch.column("anchors")
+            all_ids, all_ties, recur = batch.column("doc_id").to_numpy(), batch.column("tie").to_numpy(), batch.column("anchors")
             for data, offsets, i, j in _parts(batch):
-                hashes, at = word_hashes(data, offsets, SPACES)
-                starts, text, anchor = _window_anchors(hashes, at)
-                ties = _ties(data, offsets)
+                hashes, at = word_hashes(data, offsets, SPACES, wide=True)
+                starts, text, anchor = _window_anchors(hashes[0], at)
                 edges = np.searchsorted(text, np.arange(j - i + 1))
-                picked = []
+                picked = [np.zeros(0, np.int64)]
                 for k in range(j - i):
                     a, b = edges[k], edges[k + 1]
-                    if a < b and ties[k] == known_ties[i + k]:
+                    if a < b:
                         wanted = np.sort(recur[i + k].values.to_numpy().view(np.uint64))
                         place = np.minimum(np.searchsorted(wanted, anchor[a:b]), len(wanted) - 1)
                         picked.append(a + np.flatnonzero(wanted[place] == anchor[a:b]))
-                picked = np.concatenate(picked) if picked else np.zeros(0, np.int64)
+                picked = np.concatenate(picked)
                 if not len(picked):
                     continue
+                ids, ties = all_ids[i:j], all_ties[i:j]
                 begin, text = starts[picked], text[picked]
-                hash_ = grams(hashes, at, WINDOW)[0][begin]
-                own, place = ids[i:j][text], ties[text] + begin - at[text]
-                order = np.lexsort((place, own, hash_))
-                hash_, own, place = hash_[order], own[order], place[order]
-                first = np.concatenate([[True], hash_[1:] != hash_[:-1]])
+                one, two = grams(hashes[0], at, WINDOW)[0][begin], grams(hashes[1], at, WINDOW, 1)[0][begin]
+                own, place = _ranks(ids, ties)[text], begin - at[text]
+                order = np.lexsort((place, own, two, one))
+                one, two, own, place, text = one[order], two[order], own[order], place[order], text[order]
+                first = np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])])
                 head = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
                 later = (own != own[head]) | (place != place[head])
-                yield pa.RecordBatch.from_arrays([pa.array(hash_[first].view(np.int64)), pa.array(own[first]), pa.array(place[first]), pa.array(np.zeros(first.sum(), np.int32))], ["hash", "doc_id", "place", "n"])
-                own, place = own[later], place[later]
+                columns = [one[first].view(np.int64), two[first].view(np.int64), ids[text[first]], ties[text[first]], place[first].astype(np.int32), np.zeros(first.sum(), np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+                own, place, text = own[later], place[later], text[later]
                 order = np.lexsort((place, own))
-                own, place = own[order], place[order]
+                own, place, text = own[order], place[order], text[order]
                 cut = np.flatnonzero((own[1:] != own[:-1]) | (place[1:] - place[:-1] > WINDOW)) + 1
                 if len(own):
                     a, b = np.concatenate([[0], cut]), np.concatenate([cut - 1, [len(own) - 1]])
-                    yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(own[a]), pa.array(place[a]), pa.array((place[b] - place[a] + WINDOW).astype(np.int32))], ["hash", "doc_id", "place", "n"])
+                    columns = [ids[text[a]], ties[text[a]], place[a].astype(np.int32), (place[b] - place[a] + WINDOW).astype(np.int32)]
+                    yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.int64()), *map(pa.array, columns)], names)
 
-    return docs.select("doc_id", "text", "tie", "anchors").mapInArrow(read, "hash long, doc_id long, place long, n int")
+    return docs.select("doc_id", "tie", "text", "anchors").mapInArrow(read, _WINDOW_ROWS)
 
 
 def copied_spans(found: DataFrame) -> DataFrame:
-    """Every document's spans that start earlier elsewhere: doc_id, tie, spans (array of place, n)."""
-    here = F.struct("doc_id", "place")
-    ranked = found.where("hash is not null").withColumn("first", F.min(here).over(Window.partitionBy("hash")))
-    later = ranked.where(F.col("first") != here).select("doc_id", "place", F.lit(WINDOW).alias("n"))
-    marks = later.unionByName(found.where("hash is null").select("doc_id", "place", "n"))
-    tie = F.shiftleft(F.shiftright("place", 32), 32)
-    return marks.groupBy("doc_id", tie.alias("tie")).agg(F.collect_list(F.struct((F.col("place") - tie).cast("int").alias("at"), "n")).alias("spans"))
+    """Every document's spans that start earlier elsewhere: doc_id, tie, spans (array of at, n)."""
+    here = F.struct("doc_id", "tie", "at")
+    ranked = found.where("hash is not null").withColumn("first", F.min(here).over(Window.partitionBy("hash", "hash2")))
+    later = ranked.where(F.col("first") != here).select("doc_id", "tie", "at", F.lit(WINDOW).alias("n"))
+    marks = later.unionByName(found.where("hash is null").select("doc_id", "tie", "at", "n"))
+    return marks.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
 
 
 def _removed(spans: pa.Scalar, n: int) -> np.ndarray:
@@ -211,53 +214,39 @@ def _rest(raw: bytes, gone: np.ndarray) -> bytes:
     return b"".join(keep)
 
 
-_RESULT = "doc_id long, tie long, n_words long, n_removed long, kept_sha256 string, kept_text string"
+_RESULT = "doc_id long, tie long, n_words long, n_removed long, kept_sha256 string"
 
 
-def _cut(batch: pa.RecordBatch, spans: list[pa.Scalar | None], with_text: bool) -> dict[str, pa.Array]:
-    """The result's columns for rows of doc_id and text; rows whose spans are None are left out."""
-    data, offsets = text_buffers(batch.column("text"))
-    ties, raw, rows = _ties(data, offsets), data.tobytes(), []
-    for i, own_spans in enumerate(spans):
-        if own_spans is None:
-            continue
-        own = raw[offsets[i] : offsets[i + 1]]
-        words = own.split()
-        gone = _removed(own_spans, len(words))
-        n = int(gone.sum())
-        kept = b" ".join(w for w, g in zip(words, gone.tolist()) if not g) if n else b" ".join(words)
-        text = None if not with_text else (_rest(own, gone) if n else own).decode()
-        rows.append((batch.column("doc_id")[i].as_py(), int(ties[i]), len(words), n, hashlib.sha256(kept).hexdigest(), text))
-    types = {"doc_id": pa.int64(), "tie": pa.int64(), "n_words": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string(), "kept_text": pa.string()}
-    return {name: pa.array([r[k] for r in rows], t) for k, (name, t) in enumerate(types.items())}
-
-
-def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of doc_id, text, tie, spans with their spans taken out; another text under the same doc_id is left out."""
-    for batch in batches:
-        ties = _ties(*text_buffers(batch.column("text")))
-        spans = [s if t.as_py() == own else None for s, t, own in zip(batch.column("spans"), batch.column("tie"), ties.tolist())]
-        columns = _cut(batch, spans, False)
-        yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
-
-
-def _apply_to_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of doc_id, text, marks (tie and spans of each text under the doc_id) and carry; every row is returned."""
-    for batch in batches:
-        ties, none, spans = _ties(*text_buffers(batch.column("text"))), pa.scalar(None, pa.null()), []
-        for marks, own in zip(batch.column("marks"), ties.tolist()):
-            found = [m["spans"] for m in marks if m["tie"].as_py() == own] if marks.is_valid else []
-            spans.append(found[0] if found else none)
-        columns = _cut(batch, spans, True) | {"carry": batch.column("carry")}
-        yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+def _cut(with_text: bool):
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of doc_id, tie, text, spans and more with their spans taken out."""
+        for batch in batches:
+            data, offsets = text_buffers(batch.column("text"))
+            raw, counts, removed, digests, texts = data.tobytes(), [], [], [], []
+            for i, spans in enumerate(batch.column("spans")):
+                own = raw[offsets[i] : offsets[i + 1]]
+                words = own.split()
+                gone = _removed(spans, len(words))
+                n = int(gone.sum())
+                counts.append(len(words))
+                removed.append(n)
+                digests.append(hashlib.sha256(b" ".join(w for w, g in zip(words, gone.tolist()) if not g) if n else b" ".join(words)).hexdigest())
+                if with_text:
+                    texts.append((_rest(own, gone) if n else own).decode())
+            columns = {"doc_id": batch.column("doc_id"), "tie": batch.column("tie"), "n_words": pa.array(counts, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(digests, pa.string())}
+            if with_text:
+                columns |= {"kept_text": pa.array(texts, pa.string()), "carry": batch.column("carry")}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    return cut
 
 
 def _holding(texts: DataFrame, info: DataFrame) -> DataFrame:
-    """``texts`` joined with what is known of their doc_id; texts without are left where they are if their number allows it."""
-    ids = info.select("doc_id").distinct()
-    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        texts = texts.join(F.broadcast(ids), "doc_id", "left_semi")
-    return texts.join(info, "doc_id")
+    """``texts`` joined with what is known of them; texts without are left where they are if their number allows it."""
+    key = ["doc_id", "tie"]
+    if info.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        texts = texts.join(F.broadcast(info.select(*key)), key, "left_semi")
+    return texts.join(info, key)
 
 
 def remove_repeats(docs: DataFrame, with_text: bool = True, id_column: str = "doc_id", text_column: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -266,28 +255,29 @@ def remove_repeats(docs: DataFrame, with_text: bool = True, id_column: str = "do
     A document that loses nothing keeps its text as it is; others keep what stands between their kept words. With texts,
     the columns named in ``carry`` come along; name none of the result's own.
     """
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    named = rows.where("doc_id is not null")
+    key = ["doc_id", "tie"]
+    marked = numbered(docs, id_column, text_column)
+    carried = F.struct(*[F.col(c) for c in carry]) if carry else F.struct(F.lit(0).alias("none"))
+    rows = marked.select(F.col("__id").alias("doc_id"), F.col("__tie").alias("tie"), F.col("__text").alias("text"), carried.alias("carry"))
+    named = rows.where("doc_id is not null").select("doc_id", "tie", "text")
     facts = written(word_facts(rows), "facts")
-    first = facts.where(f"n_words >= {WINDOW} and doc_id is not null").groupBy("sha256").agg(F.min(F.struct("doc_id", "tie")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    copies = written(facts.join(first, "sha256").where(F.struct("doc_id", "tie") != F.col("first")).select("doc_id", "tie").distinct(), "copies")
+    some = facts.where(f"n_words >= {WINDOW} and doc_id is not null").select(*key, "sha256").distinct()
+    first = written(some.groupBy("sha256").agg(F.min(F.struct(*key)).alias("first"), F.count("*").alias("n")).where("n > 1"), "first")
+    dealt = spread_join(some, first.select("sha256", "first"), "sha256", "doc_id", counts=first, total=facts.count())
+    copies = written(dealt.where(F.struct(*key) != F.col("first")).select(*key), "copies")
     # copies of whole documents are settled; their windows all start earlier
-    info = written(recurring(written(anchors(named), "anchors")).join(copies, ["doc_id", "tie"], "left_anti"), "recurring")
+    info = written(recurring(written(anchors(named), "anchors")).join(copies, key, "left_anti"), "recurring")
     spans = written(copied_spans(written(windows(_holding(named, info)), "windows")), "spans")
 
-    gone = F.lit(hashlib.sha256(b"").hexdigest())
-    copied = facts.join(copies.withColumn("copy", F.lit(True)), ["doc_id", "tie"], "left").join(spans.select("doc_id", "tie", F.lit(True).alias("cut")), ["doc_id", "tie"], "left")
-    settled = copied.where("cut is null").select("doc_id", "n_words", F.when(F.col("copy"), F.col("n_words")).otherwise(0).alias("n_removed"), F.when(F.col("copy"), gone).otherwise(F.col("sha256")).alias("kept_sha256"))
+    gone, copied = F.lit(hashlib.sha256(b"").hexdigest()), copies.withColumn("copy", F.lit(True))
     if not with_text:
-        changed = _holding(named, spans).select("doc_id", "text", "tie", "spans").mapInArrow(_apply, _RESULT)
-        return settled.unionByName(changed.select("doc_id", "n_words", "n_removed", "kept_sha256"))
-    # one row of marks for each doc_id, so that no row is joined twice
-    marks = spans.groupBy("doc_id").agg(F.collect_list(F.struct("tie", "spans")).alias("marks"))
-    carried = F.struct(*[F.col(c) for c in carry]) if carry else F.struct(F.lit(0).alias("none"))
-    whole = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"), carried.alias("carry"))
-    kind = whole.schema["carry"].dataType.simpleString()
-    joined = whole.join(marks, "doc_id", "left").select("doc_id", "text", "marks", "carry").mapInArrow(_apply_to_all, f"{_RESULT}, carry {kind}")
-    joined = joined.join(copies.withColumn("copy", F.lit(True)), ["doc_id", "tie"], "left")
+        judged = facts.join(copied, key, "left").join(spans.select(*key, F.lit(True).alias("cut")), key, "left")
+        whole = judged.where("cut is null").select("doc_id", "n_words", F.when(F.col("copy"), F.col("n_words")).otherwise(0).alias("n_removed"), F.when(F.col("copy"), gone).otherwise(F.lower(F.hex("sha256"))).alias("kept_sha256"))
+        changed = _holding(named, spans).mapInArrow(_cut(False), _RESULT)
+        return whole.unionByName(changed.select("doc_id", "n_words", "n_removed", "kept_sha256"))
+    kind = rows.schema["carry"].dataType.simpleString()
+    joined = rows.join(spans, key, "left").select(*key, "text", "spans", "carry").mapInArrow(_cut(True), f"{_RESULT}, kept_text string, carry {kind}")
+    joined = joined.join(copied, key, "left")
     return joined.select(
         "doc_id",
         "n_words",
