@@ -83,10 +83,9 @@ def _hashed(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, lanes: in
     return found
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, separators: bytes = SPACES, lower: bool = False, wide: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of every word, and the offsets of each text's words in that array; with ``wide`` two rows of 64 bits each."""
+def _words(data: np.ndarray, offsets: np.ndarray, separators: bytes, lower: bool, counts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Blocks of texts as bytes, with their words' starts and lengths; fills in how many words each text has."""
     counts_as, apart = _tables(separators, lower)
-    hashes, counts = [np.zeros((1 + wide, 0), np.uint64)], np.zeros(len(offsets), np.int64)
     for i, j in slices(len(offsets) - 1, offsets, _BLOCK):
         block = data[offsets[i] : offsets[j]]
         at = offsets[i : j + 1] - offsets[i]
@@ -104,11 +103,31 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, separators: bytes = SPACE
             last[:-1] &= ~inside[1:]
             edges = at[1:][at[1:] > 0] - 1
             last[edges] = inside[edges]
-            hashes.append(_hashed(block if counts_as is None else counts_as[block], starts, np.flatnonzero(last) + 1 - starts, 1 + wide))
-    found = np.concatenate(hashes, axis=1)
+            yield block if counts_as is None else counts_as[block], starts, np.flatnonzero(last) + 1 - starts
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, separators: bytes = SPACES, lower: bool = False, wide: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of every word, and the offsets of each text's words in that array; with ``wide`` two rows of 64 bits each."""
+    counts = np.zeros(len(offsets), np.int64)
+    found = np.concatenate([np.zeros((1 + wide, 0), np.uint64), *(_hashed(*w, 1 + wide) for w in _words(data, offsets, separators, lower, counts))], axis=1)
     return found if wide else found[0], np.cumsum(counts)
 
 
+def word_heads(data: np.ndarray, offsets: np.ndarray, separators: bytes = SPACES, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The first eight bytes of every word as a number (zeros after its end), and its length in bytes."""
+    heads, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for block, starts, lengths in _words(data, offsets, separators, lower, np.zeros(len(offsets), np.int64)):
+        eights = np.ndarray(len(block) + 1, "<u8", np.concatenate([block, np.zeros(8, np.uint8)]), strides=(1,))
+        heads.append(eights[starts] & _FIRST[np.minimum(lengths, 8)])
+        sizes.append(lengths)
+    return np.concatenate(heads), np.concatenate(sizes)
+
+
+def head_hash(heads: np.ndarray, n: int) -> np.ndarray:
+    """A hash of words' first n bytes, eight at most, no word's own."""
+    return mix(((heads & _FIRST[n]) ^ U(n)) * _LANES[1])
+
+
 @lru_cache(128)
 def _seeds(k: int, lane: int) -> np.ndarray:
     return np.random.default_rng(1000 + k + (lane << 20)).integers(1, 2**64 - 1, k, dtype=np.uint64) | U(1)
