@@ -69,9 +69,7 @@ OP8 = f"""
 WITH p AS (SELECT page_id, url, {_HOST} AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path, {_QUERY} AS q FROM pages),
 c AS (SELECT *, CASE WHEN contains(url, '://') THEN regexp_replace(host, '^(www|m)\\.', '') || regexp_replace(path, '/+$', '') || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END END AS canonical FROM p),
 r AS (SELECT *, CASE WHEN {_FITS('example.net', '/en/')} THEN 'example.net/en/' WHEN {_FITS('example.com', '/de/')} THEN 'example.com/de/' WHEN {_FITS('org', '/fr/')} THEN 'org/fr/' WHEN {_FITS('net', '/')} THEN 'net/' END AS rule FROM c)
-SELECT page_id, host, path, rule, CASE rule WHEN 'net/' THEN 'block' WHEN 'example.com/de/' THEN 'block' WHEN 'example.net/en/' THEN 'allow' WHEN 'org/fr/' THEN 'allow' ELSE CASE WHEN canonical IN (SELECT canonical FROM c WHERE regexp_matches(host, '^adult-') AND canonical IS NOT NULL) THEN 'block' ELSE 'allow' END END AS verdict FROM r"""
-
-OP8_LIST = OP8.replace("'^adult-'", "'(^|\\.)(adult-x|casino-win|free-bets|cheap-pills|spam-farm|ads-track)\\.'")
+SELECT page_id, host, path, rule, CASE rule WHEN 'net/' THEN 'block' WHEN 'example.com/de/' THEN 'block' WHEN 'example.net/en/' THEN 'allow' WHEN 'org/fr/' THEN 'allow' ELSE CASE WHEN canonical IN (SELECT canonical FROM c WHERE regexp_matches(host, '(^|\\.)(adult-x|casino-win|free-bets|cheap-pills|spam-farm|ads-track)\\.') AND canonical IS NOT NULL) THEN 'block' ELSE 'allow' END END AS verdict FROM r"""
 
 OP9 = """
 WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
@@ -87,4 +85,4 @@ words AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d),
 kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS kept, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY 1)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)"""
 
-ORACLE_SQL = {"op3_decontamination": OP3, "op4_license_scan": OP4, "op6_quality_rules": OP6, "op8_url_filter": OP8, "op8_url_list": OP8_LIST, "op9_warc": OP9, "op10_substring_dedup": OP10}
+ORACLE_SQL = {"op3_decontamination": OP3, "op4_license_scan": OP4, "op6_quality_rules": OP6, "op8_url_filter": OP8, "op8_url_list": OP8, "op9_warc": OP9, "op10_substring_dedup": OP10}

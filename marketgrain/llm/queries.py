@@ -70,24 +70,31 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
-#: Hosts whose pages make up the query's URL list.
-LISTED_HOSTS = r"^adult-"
+#: Names that the URL lists are about, at any label of a host.
+LISTED_NAMES = r"(^|\.)(adult-x|casino-win|free-bets|cheap-pills|spam-farm|ads-track)\."
 
 
-def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from marketgrain.llm.urls import host_of, url_filter
+def listed_urls(pages: DataFrame) -> DataFrame:
+    """A list as others keep it: pages of the listed names spelt in their own way (scheme, ``WWW.``, a slash, a tracking
+    parameter, no fragment), and as many URLs of these hosts that no page has."""
+    from marketgrain.llm.urls import host_of
 
-    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
-    listed = pages.where(host_of(F.col("url")).rlike(LISTED_HOSTS)).select("url")
-    return url_filter(pages, listed, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+    url = F.regexp_replace("url", "#.*$", "")
+    named = pages.where(host_of(F.col("url")).rlike(LISTED_NAMES)).select(F.regexp_replace(url, r"(?i)^[a-z]+://((www|m)\.)?", "HTTPS://WWW.").alias("url"))
+    slashed = F.regexp_replace("url", r"^([^?]*)", "$1/")
+    spelt = named.select(F.concat(slashed, F.when(F.col("url").contains("?"), "&").otherwise("?"), F.lit("utm_source=list")).alias("url"))
+    return spelt.unionByName(named.select(F.regexp_replace("url", r"^([^?]*)", "$1/gone").alias("url")))
 
 
-#: Names that a URL list is about, at any label of a host.
-LISTED_NAMES = r"(^|\.)(adult-x|casino-win|free-bets|cheap-pills|spam-farm|ads-track)\."
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marketgrain.llm.urls import url_filter
+
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter(pages, listed_urls(pages), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op8_url_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As op8_url_filter, whose list is empty on the tables at hand, with a list of every page of the listed names."""
+    """As op8_url_filter, with the list spelt as the pages are."""
     from marketgrain.llm.urls import host_of, url_filter
 
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")

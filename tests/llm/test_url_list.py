@@ -28,3 +28,34 @@ def test_bloom_hits_exact_hits_and_false_positives(spark):
     exact = {r.url for r in listed.collect()}
     assert len(exact) == 500 and exact < hits and len(hits) < 2_000
     assert {r.url for r in urls.url_filter(pages, listed, []).where("verdict = 'block'").collect()} == exact
+
+
+def test_list_in_other_spellings_blocks_the_same_pages(spark, sf_dir):
+    for name in ("op8_url_filter", "op8_url_list"):
+        got = {r.page_id: r.verdict for r in queries.QUERIES[name](spark, sf_dir).where("rule is null").collect()}
+        assert "block" in got.values() and "allow" in got.values()
+        if name == "op8_url_filter":
+            first = got
+    assert got == first
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    listed = queries.listed_urls(pages)
+    spelt = {r.url for r in pages.collect()}
+    assert listed.count() > 0 and not [r.url for r in listed.collect() if r.url in spelt]
+
+
+def test_own_columns_are_kept_on_both_paths(spark):
+    rows = [(i, None if i % 3 == 0 else f"http://www.site.test/{i % 50}/?ref=a", i, "b", [i], "c", "d", True) for i in range(300)] + [(1, "http://A.test/" + "x" * 50_000, 0, "b", [0], "c", "d", False)] * 2
+    names = "page_id long, url string, block long, bits string, canonical array<long>, part string, found string, page boolean"
+    pages = spark.createDataFrame(rows, names)
+    listed = spark.createDataFrame([(f"https://site.test/{i}",) for i in range(0, 50, 2)] + [("http://a.test/" + "x" * 50_000 + "/",), (None,), ("no scheme",)], "url string")
+    want = sorted((*(str(v) for v in r), "block" if r[1] and ("x" in r[1] or int(r[1].split("/")[3]) % 2 == 0) else "allow") for r in rows)
+    for most in (200_000, 0):
+        got = urls.url_filter(pages, listed, [], broadcast_urls=most)
+        assert got.columns == [*pages.columns, "host", "path", "rule", "verdict"]
+        assert sorted((*(str(v) for v in r[:8]), r.verdict) for r in got.collect()) == want
+
+
+def test_ties_between_rules(spark):
+    pages = spark.createDataFrame([(1, "http://a.b.test/p/q")], "page_id long, url string")
+    verdict = lambda rules: urls.url_filter(pages, pages.limit(0), rules).first().verdict
+    assert verdict([("b.test/", "block"), ("test/p/", "allow")]) == "allow" and verdict([("test/p/", "block"), ("b.test/p/", "allow")]) == "allow"
