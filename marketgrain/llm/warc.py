@@ -6,8 +6,9 @@ predicates on record_type and the other header columns, inflates a record's head
 only if the head passes and payloads are wanted.
 
 Nulls and edges: a null html is an empty payload; a null url has no WARC-Target-URI; a null page_id is ``null`` in the
-record's name; equal rows that share the largest page_id are all responses; an empty table gives archives without
-records; further columns are ignored.
+record's name; equal rows that share the largest page_id are all responses; payloads of any length are held once, by the
+task that writes or reads them; a header that a record lacks equals no value, so no pushed predicate passes it; an empty
+table gives archives without records; further columns are ignored whatever their names.
 """
 
 from __future__ import annotations
@@ -26,13 +27,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, WriterCommitMessage
 
-from marketgrain.llm.shared import file_system, fresh_path
+from marketgrain.llm.shared import file_system, fresh_path, spread_join, written
 
 SCHEMA = "record_id string, record_type string, target_uri string, refers_to string, payload_digest string, payload_length long, payload binary"
 #: The column of each header that a predicate may be pushed down on.
 HEADERS = {"record_id": "warc-record-id", "record_type": "warc-type", "target_uri": "warc-target-uri", "refers_to": "warc-refers-to", "payload_digest": "warc-payload-digest"}
 #: Payloads from this size on are stored once.
 REVISIT_BYTES = 1000
+#: Payloads met more than once are looked up by broadcast up to so many of them; beyond it they are joined.
+BROADCAST_DIGESTS = 500_000
 #: Bytes of archive files that one task reads.
 TASK_BYTES = 64 << 20
 _HEAD = struct.Struct("<2sBBIBB")
@@ -61,7 +64,7 @@ def record(record_id: str, kind: str, uri: str | None, refers_to: str | None, di
     return ("\r\n".join(head) + "\r\n\r\n").encode() + http + payload + b"\r\n\r\n"
 
 
-def _headers(raw: bytes) -> dict[str, str]:
+def _headers(raw: bytes | bytearray) -> dict[str, str]:
     pairs = (line.partition(":") for line in raw.decode("utf-8", "replace").split("\r\n")[1:])
     return {name.strip().lower(): value.strip() for name, colon, value in pairs if colon}
 
@@ -70,7 +73,7 @@ class _Member:
     """The gzip member at a file's place, inflated as far as is asked for."""
 
     def __init__(self, file, at: int):
-        self.file, self.inflater, self.raw = file, zlib.decompressobj(31), b""
+        self.file, self.inflater, self.raw = file, zlib.decompressobj(31), bytearray()
         file.seek(at)
         self.first = file.read(1 << 14)
         self.size = None
@@ -97,7 +100,7 @@ class _Member:
             pass
         return at
 
-    def all(self) -> bytes:
+    def all(self) -> bytearray:
         while self.grow():
             pass
         return self.raw
@@ -124,7 +127,7 @@ class WarcReader(DataSourceReader):
         for f in filters:
             name = f.attribute[0] if isinstance(f, (EqualTo, In)) and len(f.attribute) == 1 else None
             if name in HEADERS:
-                values = {f.value} if isinstance(f, EqualTo) else set(f.value)
+                values = {v for v in ([f.value] if isinstance(f, EqualTo) else f.value) if v is not None}
                 self.wanted[name] = self.wanted.get(name, values) & values
             else:
                 yield f
@@ -155,13 +158,14 @@ class WarcReader(DataSourceReader):
         row = {name: headers.get(header) for name, header in HEADERS.items()}
         for name in ("record_id", "refers_to"):
             row[name] = row[name] and row[name].strip("<>")
-        if any(row[name] not in values for name, values in self.wanted.items()):
+        if any(row[name] is None or row[name] not in values for name, values in self.wanted.items()):
             return None
         length, payload = headers.get("warc-payload-length"), None
         if self.payload and row["record_type"] == "response":
             one.all()
-            body = one.raw[end + 4 : end + 4 + int(headers["content-length"])]
-            payload = body.partition(b"\r\n\r\n")[2]
+            stop = end + 4 + int(headers["content-length"])
+            http = one.raw.find(b"\r\n\r\n", end + 4, stop)
+            payload = bytes(memoryview(one.raw)[http + 4 : stop]) if http >= 0 else b""
             length = len(payload) if length is None else length
         return (*(row[n] for n in HEADERS), None if length is None else int(length), payload)
 
@@ -254,13 +258,19 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame
     return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
 
 
-def page_records(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
+def page_records(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html", broadcast_digests: int = BROADCAST_DIGESTS) -> DataFrame:
     """A record's columns for each page. Equal payloads of REVISIT_BYTES or more are stored with the largest page_id only."""
     rows = pages.select(F.col(id_column).cast("long").alias("page_id"), F.col(url_column).alias("target_uri"), F.encode(F.coalesce(F.col(html_column), F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumns({"payload_digest": F.sha1("payload"), "payload_length": F.octet_length("payload").cast("long")})
-    kept_by = rows.where(F.col("payload_length") >= REVISIT_BYTES).groupBy("payload_digest").agg(F.max("page_id").alias("kept_by"), F.count("*").alias("n"))
-    # only payloads met more than once need to be looked up
-    rows = rows.join(kept_by.where("n > 1").drop("n"), "payload_digest", "left")
+    repeated = rows.where(F.col("payload_length") >= REVISIT_BYTES).groupBy("payload_digest").agg(F.max("page_id").alias("kept_by"), F.count("*").alias("n")).where("n > 1")
+    # only payloads met more than once need to be looked up, and payloads stay where they are if these are few
+    repeated = written(repeated, "repeated")
+    n, copies = repeated.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    kept_by = repeated.select("payload_digest", "kept_by")
+    if n <= broadcast_digests:
+        rows = rows.join(F.broadcast(kept_by), "payload_digest", "left")
+    else:
+        rows = spread_join(rows, kept_by, "payload_digest", "page_id", "left", counts=repeated.select("payload_digest", "n"), total=copies)
     revisit = F.col("kept_by").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("kept_by"))
     name = lambda c: F.concat(F.lit(_RECORD), F.coalesce(c.cast("string"), F.lit("null")))
     return rows.select(
