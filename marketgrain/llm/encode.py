@@ -2,7 +2,8 @@
 
 Both tokenizers used here never form a token across the step from a non-space character to a space, nor from an
 ASCII letter to ASCII punctuation, so a text's ids are those of its pieces in a row. A batch's distinct pieces go
-through the library; a worker process keeps the ids of the pieces it met last, in a cache of bounded size.
+through the library; a worker process keeps the ids of the pieces it met last, in a cache of bounded size. Texts of a
+tokenizer whose file isn't of one of these two kinds are encoded whole.
 """
 
 from __future__ import annotations
@@ -27,6 +28,25 @@ _WHOLE = "[\u0085   -     　\x1c-\x1f]|<\\|"
 _LATIN = "ɐ"
 
 
+#: Normalizer and pre-tokenizer of the two kinds whose pieces may be encoded apart.
+_BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+_LETTER_RUNS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_SAFE = [
+    (None, _BYTE_LEVEL),
+    (
+        {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": _LETTER_RUNS}, "behavior": "Removed", "invert": True}, _BYTE_LEVEL | {"use_regex": False}]},
+    ),
+]
+
+
+def in_pieces(spec: dict) -> bool:
+    """Whether a tokenizer file is of a kind whose texts may be encoded piece by piece."""
+    model = spec["model"]
+    plain = model.get("type") == "BPE" and not model.get("dropout") and model.get("continuing_subword_prefix") is None
+    return plain and (spec.get("normalizer"), spec.get("pre_tokenizer")) in _SAFE and all(t["content"].startswith("<|") for t in spec.get("added_tokens", []))
+
+
 class PieceEncoder:
     """The ids of distinct pieces, as little-endian unsigned 32-bit bytes."""
 
@@ -39,7 +59,8 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         with open(path, encoding="utf-8") as f:
-            self.word_ends = bool(json.load(f)["model"].get("end_of_word_suffix"))
+            spec = json.load(f)
+        self.word_ends, self.in_pieces = bool(spec["model"].get("end_of_word_suffix")), in_pieces(spec)
         # byte-level alphabets show printable bytes as themselves and the rest from code point 256 on
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
         rest = iter(range(256, 512))
@@ -130,6 +151,10 @@ def _encode(data: np.ndarray, offsets: np.ndarray, path: str) -> tuple[np.ndarra
     if not len(data):
         return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
     encoder = piece_encoder(path)
+    if not encoder.in_pieces:
+        texts = [data[a:b].tobytes().decode() for a, b in zip(offsets[:-1], offsets[1:])]
+        whole_ids = [e.ids for e in encoder.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate([np.array(i, np.uint32) for i in whole_ids]), np.array([len(i) for i in whole_ids], np.int64)
     pieces, at = cut_pieces(data, offsets)
     coded = pieces.dictionary_encode()
     table = encoder.encode(coded.dictionary.to_pylist())

@@ -9,10 +9,13 @@ A shard holds documents in ascending order of their identifier. Layout, all numb
 * the footer: offsets and sizes of index and filter (4 u64), documents (u64), tokens (u64), id bytes (u8), 8 magic bytes.
 
 A key is one byte (0: null identifier, 1: another), the identifier as big-endian offset binary, and the number of
-earlier documents with that identifier (u32, big-endian), so keys are unique and sort as identifiers do, nulls first.
+earlier documents of the shard with that identifier (u32, big-endian), so a shard's keys are unique and sort as
+identifiers do, nulls first. Shards are ranges of identifier and text hash: an identifier of very many rows goes on in the
+next shards.
 
-Nulls and edges: a null text has the end token only; repeated rows stay apart, in an order of their own; an empty
-table makes no shard; columns besides id and text are ignored. Files of failed task attempts are never listed in
+Nulls and edges: a null text has the end token only; repeated rows stay apart, in an order of their own; texts of any
+length are one entry (of less than 4 GB); an id that needs more bytes than a shard gives it is an error; an empty table
+makes no shard; columns besides id and text are ignored. Files of failed task attempts are never listed in
 the manifest, so a lost executor leaves no trace in what is read.
 """
 
@@ -34,6 +37,8 @@ from marketgrain.llm.shared import file_system, fresh_path, written
 MAGIC = b"MGSSTB01"
 FOOTER = struct.Struct("<6QB8s")
 BLOCK_BYTES = 1 << 16
+#: Bytes of text that make up a shard.
+SHARD_BYTES = 32 << 20
 BLOOM_BITS_PER_KEY = 10
 BLOOM_HASHES = 7
 MANIFEST_SCHEMA = "path string, shard long, first_id long, last_id long, n_docs long, n_tokens long"
@@ -68,6 +73,8 @@ class ShardWriter:
         self.first_id = self.last_id = None
 
     def add(self, doc_id: int | None, nth: int, ids: np.ndarray) -> None:
+        if len(ids) and int(ids.max()) >> 8 * self.id_bytes:
+            raise ValueError(f"token id {ids.max()} doesn't fit in {self.id_bytes} bytes")
         key, value = make_key(doc_id, nth), ids.astype(f"<u{self.id_bytes}").tobytes()
         shared = 0
         if self.block:
@@ -160,10 +167,10 @@ class Shard:
         return next((ids for found, ids in self.entries(k) if found == key), None)
 
 
-def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_bytes: int = 2, folder: str | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_bytes: int = 2, folder: str | None = None, id_column: str = "doc_id", text_column: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Encode every text, append ``end_id``, write shards below ``folder`` and return their manifest, itself written.
 
-    ``id_bytes`` is 2 where every id is below 65,536 and 4 otherwise. Manifest: path, shard (its rank), first_id,
+    ``id_bytes`` is 2 where every id is below 65,536 and 4 otherwise (a greater id raises). Manifest: path, shard (its rank), first_id,
     last_id, n_docs, n_tokens.
     """
     folder = folder or fresh_path(docs.sparkSession, "shards")
@@ -190,7 +197,10 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_bytes
             yield pa.RecordBatch.from_arrays([pa.array([v], types.get(k, pa.int64())) for k, v in row.items()], list(row))
 
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    return written(rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInArrow(write, MANIFEST_SCHEMA), "manifest")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    order = [F.col("doc_id"), F.xxhash64("text").alias("tie")]
+    ranged = rows.repartitionByRange(max(1, -(-size // shard_bytes)), *order).sortWithinPartitions(*order)
+    return written(ranged.mapInArrow(write, MANIFEST_SCHEMA), "manifest")
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
@@ -212,17 +222,31 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                         at += len(ids)
                     yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(starts, pa.int64()), pa.array(values, pa.binary())], ["doc_id", "start", "ids"])
 
-    n = manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    return listed.repartition(int(n), "path").mapInArrow(read, "doc_id long, start long, ids binary")
+    return listed.repartition(max(1, manifest.count()), "path").mapInArrow(read, "doc_id long, start long, ids binary")
 
 
 def lookup(manifest: DataFrame, keys: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """The ids of the documents asked for: doc_id, ids (null where no shard has it). One range join, then reads by key."""
+    """The ids of the first document under each identifier asked for, null among them: doc_id, ids (null where no shard has it).
+
+    The manifest, one row a shard, is broadcast as sorted bounds; each identifier finds its shard there by binary search, and
+    a shard is read by the tasks that hold its identifiers.
+    """
     wanted = keys.select(F.col(id_column).cast("long").alias("doc_id")).distinct()
-    # null identifiers sort first: a shard that starts with one starts before every number
-    least = F.lit(-(2**63)).cast("long")
-    ranges = manifest.select("path", F.coalesce("first_id", least).alias("first_id"), F.coalesce("last_id", least).alias("last_id"))
-    placed = wanted.join(ranges, F.col("doc_id").between(F.col("first_id"), F.col("last_id")), "left")
+    shards = manifest.orderBy("shard").select("path", "first_id", "last_id").collect()
+    # a bound is one place before all numbers for null, so that it sorts first
+    lasts = [(-1, 0) if r["last_id"] is None else (0, r["last_id"]) for r in shards]
+    firsts = [(-1, 0) if r["first_id"] is None else (0, r["first_id"]) for r in shards]
+    sent = manifest.sparkSession.sparkContext.broadcast(([r["path"] for r in shards], firsts, lasts))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        paths, firsts, lasts = sent.value
+        for batch in batches:
+            found = []
+            for doc_id in batch.column(0).to_pylist():
+                key = (-1, 0) if doc_id is None else (0, doc_id)
+                k = bisect_left(lasts, key)
+                found.append(paths[k] if k < len(paths) and firsts[k] <= key else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], ["doc_id", "path"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path, shard = None, None
@@ -235,4 +259,6 @@ def lookup(manifest: DataFrame, keys: DataFrame, id_column: str = "doc_id") -> D
                 values.append(None if got is None else got.astype("<u4").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.binary())], ["doc_id", "ids"])
 
-    return placed.select("doc_id", "path").repartition("path").sortWithinPartitions("path").mapInArrow(read, "doc_id long, ids binary")
+    placed = wanted.mapInArrow(place, "doc_id long, path string")
+    # absent identifiers have no path: they are dealt by themselves
+    return placed.repartition(F.coalesce("path", F.col("doc_id").cast("string"))).sortWithinPartitions("path").mapInArrow(read, "doc_id long, ids binary")
