@@ -3,9 +3,13 @@
 Normalised are: case, lines that are copyright notices, punctuation, white space, and equivalent spellings. The whole
 text of a document is looked up, and each of its lines, so that a one-line notice is found inside other text.
 
+Rows are written with a number and their normalised text; lines are exploded, digested and joined with the known digests,
+and only rows with a known line come back to be joined by their number.
+
 Nulls and edges: a null or blank text has a null digest and no license; known texts that are blank are left out; of known
-texts with the same digest the least license_id counts; repeated rows give repeated results; further columns are carried
-along, except those named as the results; without known texts nothing is found.
+texts with the same digest the least license_id counts; repeated rows give repeated results; texts of any length are
+digested whole; further columns are carried along whatever their names, except those named as the results; without known
+texts nothing is found.
 """
 
 from __future__ import annotations
@@ -16,8 +20,12 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marketgrain.llm.shared import written
+
 #: Known texts up to this number are broadcast; beyond it digests are joined by shuffles.
 BROADCAST_TEXTS = 100_000
+#: Results by line of up to so many rows are broadcast; beyond it they are joined by row numbers.
+BROADCAST_ROWS = 200_000
 
 #: Spellings taken as the same, after the published license-matching guidelines.
 EQUIVALENT = {
@@ -110,23 +118,24 @@ def digest(text: Column) -> Column:
     return F.when(one != "", F.sha2(one, 256))
 
 
-def license_scan(docs: DataFrame, known: DataFrame, text_column: str = "text") -> DataFrame:
+def license_scan(docs: DataFrame, known: DataFrame, text_column: str = "text", broadcast_texts: int = BROADCAST_TEXTS) -> DataFrame:
     """Add text_sha256 and license of the whole text, n_license_lines, and line_licenses (sorted, distinct)."""
-    docs = docs.withColumn("__text", F.col(text_column)).drop("text_sha256", "license", "n_license_lines", "line_licenses", "_normal").withColumnRenamed("__text", "_text")
+    kept = [c for c in docs.columns if c not in ("text_sha256", "license", "n_license_lines", "line_licenses")]
     digests = known.select(digest(normalised(F.col("text"))).alias("text_sha256"), "license_id").where("text_sha256 is not null")
-    digests = digests.groupBy("text_sha256").agg(F.min("license_id").alias("license"))
-    normal = docs.withColumn("_normal", normalised(F.col("_text"))).drop("_text").withColumn("text_sha256", digest(F.col("_normal")))
-    lines = F.filter(F.transform(F.split("_normal", "\n"), digest), lambda d: d.isNotNull())
-    if digests.limit(BROADCAST_TEXTS + 1).count() <= BROADCAST_TEXTS:
-        # one row with all known digests, its number just checked, serves as the map of every task
-        ids = {r["text_sha256"]: r["license"] for r in digests.collect()}
-        hits = F.filter(lines, lambda d: d.isin(*ids)) if ids else F.array().cast("array<string>")
-        named = F.create_map(*[F.lit(x) for pair in ids.items() for x in pair]) if ids else F.create_map().cast("map<string,string>")
-        scanned = normal.withColumn("_hits", hits).drop("_normal").join(F.broadcast(digests), "text_sha256", "left")
-        scanned = scanned.withColumns({"n_license_lines": F.coalesce(F.size("_hits"), F.lit(0)).cast("long"), "line_licenses": F.array_sort(F.array_distinct(F.transform(F.coalesce("_hits", F.array().cast("array<string>")), lambda d: named[d])))})
-        return scanned.drop("_hits")
-    normal = normal.withColumn("_row", F.monotonically_increasing_id()).withColumn("_lines", lines).drop("_normal")
-    per_line = normal.select("_row", F.explode("_lines").alias("text_sha256")).groupBy("_row", "text_sha256").agg(F.count("*").alias("n")).join(digests, "text_sha256")
-    per_row = per_line.groupBy("_row").agg(F.sum("n").alias("n_license_lines"), F.array_sort(F.collect_set("license")).alias("line_licenses"))
-    scanned = normal.drop("_lines").join(digests, "text_sha256", "left").join(per_row, "_row", "left")
-    return scanned.withColumns({"n_license_lines": F.coalesce("n_license_lines", F.lit(0).cast("long")), "line_licenses": F.coalesce("line_licenses", F.array().cast("array<string>"))}).drop("_row")
+    digests = written(digests.groupBy("text_sha256").agg(F.min("license_id").alias("license")), "licenses")
+    small = F.broadcast if digests.count() <= broadcast_texts else (lambda df: df)
+    # the document's own columns are one field, so none of theirs and ours can clash
+    rows = docs.select(F.struct(*[F.col(c) for c in kept]).alias("page"), F.monotonically_increasing_id().alias("row"), normalised(F.col(text_column)).alias("normal"))
+    rows = written(rows, "normalised")
+    lines = rows.select("row", F.explode(F.split("normal", "\n")).alias("line")).select("row", digest(F.col("line")).alias("text_sha256")).where("text_sha256 is not null")
+    by_row = lines.join(small(digests), "text_sha256").groupBy("row").agg(F.count("*").alias("n_license_lines"), F.array_sort(F.collect_set("license")).alias("line_licenses"))
+    by_row = written(by_row, "license-lines")
+    few = F.broadcast if by_row.count() <= BROADCAST_ROWS else (lambda df: df)
+    scanned = rows.withColumn("text_sha256", digest(F.col("normal"))).drop("normal").join(small(digests), "text_sha256", "left").join(few(by_row), "row", "left")
+    return scanned.select(
+        *[F.col("page")[c].alias(c) for c in kept],
+        "text_sha256",
+        "license",
+        F.coalesce("n_license_lines", F.lit(0).cast("long")).alias("n_license_lines"),
+        F.coalesce("line_licenses", F.array().cast("array<string>")).alias("line_licenses"),
+    )
