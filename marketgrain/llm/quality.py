@@ -5,7 +5,8 @@ place of prose, and scraps of fewer than three words without closing punctuation
 the base rules and its remaining lines hold enough of its words.
 
 Nulls and edges: a null or empty text has no words, fails the base rules and isn't kept; rows are judged one by one,
-so repeated rows give repeated results; any further columns are carried along, except those named as the results.
+so repeated rows give repeated results; texts of any length are read whole; any further columns are carried along whatever
+their names, except those named as the results.
 """
 
 from __future__ import annotations
@@ -23,8 +24,6 @@ MIN_KEPT_PERCENT = 50
 #: Symbols a word from which a line counts as symbols rather than prose.
 MAX_LINE_SYMBOLS_PERCENT = 50
 BOILERPLATE = ("all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy", "use of cookies", "enable javascript", "lorem ipsum", "click here", "sign up for our", "powered by")
-#: Documents of up to so many words sort window hashes with the position in the low bits of one number.
-_SHORT_BITS = 17
 
 
 def words_of(text: Column) -> Column:
@@ -51,25 +50,16 @@ def _covered(starts: Column) -> Column:
 def repeated_window_words(words: Column) -> Column:
     """How many words lie in three-word windows that occur twice or more in the array column ``words``."""
     n = F.size(words)
-    # the last two words start no window; windows are told apart by 64-bit hashes, 47 bits in shorter texts
+    # the last two words start no window; windows are told apart by 64-bit hashes
     heads = F.slice(words, 1, F.greatest(n - 2, F.lit(0)))
     hashes = F.transform(heads, lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)))
-    low, high = F.lit((1 << _SHORT_BITS) - 1).cast("long"), F.lit(-(1 << _SHORT_BITS)).cast("long")
 
-    def short(h: Column) -> Column:
-        packed = F.sort_array(F.transform(h, lambda x, i: x.bitwiseAND(high).bitwiseOR(i.cast("long"))))
-        return _let(packed, lambda p: F.transform(_not_alone(p, lambda a, b: F.shiftright(a, _SHORT_BITS) == F.shiftright(b, _SHORT_BITS)), lambda x: x.bitwiseAND(low)))
-
-    def long(h: Column) -> Column:
+    def starts(h: Column) -> Column:
         paired = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.cast("long").alias("i"))))
-        return _let(paired, lambda p: F.transform(_not_alone(p, lambda a, b: a["h"] == b["h"]), lambda x: x["i"]))
-
-    def covered(h: Column) -> Column:
-        starts = F.sort_array(F.when(F.size(h) < (1 << _SHORT_BITS), short(h)).otherwise(long(h)))
-        # most texts repeat no window: they need no sort
-        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(_let(starts, _covered))
+        return F.sort_array(_let(paired, lambda p: F.transform(_not_alone(p, lambda a, b: a["h"] == b["h"]), lambda x: x["i"])))
 
-    return _let(hashes, covered)
+    # most texts repeat no window: they need no sort
+    return _let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(_let(starts(h), _covered)))
 
 
 def _boilerplate(text: Column) -> Column:
@@ -96,19 +86,21 @@ def line_fails(line: Column, symbols: Column, boilerplate: Column) -> Column:
 
 def quality_rules(docs: DataFrame, text_column: str = "text", with_text: bool = True) -> DataFrame:
     """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_kept_words, base_failed, kept, and cleaned_text if asked for."""
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_kept_words", "base_failed", "kept", "cleaned_text", "_text", "_words", "_lines", "_boilerplate")
-    docs = docs.select("*", F.coalesce(F.col(text_column), F.lit("")).alias("__text")).drop(*names).withColumnRenamed("__text", "_text")
-    text, words, lines = F.col("_text"), F.col("_words"), F.col("_lines")
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_kept_words", "base_failed", "kept", "cleaned_text")
+    kept = [c for c in docs.columns if c not in names]
+    # the document's own columns are one field, so none of theirs and ours can clash
+    docs = docs.select(F.struct(*[F.col(c) for c in kept]).alias("row"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
+    text, words, lines = F.col("text"), F.col("words"), F.col("lines")
     split = docs.withColumns(
         {
-            "_words": words_of(text),
-            "_lines": F.split(text, "\n"),
+            "words": words_of(text),
+            "lines": F.split(text, "\n"),
             "n_symbols": (F.length(text) - F.length(F.regexp_replace(text, SYMBOLS, ""))).cast("long"),
-            "_boilerplate": _boilerplate(text),
+            "boilerplate": _boilerplate(text),
         }
     )
     worded = F.filter(lines, lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    fails = lambda x: line_fails(x, F.col("n_symbols") > 0, F.col("_boilerplate"))
+    fails = lambda x: line_fails(x, F.col("n_symbols") > 0, F.col("boilerplate"))
     lost = F.aggregate(F.filter(lines, fails), F.lit(0).cast("long"), lambda n, x: n + F.size(words_of(x)))
     counted = split.withColumns(
         {
@@ -122,4 +114,5 @@ def quality_rules(docs: DataFrame, text_column: str = "text", with_text: bool =
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     judged = counted.withColumn("base_failed", failed)
-    return judged.withColumn("kept", ~F.col("base_failed") & (100 * F.col("n_kept_words") >= MIN_KEPT_PERCENT * F.col("n_words"))).drop("_text", "_words", "_lines", "_boilerplate")
+    judged = judged.withColumn("kept", ~F.col("base_failed") & (100 * F.col("n_kept_words") >= MIN_KEPT_PERCENT * F.col("n_words")))
+    return judged.select(*[F.col("row")[c].alias(c) for c in kept], *(c for c in names if with_text or c != "cleaned_text"))
