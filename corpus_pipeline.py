@@ -1,30 +1,35 @@
-"""A training corpus from raw documents, stage by stage; each stage works on all that the one before kept."""
+"""A training corpus from raw documents, stage by stage; each stage works on all that the one before kept.
+
+Decisions are taken row by row, so that rows which share a doc_id, or have none, are judged by their own texts: a rejected
+row takes no other with it, and a row without doc_id is rejected like any other. Null and empty texts are neither toxic nor
+contaminated nor copies of one another; the last stage packs their end tokens. Repeated rows are near duplicates, of which one stays.
+Further columns of ``documents`` are left out whatever their names; an empty table gives no rows; labels and benchmark may
+be empty, which rejects nothing.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketgrain.llm.shared import written
+from marketgrain.llm.shared import settled
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose severity isn't that of toxic text."""
+    """Documents whose text isn't toxic."""
     from marketgrain.llm import toxicity
 
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = toxicity.score(docs, toxicity.fit(docs, labels))
-    return docs.join(scored.where("toxic").select("doc_id"), "doc_id", "left_anti").select(*COLUMNS)
+    return toxicity.score(docs, toxicity.fit(docs, labels), carry=COLUMNS[1:]).where("not toxic").select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that with the least doc_id."""
+    """One document of each group of near duplicates: that with the least doc_id, of several rows with it the first."""
     from marketgrain.llm import neardups
 
-    gone = neardups.near_duplicates(docs).where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    return neardups.near_duplicates(docs, carry=COLUMNS[1:]).where("first").select(*COLUMNS)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +45,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     from marketgrain.llm import decontaminate
 
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    gone = decontaminate.decontaminate(docs, items).where("contaminated").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    return decontaminate.decontaminate(docs, items, carry=COLUMNS[1:]).where("not contaminated").select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,13 +59,14 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxic), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup), ("decontamination", decontamination), ("packing", pack)]
 
-#: SQL can express neither the regression nor the tokenizer; tests compare with brute force instead.
+#: SQL can express neither the regression nor the tokenizer; tests/llm/test_pipeline.py compares each stage with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``; what a stage returns is written and read again as the next one's input."""
+    """All stages on ``documents``; what a stage returns is written and read again as the next one's input, and what it wrote on
+    the way is deleted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        docs = settled(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
