@@ -49,7 +49,7 @@ PREFIX = COORDINATES - AGREEMENTS + 1
 #: Postings more common than one in so many are ordered by how common they are; there are no more of them than this.
 COMMON_POSTINGS = 50_000
 #: Outsiders, and members, of a block, and bytes of their texts.
-BLOCK = 1024
+BLOCK = 512
 BLOCK_BYTES = 32 << 20
 #: Up to so many identifiers are broadcast to select the texts to compare; beyond it they are joined.
 BROADCAST_IDS = 500_000

@@ -69,22 +69,21 @@ def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> Da
 def spread_join(big: DataFrame, small: DataFrame, key: str, by: str, how: str = "inner", counts: DataFrame | None = None, total: int | None = None) -> DataFrame:
     """``big`` joined with ``small``, of few rows a key, on ``key``; rows of a hot key are dealt over tasks by ``by``.
 
-    ``counts`` (key, n) may tell how many rows of ``big`` each key has, ``total`` how many it has in all. Fewer than HOT_KEYS keys are hot, by their
-    share of all rows; ``small`` repeats theirs once a task, some HOT_KEYS rows more in all. Written tables only: hot
-    keys are counted before.
+    ``counts`` (key, n) may tell how many rows of ``big`` each key has, ``total`` how many it has in all. Fewer than
+    HOT_KEYS keys are hot, by their share of all rows; the plan holds their hashes, and ``small`` repeats their rows once
+    a task, some 2 * HOT_KEYS in all. Written tables only: hot keys are counted before.
     """
-    spark, n = big.sparkSession, big.count() if total is None else total
+    n = big.count() if total is None else total
     least = max(LEAST_HOT_ROWS, n // HOT_KEYS)
     counts = counts if counts is not None else big.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
-    found = counts.where(F.col("n") > least).select(key, F.ceil(F.col("n") / least).cast("int").alias("_parts"))
-    rows = found.collect()
-    if not rows:
-        return big.join(small, key, how)
-    hot = F.broadcast(spark.createDataFrame(rows, found.schema))
-    parts = F.coalesce("_parts", F.lit(1))
-    dealt = big.join(hot, key, "left").withColumn("_part", F.pmod(F.xxhash64(by), parts).cast("int")).drop("_parts")
-    repeated = small.join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
-    return dealt.join(repeated, [key, "_part"], how).drop("_part")
+    hashed, by_parts = F.xxhash64(key), {2: [0]}
+    for r in counts.where(F.col("n") > least).select(hashed.alias("h"), "n").collect():
+        by_parts.setdefault(1 << (-(-r["n"] // least) - 1).bit_length(), []).append(r["h"])
+    parts = F.lit(1)
+    for number, hashes in by_parts.items():
+        parts = F.when(hashed.isin(hashes), number).otherwise(parts)
+    dealt = big.withColumn("_part", F.pmod(F.xxhash64(by), parts).cast("int"))
+    return dealt.join(small.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))), [key, "_part"], how).drop("_part")
 
 
 def file_system(uri: str):
