@@ -31,18 +31,13 @@ def display_mode(value: Column) -> Column:
 
 def normal_domain(domain: Column) -> Column:
     """The host alone: no scheme, path, port, leading dots or ``www.``."""
-    host = F.regexp_replace(F.lower(F.trim(F.coalesce(domain, F.lit("")))), "^https://", "")
-    for pattern in ("^http://", "/.*$", ":.*$", r"^\.+", r"^www\."):
-        host = F.regexp_replace(host, pattern, "")
-    return host
+    return F.regexp_extract(F.lower(F.trim(F.coalesce(domain, F.lit("")))), r"^(?:https://)?(?:http://)?\.*(?:www\.)?([^/:]*)", 1)
 
 
 def tld(domain: Column) -> Column:
-    """The longest known suffix of the domain."""
-    host, found = normal_domain(domain), F.lit(None).cast("string")
-    for suffix in sorted({*TLD_COUNTRY, *GENERIC_TLDS}, key=len):
-        found = F.when((host == suffix) | host.endswith("." + suffix), suffix).otherwise(found)
-    return found
+    """The longest known suffix of the domain: the leftmost one that starts at a label."""
+    known = "|".join(suffix.replace(".", r"\.") for suffix in {**TLD_COUNTRY, **dict.fromkeys(GENERIC_TLDS)})
+    return F.nullif(F.regexp_extract(normal_domain(domain), rf"(?:^|\.)({known})$", 1), F.lit(""))
 
 
 def local_currency(domain: Column, country: Column) -> Column:

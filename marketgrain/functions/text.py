@@ -3,12 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 #: Symbols near prices and their currencies; the first one contained decides.
 SYMBOLS = [
@@ -25,7 +22,11 @@ CODES = [
 #: Words around a price that speak for it, and against it.
 FOR_PRICE = ("price", "цена", "стоимость", "total", "итого", "sale", "our price")
 AGAINST_PRICE = ("%", "cashback", "кэшбэк", "bonus", "бонус", "скидка", "discount", "save", "эконом")
+#: The shape of amounts, the greatest price, how far context reaches, and what each finding counts.
+AMOUNT = r"\d{1,3}(?:[ .,]\d{3})+(?:[.,]\d{1,2})?|\d+(?:[.,]\d{1,2})?"
 MAX_PRICE = 5_000_000.0
+CONTEXT = 20
+POINTS_MONEY, POINTS_FOR, POINTS_AGAINST, POINTS_BELOW_ONE = 8, 4, -6, -3
 
 
 def first_contained(text: Column, table: list[tuple[str, str]]) -> Column:
@@ -78,55 +79,43 @@ def masked_url(url: Column) -> Column:
     return F.regexp_replace(url, r"://[^/@]*@", "://***@")
 
 
-_SPACES = str.maketrans("   ", "   ")
-_TOKEN = re.compile(r"\d{1,3}(?:[ .,]\d{3})+(?:[.,]\d{1,2})?|\d+(?:[.,]\d{1,2})?")
-
-
-def _amount(token: str) -> float | None:
-    """A price token's value: which mark is the decimal one follows from place and group sizes."""
-    token = token.replace(" ", "")
-    marks = {c for c in token if c in ".,"}
-    if len(marks) == 2:
-        decimal = max(marks, key=token.rfind)
-        token = token.replace((marks - {decimal}).pop(), "").replace(decimal, ".")
-    elif marks:
-        mark = marks.pop()
-        head, *rest = token.split(mark)
-        if len(rest) == 1 and len(rest[0]) in (1, 2):
-            token = f"{head}.{rest[0]}"
-        elif all(len(p) == 3 for p in rest):
-            token = head + "".join(rest)
-        elif mark == ",":
-            token = head + "".join(rest[:-1]) + ("." if len(rest[-1]) <= 2 else "") + rest[-1]
-    try:
-        value = float(token)
-    except ValueError:
-        return None
-    return value if value > 0 else None
-
-
-def price_of(text: str | None) -> float | None:
-    """The most price-like number of a text: a currency or a price word near it speaks for it, a discount word against."""
-    if not text:
-        return None
-    text = text.translate(_SPACES)
-    best: tuple[int, float] | None = None
-    for m in _TOKEN.finditer(text):
-        value = _amount(m[0])
-        if value is None:
-            continue
-        near = text[max(0, m.start() - 20) : m.end() + 20].lower()
-        money = any(token in near for token, _ in SYMBOLS) or any(token in near for token, _ in CODES)
-        if value > MAX_PRICE and not money:
-            continue
-        points = 8 * money + 4 * any(w in near for w in FOR_PRICE) - 6 * any(w in near for w in AGAINST_PRICE) - 3 * (value < 1) - 20 * (value > MAX_PRICE)
-        if best is None or (points, value) > best:
-            best = (points, value)
-    return best[1] if best and best[1] <= MAX_PRICE else None
-
-
-@F.pandas_udf(DoubleType())
-def price(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """The price in a text, or null; a pandas function because scores depend on where matches stand."""
-    for t in texts:
-        yield t.map(price_of).astype("float64")
+def _any_of(words: list[str] | tuple[str, ...]) -> str:
+    return "|".join(re.escape(w) for w in words)
+
+
+def amount(token: Column) -> Column:
+    """The positive value of digits with marks: the last mark is the decimal one if both kinds occur, or if one or two digits
+    follow a single mark, or a last comma; other marks group. Null for marks that are neither."""
+    bare = F.replace(token, F.lit(" "), F.lit(""))
+    marks, tail = F.regexp_replace(bare, r"\d", ""), F.regexp_extract(bare, r"(\d*)$", 1)
+    last, both, short = F.right(marks, F.lit(1)), marks.contains(".") & marks.contains(","), F.length(tail) <= 2
+    decimal = (marks != "") & (both | (short & ((F.length(marks) == 1) | (last == ","))))
+    digits = F.regexp_replace(bare, "[.,]", "")
+    whole = F.substring(digits, F.lit(1), F.length(digits) - F.length(tail))
+    value = F.when(decimal, F.concat(whole, F.lit("."), tail)).otherwise(digits).try_cast("double")
+    odd = (both & (F.length(F.replace(marks, last, F.lit(""))) < F.length(marks) - 1)) | (~both & (F.length(marks) > 1) & (last == ".") & short)
+    return F.when((value > 0) & ~F.coalesce(odd, F.lit(False)), value)
+
+
+def price(text: Column | str) -> Column:
+    """The most price-like amount of a text: a currency or a price word near it speaks for it, a discount word against; of
+    equally good ones the greatest. Null if there is none."""
+    spaced = F.translate(F.col(text) if isinstance(text, str) else text, "\u00a0\u202f\u2009", "   ")
+    parts = F.struct(F.regexp_extract_all(spaced, F.lit(AMOUNT), 0).alias("tokens"), F.split(spaced, AMOUNT, -1).alias("between"), spaced.alias("text"))
+
+    def scored(p: Column, i: Column) -> Column:
+        """What counts for token i, from what stands around it: up to CONTEXT characters on either side."""
+        token = F.get(p["tokens"], i)
+        value = amount(token)
+        size = lambda parts, n: F.aggregate(F.slice(parts, F.lit(1), n), F.lit(0), lambda k, p: k + F.length(p))
+        start = size(p["between"], i + 1) + size(p["tokens"], i)
+        first = F.greatest(start - CONTEXT, F.lit(0))
+        near = F.lower(F.substring(p["text"], first + 1, start - first + F.length(token) + CONTEXT))
+        money = near.rlike(_any_of([t for t, _ in SYMBOLS + CODES]))
+        points = F.when(money, POINTS_MONEY).otherwise(0) + F.when(near.rlike(_any_of(FOR_PRICE)), POINTS_FOR).otherwise(0) + F.when(near.rlike(_any_of(AGAINST_PRICE)), POINTS_AGAINST).otherwise(0) + F.when(value < 1, POINTS_BELOW_ONE).otherwise(0)
+        return F.when(value <= MAX_PRICE, F.struct(points.alias("points"), value.alias("value")))
+
+    places = lambda p: F.when(F.size(p["tokens"]) > 0, F.sequence(F.lit(0), F.size(p["tokens"]) - 1))
+    # one element, so that the parts are found once and not for each token
+    best = F.transform(F.array(parts), lambda p: F.array_max(F.transform(places(p), lambda i: scored(p, i))))
+    return F.get(best, F.lit(0))["value"]
