@@ -1,25 +1,32 @@
-"""Documents: each page is parsed once into nodes; roles, fields and links are then DataFrame expressions on them."""
+"""Documents: each page is parsed once into nodes; roles, fields and links are then expressions on them, page by page.
+
+A page's text nodes are kept once, in ``strings``; a node tells which of them it spans, and up to which node its descendants
+go. Expressions read the columns ``nodes`` and ``strings`` of ``with_nodes``.
+"""
 
 from __future__ import annotations
 
-import json
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from marketgrain.functions import text, urls
 
-NODES = "nodes array<struct<id:int,parent:int,scope:int,tag:string,classes:string,attrs:map<string,string>,text:string>>, strings array<string>"
+NODES = "array<struct<id:int,parent:int,scope:int,tag:string,classes:string,attrs:map<string,string>,first:int,last:int,end:int>>"
+_NODE_TYPE = pa.list_(pa.struct([("id", pa.int32()), ("parent", pa.int32()), ("scope", pa.int32()), ("tag", pa.string()), ("classes", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("first", pa.int32()), ("last", pa.int32()), ("end", pa.int32())]))
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: What Open Graph, JSON-LD and microdata types say of a page's role.
 OG_ROLES = {"product": ["product", "product.group", "product.item"], "hub": ["website"], "listing": ["article", "blog", "news"]}
 LD_ROLES = {"product": ["Product", "IndividualProduct", "ProductModel"], "listing": ["CollectionPage", "ItemList", "SearchResultsPage", "Article", "NewsArticle", "BlogPosting"], "hub": ["WebPage", "AboutPage", "ContactPage", "FAQPage"]}
 MICRODATA_ROLES = {"product": ["Product"], "listing": ["ItemList", "OfferCatalog", "CollectionPage"]}
 GRID = 6
+#: What counts for a price candidate, and paths that no grid's link leads to.
+POINTS_PRICE, POINTS_CURRENT, POINTS_SYMBOL = 10, 5, 3
+GRID_EXCLUDED = ("/cart", "/checkout", "/login", "/auth", "/account", "/wishlist", "/compare", "/sitemap", "/robots")
 
 
 class _Nodes(HTMLParser):
@@ -34,52 +41,73 @@ class _Nodes(HTMLParser):
         parent = self.open[-1] if self.open else -1
         scope = -1 if parent < 0 else parent if "itemscope" in self.nodes[parent]["attrs"] else self.nodes[parent]["scope"]
         classes = " ".join(sorted(set(attrs.get("class", "").split())))
-        self.nodes.append({"id": len(self.nodes), "parent": parent, "scope": scope, "tag": tag, "classes": classes, "attrs": attrs, "text": ""})
+        n, at = len(self.nodes), len(self.strings)
+        self.nodes.append({"id": n, "parent": parent, "scope": scope, "tag": tag, "classes": classes, "attrs": attrs, "first": at, "last": at, "end": n + 1})
         if tag not in VOID:
-            self.open.append(len(self.nodes) - 1)
+            self.open.append(n)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID:
-            self.open.pop()
+            self._shut(len(self.open) - 1)
 
     def handle_endtag(self, tag):
         for k in range(len(self.open) - 1, -1, -1):
             if self.nodes[self.open[k]]["tag"] == tag:
-                del self.open[k:]
+                self._shut(k)
                 return
 
     def handle_data(self, data):
         data = data.strip()
         if data:
             self.strings.append(data)
-            for k in self.open:
-                if self.nodes[k]["tag"] not in ("html", "body", "head"):
-                    self.nodes[k]["text"] += data
 
+    def _shut(self, k: int) -> None:
+        """Close the open elements from the k-th on."""
+        for n in self.open[k:]:
+            node = self.nodes[n]
+            node["end"] = len(self.nodes)
+            if node["tag"] not in ("html", "body", "head"):
+                node["last"] = len(self.strings)
+        del self.open[k:]
+
+    def finish(self) -> None:
+        self.close()
+        self._shut(0)
 
-def _parsed(html: str | None) -> str:
-    p = _Nodes()
-    p.feed(html or "")
-    p.close()
-    return json.dumps({"nodes": p.nodes, "strings": p.strings})
 
+def with_nodes(pages: DataFrame, html: str = "html") -> DataFrame:
+    """Add a page's elements (``nodes``) and text nodes (``strings``); broken HTML gives what could be read, null has none."""
 
-@F.pandas_udf(StringType())
-def page_json(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """A page's elements and text nodes as JSON; broken HTML gives what could be read."""
-    for p in pages:
-        yield p.map(_parsed, na_action=None)
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, strings = [], []
+            for page in batch.column(html).to_pylist():
+                p = _Nodes()
+                p.feed(page or "")
+                p.finish()
+                nodes.append([n | {"attrs": list(n["attrs"].items())} for n in p.nodes])
+                strings.append(p.strings)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, _NODE_TYPE), pa.array(strings, pa.list_(pa.string()))], [*batch.schema.names, "nodes", "strings"])
 
+    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema)
+    return pages.mapInArrow(parse, f"{own}, nodes {NODES}, strings array<string>")
 
-def with_nodes(pages: DataFrame, html: str = "html") -> DataFrame:
-    return pages.withColumn("_page", F.from_json(page_json(html), NODES)).select("*", "_page.nodes", "_page.strings").drop("_page")
+
+def node_text(n: Column) -> Column:
+    """The text below a node of the row's page."""
+    return F.array_join(F.slice(F.col("strings"), n["first"] + 1, n["last"] - n["first"]), "")
 
 
 def _blank(c: Column) -> Column:
     return F.nullif(F.trim(c), F.lit(""))
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` found once, however often the body reads it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def first_node(nodes: Column, test) -> Column:
     return F.get(F.filter(nodes, test), F.lit(0))
 
@@ -98,7 +126,7 @@ def og_type(nodes: Column) -> Column:
 
 def jsonld(nodes: Column) -> Column:
     """Every JSON-LD object of the page as JSON text: scripts, members of arrays, members of graphs."""
-    scripts = F.transform(F.filter(nodes, lambda n: (n["tag"] == "script") & (n["attrs"]["type"] == "application/ld+json")), lambda n: n["text"])
+    scripts = F.transform(F.filter(nodes, lambda n: (n["tag"] == "script") & (n["attrs"]["type"] == "application/ld+json")), node_text)
     as_array = lambda s: F.coalesce(F.from_json(s, "array<string>"), F.array().cast("array<string>"))
     return F.flatten(F.transform(scripts, lambda s: F.when(F.ltrim(s).startswith("["), as_array(s)).otherwise(F.concat(F.array(s), as_array(F.get_json_object(s, "$.@graph"))))))
 
@@ -129,25 +157,41 @@ def structural_role(repetition: Column, prices: Column) -> Column:
     return F.when(grid, "listing").when(prices == 0, "hub").when(prices <= 5, "product").otherwise("unknown")
 
 
-def page_roles(parsed: DataFrame, key: str = "page_id") -> DataFrame:
-    """Each page's role: Open Graph, else JSON-LD, else microdata, else repetition and prices. Counts are grouped, not looped."""
-    signatures = parsed.select(key, F.explode(F.filter("nodes", lambda n: n["classes"] != "")).alias("n")).groupBy(key, "n.tag", "n.classes").agg(F.count("*").alias("k"))
-    repetition = signatures.groupBy(key).agg(F.max("k").alias("repetition"))
-    found = parsed.select(key, F.explode("strings").alias("s")).where(F.length("s") > 1).groupBy(key).agg(F.count_if(text.price("s") < 9_999_999).alias("prices"))
+def signatures(nodes: Column) -> Column:
+    """(tag, classes) of every element that has classes."""
+    return F.transform(F.filter(nodes, lambda n: n["classes"] != ""), lambda n: F.struct(n["tag"].alias("tag"), n["classes"].alias("classes")))
+
+
+def most_repeated(nodes: Column) -> Column:
+    """The commonest signature (n, tag, classes), the first one of equally common ones; null without any."""
+    count = lambda every, s, i: F.struct(F.size(F.filter(every, lambda x: x == s)).alias("n"), (-i).alias("place"), s["tag"].alias("tag"), s["classes"].alias("classes"))
+    return F.get(F.transform(F.array(signatures(nodes)), lambda every: F.array_max(F.transform(F.array_distinct(every), lambda s, i: count(every, s, i)))), F.lit(0))
+
+
+def priced_strings(strings: Column) -> Column:
+    """How many text nodes show a price."""
+    return F.size(F.filter(strings, lambda s: (F.length(s) > 1) & F.coalesce(text.price(s) < 9_999_999, F.lit(False))))
+
+
+def layered_role(nodes: Column) -> Column:
+    """What Open Graph, else JSON-LD, else microdata says."""
+    return F.coalesce(_role_of(F.array(og_type(nodes)), OG_ROLES), _role_of(jsonld_types(nodes), LD_ROLES), _role_of(microdata_types(nodes), MICRODATA_ROLES))
+
+
+def page_roles(parsed: DataFrame) -> DataFrame:
+    """Add og_type, repetition, prices, structural_role and role: what the page's mark-up says, else its structure."""
     nodes = F.col("nodes")
-    layered = F.coalesce(_role_of(F.array(og_type(nodes)), OG_ROLES), _role_of(jsonld_types(nodes), LD_ROLES), _role_of(microdata_types(nodes), MICRODATA_ROLES))
-    joined = parsed.select(key, og_type(nodes).alias("og_type"), layered.alias("_layered")).join(repetition, key, "left").join(found, key, "left")
-    counted = joined.withColumns({"repetition": F.coalesce("repetition", F.lit(0).cast("long")), "prices": F.coalesce("prices", F.lit(0).cast("long"))})
-    return counted.withColumn("role", F.coalesce("_layered", structural_role(F.col("repetition"), F.col("prices")))).drop("_layered")
+    counted = parsed.withColumns({"og_type": og_type(nodes), "repetition": F.coalesce(most_repeated(nodes)["n"], F.lit(0)), "prices": priced_strings(F.col("strings"))})
+    return counted.withColumn("structural_role", structural_role(F.col("repetition"), F.col("prices"))).withColumn("role", F.coalesce(layered_role(nodes), "structural_role"))
 
 
 def title(nodes: Column, url: Column) -> Column:
     """The page's title up to a separator, else its first heading, else the last part of its URL."""
-    raw = F.trim(first_node(nodes, lambda n: n["tag"] == "title")["text"])
+    raw = F.trim(node_text(first_node(nodes, lambda n: n["tag"] == "title")))
     cut = lambda sep: F.trim(F.substring_index(raw, sep, 1))
     own = F.when(raw.contains("|"), cut("|")).when(raw.contains("—"), cut("—")).when(raw.contains("-"), cut("-")).otherwise(raw)
     last = F.trim(F.translate(F.try_element_at(F.filter(F.split(urls.path_of(url), "/"), lambda s: s != ""), F.lit(-1)), "-_", "  "))
-    return F.substring(F.coalesce(_blank(own), _blank(first_node(nodes, lambda n: n["tag"] == "h1")["text"]), F.when(F.length(last) > 2, last)), 1, 1000)
+    return F.substring(F.coalesce(_blank(own), _blank(node_text(first_node(nodes, lambda n: n["tag"] == "h1"))), F.when(F.length(last) > 2, last)), 1, 1000)
 
 
 _FIELDS = "struct<title:string,price_text:string,original_text:string,currency:string,image:string,description:string>"
@@ -161,10 +205,10 @@ def _fields(**columns: Column) -> Column:
 def jsonld_fields(nodes: Column) -> Column:
     """The first Product's fields."""
     product = F.get(F.filter(jsonld(nodes), lambda s: F.exists(_types(s), lambda t: F.lower(t) == "product")), F.lit(0))
-    get = lambda path: F.coalesce(F.get_json_object(product, f"$.offers.{path}"), F.get_json_object(product, f"$.offers[0].{path}"))
-    image = F.coalesce(F.get_json_object(product, "$.image[0]"), F.get_json_object(product, "$.image.url"), F.get_json_object(product, "$.image"))
-    low = get("price").isNull() & get("lowPrice").isNotNull()
-    return _fields(title=F.get_json_object(product, "$.name"), price_text=F.coalesce(get("price"), get("lowPrice"), get("highPrice")), original_text=F.when(low, get("highPrice")), currency=F.substring(F.upper(F.trim(get("priceCurrency"))), 1, 3), image=image, description=F.substring(F.get_json_object(product, "$.description"), 1, 2000))
+    get = lambda p, path: F.coalesce(F.get_json_object(p, f"$.offers.{path}"), F.get_json_object(p, f"$.offers[0].{path}"))
+    image = lambda p: F.coalesce(F.get_json_object(p, "$.image[0]"), F.get_json_object(p, "$.image.url"), F.get_json_object(p, "$.image"))
+    low = lambda p: get(p, "price").isNull() & get(p, "lowPrice").isNotNull()
+    return _let(product, lambda p: _fields(title=F.get_json_object(p, "$.name"), price_text=F.coalesce(get(p, "price"), get(p, "lowPrice"), get(p, "highPrice")), original_text=F.when(low(p), get(p, "highPrice")), currency=F.substring(F.upper(F.trim(get(p, "priceCurrency"))), 1, 3), image=image(p), description=F.substring(F.get_json_object(p, "$.description"), 1, 2000)))
 
 
 def microdata_fields(nodes: Column) -> Column:
@@ -175,10 +219,11 @@ def microdata_fields(nodes: Column) -> Column:
 
     def value(scope: Column, prop: str) -> Column:
         n = first_node(nodes, lambda n: (n["scope"] == scope) & F.coalesce(F.array_contains(F.split(n["attrs"]["itemprop"], r"\s+"), prop), F.lit(False)))
-        by_tag = F.when(n["tag"] == "meta", n["attrs"]["content"]).when(n["tag"].isin("a", "link", "area"), n["attrs"]["href"]).when(n["tag"].isin("img", "audio", "embed", "iframe", "source", "track", "video"), n["attrs"]["src"]).when(n["tag"] == "object", n["attrs"]["data"]).otherwise(n["text"])
+        by_tag = F.when(n["tag"] == "meta", n["attrs"]["content"]).when(n["tag"].isin("a", "link", "area"), n["attrs"]["href"]).when(n["tag"].isin("img", "audio", "embed", "iframe", "source", "track", "video"), n["attrs"]["src"]).when(n["tag"] == "object", n["attrs"]["data"]).otherwise(node_text(n))
         return _blank(by_tag)
 
-    return _fields(title=value(product, "name"), price_text=F.coalesce(value(offer, "price"), value(offer, "lowPrice"), value(offer, "highPrice")), original_text=F.when(value(offer, "price").isNull() & value(offer, "lowPrice").isNotNull(), value(offer, "highPrice")), currency=F.substring(F.upper(value(offer, "priceCurrency")), 1, 3), image=value(product, "image"), description=value(product, "description"))
+    fields = lambda product, offer: _fields(title=value(product, "name"), price_text=F.coalesce(value(offer, "price"), value(offer, "lowPrice"), value(offer, "highPrice")), original_text=F.when(value(offer, "price").isNull() & value(offer, "lowPrice").isNotNull(), value(offer, "highPrice")), currency=F.substring(F.upper(value(offer, "priceCurrency")), 1, 3), image=value(product, "image"), description=value(product, "description"))
+    return _let(F.struct(product.alias("product"), offer.alias("offer")), lambda x: fields(x["product"], x["offer"]))
 
 
 def meta_fields(nodes: Column) -> Column:
@@ -187,21 +232,88 @@ def meta_fields(nodes: Column) -> Column:
 
 
 def auto_fields(nodes: Column) -> Column:
-    """Heuristics: the heading, the text of a price-like element, the largest image."""
+    """Heuristics: the heading, the best marked text with a price, the largest image."""
     area = lambda n: F.coalesce(n["attrs"]["width"].try_cast("int") * n["attrs"]["height"].try_cast("int"), F.lit(0)) + F.when(F.lower(F.concat_ws(" ", n["classes"], n["attrs"]["id"], n["attrs"]["alt"])).rlike("product|gallery"), 1_000_000).otherwise(0)
     images = F.filter(nodes, lambda n: (n["tag"] == "img") & F.coalesce(n["attrs"]["src"], n["attrs"]["data-src"]).isNotNull())
-    image = F.get(F.reverse(F.array_sort(F.transform(images, lambda n: F.struct(area(n).alias("a"), (-n["id"]).alias("i"), F.coalesce(n["attrs"]["src"], n["attrs"]["data-src"]).alias("src"))))), F.lit(0))["src"]
-    marked = first_node(nodes, lambda n: n["tag"].isin("span", "div", "p", "strong") & F.lower(F.concat_ws(" ", n["classes"], n["attrs"]["id"], n["attrs"]["itemprop"])).contains("price") & n["text"].rlike(r"\d"))
-    return _fields(title=_blank(first_node(nodes, lambda n: n["tag"] == "h1")["text"]), price_text=marked["text"], image=image)
+    image = F.array_max(F.transform(images, lambda n: F.struct(area(n).alias("a"), (-n["id"]).alias("i"), F.coalesce(n["attrs"]["src"], n["attrs"]["data-src"]).alias("src"))))["src"]
+    shown = lambda n: F.when(n["tag"] == "meta", F.trim(n["attrs"]["content"])).otherwise(node_text(n))
+    told = lambda n: F.lower(F.concat_ws(" ", n["classes"], n["attrs"]["id"], n["attrs"]["itemprop"]))
+    points = lambda n: F.when(told(n).contains("price"), POINTS_PRICE).otherwise(0) + F.when(told(n).rlike("current|final"), POINTS_CURRENT).otherwise(0) + F.when(text.currency_symbol(shown(n)).isNotNull(), POINTS_SYMBOL).otherwise(0)
+    candidates = F.filter(nodes, lambda n: n["tag"].isin("span", "div", "p", "strong", "meta") & shown(n).rlike(r"\d") & text.price(shown(n)).isNotNull())
+    best = F.array_max(F.transform(candidates, lambda n: F.struct(points(n).alias("points"), (-n["id"]).alias("i"), shown(n).alias("text"))))["text"]
+    return _fields(title=_blank(node_text(first_node(nodes, lambda n: n["tag"] == "h1"))), price_text=best, image=image, description=F.substring(meta(nodes, "description", "og:description"), 1, 2000))
+
+
+_COMPOUND = re.compile(r"([a-zA-Z][\w-]*|\*)?((?:[.#][\w-]+|\[[\w-]+(?:=[^\]]*)?\])*)$")
+
+
+def _compound(part: str):
+    """The test of one part of a selector: a tag, ``.class``, ``#id``, ``[attribute]`` and ``[attribute=value]``, all of them."""
+    parsed = _COMPOUND.match(part)
+    if parsed is None or not part:
+        raise ValueError(f"no selector of this kind is known: {part!r}")
+    tag, more = parsed.groups()
+    tests = [] if tag in (None, "*") else [lambda n: n["tag"] == tag.lower()]
+    for kind, name, attribute, value in re.findall(r"([.#])([\w-]+)|\[([\w-]+)(?:=([^\]]*))?\]", more):
+        if kind == ".":
+            tests.append(lambda n, name=name: F.array_contains(F.split(n["classes"], " "), name))
+        elif kind == "#":
+            tests.append(lambda n, name=name: n["attrs"]["id"] == name)
+        else:
+            plain = value.strip("\"'")
+            tests.append(lambda n, a=attribute.lower(), v=plain: n["attrs"][a].isNotNull() if not v else n["attrs"][a] == v)
+
+    def test(n: Column) -> Column:
+        found = F.lit(True)
+        for t in tests:
+            found = found & F.coalesce(t(n), F.lit(False))
+        return found
+
+    return test
+
+
+def selected(nodes: Column, selector: str) -> Column:
+    """The first element that a CSS selector of compounds and descendants picks."""
+    tests = [_compound(p) for p in selector.split()]
+
+    def picks(n: Column, k: int) -> Column:
+        found = tests[k](n)
+        if k:
+            found = found & F.exists(nodes, lambda above: (above["id"] < n["id"]) & (n["id"] < above["end"]) & picks(above, k - 1))
+        return found
+
+    return first_node(nodes, lambda n: picks(n, len(tests) - 1))
+
+
+def selector_fields(nodes: Column, selectors: dict[str, str]) -> Column:
+    """Fields by a marketplace's own selectors: any of title, price, image, original_price."""
+    found = {}
+    for field, name in (("title", "title"), ("price", "price_text"), ("original_price", "original_text")):
+        if selectors.get(field):
+            found[name] = F.substring(_blank(node_text(selected(nodes, selectors[field]))), 1, 1000)
+    if selectors.get("image"):
+        attrs = selected(nodes, selectors["image"])["attrs"]
+        found["image"] = _blank(F.coalesce(F.nullif(attrs["src"], F.lit("")), attrs["data-src"]))
+    return _fields(**found)
+
+
+def merged(candidates: list[Column]) -> Column:
+    """One record of several: each field from the first candidate that has it."""
+    names = ("title", "price_text", "original_text", "currency", "image", "description")
+    return _let(F.array(*candidates), lambda found: F.struct(*[F.coalesce(*[_blank(found[k][n]) for k in range(len(candidates))]).alias(n) for n in names]))
+
+
+def shell_probe(tier: Column, layer: Column, currency: Column, role: Column) -> Column:
+    """Whether a plain fetch looks like a script's empty shell: no currency was found, and the page isn't a product's."""
+    return F.coalesce((tier == 1) & (layer == "httpx"), F.lit(False)) & currency.isNull() & ~role.eqNullSafe(F.lit("product"))
 
 
-def records(parsed: DataFrame, roles: DataFrame, key: str = "page_id", url: str = "url") -> DataFrame:
-    """Each product page's record, field by field from the first source that has it; other roles give nulls."""
+def records(roles: DataFrame, key: str = "page_id", url: str = "url") -> DataFrame:
+    """Each product page's record, field by field from the first source that has it; other roles give nulls. ``roles``: page_roles()."""
     nodes = F.col("nodes")
-    layers = parsed.select(key, url, F.array(jsonld_fields(nodes), microdata_fields(nodes), meta_fields(nodes), auto_fields(nodes)).alias("found"), title(nodes, F.col(url)).alias("fallback"), F.substring(F.array_join("strings", " "), 1, 4000).alias("probe"))
-    pick = lambda c: F.coalesce(*[F.col("found")[k][c] for k in range(4)])
-    merged = layers.join(roles.select(key, "role"), key).select(key, "role", "probe", F.coalesce(_blank(pick("title")), F.col("fallback")).alias("title"), pick("price_text").alias("price_text"), pick("original_text").alias("original_text"), pick("currency").alias("currency"), pick("image").alias("image_url"), pick("description").alias("description"))
-    priced = merged.withColumns({"price": text.price("price_text"), "original_price": text.price("original_text")})
+    layers = roles.select(key, "role", merged([jsonld_fields(nodes), microdata_fields(nodes), meta_fields(nodes), auto_fields(nodes)]).alias("found"), title(nodes, F.col(url)).alias("fallback"), F.substring(F.array_join("strings", " "), 1, 4000).alias("probe"))
+    texts = layers.select(key, "role", "probe", F.coalesce("found.title", "fallback").alias("title"), "found.price_text", "found.original_text", "found.currency", F.col("found.image").alias("image_url"), "found.description")
+    priced = texts.withColumns({"price": text.price("price_text"), "original_price": text.price("original_text")})
     money = F.coalesce("currency", text.currency(F.col("price_text")), F.when(F.col("price").isNotNull(), text.currency(F.col("probe"))))
     shown = ~F.col("role").isin("listing", "hub")
     return priced.select(key, "role", *[F.when(shown, c).alias(n) for n, c in (("title", F.col("title")), ("price", F.col("price")), ("original_price", F.col("original_price")), ("currency", money), ("image_url", F.col("image_url")), ("description", F.col("description")))])
@@ -215,10 +327,13 @@ def flags(df: DataFrame) -> DataFrame:
     return df.withColumn("missing", missing).withColumns({"success": F.col("price").isNotNull(), "is_partial": (n > 0) & (n < 3), "is_empty": n == 3, "completeness": F.floor((3 - n) / F.lit(3.0) * 1000 + 0.5) / 1000})
 
 
-def links(parsed: DataFrame, key: str = "page_id", url: str = "url") -> DataFrame:
-    """Internal links of each page without query and fragment, each once: key, link, path."""
-    host = F.regexp_extract(F.col(url), r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+)", 1)
-    rows = parsed.select(key, host.alias("host"), F.explode(F.filter("nodes", lambda n: (n["tag"] == "a") & n["attrs"]["href"].isNotNull())).alias("n"))
+_HOST = r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+)"
+
+
+def _resolved(parsed: DataFrame, key: str, url: str, wanted) -> DataFrame:
+    """The pages' own links among the anchors that ``wanted`` picks, without query and fragment, each once: key, link, path."""
+    host = F.regexp_extract(F.col(url), _HOST, 1)
+    rows = parsed.select(key, host.alias("host"), F.explode(F.filter("nodes", lambda n: (n["tag"] == "a") & n["attrs"]["href"].isNotNull() & wanted(n))).alias("n"))
     href = F.trim(F.col("n")["attrs"]["href"])
     rows = rows.select(key, "host", href.alias("href")).where(~F.col("href").rlike(r"^(#|javascript:|mailto:|tel:)") & (F.col("href") != ""))
     full = F.when(F.col("href").rlike("^[a-zA-Z][a-zA-Z0-9+.-]*://"), F.col("href")).when(F.col("href").startswith("/"), F.concat("host", "href")).otherwise(F.concat("host", F.lit("/"), "href"))
@@ -226,6 +341,25 @@ def links(parsed: DataFrame, key: str = "page_id", url: str = "url") -> DataFram
     return clean.withColumn("path", urls.path_of(F.col("link"))).where(F.col("path") != "/").select(key, "link", "path").distinct()
 
 
+def links(parsed: DataFrame, key: str = "page_id", url: str = "url") -> DataFrame:
+    """Internal links of each page without query and fragment, each once: key, link, path."""
+    return _resolved(parsed, key, url, lambda n: F.lit(True))
+
+
+def grid_links(parsed: DataFrame, key: str = "page_id", url: str = "url") -> DataFrame:
+    """Product links inside the most repeated group of GRID or more like elements: key, link, path."""
+    grid = parsed.withColumn("grid", most_repeated(F.col("nodes"))).where(F.col("grid.n") >= GRID)
+    cards = F.filter("nodes", lambda n: (n["tag"] == F.col("grid.tag")) & (n["classes"] == F.col("grid.classes")))
+    spans = grid.withColumn("cards", F.transform(cards, lambda n: F.struct(n["id"].alias("id"), n["end"].alias("end"))))
+    found = product_links(_resolved(spans, key, url, lambda a: F.exists("cards", lambda c: (c["id"] < a["id"]) & (a["id"] < c["end"]))))
+    path = F.lower("path")
+    numbered = path.rlike(r"/\d{4,}")
+    shallow = path.endswith("/") & (F.length(path) - F.length(F.replace(path, F.lit("/"), F.lit(""))) <= 3)
+    kept = ~path.rlike("^(" + "|".join(GRID_EXCLUDED) + ")") & ~path.contains("/list/") & ~path.contains("/search") & (numbered | ~(path.contains("/category/") | path.contains("/catalog/"))) & ~shallow
+    own = parsed.select(key, F.col(url).alias("own"))
+    return found.where(kept).join(own, key).where(F.col("link") != F.col("own")).drop("own")
+
+
 def product_links(found: DataFrame) -> DataFrame:
     """The links that look like products'."""
     path = F.col("path")
@@ -238,6 +372,6 @@ def next_page(parsed: DataFrame, key: str = "page_id", url: str = "url") -> Data
     rel = first_node(nodes, lambda n: (n["tag"] == "link") & (n["attrs"]["rel"] == "next"))["attrs"]["href"]
     current = F.nullif(F.regexp_extract(F.col(url), r"[?&]page=(\d+)", 1), F.lit("")).try_cast("int")
     page = lambda n: F.nullif(F.regexp_extract(n["attrs"]["href"], r"[?&]page=(\d+)", 1), F.lit("")).try_cast("int")
-    marked = lambda n: F.lower(F.trim(n["text"])).isin("next", "далее", "вперед") | n["text"].contains("›") | n["text"].contains("→")
+    marked = lambda n: F.lower(F.trim(node_text(n))).isin("next", "далее", "вперед") | node_text(n).rlike("[›→]")
     anchor = first_node(nodes, lambda n: (n["tag"] == "a") & n["attrs"]["href"].isNotNull() & (marked(n) | F.coalesce(page(n) == current + 1, F.lit(False))))["attrs"]["href"]
     return parsed.select(key, F.coalesce(rel, anchor).alias("next_href"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketgrain.functions import html, money, numbers, status, text, urls
+from marketgrain.functions import money, numbers, status, text, urls
 from marketgrain.operators import ingest, lifecycle, market, pool, summaries
 from marketgrain.plans import pages as page_plans
 from marketgrain.sources import feeds, sinks
@@ -734,6 +734,3 @@ def map_backoff(s: Star) -> DataFrame:
 def arr_missing_fields(s: Star) -> DataFrame:
     missing = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(n)) for c, n in (("last_checked_at", "checked"), ("last_in_stock", "stock"), ("is_active", "active"))]))
     return s.listings().select("listing_id", F.coalesce("last_checked_at", F.lit("2020-01-01").cast("timestamp")).alias("value"), F.array_join(missing, ",").alias("missing"))
-
-
-QUERIES["arr_first_nonnull"], ORACLE_SQL["arr_first_nonnull"] = QUERIES["arr_missing_fields"], ORACLE_SQL["arr_missing_fields"]

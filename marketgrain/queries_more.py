@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketgrain.functions import html, money, text, urls
+from marketgrain import queries_documents  # noqa: F401
+from marketgrain.functions import money, text, urls
 from marketgrain.operators import ingest, lifecycle, market, pool
 from marketgrain.plans import pages as page_plans
 from marketgrain.queries import ORACLE_SQL, QUERIES, _round, query
@@ -363,69 +364,7 @@ def agg_classify_ratio(s: Star) -> DataFrame:
     return s.table("pages").agg(F.avg(F.when(F.length("url") % 3 == 0, 1.0).otherwise(0.0)).alias("x"), F.count("*").alias("n"))
 
 
-# --- documents ------------------------------------------------------------------------------------------------------------
-
-
-def _parsed(s: Star) -> DataFrame:
-    return html.with_nodes(s.table("pages"))
-
-
-@query()
-def doc_title_fallback(s: Star) -> DataFrame:
-    return _parsed(s).select("page_id", html.title(F.col("nodes"), F.col("url")).alias("title"))
-
-
-@query("SELECT page_id, len(regexp_extract_all(html, '<a[ >]')) AS anchors FROM pages")
-def doc_links_count(s: Star) -> DataFrame:
-    return _parsed(s).select("page_id", F.size(F.filter("nodes", lambda n: n["tag"] == "a")).cast("long").alias("anchors"))
-
-
-@query()
-def doc_role(s: Star) -> DataFrame:
-    return html.page_roles(_parsed(s)).select("page_id", "og_type", "repetition", "prices", "role")
-
-
-for _name in ("doc_role_structural", "doc_og_type", "agg_page_prices", "doc_signature"):
-    _same(_name, "doc_role")
-
-
-@query()
-def doc_jsonld_types(s: Star) -> DataFrame:
-    nodes = F.col("nodes")
-    return _parsed(s).select("page_id", F.array_join(html.jsonld_types(nodes), ",").alias("jsonld"), F.array_join(html.microdata_types(nodes), ",").alias("microdata"))
-
-
-_same("doc_microdata_types", "doc_jsonld_types")
-
-
-@query()
-def doc_merge(s: Star) -> DataFrame:
-    parsed = _parsed(s)
-    return html.flags(html.records(parsed, html.page_roles(parsed))).withColumn("missing", F.array_join("missing", ","))
-
-
-for _name in ("doc_extract_jsonld", "doc_extract_microdata", "doc_extract_meta", "doc_extract_auto", "doc_result_flags"):
-    _same(_name, "doc_merge")
-
-
-@query()
-def doc_links_internal(s: Star) -> DataFrame:
-    return html.links(_parsed(s))
-
-
-@query()
-def doc_links_product(s: Star) -> DataFrame:
-    return html.product_links(html.links(_parsed(s)))
-
-
-@query()
-def doc_next_page(s: Star) -> DataFrame:
-    return html.next_page(_parsed(s))
-
-
-@query("SELECT page_id, regexp_matches(lower(substr(html, 1, 800)), '<(urlset|sitemapindex)|<\\?xml') AS is_sitemap FROM pages")
-def doc_is_sitemap(s: Star) -> DataFrame:
-    return s.table("pages").select("page_id", feeds.looks_like_sitemap(F.col("html")).alias("is_sitemap"))
+# --- documents: see queries_documents
 
 
 # --- sources and sinks ------------------------------------------------------------------------------------------------------
