@@ -126,4 +126,4 @@ def layer_order(requires_js: Column, has_service: Column) -> Column:
 
 def discovery_status(outcome: Column) -> Column:
     """The job status of a discovery run's outcome."""
-    return F.when(outcome == "error", "failed").when(outcome == "partial_budget", "partial").otherwise("completed")
+    return F.when(outcome == "error", "failed").when(outcome.isin("partial_budget", "partial"), "partial").otherwise("completed")

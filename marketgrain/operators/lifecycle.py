@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 HEARTBEAT_S, DISCOVERY_S, OTHER_S = 600, 1200, 3600
 #: Seconds after which a parent gives up its children, and repeats a dispatch.
 CHILD_DISCOVERY_S, CHILD_SCRAPE_S, PENDING_S = 1020, 1080, 120
+#: Days after which a sitemap is read again, hours after which a bad one and one that took too long is; categories
+#: of one run, and how many without new rows end it; lines that the relay keeps.
+STALE_DAYS, BAD_RETRY_HOURS, TIMEOUT_RETRY_HOURS = 3, 1, 24
+WINDOW_CATEGORIES, QUIET_CATEGORIES = 60, 3
+RELAY_LINES = 500
 
 
 def age(since: Column, now: Column) -> Column:
@@ -89,3 +94,57 @@ def reachable(edges: DataFrame, roots: DataFrame, depth: int = 3) -> DataFrame:
         frontier = step.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(k))
         seen = seen.unionByName(frontier)
     return seen
+
+
+def harvested_at(outcome: Column, now: Column) -> Column:
+    """When a sitemap counts as read: now if it was useful; else so long ago that it is due again after the retry's hours."""
+    ago = lambda hours: now - F.make_interval(hours=F.lit(STALE_DAYS * 24 - hours))
+    return F.when(outcome == "useful", now).when(outcome == "timeout", ago(TIMEOUT_RETRY_HOURS)).otherwise(ago(BAD_RETRY_HOURS))
+
+
+def harvest_window(saved: Column, start: Column, deadline_at: Column) -> Column:
+    """One run over categories: how many were read, where the next run begins, and whether one is needed.
+
+    ``saved``: each category's new rows, in order; ``start``: the cursor; ``deadline_at``: the category before which time runs
+    out, or null. A deadline leaves the cursor there; enough quiet categories, or the list's end, put it back to 0.
+    """
+    window = F.slice(saved, start + 1, F.lit(WINDOW_CATEGORIES))
+    state = F.struct(F.lit(0).alias("read"), F.lit(0).alias("quiet"), F.lit("").alias("end"))
+
+    def step(s: Column, n: Column) -> Column:
+        late = F.coalesce(start + s["read"] >= deadline_at, F.lit(False))
+        quiet = F.when(n == 0, s["quiet"] + 1).otherwise(0)
+        read = F.struct((s["read"] + 1).alias("read"), quiet.alias("quiet"), F.when(quiet >= QUIET_CATEGORIES, "converged").otherwise("").alias("end"))
+        stopped = F.struct(s["read"].alias("read"), s["quiet"].alias("quiet"), F.lit("deadline").alias("end"))
+        return F.when(s["end"] != "", s).when(late, stopped).otherwise(read)
+
+    def told(s: Column) -> Column:
+        at, more = start + s["read"], F.when(s["end"] == "", start + s["read"] < F.size(saved)).otherwise(s["end"] == "deadline")
+        return F.struct(s["read"].alias("read"), F.when(more, at).otherwise(0).alias("next_index"), more.alias("more"))
+
+    return F.aggregate(window, state, step, told)
+
+
+def relay_tail(lines: DataFrame, after: int, limit: int = 50) -> DataFrame:
+    """What a reader gets of a bounded log (seq, line): of the last RELAY_LINES lines those after ``after``, the newest ``limit``."""
+    kept = lines.where(F.trim("line") != "").orderBy(F.col("seq").desc()).limit(RELAY_LINES)
+    return kept.where(F.col("seq") > after).orderBy(F.col("seq").desc()).limit(limit)
+
+
+def admin_guards(users: DataFrame, actor: int) -> DataFrame:
+    """Why an actor may not deactivate, demote or delete each user (columns user_id, is_active, is_superuser); null where allowed."""
+    counts = users.agg(F.count_if("is_superuser").alias("_supers"), F.count_if(F.col("is_superuser") & F.col("is_active")).alias("_active"))
+    own = F.col("user_id") == actor
+    reason = lambda left: F.when(own, "self").when(F.col("is_superuser") & (F.col(left) <= 1), "last_superuser")
+    return users.join(F.broadcast(counts)).select("user_id", reason("_active").alias("deactivate"), reason("_supers").alias("demote"), reason("_supers").alias("delete"))
+
+
+def attempt_streaks(logs: DataFrame, limit: int = 15) -> DataFrame:
+    """Each attempt with its listing's failures in a row so far, and whether the listing is still active after it: success clears."""
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("listing_id").orderBy("created_at", "id")
+    good = F.col("status").isin("success", "no_change")
+    runs = logs.withColumn("_run", F.count_if(good).over(order))
+    so_far = F.count_if(~good).over(Window.partitionBy("listing_id", "_run").orderBy("created_at", "id"))
+    return runs.withColumn("streak", so_far).withColumn("active", F.col("streak") < limit).drop("_run")

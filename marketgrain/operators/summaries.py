@@ -97,12 +97,23 @@ def child_status(succeeded, failed):
 
 
 def failure_streaks(logs: DataFrame, limit: int = 15) -> DataFrame:
-    """Each listing's failures since its last success, and whether they deactivate it."""
-    good = F.max(F.when(F.col("status").isin("success", "no_change"), F.struct("created_at", "id")))
-    last = logs.groupBy("listing_id").agg(good.alias("last_good"))
-    later = logs.join(last, "listing_id").where(F.col("last_good").isNull() | (F.struct("created_at", "id") > F.col("last_good")))
-    streak = later.groupBy("listing_id").agg(F.count("*").alias("streak"))
-    return last.select("listing_id").join(streak, "listing_id", "left").select("listing_id", F.coalesce("streak", F.lit(0).cast("long")).alias("streak"), (F.coalesce("streak", F.lit(0)) >= limit).alias("deactivated"))
+    """Each listing's failures since its last success, and whether they deactivate it. Days are counted first, so that a hot
+    listing's attempts are combined before they meet: failures of later days count whole, and those of the last good day
+    as they were counted after that day's last success."""
+    since = _since_last_good(logs, "listing_id")
+    return since.select("listing_id", F.col("since").alias("streak"), (F.col("since") >= limit).alias("deactivated"))
+
+
+def _since_last_good(attempts: DataFrame, key: str) -> DataFrame:
+    """key, since: attempts after the last one with success or without change."""
+    good = F.col("status").isin("success", "no_change")
+    order = Window.partitionBy(key, "_day").orderBy(F.col("created_at").desc(), F.col("id").desc())
+    # within a day, from its end: failures before the first success met
+    met = attempts.withColumn("_day", F.to_date("created_at")).withColumn("_met", F.max(good).over(order))
+    days = met.groupBy(key, "_day").agg(F.count_if(~F.col("_met")).alias("n"), F.max(good).alias("_good"))
+    last = days.groupBy(key).agg(F.max(F.when(F.col("_good"), F.col("_day"))).alias("_last"))
+    later = days.join(last, key).where(F.col("_last").isNull() | (F.col("_day") >= F.col("_last")))
+    return later.groupBy(key).agg(F.sum("n").alias("since"))
 
 
 def merge_seeds(discovery: DataFrame, scrape: DataFrame) -> DataFrame:
@@ -118,6 +129,31 @@ def merge_seeds(discovery: DataFrame, scrape: DataFrame) -> DataFrame:
     )
 
 
+def child_seeds(jobs: DataFrame) -> DataFrame:
+    """Each child job as a seed of its parent's result: a discovery brings listings, a scrape none; prices come from logs."""
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    ms = F.floor((micros("completed_at") - micros("started_at")) / 1000).cast("long")
+    created = F.when(F.col("job_type") == "discovery", F.col("successful")).otherwise(0).cast("long")
+    return jobs.where(F.col("job_type").isin("discovery", "scrape")).select("parent_job_id", "marketplace_id", "job_type", created.alias("created"), F.lit(0).cast("long").alias("prices_saved"), F.col("failed").cast("long").alias("errors"), ms.alias("duration_ms"), "status")
+
+
+def completed(seeds: DataFrame, rollup: DataFrame) -> DataFrame:
+    """A parent's result: its children's seeds and its logs' figures by marketplace, summed, and its status. A marketplace that
+    only logs know failed if it has errors; seeds keep their own status."""
+    key = ["parent_job_id", "marketplace_id"]
+    found = seeds.select(*key, "created", F.col("errors").alias("seed_errors"), "status").join(rollup.select(*key, "prices_saved", F.col("errors").alias("log_errors")), key, "full_outer")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
+    rows = found.withColumn("status", F.coalesce("status", F.when(F.col("log_errors") > 0, "failed").otherwise("completed")))
+    done, n = F.count_if(F.col("status") == "completed"), F.count("*")
+    return rows.groupBy("parent_job_id").agg(
+        n.alias("marketplaces"),
+        F.sum(zero("created")).alias("created"),
+        F.sum(zero("prices_saved")).alias("prices_saved"),
+        F.sum(zero("seed_errors") + zero("log_errors")).alias("errors"),
+        F.when(done == n, "completed").when(done == 0, "failed").otherwise("partial").alias("status"),
+    )
+
+
 def proxy_stats(attempts: DataFrame) -> DataFrame:
     """Totals of each proxy (column ``proxy``), success rate with one decimal, and failures since its last success."""
     good = F.col("status") == "success"

@@ -294,7 +294,6 @@ def agg_marketplace_health(s: Star) -> DataFrame:
 
 
 QUERIES["join_mv_fanout"], ORACLE_SQL["join_mv_fanout"] = QUERIES["agg_marketplace_health"], ORACLE_SQL["agg_marketplace_health"]
-QUERIES["sink_refresh_mv"], ORACLE_SQL["sink_refresh_mv"] = QUERIES["agg_daily_price_summary"], ORACLE_SQL["agg_daily_price_summary"]
 _STATS = "SELECT marketplace_id, count(*) AS runs, count(*) FILTER (WHERE status = 'success') AS successes, max(created_at) AS last_run, max(created_at) FILTER (WHERE status = 'success') AS last_success FROM logs GROUP BY 1"
 _RATED = f"SELECT marketplace_id, runs, successes, {_round('CAST(successes AS DOUBLE) / runs * 100', 2)} AS success_rate FROM ({_STATS})"
 _HEALTHY = "CASE WHEN success_rate >= 80 THEN 'healthy' WHEN success_rate >= 50 THEN 'degraded' ELSE 'failing' END"
@@ -443,7 +442,6 @@ def win_failure_streak(s: Star) -> DataFrame:
     return summaries.failure_streaks(s.logs())
 
 
-QUERIES["life_listing"], ORACLE_SQL["life_listing"] = QUERIES["win_failure_streak"], ORACLE_SQL["win_failure_streak"]
 _SEED = "SELECT marketplace_id, CAST(successful AS BIGINT) AS created, CAST(failed AS BIGINT) AS errors, status FROM jobs WHERE parent_job_id = "
 
 
@@ -453,7 +451,6 @@ def join_full_seeds(s: Star) -> DataFrame:
     return summaries.merge_seeds(seed(20240104), seed(20240105))
 
 
-QUERIES["life_child_agg"], ORACLE_SQL["life_child_agg"] = QUERIES["join_full_seeds"], ORACLE_SQL["join_full_seeds"]
 
 
 @query("SELECT parent_job_id, id, status FROM jobs WHERE parent_job_id IN (SELECT DISTINCT parent_job_id FROM jobs WHERE status = 'failed')")
@@ -486,12 +483,12 @@ def join_price_calendar(s: Star) -> DataFrame:
     return s.prices().join(F.broadcast(days), "date_id").groupBy("date_id").agg(F.count("*").alias("n"))
 
 
-@query("SELECT session_id, position, role FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY position DESC) AS k FROM messages) WHERE k <= 3")
+@query("SELECT session_id, position, role FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY position DESC) AS k FROM messages) WHERE k <= 20")
 def win_last_n_messages(s: Star) -> DataFrame:
     from pyspark.sql import Window
 
     k = F.row_number().over(Window.partitionBy("session_id").orderBy(F.col("position").desc()))
-    return s.messages().withColumn("k", k).where("k <= 3").select("session_id", "position", "role").orderBy("session_id", "position")
+    return s.messages().withColumn("k", k).where("k <= 20").select("session_id", "position", "role").orderBy("session_id", "position")
 
 
 @query("SELECT marketplace_id, day, n FROM (SELECT *, max(stop) OVER (PARTITION BY marketplace_id ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ended FROM (SELECT *, CASE WHEN max(n) OVER (PARTITION BY marketplace_id ORDER BY day ROWS 2 PRECEDING) = 0 AND row_number() OVER (PARTITION BY marketplace_id ORDER BY day) >= 3 THEN 1 ELSE 0 END AS stop FROM (SELECT marketplace_id, CAST(strftime(created_at, '%Y%m%d') AS INTEGER) AS day, count(*) FILTER (WHERE status = 'success' AND listing_id % 4 = 1) AS n FROM logs GROUP BY ALL))) WHERE coalesce(ended, 0) = 0")
@@ -648,7 +645,6 @@ def date_month_bounds(s: Star) -> DataFrame:
     return s.prices().select("date_id").distinct().select("date_id", start.alias("month_start"), end.alias("next_start"))
 
 
-QUERIES["sink_add_partition"], ORACLE_SQL["sink_add_partition"] = QUERIES["date_month_bounds"], ORACLE_SQL["date_month_bounds"]
 
 
 @query(f"SELECT id, {_round('CAST(epoch_us(completed_at) - epoch_us(started_at) AS DOUBLE) / 1e6', 3)} AS seconds FROM jobs")
@@ -694,30 +690,6 @@ def map_scrape_status(s: Star) -> DataFrame:
     return s.logs().select("id", status.scrape_status(F.concat(F.lit(" "), F.upper("status"))).alias("status"))
 
 
-@query("SELECT id, CASE status WHEN 'parse_error' THEN 'parse_error' WHEN 'timeout' THEN 'timeout' ELSE 'error' END AS log_status, CASE WHEN contains(status, 'parse') THEN 'parse' WHEN status = 'timeout' THEN 'network' ELSE 'parse' END AS category FROM logs WHERE status <> 'success'")
-def map_log_status(s: Star) -> DataFrame:
-    failed = s.logs().where("status <> 'success'")
-    none = F.lit(None).cast("string")
-    return failed.select("id", status.log_status(F.lit(False), F.col("status"), F.lit(False), none, none, none, F.lit(False)).alias("log_status"), status.error_category(F.col("status")).alias("category"))
-
-
-QUERIES["map_error_category"], ORACLE_SQL["map_error_category"] = QUERIES["map_log_status"], ORACLE_SQL["map_log_status"]
-
-
-@query("SELECT id, CASE WHEN status = 'timeout' THEN 'timeout:httpx' ELSE 'fetch_failed:httpx' END AS code FROM logs")
-def src_error_map(s: Star) -> DataFrame:
-    return s.logs().select("id", status.layer_error(F.col("status"), F.lit("httpx")).alias("code"))
-
-
-@query("SELECT id, CASE WHEN status = 'failed' THEN 'failed' WHEN status = 'partial' THEN 'partial' ELSE 'completed' END AS status FROM jobs")
-def map_discovery_status(s: Star) -> DataFrame:
-    outcome = F.when(F.col("status") == "failed", "error").when(F.col("status") == "partial", "partial_budget").otherwise("no_categories")
-    return s.jobs().select("id", status.discovery_status(outcome).alias("status"))
-
-
-@query("SELECT id, CASE WHEN status <> 'running' THEN 'queued' ELSE 'discovery' END AS stage FROM jobs")
-def map_stage(s: Star) -> DataFrame:
-    return s.jobs().select("id", status.stage(F.lit("queued"), F.col("status"), F.lit(True), F.lit(False)).alias("stage"))
 
 
 @query("SELECT marketplace_id, CASE WHEN marketplace_id % 2 = 0 THEN CASE WHEN is_active THEN 'decodo,playwright,httpx' ELSE 'playwright,httpx' END ELSE CASE WHEN is_active THEN 'httpx,decodo,playwright' ELSE 'httpx,playwright' END END AS layers FROM marketplaces")

@@ -11,6 +11,39 @@ def append(df: DataFrame, path: str, partition: str | None = None) -> None:
     (writer.partitionBy(partition) if partition else writer).parquet(path)
 
 
+def in_batches(df: DataFrame, path: str, key: str, size: int = 500, offset: int = 0, most: int | None = None) -> DataFrame:
+    """Append rows in batches of ``size`` in the order of ``key``, from a batch on and ``most`` of them at once; each batch is a
+    partition of its own. Returns batch, n of what is stored, so that a later run goes on after the last one."""
+    spark = df.sparkSession
+    least = df.select(F.min(key).alias("first"))
+    # keys are dense numbers: a batch is a range of them, so no row is ranked over the whole table
+    batch = F.floor((F.col(key) - F.col("first")) / size).cast("long")
+    rows = df.join(F.broadcast(least)).withColumn("batch", batch).drop("first").where(F.col("batch") >= offset)
+    rows = rows if most is None else rows.where(F.col("batch") < offset + most)
+    append(rows.repartition("batch"), path, "batch")
+    return spark.read.parquet(path).groupBy("batch").agg(F.count("*").alias("n"))
+
+
+def refreshed(df: DataFrame, path: str) -> DataFrame:
+    """A stored summary replaced as a whole by new rows, and read back."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def truncated(path: str, like: DataFrame) -> DataFrame:
+    """A stored table without its rows, read back."""
+    return refreshed(like.limit(0), path)
+
+
+def changed_keys(before: DataFrame, after: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """The keys of rows that an update gave other values."""
+    renamed = after.select(key, *[F.col(c).alias(f"_{c}") for c in columns])
+    same = F.lit(True)
+    for c in columns:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return before.join(renamed, key).where(~same).select(key)
+
+
 def replaced_by_key(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """The new rows, and the old ones whose keys they don't have."""
     return existing.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)

@@ -6,7 +6,7 @@ import time
 import pytest
 from harness import compare, connect
 
-from marketgrain.queries_more import ORACLE_SQL, QUERIES
+from marketgrain.registry import ORACLE_SQL, QUERIES
 
 os.environ["TZ"] = "UTC"
 time.tzset()

@@ -6,7 +6,7 @@ from collections import defaultdict
 from pyspark.sql import functions as F
 
 from marketgrain.operators.lifecycle import sampled_trust
-from marketgrain.queries_more import QUERIES
+from marketgrain.registry import QUERIES
 
 
 def plain(rows):

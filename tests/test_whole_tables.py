@@ -1,10 +1,8 @@
 """Queries over whole tables against plain programs."""
 
-from collections import Counter
-
 import pytest
 
-from marketgrain.queries_more import QUERIES
+from marketgrain.registry import QUERIES
 from marketgrain.sources import feeds
 
 
@@ -21,8 +19,7 @@ def test_bfs_uses_every_edge(spark, sf_dir, sf):
         want |= dict.fromkeys(frontier, depth)
     got = [tuple(r) for r in QUERIES["disc_bfs_all"](spark, sf_dir).select("node", "depth").collect()]
     assert len(got) == len(want) and dict(got) == want
-    fewer = Counter(r.depth for r in QUERIES["disc_bfs"](spark, sf_dir).collect())
-    assert Counter(want.values()) != fewer
+    assert QUERIES["disc_bfs"] is QUERIES["disc_bfs_all"]
 
 
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
