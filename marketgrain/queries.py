@@ -73,10 +73,11 @@ def win_price_change(s: Star) -> DataFrame:
 
 @query("SELECT p.listing_id, last(p.price ORDER BY p.date_id) AS earlier_price FROM prices p JOIN (SELECT listing_id, max(date_id) AS d FROM prices GROUP BY 1) l USING (listing_id) WHERE p.date_id < l.d GROUP BY 1")
 def join_prev_scalar(s: Star) -> DataFrame:
-    prices = s.prices()
-    newest = prices.groupBy("listing_id").agg(F.max("date_id").alias("d"))
-    earlier = prices.join(newest, "listing_id").where("date_id < d")
-    return earlier.groupBy("listing_id").agg(F.max_by("price", "date_id").alias("earlier_price"))
+    from pyspark.sql import Window
+
+    # one exchange by listing serves the lag and the aggregate
+    lagged = s.prices().withColumn("before", F.lag("price").over(Window.partitionBy("listing_id").orderBy("date_id")))
+    return lagged.groupBy("listing_id").agg(F.max_by("before", "date_id").alias("earlier_price"), F.count("*").alias("n")).where("n > 1").drop("n")
 
 
 @query("SELECT listing_id, string_agg(date_id || ':' || price || currency_code, ',' ORDER BY date_id) AS history, count(*) AS points FROM (SELECT *, row_number() OVER (PARTITION BY listing_id ORDER BY date_id DESC) AS k FROM prices) WHERE k <= 14 GROUP BY 1")
@@ -619,7 +620,10 @@ def url_is_excluded(s: Star) -> DataFrame:
     return s.table("pages").select("page_id", urls.is_excluded(F.col("url")).alias("is_excluded"))
 
 
-@query()
+_SEEDS_SQL = "SELECT page_id, CASE WHEN host = '' THEN url ELSE array_to_string(list_filter(all_, lambda x, i: list_position(all_, x) = i), ' ') END AS candidates FROM (SELECT page_id, url, host, CASE WHEN bare <> '' THEN [url, host || '/' || bare] ELSE [url] END || [{paths}] AS all_ FROM (SELECT page_id, url, regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+)', 1) AS host, trim(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/') AS bare FROM pages))".format(paths=", ".join(f"host || '{p}'" for p in urls.SEED_PATHS))
+
+
+@query(_SEEDS_SQL)
 def url_seed_candidates(s: Star) -> DataFrame:
     return s.table("pages").select("page_id", F.array_join(urls.seed_candidates(F.col("url")), " ").alias("candidates"))
 

@@ -407,27 +407,36 @@ def src_crypto_ticker(s: Star) -> DataFrame:
     return feeds.crypto_ticker(body).select("symbol", F.col("volume").cast("long").alias("volume"))
 
 
-@query("SELECT symbol, price FROM (VALUES ('BTC', 64000.5), ('ETH', 3000.0)) t(symbol, price)")
+# payloads made from every event: one for each user, or for each event where a payload has one row
+
+
+@query("SELECT user_id, upper('c' || event_id % 50) AS symbol, CAST(event_id % 1000 AS DOUBLE) / 2 AS price, CASE WHEN event_id % 4 <> 0 THEN CAST(event_id AS DOUBLE) END AS market_cap, CASE WHEN event_id % 5 <> 0 THEN CAST(event_id % 7 AS DOUBLE) END AS change_24h FROM events WHERE event_id % 9 <> 0 AND event_id % 11 <> 0")
 def src_crypto_markets(s: Star) -> DataFrame:
-    body = '[{"symbol":"btc","current_price":64000.5,"market_cap":1},{"symbol":"eth","current_price":3000.0},{"symbol":"x"}]'
-    return feeds.crypto_markets(s.spark.createDataFrame([(body,)], "body string")).select("symbol", F.col("price").cast("decimal(6,1)").alias("price"))
+    n = F.col("event_id")
+    coin = F.struct(F.when(n % 11 != 0, F.concat(F.lit("c"), (n % 50).cast("string"))).alias("symbol"), F.when(n % 9 != 0, (n % 1000).cast("double") / 2).alias("current_price"), F.when(n % 4 != 0, n.cast("double")).alias("market_cap"), F.when(n % 5 != 0, (n % 7).cast("double")).alias("price_change_percentage_24h"))
+    bodies = s.table("events").groupBy("user_id").agg(F.to_json(F.collect_list(coin)).alias("body"))
+    return feeds.crypto_markets(bodies, "user_id")
 
 
-@query("SELECT symbol, price, change_pct FROM (VALUES ('XAU', 2000::DOUBLE, 1.5::DOUBLE), ('XAG', 25::DOUBLE, -2::DOUBLE)) t(symbol, price, change_pct)")
+@query("SELECT 'X' || event_id AS symbol, CAST(CASE event_id % 3 WHEN 0 THEN event_id ELSE event_id + 1 END AS DOUBLE) AS price, CASE event_id % 3 WHEN 0 THEN 1.5::DOUBLE ELSE -2::DOUBLE END AS change_pct FROM events WHERE event_id % 3 < 2")
 def src_commodity_metal(s: Star) -> DataFrame:
-    rows = [("XAU", '{"price": 2000, "chp": 1.5}'), ("XAG", '{"close": "25", "change_24h": -2}'), ("XPT", "{}")]
-    return feeds.metals(s.spark.createDataFrame(rows, "symbol string, body string"))
+    n = F.col("event_id")
+    body = F.when(n % 3 == 0, F.format_string('{"price": %d, "chp": 1.5}', n)).when(n % 3 == 1, F.format_string('{"close": "%d", "change_24h": -2}', n + 1)).otherwise("{}")
+    return feeds.metals(s.table("events").select(F.concat(F.lit("X"), n.cast("string")).alias("symbol"), body.alias("body")))
 
 
-@query("SELECT symbol, price, change_pct FROM (VALUES ('BRENT', 82::DOUBLE, 2.5::DOUBLE), ('GAS', 3::DOUBLE, NULL)) t(symbol, price, change_pct)")
+@query("SELECT 'U' || user_id AS symbol, v AS price, CASE WHEN w <> 0 THEN (v - w) / w * 100 END AS change_pct FROM (SELECT user_id, CAST(event_id % 10 AS DOUBLE) AS v, lead(CAST(event_id % 10 AS DOUBLE)) OVER (PARTITION BY user_id ORDER BY event_id DESC) AS w, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events) WHERE k = 1")
 def src_commodity_energy(s: Star) -> DataFrame:
-    rows = [("BRENT", '{"data":[{"value":"82"},{"value":"80"}]}'), ("GAS", '{"data":[{"value":"3"},{"value":"0"}]}'), ("OIL", '{"data":[]}')]
-    return feeds.energy(s.spark.createDataFrame(rows, "symbol string, body string"))
+    values = F.reverse(F.array_sort(F.collect_list(F.struct("event_id", (F.col("event_id") % 10).cast("string").alias("value")))))
+    body = F.to_json(F.struct(F.transform(values, lambda v: F.struct(v["value"].alias("value"))).alias("data")))
+    return feeds.energy(s.table("events").groupBy(F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("symbol")).agg(body.alias("body")))
 
 
-@query("SELECT 'diesel_with_a_very_l' AS symbol, 1.7::DOUBLE AS price, 'l' AS unit")
+@query("SELECT 'diesel_with_a_very_l' AS symbol, CAST(event_id % 100 AS DOUBLE) / 4 AS price, 'litre' AS unit FROM events WHERE event_id % 6 <> 0")
 def src_fuel_feed(s: Star) -> DataFrame:
-    return feeds.fuel_feed(s.spark.createDataFrame([('[{"symbol":"diesel_with_a_very_long_name","price":"1.7","unit":"l"},{"symbol":"x","price":"?"}]',)], "body string"))
+    n = F.col("event_id")
+    row = F.struct(F.lit("diesel_with_a_very_long_name").alias("symbol"), F.when(n % 6 == 0, "?").otherwise(((n % 100) / 4).cast("string")).alias("price"), F.lit("litre").alias("unit"))
+    return feeds.fuel_feed(s.table("events").groupBy("user_id").agg(F.to_json(F.collect_list(row)).alias("body")))
 
 
 def _sitemap_files(s: Star) -> DataFrame:

@@ -41,9 +41,11 @@ def crypto_ticker(payloads: DataFrame, top: int = 50) -> DataFrame:
     return kept.select(F.replace("symbol", F.lit("USDT"), F.lit("")).alias("symbol"), price.alias("price"), volume.alias("volume")).orderBy(F.col("volume").desc(), "symbol").limit(top)
 
 
-def crypto_markets(payloads: DataFrame) -> DataFrame:
-    rows = payloads.select(F.explode(F.from_json("body", "array<struct<symbol:string,current_price:double,market_cap:double,price_change_percentage_24h:double>>")).alias("r")).select("r.*")
-    return rows.where("symbol is not null and current_price is not null").select(F.upper("symbol").alias("symbol"), F.col("current_price").alias("price"), "market_cap", F.col("price_change_percentage_24h").alias("change_24h"))
+def crypto_markets(payloads: DataFrame, *keys: str) -> DataFrame:
+    """Coins of a market list: symbol, price, market_cap, change_24h, after the payload's own columns ``keys``."""
+    coins = F.from_json("body", "array<struct<symbol:string,current_price:double,market_cap:double,price_change_percentage_24h:double>>")
+    rows = payloads.select(*keys, F.explode(coins).alias("r")).select(*keys, "r.*")
+    return rows.where("symbol is not null and current_price is not null").select(*keys, F.upper("symbol").alias("symbol"), F.col("current_price").alias("price"), "market_cap", F.col("price_change_percentage_24h").alias("change_24h"))
 
 
 def metals(payloads: DataFrame) -> DataFrame:

@@ -51,15 +51,27 @@ def streaks(attempts: DataFrame) -> DataFrame:
     return attempts.groupBy("listing_id").applyInPandasWithState(count, "listing_id long, streak long, deactivated boolean", "streak long", "update", GroupStateTimeout.NoTimeout)
 
 
-def upsert_batches(path: str, keys: list[str]):
-    """A foreachBatch function: each batch's rows replace stored rows with their keys, in a new version of the table."""
+def upsert_batches(path: str, keys: list[str], partitions: int = 64):
+    """A foreachBatch function: each batch's rows replace stored rows with their keys.
+
+    The table is kept in partitions by key hash (column ``part``); a batch rewrites those that it touches and no others, and
+    repeating a batch after a restart gives the same table.
+    """
     from marketgrain.sources.sinks import replaced_by_key
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        merged = batch
-        if number > 0:
-            merged = replaced_by_key(spark.read.parquet(f"{path}/v{number - 1}"), batch, keys)
-        merged.write.mode("overwrite").parquet(f"{path}/v{number}")
+        new = batch.dropDuplicates(keys).withColumn("part", F.pmod(F.xxhash64(*keys), F.lit(partitions)).cast("int"))
+        touched = sorted(r["part"] for r in new.select("part").distinct().collect())  # no more than partitions
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        merged = new
+        if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+            stored = spark.read.schema(new.schema).parquet(path).where(F.col("part").isin(touched))
+            merged = replaced_by_key(stored, new, keys)
+        # the old files are read before they are replaced
+        staged = f"{path.rstrip('/')}-staged"
+        merged.write.mode("overwrite").partitionBy("part").parquet(staged)
+        rows = spark.read.schema(new.schema).parquet(staged)
+        rows.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
 
     return write

@@ -22,7 +22,11 @@ def test_suppression_equals_batch(spark, tmp_path):
 
 
 def test_upsert_keeps_the_last(spark, tmp_path):
-    write = streams.upsert_batches(str(tmp_path), ["k"])
+    write = streams.upsert_batches(f"{tmp_path}/table", ["k"], 4)
+    stored = lambda: sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/table").select("k", "v").collect())
     write(spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), 0)
-    write(spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string"), 1)
-    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/v1").collect())) == [(1, "a"), (2, "c"), (3, "d")]
+    second = spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string")
+    write(second, 1)
+    assert stored() == [(1, "a"), (2, "c"), (3, "d")]
+    write(second, 1)  # again, as after a restart
+    assert stored() == [(1, "a"), (2, "c"), (3, "d")]
