@@ -76,13 +76,15 @@ def sampled_trust(urls: DataFrame, seed: int = 7, small: int = 100, sample: int
     two every URL is judged."""
     from pyspark.sql import Window
 
-    w = Window.partitionBy("group").orderBy(F.xxhash64("url", F.lit(seed)), "url")
-    ranked = urls.withColumn("_k", F.row_number().over(w))
+    placed = urls.withColumn("_place", F.struct(F.xxhash64("url", F.lit(seed)).alias("h"), F.col("url").alias("url")))
     product = F.col("role") == "product"
-    per = ranked.groupBy("group").agg(F.count("*").alias("n"), F.avg(F.when(F.col("_k") <= sample, product.cast("double"))).alias("ratio"))
-    joined = ranked.join(per, "group")
-    taken = F.when(F.col("n") <= small, product).when(F.col("ratio") >= 0.8, F.lit(True)).when(F.col("ratio") < 0.2, product & (F.col("_k") <= sample)).otherwise(product)
-    return joined.withColumn("taken", taken).drop("_k", "n", "ratio")
+    # only the first rows of each group are ranked: the limit is applied before the shuffle too
+    first = placed.withColumn("_k", F.row_number().over(Window.partitionBy("group").orderBy("_place"))).where(F.col("_k") <= sample)
+    drawn = first.groupBy("group").agg(F.avg(product.cast("double")).alias("ratio"), F.max("_place").alias("_cut"))
+    per = urls.groupBy("group").agg(F.count("*").alias("n")).join(drawn, "group")
+    joined = placed.join(per, "group")
+    taken = F.when(F.col("n") <= small, product).when(F.col("ratio") >= 0.8, F.lit(True)).when(F.col("ratio") < 0.2, product & (F.col("_place") <= F.col("_cut"))).otherwise(product)
+    return joined.withColumn("taken", taken).drop("_place", "_cut", "n", "ratio")
 
 
 def reachable(edges: DataFrame, roots: DataFrame, depth: int = 3) -> DataFrame:
