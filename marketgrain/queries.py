@@ -230,11 +230,6 @@ def topk_current_or_latest(s: Star) -> DataFrame:
     return s.jobs().orderBy(F.when(F.col("status") == "running", 0).otherwise(1), F.col("started_at").desc_nulls_last(), "id").limit(1).select("id", "status")
 
 
-@query("SELECT id, status FROM logs WHERE status = 'success' ORDER BY created_at DESC, id LIMIT 5")
-def topk_recent_logs(s: Star) -> DataFrame:
-    return s.logs().where("status = 'success'").orderBy(F.col("created_at").desc(), "id").limit(5).select("id", "status")
-
-
 @query("SELECT marketplace_code FROM marketplaces WHERE is_active ORDER BY 1")
 def sort_queue(s: Star) -> DataFrame:
     return s.marketplaces().where("is_active").select("marketplace_code").orderBy("marketplace_code")

@@ -140,8 +140,7 @@ def md_instruments(s: Star) -> DataFrame:
     return market.instruments(_coins(s)).select("symbol", F.col("position").cast("long").alias("position"))
 
 
-for _name in ("sort_instruments", "win_rank_from_order"):
-    _same(_name, "md_instruments")
+_same("sort_instruments", "md_instruments")
 _GOODS = "(SELECT CAST(strftime(o_orderdate, '%Y%m%d') AS INTEGER) AS date_id, CASE o_custkey % 4 WHEN 0 THEN 'XAU' WHEN 1 THEN 'XAG' WHEN 2 THEN 'BRENT' ELSE 'GAS' END AS symbol, o_orderpriority AS source, CAST(max(o_totalprice) AS DECIMAL(12,2)) AS price FROM orders GROUP BY ALL)"
 _GOODS_NEW = f"(SELECT symbol, price FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY source) AS k FROM {_GOODS} WHERE date_id = (SELECT max(date_id) FROM {_GOODS})) WHERE k = 1)"
 
@@ -306,13 +305,6 @@ def life_reconcile(s: Star) -> DataFrame:
     return lifecycle.waiting_children(s.jobs(), s.now()).select("id")
 
 
-@query(f"SELECT id, {_AGE('greatest(started_at, completed_at)')} > 1800 AS stale FROM jobs, as_of")
-def life_stale_pipeline(s: Star) -> DataFrame:
-    none = F.lit(None).cast("timestamp")
-    stale = lifecycle.stale_pipeline(F.lit("scrape"), none, F.col("completed_at").cast("timestamp"), F.col("started_at").cast("timestamp"), F.col("now"))
-    return s.jobs().join(F.broadcast(s.now())).select("id", stale.alias("stale"))
-
-
 @query("SELECT id, greatest(started_at, completed_at) AS last_activity FROM jobs")
 def life_activity(s: Star) -> DataFrame:
     return s.jobs().select("id", F.greatest("started_at", "completed_at").alias("last_activity"))
@@ -365,9 +357,6 @@ def src_pk_lookup(s: Star) -> DataFrame:
     return s.table("part").where(F.col("p_partkey").isin(1, 5, 77)).select("p_partkey", "p_name")
 
 
-_same("src_catalog_list", "agg_table_counts")
-
-
 def _forex_payload(s: Star) -> DataFrame:
     pairs = s.rates().where("date_id = 20240102 and source = 'feed_a'").groupBy().agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("currency_code", (F.col("rate_to_usd") * 2).cast("string"))))).alias("rates"))
     return pairs.select(F.to_json(F.struct(F.lit("EUR").alias("base"), F.map_concat("rates", F.create_map(F.lit("BAD"), F.lit("n/a"))).alias("rates"))).alias("body"))
@@ -379,9 +368,6 @@ def src_forex_feed(s: Star) -> DataFrame:
     return feed.select("pair", money.rounded(F.col("bid"), 6).alias("bid"), money.rounded(F.col("ask"), 6).alias("ask"))
 
 
-_same("src_forex_feed_alt", "src_forex_feed")
-
-
 @query(f"SELECT 'EUR/' || currency_code AS pair, {_round('CAST(rate_to_usd * 2 AS DOUBLE)', 6)} AS rate FROM rates WHERE date_id = 20240102 AND source = 'feed_a'")
 def src_feed_normalise(s: Star) -> DataFrame:
     return feeds.base_rates(feeds.forex_feed(_forex_payload(s)), "EUR")

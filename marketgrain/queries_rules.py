@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketgrain.functions import money, status, text
+from marketgrain.functions.money import rounded
 from marketgrain.operators import lifecycle, pool, summaries
 from marketgrain.queries import query
 from marketgrain.queries_more import _FACTORS, _round
-from marketgrain.sources import sinks
+from marketgrain.sources import feeds, sinks
 from marketgrain.sources.folders import fresh_folder
 from marketgrain.sources.star import Star
 
@@ -137,6 +138,67 @@ def disc_window(s: Star) -> DataFrame:
     return lists.select("g", lifecycle.harvest_window(F.col("saved"), start, late).alias("w")).select("g", "w.read", "w.next_index", "w.more")
 
 
+_NOW_STAGE, _NOW_STAGE_SQL = _pick("id", ["queued", "dispatching", "scrape", None])
+
+
+@query(f"SELECT id, epoch(date_trunc('second', now)) - epoch(date_trunc('second', greatest(beat, log, started_at))) > CASE stage WHEN 'queued' THEN 300 WHEN 'dispatching' THEN 600 ELSE 1800 END AS stale FROM (SELECT id, {_NOW_STAGE_SQL} AS stage, started_at, CASE WHEN id % 3 = 0 THEN now - INTERVAL 7 MINUTE END AS beat, CASE WHEN id % 5 = 0 THEN now - INTERVAL 4 MINUTE WHEN id % 5 = 1 THEN now - INTERVAL 25 MINUTE END AS log, now FROM jobs, as_of)")
+def life_stale_pipeline(s: Star) -> DataFrame:
+    n, now = F.col("id"), F.col("now").cast("timestamp")
+    ago = lambda m: now - F.make_interval(mins=F.lit(m))
+    beat, log = F.when(n % 3 == 0, ago(7)), F.when(n % 5 == 0, ago(4)).when(n % 5 == 1, ago(25))
+    stale = lifecycle.stale_pipeline(_NOW_STAGE(), beat, log, F.col("started_at").cast("timestamp"), now)
+    return s.jobs().join(F.broadcast(s.now())).select("id", stale.alias("stale"))
+
+
+# --- catalog, feeds in another form, reports --------------------------------------------------------------------------------
+
+_TABLES = ("dim_region", "dim_nation", "fact_lineitem", "fact_events", "stage_orders")
+
+
+@query("SELECT name, count(*) AS columns FROM (SELECT CASE WHEN table_name IN ('region', 'nation') THEN 'dim_' ELSE 'fact_' END || table_name AS name FROM information_schema.columns WHERE table_name IN ('region', 'nation', 'lineitem', 'events')) GROUP BY 1")
+def src_catalog_list(s: Star) -> DataFrame:
+    """The dimension and fact tables that the catalog lists, and how many columns each has."""
+    for name in _TABLES:
+        s.table(name.partition("_")[2]).createOrReplaceTempView(name)
+    catalog = s.spark.catalog
+    listed = [t.name for t in catalog.listTables() if t.name in _TABLES and t.name.startswith(("dim_", "fact_"))]
+    return s.spark.createDataFrame([(name, len(catalog.listColumns(name))) for name in sorted(listed)], "name string, columns long")
+
+
+@query(f"SELECT 'EUR/' || currency_code AS pair, {_round('CAST(rate_to_usd AS DOUBLE)', 6)} AS bid, {_round('CAST(rate_to_usd AS DOUBLE) + 0.0001', 6)} AS ask, date_id FROM rates WHERE source = 'feed_b'")
+def src_forex_feed_alt(s: Star) -> DataFrame:
+    """The second provider's payloads, one a date, which carry an amount and the date beside base and rates."""
+    entries = F.map_from_entries(F.array_sort(F.collect_list(F.struct("currency_code", F.col("rate_to_usd").cast("string")))))
+    days = s.rates().where("source = 'feed_b'").groupBy("date_id").agg(entries.alias("rates"))
+    body = F.to_json(F.struct(F.lit(1.0).alias("amount"), F.lit("EUR").alias("base"), F.col("date_id").cast("string").alias("date"), F.map_concat("rates", F.create_map(F.lit("BAD"), F.lit("-1"))).alias("rates")))
+    feed = feeds.forex_feed(days.select("date_id", body.alias("body")), "date_id")
+    return feed.select("pair", rounded(F.col("bid"), 6).alias("bid"), rounded(F.col("ask"), 6).alias("ask"), "date_id")
+
+
+@query("SELECT user_id, 'c' || event_id % 90 AS symbol, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rank FROM events")
+def win_rank_from_order(s: Star) -> DataFrame:
+    """Ranks from the places in each payload's list."""
+    coins = F.array_sort(F.collect_list(F.struct("event_id", F.concat(F.lit("c"), (F.col("event_id") % 90).cast("string")).alias("symbol"))))
+    bodies = s.table("events").groupBy("user_id").agg(F.to_json(F.transform(coins, lambda c: F.struct(c["symbol"].alias("symbol")))).alias("body"))
+    rows = bodies.select("user_id", F.posexplode(F.from_json("body", "array<struct<symbol:string>>")).alias("place", "r"))
+    return rows.select("user_id", "r.symbol", (F.col("place") + 1).cast("long").alias("rank"))
+
+
+_RECENT = "(SELECT '{0}' AS report, id, created_at FROM logs{1} ORDER BY created_at DESC, id DESC LIMIT {2})".format
+
+
+@query("SELECT report, id FROM " + _RECENT("last five", "", 5) + " UNION ALL SELECT report, id FROM " + _RECENT("last thirty", "", 30) + " UNION ALL SELECT report, id FROM " + _RECENT("last success", " WHERE status = 'success'", 1) + " UNION ALL SELECT report, id FROM " + _RECENT("last audits", " WHERE status = 'timeout'", 50))
+def topk_recent_logs(s: Star) -> DataFrame:
+    """The newest logs that the status, diagnostics and audit reports show."""
+
+    def report(name: str, rows: DataFrame, n: int) -> DataFrame:
+        return rows.orderBy(F.col("created_at").desc(), F.col("id").desc()).limit(n).select(F.lit(name).alias("report"), "id")
+
+    logs = s.logs()
+    parts = [report("last five", logs, 5), report("last thirty", logs, 30), report("last success", logs.where("status = 'success'"), 1), report("last audits", logs.where("status = 'timeout'"), 50)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
 # --- relay and users ----------------------------------------------------------------------------------------------------------
 
 

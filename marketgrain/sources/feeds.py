@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 
-def forex_feed(payloads: DataFrame) -> DataFrame:
-    """``{"base": ..., "rates": {code: rate}}`` in column ``body``: pair, bid, ask (bid + 0.0001), spread."""
-    parsed = payloads.select(F.from_json("body", "base string, rates map<string,string>").alias("p"))
-    rows = parsed.select(F.col("p.base").alias("base"), F.explode("p.rates").alias("code", "text"))
+def forex_feed(payloads: DataFrame, *keys: str) -> DataFrame:
+    """``{"base": ..., "rates": {code: rate}}`` in column ``body``: pair, bid, ask (bid + 0.0001), spread, after the columns ``keys``."""
+    parsed = payloads.select(*keys, F.from_json("body", "base string, rates map<string,string>").alias("p"))
+    rows = parsed.select(*keys, F.col("p.base").alias("base"), F.explode("p.rates").alias("code", "text"))
     rate = F.col("text").try_cast("double")
-    return rows.where(rate > 0).select(F.concat("base", F.lit("/"), "code").alias("pair"), rate.alias("bid"), (rate + 0.0001).alias("ask"), F.lit(0.0001).alias("spread"))
+    return rows.where(rate > 0).select(*keys, F.concat("base", F.lit("/"), "code").alias("pair"), rate.alias("bid"), (rate + 0.0001).alias("ask"), F.lit(0.0001).alias("spread"))
 
 
 def base_rates(feed: DataFrame, base: str) -> DataFrame:
