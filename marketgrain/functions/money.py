@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Countries of domain suffixes.
@@ -128,6 +128,7 @@ def marketplace_label(name: Column, domain: Column, country_name: Column) -> Col
 
 
 def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """One row for each key: the first in order."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+    """One row for each key: the first in ascending order, nulls first; of ties the least. A minimum combines before the shuffle."""
+    others = [c for c in df.columns if c not in keys]
+    first = df.groupBy(*keys).agg(F.min(F.struct(*[c.alias(f"o{k}") for k, c in enumerate(order)], *others)).alias("_first"))
+    return first.select(*keys, *[F.col("_first")[c].alias(c) for c in others]).select(*df.columns)

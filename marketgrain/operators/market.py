@@ -19,16 +19,16 @@ def newest(df: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def forex(rates: DataFrame) -> DataFrame:
-    return first_by(newest(rates), ["currency_code"], [F.col("source").asc()])
+    return first_by(newest(rates), ["currency_code"], [F.col("source")])
 
 
 def crypto(prices: DataFrame) -> DataFrame:
     """The newest snapshot's best rank for each symbol; no rank counts as 9999."""
-    return first_by(newest(prices), ["symbol"], [F.coalesce("rank", F.lit(9999)).asc(), F.col("source").asc()])
+    return first_by(newest(prices), ["symbol"], [F.coalesce("rank", F.lit(9999)), F.col("source")])
 
 
 def commodities(prices: DataFrame) -> DataFrame:
-    return first_by(newest(prices), ["symbol"], [F.col("source").asc()])
+    return first_by(newest(prices), ["symbol"], [F.col("source")])
 
 
 def fuel(prices: DataFrame) -> DataFrame:

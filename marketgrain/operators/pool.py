@@ -25,6 +25,13 @@ def latest_changes(prices: DataFrame) -> DataFrame:
     return newest.select("listing_id", "x.date_id", "x.change_pct", "x.price")
 
 
+def priced(star: Star) -> DataFrame:
+    """id, price and currency of the pool's rows, without the histories that changes need."""
+    listings = star.listings().where(F.col("is_active").eqNullSafe(True))
+    known = listings.join(star.products().select("product_id"), "product_id", "left_semi").join(F.broadcast(star.marketplaces().select("marketplace_id")), "marketplace_id", "left_semi")
+    return known.select(F.col("listing_id").alias("id"), F.col("last_price").cast("double").alias("price"), F.col("last_currency_code").alias("currency"))
+
+
 def pool(star: Star, only_active: bool = True) -> DataFrame:
     """Listings with product, marketplace and latest change under their public names. Dimensions are joined by size."""
     listings = star.listings()

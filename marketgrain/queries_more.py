@@ -58,13 +58,13 @@ _FACTORS = f"(SELECT p.*, CASE WHEN p.currency = 'EUR' THEN 1.0 ELSE CAST(r.rate
 
 @query(f"SELECT DISTINCT currency, {_round('e', 8)} AS to_eur, {_round('u', 8)} AS to_usd FROM {_FACTORS}")
 def cur_factor(s: Star) -> DataFrame:
-    rows = money.with_factors(pool.pool(s), money.latest_rates(s.rates()), "currency")
+    rows = money.with_factors(pool.priced(s), money.latest_rates(s.rates()), "currency")
     return rows.select("currency", money.rounded(F.col("to_eur"), 8).alias("to_eur"), money.rounded(F.col("to_usd"), 8).alias("to_usd")).distinct()
 
 
 @query(f"SELECT id, {_round('price * e', 2)} AS eur, {_round('price * u', 2)} AS usd FROM {_FACTORS}")
 def cur_convert(s: Star) -> DataFrame:
-    rows = money.with_factors(pool.pool(s), money.latest_rates(s.rates()), "currency")
+    rows = money.with_factors(pool.priced(s), money.latest_rates(s.rates()), "currency")
     price = F.col("price")
     return rows.select("id", money.rounded(money.converted(price, F.col("to_eur"))).alias("eur"), money.rounded(money.converted(price, F.col("to_usd"))).alias("usd"))
 
@@ -73,13 +73,13 @@ def cur_convert(s: Star) -> DataFrame:
 def cur_convert_any(s: Star) -> DataFrame:
     latest = money.latest_rates(s.rates())
     target = latest.where("currency_code = 'PLN'").select(F.col("rate_to_eur").cast("double").alias("t"))
-    rows = money.with_factors(pool.pool(s), latest, "currency").join(F.broadcast(target))
+    rows = money.with_factors(pool.priced(s), latest, "currency").join(F.broadcast(target))
     return rows.select("id", money.rounded(money.converted(money.converted(F.col("price"), F.col("to_eur")), 1 / F.col("t"))).alias("pln"))
 
 
 @query(f"SELECT id, {_round('price * e', 2)} AS amount, CASE WHEN price * e IS NOT NULL THEN 'EUR' END AS shown, price * e IS NOT NULL AS available, price AS local_amount, currency AS local_shown FROM {_FACTORS}")
 def cur_display_marketplace(s: Star) -> DataFrame:
-    rows = money.with_factors(pool.pool(s), money.latest_rates(s.rates()), "currency")
+    rows = money.with_factors(pool.priced(s), money.latest_rates(s.rates()), "currency")
     show = lambda mode: money.display_price(F.col("price"), F.col("to_eur"), F.col("to_usd"), F.col("currency"), F.col("currency"), F.col("to_eur"), F.lit(mode))
     shown = rows.select("id", show("EUR").alias("x"), show("local").alias("l"))
     return shown.select("id", "x.amount", F.col("x.currency").alias("shown"), "x.available", F.col("l.amount").alias("local_amount"), F.col("l.currency").alias("local_shown"))
@@ -87,7 +87,7 @@ def cur_display_marketplace(s: Star) -> DataFrame:
 
 @query(f"SELECT id, CASE WHEN u IS NOT NULL THEN {_round('price * u', 2)} ELSE price END AS amount, u IS NULL AS no_rate FROM {_FACTORS}")
 def cur_client_resolve(s: Star) -> DataFrame:
-    rows = money.with_factors(pool.pool(s), money.latest_rates(s.rates()), "currency")
+    rows = money.with_factors(pool.priced(s), money.latest_rates(s.rates()), "currency")
     shown = money.rounded(money.converted(F.col("price"), F.col("to_usd")))
     x = money.client_price(F.col("price"), F.col("currency"), shown, F.lit("USD"), shown.isNotNull(), F.lit("USD"))
     return rows.select("id", x.alias("x")).select("id", "x.amount", "x.no_rate")

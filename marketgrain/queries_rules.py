@@ -74,7 +74,7 @@ def map_stage(s: Star) -> DataFrame:
 
 @query(f"SELECT id, {_round('price * e', 2)} AS eur, CASE WHEN price * e IS NOT NULL THEN 'EUR' END AS eur_code, price * e IS NOT NULL AS eur_available, {_round('price * u', 2)} AS usd, CASE WHEN price * u IS NOT NULL THEN 'USD' END AS usd_code, price * u IS NOT NULL AS usd_available FROM {_FACTORS}")
 def cur_display(s: Star) -> DataFrame:
-    rows = money.with_factors(pool.pool(s), money.latest_rates(s.rates()), "currency")
+    rows = money.with_factors(pool.priced(s), money.latest_rates(s.rates()), "currency")
     show = lambda mode: money.display_price(F.col("price"), F.col("to_eur"), F.col("to_usd"), F.col("currency"), F.col("currency"), F.col("to_eur"), F.lit(mode))
     both = rows.select("id", show("EUR").alias("e"), show("USD").alias("u"))
     return both.select("id", *[F.col(f"{c}.{f}").alias(name + more) for c, name in (("e", "eur"), ("u", "usd")) for f, more in (("amount", ""), ("currency", "_code"), ("available", "_available"))])
