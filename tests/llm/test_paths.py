@@ -121,3 +121,30 @@ def test_documents_that_share_an_id(spark):
     shared_ids = spark.createDataFrame([(3, window + " a"), (3, window + " b"), (3, window + " b"), (4, window)], "doc_id long, text string")
     removed = sorted((r.doc_id, r.n_removed) for r in substrings.remove_repeats(shared_ids).collect())
     assert removed in ([(3, 0), (3, 60), (3, 60), (4, 60)], [(3, 0), (3, 0), (3, 60), (4, 60)])
+
+
+def test_identifiers_joined_instead_of_broadcast(spark, monkeypatch):
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([f"x{i}", *base[1:]] if i % 2 else [f"y{i * 7 + k}" for k in range(40)] + base[:25])) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    results = []
+    for most in (500_000, 0):
+        monkeypatch.setattr(neardups, "BROADCAST_IDS", most)
+        monkeypatch.setattr(substrings, "BROADCAST_IDS", most)
+        results.append((sorted(map(tuple, neardups.near_duplicates(docs).collect())), sorted(map(tuple, substrings.remove_repeats(docs).collect())), sorted(map(tuple, substrings.remove_repeats(docs, with_text=False).collect()))))
+    assert results[0] == results[1] and any(r[2] for r in results[0][1])
+
+
+def test_very_long_texts(spark):
+    from marketgrain.llm import decontaminate, packing
+
+    long = " ".join(f"word{i % 5000}" for i in range(200_000))
+    docs = spark.createDataFrame([(1, long), (2, long + " end"), (3, "x" * 500_000)], "doc_id long, text string")
+    byte = public_tokenizers.path("byte_bpe_50k.json")
+    pieces = packing.pack_documents(docs, byte, 1024, 2).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    ids, offsets = encode.encode(pa.array([long, long + " end", "x" * 500_000]), byte)
+    assert {r.doc_id: r.n for r in pieces} == {k + 1: int(offsets[k + 1] - offsets[k]) + 1 for k in range(3)}
+    assert {r.doc_id: r.component_id for r in neardups.near_duplicates(docs).collect()} == {1: 1, 2: 1, 3: 3}
+    assert {r.doc_id: r.n_removed for r in substrings.remove_repeats(docs).collect()} == {1: 195_000, 2: 200_000, 3: 0}
+    items = spark.createDataFrame([(7, " ".join(f"word{i}" for i in range(100, 140)))], "item_id long, text string")
+    assert {r.doc_id: r.n_hit for r in decontaminate.decontaminate(docs, items).collect()} == {1: 1600, 2: 1600, 3: 0}
