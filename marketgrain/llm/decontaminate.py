@@ -29,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketgrain.llm.shared import written
-from marketgrain.llm.textarrays import NOT_ALNUM, grams, text_buffers, word_hashes
+from marketgrain.llm.shared import with_carry, written
+from marketgrain.llm.textarrays import NOT_ALNUM, grams, text_buffers, text_of, word_hashes
 
 WINDOW = 13
 GRAM = 5
@@ -168,11 +168,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_column: str = "doc_id",
     """
     windows = benchmark_windows(items, item_column, item_text_column)
     prints = benchmark_fingerprints(items, item_text_column)
-    carried = F.struct(*[F.col(c) for c in carry]) if carry else F.struct(F.lit(0).alias("none"))
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"), carried.alias("carry"))
+    rows, texts = with_carry(docs, id_column, text_column, carry), lambda batch: text_of(batch, text_column, carry)
     n, id_bytes = windows.agg(F.count("*"), F.sum(F.octet_length("item_id"))).first()
     small = n <= broadcast_windows and (id_bytes or 0) <= BROADCAST_ID_BYTES
-    found = _by_broadcast(rows, windows, prints) if small else _by_shuffle(rows, windows, prints)
+    found = _by_broadcast(rows, texts, windows, prints) if small else _by_shuffle(rows, texts, windows, prints)
     return found.select("*", *[F.col("carry")[c].alias(c) for c in carry]).drop("carry")
 
 
@@ -203,7 +202,7 @@ class _Windows:
         return found
 
 
-def _by_broadcast(rows: DataFrame, windows: DataFrame, prints: DataFrame) -> DataFrame:
+def _by_broadcast(rows: DataFrame, texts, windows: DataFrame, prints: DataFrame) -> DataFrame:
     """``windows`` has been counted: it and the fingerprints, no more than it, are small."""
     table = np.sort(prints.toArrow().column(0).to_numpy().view(np.uint64))
     every = windows.toArrow()
@@ -216,7 +215,7 @@ def _by_broadcast(rows: DataFrame, windows: DataFrame, prints: DataFrame) -> Dat
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, names, by_width = sent.value
         for batch in batches:
-            hashes, offsets = _words(batch.column(1))
+            hashes, offsets = _words(texts(batch))
             starts, widths, items = [], [], {}
             for width, known in by_width.items():
                 if width == WINDOW:
@@ -250,35 +249,35 @@ def _sent_once(rows: np.ndarray, *keys: np.ndarray) -> tuple[list[np.ndarray], p
     return [k[new] for k in keys], pa.ListArray.from_arrays(pa.array(offsets), pa.array(rows))
 
 
-def _by_shuffle(rows: DataFrame, windows: DataFrame, prints: DataFrame) -> DataFrame:
+def _by_shuffle(rows: DataFrame, texts, windows: DataFrame, prints: DataFrame) -> DataFrame:
     """For a benchmark of any size: fingerprints, then the windows around hits, meet the benchmark's in shuffle joins."""
     short = sorted(r[0] for r in windows.where(F.col("width") < WINDOW).select("width").distinct().collect())  # twelve at most
     rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "documents")
 
     def fingerprinted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes, offsets = _words(batch.column(1))
+            hashes, offsets = _words(texts(batch))
             at, values = _window_prints(hashes, offsets)
             own = batch.column(0).to_numpy()[np.searchsorted(offsets, at, "right") - 1]
             (values,), lists = _sent_once(own, values)
             yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), lists], ["fingerprint", "rows"])
 
     # a window whose least gram is one of the benchmark's fingerprints may be an item's
-    sent = rows.select("row", "text").mapInArrow(fingerprinted, "fingerprint long, rows array<long>")
+    sent = rows.select("row", "text", "carry").mapInArrow(fingerprinted, "fingerprint long, rows array<long>")
     near = sent.join(prints, "fingerprint", "left_semi").select(F.explode("rows").alias("row"), "fingerprint")
     marked = near.groupBy("row").agg(F.collect_set("fingerprint").alias("fingerprints"))
 
     def keyed(short_ones: bool):
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                hashes, offsets = _words(batch.column(1))
+                hashes, offsets = _words(texts(batch))
                 for width in short if short_ones else [WINDOW]:
                     first, second, whole = _pairs(hashes, offsets, width)
                     if short_ones:
                         at = np.flatnonzero(whole)
                     else:
                         at, values = _window_prints(hashes, offsets)
-                        wanted = np.unique(batch.column(2).flatten().to_numpy().view(np.uint64))
+                        wanted = np.unique(batch.column("fingerprints").flatten().to_numpy().view(np.uint64))
                         at = at[_is_in(values, wanted)]
                     own = batch.column(0).to_numpy()[np.searchsorted(offsets, at, "right") - 1]
                     (first, second), lists = _sent_once(own, first[at], second[at])
@@ -288,9 +287,9 @@ def _by_shuffle(rows: DataFrame, windows: DataFrame, prints: DataFrame) -> DataF
         return cut
 
     schema = "width int, hash long, hash2 long, rows array<long>"
-    tried = rows.join(marked, "row").select("row", "text", "fingerprints").mapInArrow(keyed(False), schema)
+    tried = rows.join(marked, "row").select("row", "text", "fingerprints", "carry").mapInArrow(keyed(False), schema)
     if short:
-        tried = tried.unionByName(rows.select("row", "text").mapInArrow(keyed(True), schema))
+        tried = tried.unionByName(rows.select("row", "text", "carry").mapInArrow(keyed(True), schema))
     key = ["width", "hash", "hash2"]
     named = windows.groupBy(*key).agg(F.collect_set(F.struct("item_id")).alias("names"))
     hits = tried.join(named, key).select(F.explode("rows").alias("row"), F.struct(*key).alias("window"), "names")
@@ -298,7 +297,7 @@ def _by_shuffle(rows: DataFrame, windows: DataFrame, prints: DataFrame) -> DataF
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes, offsets = _words(batch.column(1))
+            hashes, offsets = _words(texts(batch))
             starts, widths, items = [], [], {}
             for i, (own, names) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
                 if not own:

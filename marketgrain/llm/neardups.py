@@ -49,7 +49,7 @@ PREFIX = COORDINATES - AGREEMENTS + 1
 #: Postings more common than one in so many are ordered by how common they are; there are no more of them than this.
 COMMON_POSTINGS = 50_000
 #: Outsiders, and members, of a block, and bytes of their texts.
-BLOCK = 512
+BLOCK = 256
 BLOCK_BYTES = 32 << 20
 #: Up to so many identifiers are broadcast to select the texts to compare; beyond it they are joined.
 BROADCAST_IDS = 500_000
@@ -289,7 +289,9 @@ def near_duplicates(docs: DataFrame, percent: int = THRESHOLD_PERCENT, id_column
     """One row a document: doc_id, n_shingles, component_id (the least doc_id reachable), kept (it is that one), first (it is
     the one row of its component that stays), and the columns of ``carry``."""
     spark = docs.sparkSession
-    carried = [F.struct(*[F.col(c) for c in carry]).alias("carry")] if carry else []
+    # the text is written once: it stands for the column of that name
+    others = [c for c in carry if c != text_column]
+    carried = [F.struct(*[F.col(c) for c in others]).alias("carry")] if others else []
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text_column).alias("text"), *carried)
     signed = written(signatures(rows), "signatures")
 
@@ -313,4 +315,5 @@ def near_duplicates(docs: DataFrame, percent: int = THRESHOLD_PERCENT, id_column
     result = settled(spark, judged, "near-duplicates")
     if not carry:
         return result.drop("row")
-    return result.join(signed.select("row", "carry"), "row").select(*(c for c in result.columns if c != "row"), *[F.col("carry")[c].alias(c) for c in carry])
+    own = {c: F.col("text") if c == text_column else F.col("carry")[c] for c in carry}
+    return result.join(signed.select("row", *(["text"] if text_column in carry else []), *(["carry"] if others else [])), "row").select(*(c for c in result.columns if c != "row"), *[v.alias(c) for c, v in own.items()])

@@ -86,6 +86,13 @@ def spread_join(big: DataFrame, small: DataFrame, key: str, by: str, how: str =
     return dealt.join(small.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))), [key, "_part"], how).drop("_part")
 
 
+def with_carry(docs: DataFrame, id_column: str, text_column: str, carry: tuple[str, ...]) -> DataFrame:
+    """doc_id, text and carry, a struct of the columns named; text is null where carry holds it, see ``textarrays.text_of``."""
+    carried = F.struct(*[F.col(c) for c in carry]) if carry else F.struct(F.lit(0).alias("none"))
+    text = F.lit(None).cast("string") if text_column in carry else F.col(text_column)
+    return docs.select(F.col(id_column).cast("long").alias("doc_id"), text.alias("text"), carried.alias("carry"))
+
+
 def file_system(uri: str):
     """pyarrow's file system for ``uri`` and the path in it; plain paths are local."""
     from pyarrow import fs

@@ -39,6 +39,11 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def text_of(batch: pa.RecordBatch, text_column: str, carry: tuple[str, ...]) -> pa.Array:
+    """The texts of rows whose ``text`` is left empty where the column comes along in ``carry``, so that it travels once."""
+    return batch.column("carry").field(text_column) if text_column in carry else batch.column("text")
+
+
 @lru_cache(8)
 def _tables(separators: bytes, lower: bool) -> tuple[np.ndarray | None, np.ndarray]:
     """For each byte what it counts as (None: itself), and whether it separates."""

@@ -30,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketgrain.llm.shared import written
-from marketgrain.llm.textarrays import NOT_ALNUM, head_hash, text_buffers, word_hashes, word_heads
+from marketgrain.llm.shared import with_carry, written
+from marketgrain.llm.textarrays import NOT_ALNUM, head_hash, text_buffers, text_of, word_hashes, word_heads
 
 #: Labelled documents of each class that training takes at most.
 SAMPLE_ROWS = 4_000
@@ -254,7 +254,7 @@ def score(docs: DataFrame, model: OrdinalModel, id_column: str = "doc_id", text_
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for batch in batches:
-            text, hashes, values = _features(batch.column(1), model.features)
+            text, hashes, values = _features(text_of(batch, text_column, carry), model.features)
             scores = np.bincount(text, model.weights[np.searchsorted(model.features, hashes)] * values, batch.num_rows) if len(model.features) else np.zeros(batch.num_rows)
             above = model.probabilities(scores) if len(model.features) else np.zeros((batch.num_rows, GRADES))
             each = np.concatenate([np.ones((batch.num_rows, 1)), above], axis=1) - np.concatenate([above, np.zeros((batch.num_rows, 1))], axis=1)
@@ -263,7 +263,6 @@ def score(docs: DataFrame, model: OrdinalModel, id_column: str = "doc_id", text_
                 ["doc_id", "expected_severity", "grade", "toxic", "carry"],
             )
 
-    carried = F.struct(*[F.col(c) for c in carry]) if carry else F.struct(F.lit(0).alias("none"))
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"), carried.alias("carry"))
+    rows = with_carry(docs, id_column, text_column, carry)
     scored = rows.mapInArrow(apply, f"doc_id long, expected_severity double, grade int, toxic boolean, carry {rows.schema['carry'].dataType.simpleString()}")
     return scored.select("doc_id", "expected_severity", "grade", "toxic", *[F.col("carry")[c].alias(c) for c in carry])
