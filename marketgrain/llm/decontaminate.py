@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketgrain.llm.shared import with_carry, written
-from marketgrain.llm.textarrays import NOT_ALNUM, grams, text_buffers, text_of, word_hashes
+from marketgrain.llm.textarrays import NOT_ALNUM, bounded, grams, text_buffers, text_of, word_hashes
 
 WINDOW = 13
 GRAM = 5
@@ -214,7 +214,7 @@ def _by_broadcast(rows: DataFrame, texts, windows: DataFrame, prints: DataFrame)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, names, by_width = sent.value
-        for batch in batches:
+        for batch in bounded(batches, texts):
             hashes, offsets = _words(texts(batch))
             starts, widths, items = [], [], {}
             for width, known in by_width.items():
@@ -255,7 +255,7 @@ def _by_shuffle(rows: DataFrame, texts, windows: DataFrame, prints: DataFrame) -
     rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "documents")
 
     def fingerprinted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches, texts):
             hashes, offsets = _words(texts(batch))
             at, values = _window_prints(hashes, offsets)
             own = batch.column(0).to_numpy()[np.searchsorted(offsets, at, "right") - 1]
@@ -269,7 +269,7 @@ def _by_shuffle(rows: DataFrame, texts, windows: DataFrame, prints: DataFrame) -
 
     def keyed(short_ones: bool):
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in bounded(batches, texts):
                 hashes, offsets = _words(texts(batch))
                 for width in short if short_ones else [WINDOW]:
                     first, second, whole = _pairs(hashes, offsets, width)
@@ -296,7 +296,7 @@ def _by_shuffle(rows: DataFrame, texts, windows: DataFrame, prints: DataFrame) -
     found = hits.groupBy("row").agg(F.collect_set("window").alias("windows"), F.array_distinct(F.flatten(F.collect_list("names"))).alias("names"))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches, texts):
             hashes, offsets = _words(texts(batch))
             starts, widths, items = [], [], {}
             for i, (own, names) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from marketgrain.llm.components import connected_components
 from marketgrain.llm.shared import settled, spread_join, written
-from marketgrain.llm.textarrays import SPACES, U, grams, mix, sequence_hash, text_buffers, word_hashes
+from marketgrain.llm.textarrays import SPACES, U, bounded, grams, mix, sequence_hash, text_buffers, word_hashes
 
 SHINGLE_WORDS = 5
 THRESHOLD_PERCENT = 75
@@ -92,7 +92,7 @@ def signatures(rows: DataFrame) -> DataFrame:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds = _seeds()
-        for batch in batches:
+        for batch in bounded(batches, lambda b: b.column("text")):
             sets = shingle_sets(batch.column("text"))
             keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             known: dict[bytes, bytes] = {}

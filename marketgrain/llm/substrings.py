@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from marketgrain.llm.decontaminate import window_minima
 from marketgrain.llm.shared import spread_join, written
-from marketgrain.llm.textarrays import SPACES, grams, slices, text_buffers, word_hashes
+from marketgrain.llm.textarrays import SPACES, bounded, grams, slices, text_buffers, word_hashes
 
 WINDOW = 20
 ANCHOR = 8
@@ -53,7 +53,7 @@ def word_facts(docs: DataFrame) -> DataFrame:
     """doc_id, tie, n_words, sha256 (of the words joined by one space)."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches, lambda b: b.column(2)):
             data, offsets = text_buffers(batch.column(2))
             raw, counts, digests = data.tobytes(), [], []
             for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
@@ -220,7 +220,7 @@ _RESULT = "doc_id long, tie long, n_words long, n_removed long, kept_sha256 stri
 def _cut(with_text: bool):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of doc_id, tie, text, spans and more with their spans taken out."""
-        for batch in batches:
+        for batch in bounded(batches, lambda b: b.column("text")):
             data, offsets = text_buffers(batch.column("text"))
             raw, counts, removed, digests, texts = data.tobytes(), [], [], [], []
             for i, spans in enumerate(batch.column("spans")):

@@ -44,6 +44,15 @@ def text_of(batch: pa.RecordBatch, text_column: str, carry: tuple[str, ...]) ->
     return batch.column("carry").field(text_column) if text_column in carry else batch.column("text")
 
 
+def bounded(batches: Iterator[pa.RecordBatch], texts, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most ``most`` bytes of text (one row at least), so that arrays over their words stay small.
+    ``texts`` gives a batch's text column."""
+    for batch in batches:
+        _, offsets = text_buffers(texts(batch))
+        for i, j in slices(batch.num_rows, offsets, most):
+            yield batch.slice(i, j - i)
+
+
 @lru_cache(8)
 def _tables(separators: bytes, lower: bool) -> tuple[np.ndarray | None, np.ndarray]:
     """For each byte what it counts as (None: itself), and whether it separates."""

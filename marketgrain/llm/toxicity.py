@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketgrain.llm.shared import with_carry, written
-from marketgrain.llm.textarrays import NOT_ALNUM, head_hash, text_buffers, text_of, word_hashes, word_heads
+from marketgrain.llm.textarrays import NOT_ALNUM, bounded, head_hash, text_buffers, text_of, word_hashes, word_heads
 
 #: Labelled documents of each class that training takes at most.
 SAMPLE_ROWS = 4_000
@@ -148,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, label: str
     the driver, of 2 * ``rows`` texts at most. Cross-validation fits are tasks of their own."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches, lambda b: b.column(2)):
             text, hashes, _ = _features(batch.column(2))
             at = pa.array(text)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(hashes.view(np.int64))], ["y", "fold", "feature"])
@@ -175,7 +175,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, label: str
     every = np.unique(np.concatenate([features, *by_fold]))
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches, lambda b: b.column(1)):
             text, hashes, values = _features(batch.column(1), every)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text)), pa.array(np.searchsorted(every, hashes).astype(np.int32)), pa.array(values)], ["doc_id", "column", "value"])
 
@@ -252,9 +252,9 @@ def score(docs: DataFrame, model: OrdinalModel, id_column: str = "doc_id", text_
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
-        for batch in batches:
-            text, hashes, values = _features(text_of(batch, text_column, carry), model.features)
+        model, texts = sent.value, lambda b: text_of(b, text_column, carry)
+        for batch in bounded(batches, texts):
+            text, hashes, values = _features(texts(batch), model.features)
             scores = np.bincount(text, model.weights[np.searchsorted(model.features, hashes)] * values, batch.num_rows) if len(model.features) else np.zeros(batch.num_rows)
             above = model.probabilities(scores) if len(model.features) else np.zeros((batch.num_rows, GRADES))
             each = np.concatenate([np.ones((batch.num_rows, 1)), above], axis=1) - np.concatenate([above, np.zeros((batch.num_rows, 1))], axis=1)
