@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,17 +53,29 @@ def remove(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
-    """What ``make`` returns, written; the folders that it wrote on the way are deleted."""
-    path = fresh_path(spark, name)
+@contextmanager
+def cleared(spark: SparkSession) -> Iterator[None]:
+    """On leaving, also by an exception, the folders that were written inside are deleted."""
     token = _made.set([])
     try:
-        df = make()
-        df.write.option("compression", "zstd").parquet(path)
-        for made in _made.get():
-            remove(spark, made)
+        yield
     finally:
+        made = _made.get()
         _made.reset(token)
+        for path in made:
+            remove(spark, path)
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What ``make`` returns, written; the folders that it wrote on the way are deleted, and on an exception its own too."""
+    path = fresh_path(spark, name)
+    try:
+        with cleared(spark):
+            df = make()
+            df.write.option("compression", "zstd").parquet(path)
+    except BaseException:
+        remove(spark, path)
+        raise
     return spark.read.schema(df.schema).parquet(path)
 
 
