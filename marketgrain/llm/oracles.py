@@ -85,4 +85,10 @@ words AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d),
 kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS kept, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY 1)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)"""
 
-ORACLE_SQL = {"op3_decontamination": OP3, "op4_license_scan": OP4, "op6_quality_rules": OP6, "op8_url_filter": OP8, "op8_url_list": OP8, "op9_warc": OP9, "op10_substring_dedup": OP10}
+OP11 = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda c: floor(1024 * CAST(c AS DOUBLE))) AS u FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_inner_product(q.u, v.u) AS BIGINT) AS score FROM v AS q JOIN v ON q.vec_id % 100 = 0 AND v.vec_id <> q.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10"""
+
+ORACLE_SQL = {"op3_decontamination": OP3, "op4_license_scan": OP4, "op6_quality_rules": OP6, "op8_url_filter": OP8, "op8_url_list": OP8, "op9_warc": OP9, "op10_substring_dedup": OP10, "op11_top_k": OP11}

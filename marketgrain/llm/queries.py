@@ -123,6 +123,12 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents"), with_text=False)
 
 
+def op11_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marketgrain.llm.mtree import top_k
+
+    return top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10)
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marketgrain.llm.whitening import whiten
 
@@ -130,5 +136,5 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_near_dedup, op3_decontamination, op4_license_scan, op5_token_shards, op6_quality_rules, op7_toxicity, op8_url_filter, op8_url_list, op9_warc, op10_substring_dedup, op12_whitening)
+    f.__name__: f for f in (op1_packing, op2_near_dedup, op3_decontamination, op4_license_scan, op5_token_shards, op6_quality_rules, op7_toxicity, op8_url_filter, op8_url_list, op9_warc, op10_substring_dedup, op11_top_k, op12_whitening)
 }
