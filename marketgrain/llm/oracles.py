@@ -91,4 +91,16 @@ s AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_inner_product(q.u, v.u) A
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10"""
 
-ORACLE_SQL = {"op3_decontamination": OP3, "op4_license_scan": OP4, "op6_quality_rules": OP6, "op8_url_filter": OP8, "op8_url_list": OP8, "op9_warc": OP9, "op10_substring_dedup": OP10, "op11_top_k": OP11}
+OP13 = f"""
+WITH dt AS (SELECT doc_id, unnest({_ALNUM}) AS term FROM documents),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM dt GROUP BY 1, 2),
+n AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM tf GROUP BY 1),
+c AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM n),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(docs) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM tf, c GROUP BY 1),
+m AS (SELECT doc_id, 100 - 25 + (25 * n * docs) // terms AS m FROM n, c),
+it AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({_ALNUM}) AS term FROM benchmark) GROUP BY 1, 2),
+s AS (SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score FROM it JOIN w USING (term) JOIN tf USING (term) JOIN m USING (doc_id) GROUP BY 1, 2),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 20"""
+
+ORACLE_SQL = {"op3_decontamination": OP3, "op4_license_scan": OP4, "op6_quality_rules": OP6, "op8_url_filter": OP8, "op8_url_list": OP8, "op9_warc": OP9, "op10_substring_dedup": OP10, "op11_top_k": OP11, "op13_ranked_search": OP13}

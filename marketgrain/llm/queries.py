@@ -135,6 +135,12 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(_table(spark, sf_dir, "embeddings"))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marketgrain.llm.lexical import rank_documents
+
+    return rank_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), 20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_near_dedup, op3_decontamination, op4_license_scan, op5_token_shards, op6_quality_rules, op7_toxicity, op8_url_filter, op8_url_list, op9_warc, op10_substring_dedup, op11_top_k, op12_whitening)
+    f.__name__: f for f in (op1_packing, op2_near_dedup, op3_decontamination, op4_license_scan, op5_token_shards, op6_quality_rules, op7_toxicity, op8_url_filter, op8_url_list, op9_warc, op10_substring_dedup, op11_top_k, op12_whitening, op13_ranked_search)
 }
