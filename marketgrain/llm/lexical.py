@@ -45,6 +45,8 @@ SEGMENT_DOCS = 32_768
 SEGMENT_POSTINGS = 2_000_000
 #: Items are searched together while they have about so many different terms each counted once an item (32 bytes each).
 GROUP_TERMS = 500_000
+#: Segments that a task searches.
+TASK_SEGMENTS = 2
 #: Ranges taken at first; each further step takes four times as many.
 FIRST_RANGES = 16
 _WIDTHS = (np.uint8, np.uint16, np.uint32)
@@ -352,7 +354,9 @@ def search(index: DataFrame, queries: Queries, k: int) -> DataFrame:
             item = np.repeat(asked.items[at : at + 1024], [len(x.ids) for x in part])
             yield pa.RecordBatch.from_arrays([pa.array(item), pa.array(ids, mask=unnamed), pa.array(np.concatenate([x.scores for x in part]))], ["item", "doc_id", "score"])
 
-    found = index.select(*_ARRAYS).mapInArrow(run, "item long, doc_id long, score long")
+    # segments are few compressed bytes, so files would put many of them, and so much work, into one task
+    spread = index.select(*_ARRAYS).repartition(max(1, -(-index.count() // TASK_SEGMENTS)))
+    found = spread.mapInArrow(run, "item long, doc_id long, score long")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))))
     return ranked.where(F.col("rank") <= k).select("item", "rank", "doc_id", "score")
 
