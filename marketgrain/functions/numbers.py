@@ -23,8 +23,13 @@ def discount_pct(original: Column, current: Column) -> Column:
 
 def calendar(spark: SparkSession, first: str, last: str) -> DataFrame:
     """The date dimension from ``first`` to ``last`` (ISO dates)."""
-    d = F.col("d")
     days = spark.range(1).select(F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"))).alias("d"))
+    return date_rows(days, "d")
+
+
+def date_rows(days: DataFrame, column: str) -> DataFrame:
+    """The date dimension's rows of the dates in a column."""
+    d = F.col(column)
     return days.select(
         F.date_format(d, "yyyyMMdd").cast("int").alias("date_id"),
         d.alias("full_date"),

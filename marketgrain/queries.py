@@ -473,9 +473,11 @@ def join_diag_mixed(s: Star) -> DataFrame:
     return newest.orderBy(F.col("last_checked_at").desc_nulls_last(), "listing_id").limit(20).select("listing_id", "domain", "image_url")
 
 
-@query("SELECT date_id, count(*) AS n FROM prices JOIN (SELECT CAST(strftime(d, '%Y%m%d') AS INTEGER) AS date_id FROM range(DATE '1995-01-01', DATE '1996-01-01', INTERVAL 1 DAY) t(d)) USING (date_id) GROUP BY 1")
+@query("SELECT date_id, count(*) AS n FROM prices GROUP BY 1")
 def join_price_calendar(s: Star) -> DataFrame:
-    days = numbers.calendar(s.spark, "1995-01-01", "1995-12-31").select("date_id")
+    """Every price with its day of the calendar from the first to the last shipment, whose days bound what is broadcast."""
+    first, last = s.table("lineitem").agg(F.min(F.to_date("l_shipdate")), F.max(F.to_date("l_shipdate"))).first()
+    days = numbers.calendar(s.spark, str(first), str(last)).select("date_id")
     return s.prices().join(F.broadcast(days), "date_id").groupBy("date_id").agg(F.count("*").alias("n"))
 
 
@@ -633,9 +635,9 @@ def num_discount_pct(s: Star) -> DataFrame:
     return s.prices().select("listing_id", "date_id", numbers.discount_pct(F.col("original_price"), F.col("price")).alias("discount_pct"))
 
 
-@query("SELECT CAST(strftime(d, '%Y%m%d') AS INTEGER) AS date_id, CAST(d AS DATE) AS full_date, CAST(year(d) AS INTEGER) AS year, CAST(quarter(d) AS INTEGER) AS quarter, CAST(month(d) AS INTEGER) AS month, CAST(day(d) AS INTEGER) AS day, CAST(weekofyear(d) AS INTEGER) AS iso_week, CAST(isodow(d) AS INTEGER) AS iso_weekday, dayname(d) AS day_name, monthname(d) AS month_name, isodow(d) >= 6 AS is_weekend, CAST(d AS DATE) = last_day(d) AS is_month_end FROM range(DATE '2024-01-01', DATE '2031-01-01', INTERVAL 1 DAY) t(d)")
+@query("SELECT CAST(strftime(d, '%Y%m%d') AS INTEGER) AS date_id, CAST(d AS DATE) AS full_date, CAST(year(d) AS INTEGER) AS year, CAST(quarter(d) AS INTEGER) AS quarter, CAST(month(d) AS INTEGER) AS month, CAST(day(d) AS INTEGER) AS day, CAST(weekofyear(d) AS INTEGER) AS iso_week, CAST(isodow(d) AS INTEGER) AS iso_weekday, dayname(d) AS day_name, monthname(d) AS month_name, isodow(d) >= 6 AS is_weekend, CAST(d AS DATE) = last_day(d) AS is_month_end FROM (SELECT DISTINCT date_trunc('day', l_shipdate) AS d FROM lineitem WHERE l_shipdate IS NOT NULL)")
 def date_dim_row(s: Star) -> DataFrame:
-    return numbers.calendar(s.spark, "2024-01-01", "2030-12-31")
+    return numbers.date_rows(s.table("lineitem").select(F.to_date("l_shipdate").alias("d")).where("d is not null").distinct(), "d")
 
 
 @query("SELECT DISTINCT date_id, CAST(strftime(date_trunc('month', d), '%Y%m%d') AS INTEGER) AS month_start, CAST(strftime(date_trunc('month', d) + INTERVAL 1 MONTH, '%Y%m%d') AS INTEGER) AS next_start FROM (SELECT date_id, strptime(CAST(date_id AS VARCHAR), '%Y%m%d') AS d FROM prices)")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from marketgrain.operators import ingest, lifecycle, market, pool
 from marketgrain.plans import pages as page_plans
 from marketgrain.queries import ORACLE_SQL, QUERIES, _round, query
 from marketgrain.sources import feeds, sinks
+from marketgrain.sources.folders import fresh_folder
+from marketgrain.sources.snapshots import Snapshots
 from marketgrain.sources.star import Star
 
 _LATEST = "SELECT currency_code, rate_to_eur, rate_to_usd, source FROM (SELECT *, row_number() OVER (PARTITION BY currency_code ORDER BY source) AS k FROM rates WHERE date_id = (SELECT max(date_id) FROM rates)) WHERE k = 1"
@@ -38,9 +42,9 @@ for _name in ("md_forex", "win_first_per_key"):
     _same(_name, "cur_latest_rates")
 
 
-@query(f"SELECT currency_code, {_round('1 / r', 8)} AS rate_to_eur, {_round('usd / r', 8)} AS rate_to_usd FROM (SELECT currency_code, CAST(rate_to_usd AS DOUBLE) AS r, (SELECT CAST(max(rate_to_usd) AS DOUBLE) FROM rates WHERE currency_code = 'USD') AS usd FROM rates WHERE date_id = 20240101)")
+@query(f"SELECT currency_code, {_round('1 / r', 8)} AS rate_to_eur, {_round('usd / r', 8)} AS rate_to_usd FROM (SELECT currency_code, CAST(rate_to_usd AS DOUBLE) AS r, (SELECT CAST(max(rate_to_usd) AS DOUBLE) FROM rates WHERE currency_code = 'USD') AS usd FROM rates WHERE source = 'feed_a')")
 def cur_live_rates(s: Star) -> DataFrame:
-    quotes = s.rates().where("date_id = 20240101").select("currency_code", F.col("rate_to_usd").cast("double").alias("rate"))
+    quotes = s.rates().where("source = 'feed_a'").select("currency_code", F.col("rate_to_usd").cast("double").alias("rate"))
     live = money.live_rates(quotes)
     return live.select("currency_code", money.rounded(F.col("rate_to_eur"), 8).alias("rate_to_eur"), money.rounded(F.col("rate_to_usd"), 8).alias("rate_to_usd"))
 
@@ -69,7 +73,7 @@ def cur_convert(s: Star) -> DataFrame:
     return rows.select("id", money.rounded(money.converted(price, F.col("to_eur"))).alias("eur"), money.rounded(money.converted(price, F.col("to_usd"))).alias("usd"))
 
 
-@query(f"SELECT id, {_round('price * e * (1 / 0.23)', 2)} AS pln FROM {_FACTORS}")
+@query(f"SELECT id, {_round('price * e * (1 / t)', 2)} AS pln FROM {_FACTORS}, (SELECT CAST(rate_to_eur AS DOUBLE) AS t FROM ({_LATEST}) WHERE currency_code = 'PLN')")
 def cur_convert_any(s: Star) -> DataFrame:
     latest = money.latest_rates(s.rates())
     target = latest.where("currency_code = 'PLN'").select(F.col("rate_to_eur").cast("double").alias("t"))
@@ -357,31 +361,36 @@ def src_pk_lookup(s: Star) -> DataFrame:
     return s.table("part").where(F.col("p_partkey").isin(1, 5, 77)).select("p_partkey", "p_name")
 
 
-def _forex_payload(s: Star) -> DataFrame:
-    pairs = s.rates().where("date_id = 20240102 and source = 'feed_a'").groupBy().agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("currency_code", (F.col("rate_to_usd") * 2).cast("string"))))).alias("rates"))
-    return pairs.select(F.to_json(F.struct(F.lit("EUR").alias("base"), F.map_concat("rates", F.create_map(F.lit("BAD"), F.lit("n/a"))).alias("rates"))).alias("body"))
+def _forex_payloads(s: Star) -> DataFrame:
+    """A provider's payload for each date and source, with a bad entry."""
+    entries = F.map_from_entries(F.array_sort(F.collect_list(F.struct("currency_code", (F.col("rate_to_usd") * 2).cast("string")))))
+    days = s.rates().groupBy("date_id", "source").agg(entries.alias("rates"))
+    rates = F.map_concat("rates", F.create_map(F.lit("BAD"), F.lit("n/a")))
+    return days.select("date_id", "source", F.to_json(F.struct(F.lit("EUR").alias("base"), rates.alias("rates"))).alias("body"))
 
 
-@query(f"SELECT 'EUR/' || currency_code AS pair, {_round('CAST(rate_to_usd * 2 AS DOUBLE)', 6)} AS bid, {_round('CAST(rate_to_usd * 2 AS DOUBLE) + 0.0001', 6)} AS ask FROM rates WHERE date_id = 20240102 AND source = 'feed_a'")
+@query(f"SELECT date_id, source, 'EUR/' || currency_code AS pair, {_round('CAST(rate_to_usd * 2 AS DOUBLE)', 6)} AS bid, {_round('CAST(rate_to_usd * 2 AS DOUBLE) + 0.0001', 6)} AS ask FROM rates")
 def src_forex_feed(s: Star) -> DataFrame:
-    feed = feeds.forex_feed(_forex_payload(s))
-    return feed.select("pair", money.rounded(F.col("bid"), 6).alias("bid"), money.rounded(F.col("ask"), 6).alias("ask"))
+    feed = feeds.forex_feed(_forex_payloads(s), "date_id", "source")
+    return feed.select("date_id", "source", "pair", money.rounded(F.col("bid"), 6).alias("bid"), money.rounded(F.col("ask"), 6).alias("ask"))
 
 
-@query(f"SELECT 'EUR/' || currency_code AS pair, {_round('CAST(rate_to_usd * 2 AS DOUBLE)', 6)} AS rate FROM rates WHERE date_id = 20240102 AND source = 'feed_a'")
+@query(f"SELECT date_id, source, 'EUR/' || currency_code AS pair, {_round('CAST(rate_to_usd * 2 AS DOUBLE)', 6)} AS rate FROM rates")
 def src_feed_normalise(s: Star) -> DataFrame:
-    return feeds.base_rates(feeds.forex_feed(_forex_payload(s)), "EUR")
+    return feeds.base_rates(feeds.forex_feed(_forex_payloads(s), "date_id", "source"), "EUR", "date_id", "source")
 
 
-@query("SELECT currency_code, source FROM rates WHERE source = 'feed_b'")
+@query("SELECT currency_code, date_id, source FROM rates WHERE source = 'feed_b'")
 def src_fallback_chain(s: Star) -> DataFrame:
-    rates = s.rates().select("currency_code", "source")
-    return feeds.first_filled([rates.where("source = 'none'"), rates.where("source = 'feed_b'"), rates.where("source = 'feed_a'")])
+    rates = s.rates().select("currency_code", "date_id", "source")
+    return feeds.first_filled([rates.where("source = 'feed_none'"), rates.where("source = 'feed_b'"), rates.where("source = 'feed_a'")])
 
 
-@query("SELECT currency_code, source FROM rates WHERE source = 'feed_b'")
+@query("SELECT currency_code, source FROM rates WHERE source = 'feed_b' AND date_id = (SELECT max(date_id) FROM rates)")
 def src_crypto_min10(s: Star) -> DataFrame:
-    rates = s.rates().select("currency_code", "source")
+    """A year's rates of one source are fewer than ten, so the second source is taken, though it has no more."""
+    newest = s.rates().agg(F.max("date_id").alias("date_id"))
+    rates = s.rates().join(F.broadcast(newest), "date_id").select("currency_code", "source")
     return feeds.first_filled([rates.where("source = 'feed_a'"), rates.where("source = 'feed_b'")], least=10)
 
 
@@ -464,21 +473,27 @@ def src_sitemap_walk_all(s: Star) -> DataFrame:
     return feeds.sitemap_walk(files.unionByName(indexes), indexes.select("url"), None, None)
 
 
-_OLD = "SELECT date_id, currency_code, source FROM rates"
+_NEWEST = "date_id = (SELECT max(date_id) FROM rates) AND source = 'feed_a'"
 
 
-@query(f"{_OLD} WHERE NOT (date_id = 20240102 AND source = 'feed_a') UNION ALL SELECT 20240102, currency_code, 'feed_a' FROM rates WHERE date_id = 20240102 AND source = 'feed_a'")
+@query(f"SELECT date_id, currency_code, source, rate_to_eur FROM rates WHERE NOT ({_NEWEST} AND currency_code <> 'GBP') UNION ALL SELECT date_id, currency_code, source, CAST(rate_to_eur * 3 AS DECIMAL(18,8)) FROM rates WHERE {_NEWEST} AND currency_code <> 'GBP' UNION ALL SELECT max(date_id), 'XAU', 'feed_a', CAST(7 AS DECIMAL(18,8)) FROM rates")
 def sink_replace_key(s: Star) -> DataFrame:
-    rates = s.rates().select("date_id", "currency_code", "source")
-    return sinks.replaced_by_key(rates, rates.where("date_id = 20240102 and source = 'feed_a'"), ["date_id", "currency_code", "source"])
+    """A second delivery of the newest date of a source: other values for all currencies but one, and a currency that is new."""
+    store = Snapshots(s.spark, fresh_folder(s.spark, "rates"))
+    rates = store.replace(s.rates().select("date_id", "currency_code", "source", "rate_to_eur"))
+    newest = rates.agg(F.max("date_id").alias("date_id"))
+    again = rates.join(F.broadcast(newest), "date_id").where("source = 'feed_a' and currency_code <> 'GBP'").withColumn("rate_to_eur", (F.col("rate_to_eur") * 3).cast("decimal(18,8)"))
+    added = newest.select("date_id", F.lit("XAU").alias("currency_code"), F.lit("feed_a").alias("source"), F.lit(7).cast("decimal(18,8)").alias("rate_to_eur"))
+    return sinks.replace_stored(store, again.select(rates.columns).unionByName(added), ["date_id", "currency_code", "source"])
 
 
-@query("SELECT CAST(strftime(d, '%Y%m%d') AS INTEGER) AS date_id FROM range(DATE '2024-01-01', DATE '2024-02-01', INTERVAL 1 DAY) t(d)")
+@query("SELECT CAST(strftime(d, '%Y%m%d') AS INTEGER) AS date_id, min(k) AS came_from FROM (SELECT DISTINCT o_orderdate AS d, 0 AS k FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT DISTINCT l_shipdate, 1 FROM lineitem) GROUP BY 1")
 def sink_insert_ignore(s: Star) -> DataFrame:
-    from marketgrain.functions.numbers import calendar
-
-    days = lambda a, b: calendar(s.spark, a, b).select("date_id")
-    return sinks.inserted_if_absent(days("2024-01-01", "2024-01-20"), days("2024-01-10", "2024-01-31"), ["date_id"])
+    """The dates of some orders are stored; of the dates of all shipments those are added that aren't there."""
+    day = lambda c: F.date_format(c, "yyyyMMdd").cast("int").alias("date_id")
+    store = Snapshots(s.spark, fresh_folder(s.spark, "dates"))
+    store.replace(s.table("orders").where("o_orderkey % 3 = 0").select(day("o_orderdate"), F.lit(0).alias("came_from")).distinct())
+    return sinks.insert_stored(store, s.table("lineitem").select(day("l_shipdate"), F.lit(1).alias("came_from")), ["date_id"])
 
 
 @query("SELECT count(*) AS n, count(DISTINCT lower(rtrim(url, '/'))) AS d FROM (SELECT min(url) AS url FROM pages WHERE sha256(lower(rtrim(trim(url), '/'))) NOT IN (SELECT sha256(lower(rtrim(trim(url), '/'))) FROM pages WHERE page_id % 3 = 0) GROUP BY sha256(lower(rtrim(trim(url), '/'))))")
@@ -488,9 +503,28 @@ def join_anti_seen(s: Star) -> DataFrame:
     return fresh.agg(F.count("*").alias("n"), F.count_distinct("url_hash").alias("d"))
 
 
-@query("SELECT id, created_at FROM logs, as_of WHERE created_at >= now - INTERVAL 10 DAY")
+_KEPT = "SELECT '{0}' AS name, count(*) FILTER (WHERE t < cut) AS deleted, count(*) FILTER (WHERE t >= cut) AS kept, min(t) FILTER (WHERE t >= cut) AS oldest FROM (SELECT t, max(t) OVER () + INTERVAL {2} DAY - INTERVAL {3} DAY AS cut FROM ({1}))".format
+_LOGGED = {"scrape_logs": ("SELECT ts AS t FROM events", 12), "api_logs": ("SELECT o_orderdate AS t FROM orders", 0), "chat_messages": ("SELECT l_shipdate AS t FROM lineitem WHERE l_returnflag <> 'R'", 0), "alert_events": ("SELECT l_shipdate AS t FROM lineitem WHERE l_returnflag = 'R'", 0)}
+
+
+@query(" UNION ALL ".join(_KEPT(name, sql, later, sinks.RETENTION_DAYS[name]) for name, (sql, later) in _LOGGED.items()))
 def sink_delete_retention(s: Star) -> DataFrame:
-    return sinks.retained(s.logs(), s.now(), 10).select("id", "created_at")
+    """Four stored logs, each cut at its own age some days after its last row, and read back."""
+    returned = F.col("l_returnflag") == "R"
+    rows = {
+        "scrape_logs": s.table("events").select(F.col("ts").alias("t")),
+        "api_logs": s.table("orders").select(F.col("o_orderdate").alias("t")),
+        "chat_messages": s.table("lineitem").where(~returned).select(F.col("l_shipdate").alias("t")),
+        "alert_events": s.table("lineitem").where(returned).select(F.col("l_shipdate").alias("t")),
+    }
+    told = []
+    for name, days in sinks.RETENTION_DAYS.items():
+        store = Snapshots(s.spark, fresh_folder(s.spark, name))
+        store.replace(rows[name], sinks.month_of("t"))
+        cut = rows[name].agg(F.max("t")).first()[0] + datetime.timedelta(days=_LOGGED[name][1] - days)
+        deleted = sinks.delete_older(store, "t", cut)
+        told.append(store.read().agg(F.count("*").alias("kept"), F.min("t").alias("oldest")).select(F.lit(name).alias("name"), F.lit(deleted).cast("long").alias("deleted"), "kept", "oldest"))
+    return told[0].unionByName(told[1]).unionByName(told[2]).unionByName(told[3])
 
 
 @query(f"SELECT id, {_round('CAST(successful AS DOUBLE) / (epoch_us(completed_at) - epoch_us(started_at)) * 6e7', 3)} AS speed FROM jobs WHERE completed_at > started_at")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -13,7 +14,8 @@ from marketgrain.operators import lifecycle, pool, summaries
 from marketgrain.queries import query
 from marketgrain.queries_more import _FACTORS, _round
 from marketgrain.sources import feeds, sinks
-from marketgrain.sources.folders import fresh_folder
+from marketgrain.sources.folders import fresh_folder, passing_folder
+from marketgrain.sources.snapshots import Snapshots
 from marketgrain.sources.star import Star
 
 
@@ -243,14 +245,6 @@ def sink_audit_log(s: Star) -> DataFrame:
     return _read(s, path)
 
 
-@query("SELECT CAST((event_id - first) // 500 AS BIGINT) AS batch, count(*) AS n FROM events, (SELECT min(event_id) AS first FROM events) GROUP BY 1")
-def sink_batched(s: Star) -> DataFrame:
-    path, rows = fresh_folder(s.spark, "batched"), s.table("events").select("event_id", "user_id")
-    stored = sinks.in_batches(rows, path, "event_id", most=3)  # out of time after three batches
-    reached = stored.agg(F.max("batch")).first()[0]
-    return sinks.in_batches(rows, path, "event_id", offset=reached + 1).select(F.col("batch").cast("long").alias("batch"), "n")
-
-
 @query("SELECT marketplace_id, count(*) AS runs FROM logs GROUP BY 1")
 def sink_refresh_mv(s: Star) -> DataFrame:
     path, count = fresh_folder(s.spark, "summary"), lambda logs: logs.groupBy("marketplace_id").agg(F.count("*").alias("runs"))
@@ -258,23 +252,43 @@ def sink_refresh_mv(s: Star) -> DataFrame:
     return sinks.refreshed(count(s.logs()), path)
 
 
-@query("SELECT listing_id, product_id, CAST(NULL AS DECIMAL(12,2)) AS last_price, 0 AS prices FROM listings")
+@query("SELECT t.*, listings_left, products_left, prices_left, alerts, linked FROM (SELECT (SELECT count(*) FROM listings) AS deleted_listings, (SELECT count(*) FROM products) AS deleted_products, (SELECT count(*) FROM prices) AS deleted_prices) t, (SELECT 0 AS listings_left, 0 AS products_left, 0 AS prices_left) l, (SELECT count(*) AS alerts, 0 AS linked FROM logs) a")
 def sink_truncate(s: Star) -> DataFrame:
-    path = fresh_folder(s.spark, "prices")
-    sinks.append(s.prices(), path)
-    left = sinks.truncated(path, s.prices()).agg(F.count("*").cast("int").alias("prices"))
-    # what pointed to a price points to none
-    listings = sinks.updated_where(s.listings(), F.lit(True), {"last_price": F.lit(None).cast("decimal(12,2)")})
-    return listings.select("listing_id", "product_id", "last_price").join(F.broadcast(left))
-
-
-@query("SELECT date_id // 100 AS month_id, count(*) AS n, min(date_id) AS first, max(date_id) AS last FROM prices GROUP BY 1")
+    """The pool is cleared: how many rows went, how many are left, and that no alert points to a listing any more."""
+    rows = {"listings": s.listings(), "products": s.products(), "prices": s.prices()}
+    stores = {name: Snapshots(s.spark, fresh_folder(s.spark, name)) for name in rows}
+    for name, store in stores.items():
+        store.replace(rows[name])
+    alerts = Snapshots(s.spark, fresh_folder(s.spark, "alerts"))
+    alerts.replace(s.logs().select("id", "listing_id", "status"))
+    linked = F.col("listing_id").isNotNull()
+    freed = alerts.replace(sinks.updated_where(alerts.read(), linked, {"listing_id": F.lit(None).cast("long")}))
+    before = sinks.truncated(stores)
+    told = freed.agg(F.count("*").alias("alerts"), F.count("listing_id").cast("int").alias("linked"))
+    for name, store in stores.items():
+        told = told.withColumn(f"deleted_{name}", F.lit(before[name]).cast("long")).join(store.read().agg(F.count("*").cast("int").alias(f"{name}_left")))
+    return told
+
+
+_TODAY = "(SELECT CAST(strftime(date_trunc('month', strptime(CAST(max(date_id) AS VARCHAR), '%Y%m%d')) - INTERVAL 12 MONTH, '%Y%m%d') AS INTEGER) AS today, min(date_id) AS first FROM prices)"
+_ID = "CAST(strftime({}, '{}') AS INTEGER)".format
+_MONTHS = f"(SELECT {_ID('m', '%Y%m')} AS month_id, {_ID('m', '%Y%m%d')} AS starts, {_ID('m + INTERVAL 1 MONTH', '%Y%m%d')} AS ends FROM {_TODAY}, generate_series(date_trunc('month', strptime(CAST(first AS VARCHAR), '%Y%m%d')), strptime(CAST(today AS VARCHAR), '%Y%m%d') + INTERVAL 3 MONTH, INTERVAL 1 MONTH) AS t(m))"
+
+
+@query(f"SELECT month_id, starts, ends, count(listing_id) AS n FROM {_MONTHS} LEFT JOIN prices ON date_id // 100 = month_id GROUP BY ALL UNION ALL SELECT -1, NULL, NULL, count(*) FROM prices WHERE date_id // 100 NOT IN (SELECT month_id FROM {_MONTHS})")
 def sink_add_partition(s: Star) -> DataFrame:
-    path = fresh_folder(s.spark, "monthly")
+    """Today is a year before the last price: months until then and three more have partitions, later rows go to the default one."""
     prices = s.prices().select("listing_id", "date_id", "price")
-    sinks.write_partitioned(prices.where("date_id % 100 <= 15"), path)
-    sinks.write_partitioned(prices, path)  # months that are there are replaced
-    return _read(s, path).groupBy("month_id").agg(F.count("*").alias("n"), F.min("date_id").alias("first"), F.max("date_id").alias("last"))
+    first, last = prices.agg(F.min("date_id"), F.max("date_id")).first()
+    table = sinks.MonthlyTable(s.spark, "fact_price_" + uuid.uuid4().hex)
+    with passing_folder(s.spark, "monthly") as path:
+        table.create(prices, path)
+        table.ensure(first, last - 10_000)
+        table.insert(prices)
+        try:
+            return table.partitions()
+        finally:
+            table.drop()
 
 
 @query("SELECT id FROM jobs, as_of WHERE status = 'running' AND epoch(date_trunc('second', now)) - epoch(date_trunc('second', started_at)) > CASE job_type WHEN 'discovery' THEN 1200 ELSE 3600 END")

@@ -18,19 +18,19 @@ def forex_feed(payloads: DataFrame, *keys: str) -> DataFrame:
     return rows.where(rate > 0).select(*keys, F.concat("base", F.lit("/"), "code").alias("pair"), rate.alias("bid"), (rate + 0.0001).alias("ask"), F.lit(0.0001).alias("spread"))
 
 
-def base_rates(feed: DataFrame, base: str) -> DataFrame:
-    return feed.where(F.col("pair").startswith(base + "/")).select("pair", (F.floor(F.col("bid") * 1e6 + 0.5) / 1e6).alias("rate"))
+def base_rates(feed: DataFrame, base: str, *keys: str) -> DataFrame:
+    return feed.where(F.col("pair").startswith(base + "/")).select(*keys, "pair", (F.floor(F.col("bid") * 1e6 + 0.5) / 1e6).alias("rate"))
 
 
 def first_filled(sources: list[DataFrame], least: int = 1) -> DataFrame:
-    """The rows of the first source that has ``least`` of them; a last one counts from one row on."""
-    tagged = [s.withColumn("_prio", F.lit(i)) for i, s in enumerate(sources)]
-    rows = tagged[0]
-    for more in tagged[1:]:
-        rows = rows.unionByName(more, allowMissingColumns=True)
-    enough = F.when(F.col("_prio") < len(sources) - 1, least).otherwise(1)
-    sizes = rows.groupBy("_prio").agg(F.count("*").alias("n")).where(F.col("n") >= enough)
-    return rows.join(F.broadcast(sizes.agg(F.min("_prio").alias("_prio"))), "_prio", "left_semi").drop("_prio")
+    """The rows of the first source that has ``least`` of them; a last one counts however many it has.
+
+    Sources are tried one after another, each up to ``least`` rows; those after the first that has enough aren't read.
+    """
+    for source in sources[:-1]:
+        if source.limit(least).count() >= least:
+            return source
+    return sources[-1]
 
 
 def crypto_ticker(payloads: DataFrame, top: int = 50) -> DataFrame:

@@ -10,15 +10,8 @@ MARKETPLACES = [
     (0, "md", "MD", "MDL"), (1, "ro", "RO", "RON"), (2, "com.ua", "UA", "UAH"), (3, "kz", "KZ", "KZT"), (4, "pl", "PL", "PLN"),
     (5, "de", "DE", "EUR"), (6, "co.uk", "GB", "GBP"), (7, "com", "RU", "RUB"), (8, "fr", "FR", "EUR"), (9, "xyz", "BY", "BYN"),
 ]
-#: Exchange rates (date_id, currency, value in EUR, value in USD, source).
-RATES = [
-    (20240101, "USD", "0.90000000", "1.00000000", "feed_a"), (20240101, "MDL", "0.05000000", "0.05500000", "feed_a"),
-    (20240102, "USD", "0.92000000", "1.00000000", "feed_a"), (20240102, "USD", "0.91000000", "1.00000000", "feed_b"),
-    (20240102, "MDL", "0.05100000", "0.05543478", "feed_b"), (20240102, "RON", "0.20100000", "0.21847826", "feed_a"),
-    (20240102, "UAH", "0.02400000", "0.02608696", "feed_a"), (20240102, "KZT", "0.00190000", "0.00206522", "feed_a"),
-    (20240102, "PLN", "0.23000000", "0.25000000", "feed_a"), (20240102, "GBP", "1.16000000", "1.26086957", "feed_a"),
-    (20240102, "RUB", "0.01000000", "0.01086957", "feed_a"), (20240102, "BYN", "0.28000000", "0.30434783", "feed_b"),
-]
+#: The currencies that have exchange rates.
+RATED = ["USD", "MDL", "RON", "UAH", "KZT", "PLN", "GBP", "BYN"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -97,8 +90,13 @@ class Star:
         )
 
     def rates(self) -> DataFrame:
-        rows = self.spark.createDataFrame(RATES, "date_id int, currency_code string, to_eur string, to_usd string, source string")
-        return rows.select("date_id", "currency_code", F.col("to_eur").cast("decimal(18,8)").alias("rate_to_eur"), F.col("to_usd").cast("decimal(18,8)").alias("rate_to_usd"), "source")
+        """One row for each year, currency and source of orders: the value of one unit in EUR and USD."""
+        code = F.get(F.array(*map(F.lit, RATED)), (F.col("o_custkey") % len(RATED)).cast("int"))
+        source = F.when(F.col("o_orderkey") % 3 == 0, "feed_b").otherwise("feed_a")
+        least = F.min(F.floor("o_totalprice").cast("long")).cast("decimal(10,0)")
+        rows = self.table("orders").groupBy((F.year("o_orderdate") * 10000 + 101).alias("date_id"), code.alias("currency_code"), source.alias("source")).agg(least.alias("least"))
+        in_eur, in_usd = (F.col("least") * F.lit(f).cast("decimal(6,5)") for f in ("0.00001", "0.00002"))
+        return rows.select("date_id", "currency_code", in_eur.cast("decimal(18,8)").alias("rate_to_eur"), F.when(F.col("currency_code") == "USD", F.lit(1).cast("decimal(18,8)")).otherwise(in_usd.cast("decimal(18,8)")).alias("rate_to_usd"), "source")
 
     def logs(self) -> DataFrame:
         """Scrape attempts from the event stream."""
@@ -153,7 +151,7 @@ class Star:
 
 
 _VALUES = ", ".join(f"({m[0]}, '{m[1]}', '{m[2]}', '{m[3]}')" for m in MARKETPLACES)
-_RATE_VALUES = ", ".join(f"({d}, '{c}', CAST('{e}' AS DECIMAL(18,8)), CAST('{u}' AS DECIMAL(18,8)), '{s}')" for d, c, e, u, s in RATES)
+_RATED = "CASE o_custkey % 8 " + " ".join(f"WHEN {k} THEN '{c}'" for k, c in enumerate(RATED)) + " END"
 #: The same mapping as DuckDB common table expressions, in the order of their use.
 CTES = {
     "mp_literal": f"SELECT * FROM (VALUES {_VALUES}) AS t(marketplace_id, tld, country_code, currency_code)",
@@ -162,7 +160,7 @@ CTES = {
     "price_rows": "SELECT l_partkey * 10 + l_suppkey % 10 AS listing_id, l_partkey AS product_id, CAST(l_suppkey % 10 AS INTEGER) AS marketplace_id, CAST(strftime(l_shipdate, '%Y%m%d') AS INTEGER) AS date_id, CAST(l_extendedprice AS DECIMAL(12,2)) AS price, CASE WHEN l_discount > 0 THEN CAST(floor(l_extendedprice / (1 - l_discount) * 100 + 0.5) / 100 AS DECIMAL(12,2)) END AS original_price, CASE WHEN l_linestatus = 'O' THEN TRUE WHEN l_returnflag <> 'N' THEN FALSE END AS in_stock, l_returnflag = 'R' AS is_promoted, row_number() OVER (PARTITION BY l_partkey * 10 + l_suppkey % 10, CAST(l_shipdate AS DATE) ORDER BY l_orderkey DESC, l_linenumber DESC, l_extendedprice DESC, 5 DESC) AS rn FROM lineitem",
     "prices": "SELECT p.* EXCLUDE (rn), m.currency_code FROM price_rows p JOIN mp_literal m USING (marketplace_id) WHERE rn = 1",
     "listings": "SELECT listing_id, product_id, marketplace_id, currency_code AS last_currency_code, date_id AS last_date_id, price AS last_price, in_stock AS last_in_stock, CASE WHEN listing_id % 13 <> 0 THEN listing_id % 11 <> 0 END AS is_active, CASE WHEN listing_id % 17 <> 0 THEN CAST(to_timestamp(1706659200 - (listing_id % 72) * 3600) AT TIME ZONE 'UTC' AS TIMESTAMP) END AS last_checked_at FROM (SELECT *, row_number() OVER (PARTITION BY listing_id ORDER BY date_id DESC) AS k FROM prices) WHERE k = 1",
-    "rates": f"SELECT * FROM (VALUES {_RATE_VALUES}) AS t(date_id, currency_code, rate_to_eur, rate_to_usd, source)",
+    "rates": f"SELECT date_id, currency_code, CAST(least * 0.00001 AS DECIMAL(18,8)) AS rate_to_eur, CASE WHEN currency_code = 'USD' THEN CAST(1 AS DECIMAL(18,8)) ELSE CAST(least * 0.00002 AS DECIMAL(18,8)) END AS rate_to_usd, source FROM (SELECT CAST(year(o_orderdate) * 10000 + 101 AS INTEGER) AS date_id, {_RATED} AS currency_code, CASE WHEN o_orderkey % 3 = 0 THEN 'feed_b' ELSE 'feed_a' END AS source, CAST(min(CAST(floor(o_totalprice) AS BIGINT)) AS DECIMAL(10,0)) AS least FROM orders GROUP BY ALL)",
     "logs": "SELECT event_id AS id, ts AS created_at, CAST(user_id % 10 AS INTEGER) AS marketplace_id, user_id AS listing_id, CASE event_type WHEN 'purchase' THEN 'success' WHEN 'view' THEN 'no_change' WHEN 'click' THEN 'timeout' WHEN 'error' THEN 'error' ELSE 'parse_error' END AS status, CAST(floor(value * 100) AS INTEGER) AS duration_ms, props FROM events",
     "job_counts": "SELECT marketplace_id, CAST(strftime(created_at, '%Y%m%d') AS INTEGER) AS day_id, min(created_at) AS started_at, max(created_at) AS completed_at, count(*) FILTER (WHERE status = 'success') AS successful, count(*) FILTER (WHERE status <> 'success') AS failed FROM logs GROUP BY ALL",
     "jobs": "SELECT CAST(day_id * 10 + marketplace_id AS BIGINT) AS id, CAST(day_id AS BIGINT) AS parent_job_id, marketplace_id, CASE WHEN day_id % 2 = 0 THEN 'discovery' ELSE 'scrape' END AS job_type, CASE WHEN successful = 0 THEN 'failed' WHEN marketplace_id % 4 = 1 THEN 'partial' WHEN day_id % 10 = 7 THEN 'running' WHEN day_id % 10 = 8 THEN 'pending' ELSE 'completed' END AS status, started_at, completed_at, successful, failed FROM job_counts",
