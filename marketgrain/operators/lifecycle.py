@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marketgrain.sources.folders import fresh_folder, remove
+
 #: Seconds without a sign of life after which a job is dead.
 HEARTBEAT_S, DISCOVERY_S, OTHER_S = 600, 1200, 3600
 #: Seconds after which a parent gives up its children, and repeats a dispatch.
@@ -88,14 +90,27 @@ def sampled_trust(urls: DataFrame, seed: int = 7, small: int = 100, sample: int
 
 
 def reachable(edges: DataFrame, roots: DataFrame, depth: int = 3) -> DataFrame:
-    """Nodes within ``depth`` steps of the roots (edges: src, dst; roots: node), each with its least depth."""
-    seen = roots.select("node", F.lit(0).alias("depth")).distinct()
-    frontier = seen
+    """Nodes within ``depth`` steps of the roots (edges: src, dst; roots: node), each with its least depth. Edges and levels are written,
+    so that a level reads the one before and doesn't compute it again."""
+    spark = edges.sparkSession
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        path = fresh_folder(spark, name)
+        df.write.parquet(path)
+        made.append(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    made: list[str] = []
+    edges = kept(edges.select("src", "dst"), "edges")
+    frontier = seen = kept(roots.select("node", F.lit(0).alias("depth")).distinct(), "level")
     for k in range(1, depth + 1):
         step = frontier.join(edges, frontier["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
-        frontier = step.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(k))
+        frontier = kept(step.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(k)), "level")
         seen = seen.unionByName(frontier)
-    return seen
+    found = kept(seen, "reachable")
+    for path in made[:-1]:
+        remove(spark, path)
+    return found
 
 
 def harvested_at(outcome: Column, now: Column) -> Column:

@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketgrain.functions import html
+from marketgrain.operators.discovery import Recon
 from marketgrain.queries import query
-from marketgrain.sources.markup import CTE, marked_pages
+from marketgrain.sources.folders import fresh_folder
+from marketgrain.sources.markup import CTE, SITE_CTE, marked_pages, site_pages
 from marketgrain.sources.star import Star
 
 _ROLE = "CASE WHEN kind IN (0, 1, 2, 4, 6) THEN 'product' WHEN kind IN (3, 7) THEN 'listing' ELSE 'hub' END"
@@ -158,6 +160,28 @@ def doc_next_page(s: Star) -> DataFrame:
     return html.next_page(_marked(s))
 
 
+# --- discovery ------------------------------------------------------------------------------------------------------------------
+
+_READ = f"{SITE_CTE}, r AS (SELECT DISTINCT site, CAST(0 AS BIGINT) AS j, 0 AS depth FROM m UNION ALL SELECT r.site, 4 * r.j + k, depth + 1 FROM r JOIN p USING (site, j), generate_series(1, 4) AS t(k) WHERE depth < 3 AND role <> 'product'), f AS (SELECT site, j, depth FROM r JOIN p USING (site, j) WHERE role = 'listing' AND j > 0 AND j < 99)"
+
+
+@query(f"WITH RECURSIVE {_READ} SELECT site, 'http://shop' || site || '.example/c/' || j AS url, depth FROM f UNION ALL SELECT site, 'http://shop' || site || '.example/catalog', NULL FROM p WHERE j = 99 AND role = 'hub' AND site NOT IN (SELECT site FROM f)")
+def disc_bfs(s: Star) -> DataFrame:
+    """Category discovery over sites made from parts: stopped after two levels, then taken up and ended."""
+    folder = fresh_folder(s.spark, "recon")
+    parsed = html.with_nodes(site_pages(s.table("part")))
+    roles, found = f"{folder}/parsed-roles", f"{folder}/parsed-links"
+    html.page_roles(parsed).select("page_id", "url", "role").write.parquet(roles)
+    pages = s.spark.read.parquet(roles)
+    html.links(parsed).select("page_id", "link").join(pages, "page_id").select("url", "link").write.parquet(found)
+    site = F.regexp_extract("url", r"^http://shop(\d+)\.example", 1).cast("long")
+    roots = pages.select(site.alias("site"), F.regexp_extract("url", "^(http://[^/]+)", 1).alias("url")).distinct()
+    crawl = Recon(roots, pages.select("url", "role"), s.spark.read.parquet(found), folder)
+    _, stopped = crawl.run(lambda level: level == 2)
+    assert stopped
+    return crawl.run()[0]
+
+
 # --- the same operators over the pages table, which shows no product mark-up -------------------------------------------------
 
 

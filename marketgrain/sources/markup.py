@@ -34,3 +34,37 @@ def marked_pages(part: DataFrame) -> DataFrame:
     for name, value in values.items():
         page = F.replace(page, F.lit(f"[[{name}]]"), value)
     return part.select(key.alias("page_id"), F.concat(F.lit("http://shop.example/some-lamp_"), key, F.when(kind == 8, "?page=2").otherwise("")).alias("url"), page.alias("html"))
+
+
+_SELF = "http://shop%d.example"
+#: What a page of each role shows beside its links.
+ROLE_MARKS = {
+    "listing": '<meta property="og:type" content="article"><p>all of it</p>',
+    "product": '<meta property="og:type" content="product"><p>one of it</p>',
+    "unknown": "".join(f"<p>{n}.50 $</p>" for n in range(6)),
+    "hub": "<p>welcome</p>",
+}
+#: Pages of a site, and links from each to further ones.
+SITE_PAGES, SITE_LINKS = 100, 4
+#: Sites of 100 parts each in SQL: a page's number in its site, its role, and the same links.
+SITE_CTE = (
+    "m AS (SELECT p_partkey // 100 AS site, p_partkey % 100 AS j FROM part), "
+    "p AS (SELECT site, j, CASE WHEN j = 99 THEN CASE WHEN site % 2 = 0 THEN 'hub' ELSE 'product' END WHEN j = 0 AND site % 7 <> 3 THEN 'hub' WHEN j = 0 THEN 'listing' "
+    "WHEN (site + j) % 5 = 0 THEN CASE WHEN site % 3 = 1 THEN 'hub' ELSE 'listing' END WHEN (site + j) % 5 = 1 THEN 'product' WHEN (site + j) % 5 = 2 THEN 'unknown' ELSE 'hub' END AS role FROM m)"
+)
+
+
+def site_pages(part: DataFrame) -> DataFrame:
+    """Pages of sites made from parts, each linking on to four more: page_id, url, html. The last one stands at a usual path that no page links to."""
+    site, j = F.floor(F.col("p_partkey") / SITE_PAGES), F.col("p_partkey") % SITE_PAGES
+    k = (site + j) % 5
+    role = (
+        F.when(j == 99, F.when(site % 2 == 0, "hub").otherwise("product")).when(j == 0, F.when(site % 7 == 3, "listing").otherwise("hub"))
+        .when(k == 0, F.when(site % 3 == 1, "hub").otherwise("listing")).when(k == 1, "product").when(k == 2, "unknown").otherwise("hub")
+    )
+    shown = F.create_map(*[F.lit(x) for pair in ROLE_MARKS.items() for x in pair])[role]
+    host = F.format_string(_SELF, site)
+    onward = F.transform(F.sequence(F.lit(1), F.lit(SITE_LINKS)), lambda n: F.format_string('<a href="/c/%d?from=%d">on</a>', SITE_LINKS * j + n, j))
+    other = F.format_string('<a href="/c/%d">here</a><a href="http://other.example/c/1">out</a><a href="#top">up</a>', j)
+    path = F.when(j == 0, "").when(j == 99, "/catalog").otherwise(F.concat(F.lit("/c/"), j.cast("string")))
+    return part.select(F.col("p_partkey").alias("page_id"), F.concat(host, path).alias("url"), F.concat(shown, F.array_join(onward, ""), other).alias("html"))
