@@ -9,6 +9,8 @@ from marketgrain.sources.folders import fresh_folder, remove
 
 #: Seconds without a sign of life after which a job is dead.
 HEARTBEAT_S, DISCOVERY_S, OTHER_S = 600, 1200, 3600
+#: Fixed value: failures in a row that deactivate a listing.
+DEACTIVATE_AFTER = 15
 #: Seconds after which a parent gives up its children, and repeats a dispatch.
 CHILD_DISCOVERY_S, CHILD_SCRAPE_S, PENDING_S = 1020, 1080, 120
 #: Days after which a sitemap is read again, hours after which a bad one and one that took too long is; categories
@@ -156,12 +158,14 @@ def admin_guards(users: DataFrame, actor: int) -> DataFrame:
     return users.join(F.broadcast(counts)).select("user_id", reason("_active").alias("deactivate"), reason("_supers").alias("demote"), reason("_supers").alias("delete"))
 
 
-def attempt_streaks(logs: DataFrame, limit: int = 15) -> DataFrame:
-    """Each attempt with its listing's failures in a row so far, and whether the listing is still active after it: success clears."""
+def attempt_streaks(logs: DataFrame, limit: int = DEACTIVATE_AFTER) -> DataFrame:
+    """Each attempt with its listing's state after it: errors and last_error of this attempt alone, as they are cleared before it;
+    streak, the failures in a row, which success clears; active, until a streak has reached the limit."""
     from pyspark.sql import Window
 
     order = Window.partitionBy("listing_id").orderBy("created_at", "id")
     good = F.col("status").isin("success", "no_change")
     runs = logs.withColumn("_run", F.count_if(good).over(order))
     so_far = F.count_if(~good).over(Window.partitionBy("listing_id", "_run").orderBy("created_at", "id"))
-    return runs.withColumn("streak", so_far).withColumn("active", F.col("streak") < limit).drop("_run")
+    counted = runs.withColumns({"streak": so_far, "errors": F.when(good, 0).otherwise(1).cast("long"), "last_error": F.when(~good, F.col("status"))})
+    return counted.withColumn("active", F.max("streak").over(order) < limit).drop("_run")

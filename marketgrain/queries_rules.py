@@ -114,9 +114,12 @@ def life_complete(s: Star) -> DataFrame:
     return summaries.completed(seeds, summaries.job_rollup(s.logs()))
 
 
-@query("SELECT id, listing_id, streak, streak < 15 AS active FROM (SELECT id, listing_id, count(*) FILTER (WHERE status NOT IN ('success', 'no_change')) OVER (PARTITION BY listing_id, run ORDER BY created_at, id) AS streak FROM (SELECT *, count(*) FILTER (WHERE status IN ('success', 'no_change')) OVER (PARTITION BY listing_id ORDER BY created_at, id) AS run FROM logs))")
+_STATES = "SELECT id, listing_id, created_at, errors, last_error, streak, max(streak) OVER (PARTITION BY listing_id ORDER BY created_at, id) < 15 AS active FROM (SELECT *, CAST(status NOT IN ('success', 'no_change') AS BIGINT) AS errors, CASE WHEN status NOT IN ('success', 'no_change') THEN status END AS last_error, count(*) FILTER (WHERE status NOT IN ('success', 'no_change')) OVER (PARTITION BY listing_id, run ORDER BY created_at, id) AS streak FROM (SELECT *, count(*) FILTER (WHERE status IN ('success', 'no_change')) OVER (PARTITION BY listing_id ORDER BY created_at, id) AS run FROM logs))"
+
+
+@query(f"SELECT id, listing_id, errors, last_error, streak, active FROM ({_STATES})")
 def life_listing(s: Star) -> DataFrame:
-    return lifecycle.attempt_streaks(s.logs()).select("id", "listing_id", "streak", "active")
+    return lifecycle.attempt_streaks(s.logs()).select("id", "listing_id", "errors", "last_error", "streak", "active")
 
 
 _HARVEST, _HARVEST_SQL = _pick("id", ["useful", "bad", "timeout"])

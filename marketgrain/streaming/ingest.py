@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-LIMIT = 15
+from marketgrain.operators.lifecycle import DEACTIVATE_AFTER
+from marketgrain.sources import folders, sinks
+from marketgrain.sources.snapshots import Snapshots
 
 
 def activity(logs: DataFrame, length: str = "24 hours", slide: str = "1 hour", late: str = "2 hours") -> DataFrame:
@@ -20,7 +22,7 @@ def activity(logs: DataFrame, length: str = "24 hours", slide: str = "1 hour", l
 
 
 def suppressed(observations: DataFrame) -> DataFrame:
-    """Passing observations (listing_id, id, observed_at, price, currency, in_stock) with their outcome, against the last
+    """Passing observations (listing_id, id, observed_at, price, currency, in_stock and more) with their outcome, against the last
     one kept in state: the batch rule of ``ingest`` on a stream."""
 
     def judge(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -28,14 +30,15 @@ def suppressed(observations: DataFrame) -> DataFrame:
         rows = pd.concat(list(frames)).sort_values(["observed_at", "id"])
         outcomes = []
         for price, currency, stock in zip(rows["price"], rows["currency"], rows["in_stock"]):
-            stock = None if pd.isna(stock) else bool(stock)
+            price, stock = float(price), None if pd.isna(stock) else bool(stock)
             same = last is not None and abs(price - last[0]) < 0.001 and currency == last[1] and stock == last[2]
             outcomes.append("no_change" if same else "success")
-            last = (float(price), currency, stock)
+            last = (price, currency, stock)
         state.update(last)
-        yield pd.DataFrame({"listing_id": rows["listing_id"], "id": rows["id"], "outcome": outcomes})
+        yield rows.assign(outcome=outcomes)
 
-    return observations.groupBy("listing_id").applyInPandasWithState(judge, "listing_id long, id long, outcome string", "price double, currency string, in_stock boolean", "append", GroupStateTimeout.NoTimeout)
+    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in observations.schema)
+    return observations.groupBy("listing_id").applyInPandasWithState(judge, f"{own}, outcome string", "price double, currency string, in_stock boolean", "append", GroupStateTimeout.NoTimeout)
 
 
 def streaks(attempts: DataFrame) -> DataFrame:
@@ -46,32 +49,38 @@ def streaks(attempts: DataFrame) -> DataFrame:
         for ok in pd.concat(list(frames)).sort_values(["created_at", "id"])["ok"]:
             streak = 0 if ok else streak + 1
         state.update((streak,))
-        yield pd.DataFrame({"listing_id": [key[0]], "streak": [streak], "deactivated": [streak >= LIMIT]})
+        yield pd.DataFrame({"listing_id": [key[0]], "streak": [streak], "deactivated": [streak >= DEACTIVATE_AFTER]})
 
     return attempts.groupBy("listing_id").applyInPandasWithState(count, "listing_id long, streak long, deactivated boolean", "streak long", "update", GroupStateTimeout.NoTimeout)
 
 
-def upsert_batches(path: str, keys: list[str], partitions: int = 64):
-    """A foreachBatch function: each batch's rows replace stored rows with their keys.
+def to_files(path: str):
+    """A foreachBatch function: each batch's rows in a folder of its own (column ``batch``), written anew if the batch is repeated."""
 
-    The table is kept in partitions by key hash (column ``part``); a batch rewrites those that it touches and no others, and
-    repeating a batch after a restart gives the same table.
+    def write(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return write
+
+
+def upsert_batches(store: Snapshots, keys: list[str], last: list[str] = [], partitions: int = 64):
+    """A foreachBatch function: each batch's rows replace stored rows with their keys; of a batch's rows with one key that
+    with the greatest ``last`` counts.
+
+    The table has parts by key hash; a batch rewrites those that it touches and no others, and all of them appear at once, with the
+    batch's number in the ledger. So a batch that fails changes nothing, and one that is repeated isn't applied again.
     """
-    from marketgrain.sources.sinks import replaced_by_key
+    part = F.pmod(F.xxhash64(*keys), F.lit(partitions))
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        new = batch.dropDuplicates(keys).withColumn("part", F.pmod(F.xxhash64(*keys), F.lit(partitions)).cast("int"))
-        touched = sorted(r["part"] for r in new.select("part").distinct().collect())  # no more than partitions
-        place = spark._jvm.org.apache.hadoop.fs.Path(path)
-        merged = new
-        if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
-            stored = spark.read.schema(new.schema).parquet(path).where(F.col("part").isin(touched))
-            merged = replaced_by_key(stored, new, keys)
-        # the old files are read before they are replaced
-        staged = f"{path.rstrip('/')}-staged"
-        merged.write.mode("overwrite").partitionBy("part").parquet(staged)
-        rows = spark.read.schema(new.schema).parquet(staged)
-        rows.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+        spark, state = batch.sparkSession, store.state()
+        if number <= state["ledger"].get("batch", -1):
+            return
+        with folders.passing_folder(spark, "batch") as path:
+            sinks.one_per_key(batch, keys, last).withColumn("_part", part).write.partitionBy("_part").parquet(path)
+            touched = [n.partition("=")[2] for n in folders.names(spark, path) if n.startswith("_part=")]
+            new = spark.read.schema(batch.schema).parquet(path).select(*batch.columns)
+            rows = new if state["schema"] is None else sinks.replaced_by_key(store.read(touched, state), new, keys)
+            store.replace_parts(rows.select(*batch.columns), part, ledger={"batch": number})
 
     return write
