@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketgrain.llm.shared import shared_dir
+from marketgrain.llm.shared import fresh_path, remove
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -28,11 +28,22 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """``edges`` (u, v: long). Returns node, component (the least node reachable) for every node that has an edge."""
-    shared_dir(edges.sparkSession)
-    edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct().checkpoint()
+    spark, last = edges.sparkSession, None
+
+    def kept(df: DataFrame) -> DataFrame:
+        """The round's edges, written; those of the round before are deleted."""
+        nonlocal last
+        path = fresh_path(spark, "edges")
+        df.write.parquet(path)
+        if last is not None:
+            remove(spark, last)
+        last = path
+        return spark.read.schema(df.schema).parquet(path)
+
+    edges = kept(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
     mark = None
     while True:
-        edges = _small_star(_large_star(edges)).checkpoint()
+        edges = kept(_small_star(_large_star(edges)))
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             break

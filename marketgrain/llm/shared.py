@@ -66,9 +66,8 @@ def cleared(spark: SparkSession) -> Iterator[None]:
             remove(spark, path)
 
 
-def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
-    """What ``make`` returns, written; the folders that it wrote on the way are deleted, and on an exception its own too."""
-    path = fresh_path(spark, name)
+def settle(spark: SparkSession, make: Callable[[], DataFrame], path: str) -> DataFrame:
+    """What ``make`` returns, written to ``path``; the folders that it wrote on the way are deleted, and on an exception this one too."""
     try:
         with cleared(spark):
             df = make()
@@ -79,6 +78,11 @@ def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> Da
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """As ``settle``, in a new folder."""
+    return settle(spark, make, fresh_path(spark, name))
+
+
 def spread_join(big: DataFrame, small: DataFrame, key: str, by: str, how: str = "inner", counts: DataFrame | None = None, total: int | None = None) -> DataFrame:
     """``big`` joined with ``small``, of few rows a key, on ``key``; rows of a hot key are dealt over tasks by ``by``.
 

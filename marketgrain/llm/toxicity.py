@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketgrain.llm.shared import with_carry, written
+from marketgrain.llm.shared import cleared, with_carry, written
 from marketgrain.llm.textarrays import NOT_ALNUM, bounded, head_hash, text_buffers, text_of, word_hashes, word_heads
 
 #: Labelled documents of each class that training takes at most.
@@ -146,6 +146,11 @@ def _ratio(a, b, n_a, n_b):
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, label: str = "toxic", penalties: tuple[float, ...] = PENALTIES) -> OrdinalModel:
     """Fit on the bounded sample. Its features are counted and chosen by Spark; the chosen ones of each sampled text come to
     the driver, of 2 * ``rows`` texts at most. Cross-validation fits are tasks of their own."""
+    with cleared(docs.sparkSession):
+        return _fitted(docs, labels, rows, label, penalties)
+
+
+def _fitted(docs: DataFrame, labels: DataFrame, rows: int, label: str, penalties: tuple[float, ...]) -> OrdinalModel:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, lambda b: b.column(2)):
