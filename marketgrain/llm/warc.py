@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, WriterCommitMessage
 
-from marketgrain.llm.shared import file_system, fresh_path, spread_join, written
+from marketgrain.llm.shared import cleared, file_system, fresh_path, spread_join, written
 
 SCHEMA = "record_id string, record_type string, target_uri string, refers_to string, payload_digest string, payload_length long, payload binary"
 #: The column of each header that a predicate may be pushed down on.
@@ -41,6 +41,8 @@ TASK_BYTES = 64 << 20
 _HEAD = struct.Struct("<2sBBIBB")
 _EXTRA = struct.Struct("<2sHII")
 _RECORD = "urn:x-page:"
+#: How the names of files begin that list a write's archives.
+_LIST = "_files"
 
 
 def member(raw: bytes) -> bytes:
@@ -137,10 +139,12 @@ class WarcReader(DataSourceReader):
         from pyarrow.fs import FileSelector, FileType
 
         infos = sorted((i for i in fs.get_file_info(FileSelector(root)) if i.type == FileType.File), key=lambda i: i.path)
-        listed = next((i for i in infos if i.base_name == "_files"), None)
-        if listed is not None:
-            with fs.open_input_stream(listed.path, compression=None) as f:
-                names = set(f.read().decode().split("\n"))
+        lists = [i for i in infos if i.base_name.startswith(_LIST)]
+        if lists:
+            names = set()
+            for i in lists:
+                with fs.open_input_stream(i.path, compression=None) as f:
+                    names |= set(f.read().decode().split("\n"))
             infos = [i for i in infos if i.base_name in names]
         groups, size = [[]], 0
         for i in (i for i in infos if i.base_name.endswith(".warc.gz")):
@@ -198,8 +202,8 @@ class Written(WriterCommitMessage):
 class WarcWriter(DataSourceArrowWriter):
     """Writes rows of record_id, record_type, target_uri, refers_to, payload_digest, payload_length, payload."""
 
-    def __init__(self, options: dict):
-        self.path = options["path"]
+    def __init__(self, options: dict, overwrite: bool):
+        self.path, self.overwrite = options["path"], overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         fs, root = file_system(self.path)
@@ -217,11 +221,18 @@ class WarcWriter(DataSourceArrowWriter):
         return Written(name if stream is not None else None)
 
     def commit(self, messages: list[Written | None]) -> None:
-        """List the files of the attempts that count; readers see no others."""
+        """List the files of the attempts that count, beside the lists of earlier writes; readers see no others. Where earlier
+        records are to be replaced, their lists and files go once the new list is there."""
+        from pyarrow.fs import FileSelector
+
         fs, root = file_system(self.path)
         fs.create_dir(root, recursive=True)
-        with fs.open_output_stream(f"{root}/_files", compression=None) as f:
-            f.write("\n".join(sorted(m.name for m in messages if m is not None and m.name)).encode())
+        names = sorted(m.name for m in messages if m is not None and m.name)
+        earlier = [i.path for i in fs.get_file_info(FileSelector(root)) if i.base_name not in names and (i.base_name.startswith(_LIST) or i.base_name.endswith(".warc.gz"))] if self.overwrite else []
+        with fs.open_output_stream(f"{root}/{_LIST}-{uuid.uuid4().hex}", compression=None) as f:
+            f.write("\n".join(names).encode())
+        for path in sorted(earlier, key=lambda p: p.endswith(".warc.gz")):
+            fs.delete_file(path)
 
     def abort(self, messages: list[Written | None]) -> None:
         fs, root = file_system(self.path)
@@ -244,7 +255,7 @@ class WarcSource(DataSource):
         return WarcReader({k.lower(): v for k, v in self.options.items()})
 
     def writer(self, schema, overwrite: bool) -> WarcWriter:
-        return WarcWriter({k.lower(): v for k, v in self.options.items()})
+        return WarcWriter({k.lower(): v for k, v in self.options.items()}, overwrite)
 
 
 def register(spark: SparkSession) -> None:
@@ -285,10 +296,12 @@ def page_records(pages: DataFrame, id_column: str = "page_id", url_column: str =
 
 
 def write_pages(pages: DataFrame, path: str | None = None, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> str:
-    """Write a record for each page below ``path`` and return it."""
+    """Write a record for each page below ``path`` and return it. Records that are there stay, also those of the same pages; payloads
+    are compared within one call only."""
     register(pages.sparkSession)
     path = path or fresh_path(pages.sparkSession, "warc")
-    page_records(pages, id_column, url_column, html_column).write.format("warc").mode("append").option("path", path).save()
+    with cleared(pages.sparkSession):
+        page_records(pages, id_column, url_column, html_column).write.format("warc").mode("append").option("path", path).save()
     return path
 
 
