@@ -2,7 +2,8 @@
 
 The Bloom filter of listed canonical URLs is a table of 64-bit blocks; a URL's hash picks its block and four bits in
 it. Pages whose bits are all set may be listed and are looked up in the list by an exact hash join, which removes false
-positives; the others have no key in that join. Pages are read once, the list is written once.
+positives; the others aren't sent there. The filter is broadcast up to a size of its own, for which a list may have millions of URLs.
+The list is written once.
 
 Nulls and edges: a null url or one without ``://`` has an empty host and path, fits no rule and is never listed;
 repeated rows give repeated results; of rules that fit, the longest wins, and of equal ones the last given; long urls count
@@ -17,9 +18,11 @@ from pyspark.sql import functions as F
 
 from marketgrain.llm.shared import written
 
-#: A list of up to so many URLs of so many bytes, and its filter, are broadcast; beyond it both are joined by shuffles.
+#: A list of up to so many URLs of so many bytes is broadcast; beyond it pages that the filter lets pass are joined by shuffles.
 BROADCAST_URLS = 200_000
 BROADCAST_BYTES = 32 << 20
+#: The filter is broadcast by a size of its own, at BLOCK_BYTES for each block of four URLs.
+BLOCK_BYTES = 16
 #: Bits of the filter for each listed URL.
 BITS_PER_URL = 16
 #: Query parameters that don't tell pages apart.
@@ -73,23 +76,31 @@ def filter_blocks(listed: DataFrame, n_blocks: int) -> DataFrame:
     return listed.groupBy(_block(F.col("canonical"), n_blocks).alias("block")).agg(F.bit_or(_bits(F.col("canonical"))).alias("bits"))
 
 
-def url_filter(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str]], url_column: str = "url", list_column: str = "url", broadcast_urls: int = BROADCAST_URLS) -> DataFrame:
+def url_filter(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str]], url_column: str = "url", list_column: str = "url", broadcast_urls: int = BROADCAST_URLS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Add host, path, rule and verdict (allow or block): the longest fitting rule's, else block for listed URLs."""
     listed = written(listed.select(canonical_url(F.col(list_column)).alias("canonical")).where("canonical is not null").distinct(), "listed")
     n_listed, size = listed.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("canonical")), F.lit(0))).first()
     n_blocks = max(1, -(-n_listed * BITS_PER_URL // 64))
-    small = F.broadcast if n_listed <= broadcast_urls and size <= BROADCAST_BYTES else (lambda df: df)
+    as_it_is = lambda df: df
+    small = F.broadcast if n_listed <= broadcast_urls and size <= broadcast_bytes else as_it_is
+    light = F.broadcast if n_blocks * BLOCK_BYTES <= broadcast_bytes else as_it_is
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     url, canonical, block, mask = F.col(url_column), F.col("canonical"), F.col("block"), _bits(F.col("canonical"))
     # the page's own columns are one field, so none of theirs and ours can clash
     judged = pages.select(F.struct(*[F.col(c) for c in kept]).alias("page"), host_of(url).alias("host"), path_of(url).alias("path"), canonical_url(url).alias("canonical"))
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
-    # a page that needs no look-up has a block and a part of its own, which no row of filter and list has
+    # a page that needs no look-up has a block of its own, which no row of the filter has
     needless = verdict.isNotNull() | canonical.isNull()
     own = F.pmod(F.xxhash64(*[F.col("page")[c] for c, kind in pages.select(*kept).dtypes if "map<" not in kind]), F.lit(1 << 31))
     judged = judged.withColumns({"rule": rule, "verdict": verdict, "block": F.when(needless, -1 - own).otherwise(_block(canonical, n_blocks))})
     possible = F.coalesce((block >= 0) & (F.col("bits").bitwiseAND(mask) == mask), F.lit(False))
-    probed = judged.join(small(filter_blocks(listed, n_blocks)), "block", "left").withColumn("part", F.when(possible, F.lit(0)).otherwise(1 + own))
-    looked_up = probed.join(small(listed.select("canonical", F.lit(0).cast("long").alias("part"), F.lit(True).alias("found"))), ["canonical", "part"], "left")
+    probed = judged.join(light(filter_blocks(listed, n_blocks)), "block", "left").withColumn("possible", possible)
+    known = listed.select("canonical", F.lit(True).alias("found"))
+    if small is not as_it_is:
+        looked_up = probed.join(F.broadcast(known), F.col("possible") & (probed["canonical"] == known["canonical"]), "left")
+    else:
+        # only pages that may be listed are sent
+        sent = probed.where("possible").join(known, "canonical", "left")
+        looked_up = sent.unionByName(probed.where("not possible").withColumn("found", F.lit(None).cast("boolean")))
     says = F.coalesce("verdict", F.when(F.col("found"), "block").otherwise("allow"))
     return looked_up.select(*[F.col("page")[c].alias(c) for c in kept], "host", "path", "rule", says.alias("verdict"))
