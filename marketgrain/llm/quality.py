@@ -23,7 +23,14 @@ MAX_REPEAT_PERCENT = 50
 MIN_KEPT_PERCENT = 50
 #: Symbols a word from which a line counts as symbols rather than prose.
 MAX_LINE_SYMBOLS_PERCENT = 50
-BOILERPLATE = ("all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy", "use of cookies", "enable javascript", "lorem ipsum", "click here", "sign up for our", "powered by")
+#: Phrases of page furniture in the languages of the tables: the published C4 cleaning rules' (lorem ipsum, JavaScript
+#: notices, terms of use, privacy and cookie policies, use of cookies), footers' and buttons', and what pages in the other languages say for them.
+BOILERPLATE = (
+    "all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy", "uses cookies", "use cookies", "use of cookies", "enable javascript", "lorem ipsum", "click here", "sign up for our", "powered by",
+    "alle rechte vorbehalten", "nutzungsbedingungen", "datenschutzerklärung", "cookie-richtlinie", "verwendet cookies", "verwendung von cookies", "javascript aktivieren", "hier klicken", "newsletter abonnieren",
+    "tous droits réservés", "conditions d'utilisation", "politique de confidentialité", "utilise des cookies", "utilisation de cookies", "activer javascript", "cliquez ici", "mentions légales",
+    "todos los derechos reservados", "condiciones de uso", "términos de uso", "política de privacidad", "política de cookies", "uso de cookies", "activar javascript", "haga clic aquí", "aviso legal",
+)
 
 
 def words_of(text: Column) -> Column:
