@@ -39,6 +39,8 @@ FOOTER = struct.Struct("<6QB8s")
 BLOCK_BYTES = 1 << 16
 #: Bytes of text that make up a shard.
 SHARD_BYTES = 32 << 20
+#: Shards aren't more than about so many: beyond, they are larger. They are written and read as streams.
+MOST_SHARDS = 20_000
 BLOOM_BITS_PER_KEY = 10
 BLOOM_HASHES = 7
 MANIFEST_SCHEMA = "path string, shard long, first_id long, last_id long, n_docs long, n_tokens long"
@@ -198,6 +200,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_bytes
 
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shard_bytes = max(shard_bytes, -(-size // MOST_SHARDS))
     order = [F.col("doc_id"), F.xxhash64("text").alias("tie")]
     ranged = rows.repartitionByRange(max(1, -(-size // shard_bytes)), *order).sortWithinPartitions(*order)
     return written(ranged.mapInArrow(write, MANIFEST_SCHEMA), "manifest")
