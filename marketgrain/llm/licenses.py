@@ -89,7 +89,7 @@ WORDINGS = [f"{what}{verb} under {the}{{}}" for what in ("", "This work is ", "T
 
 def _texts() -> list[tuple[str, str]]:
     """KNOWN, and whole texts with and without title, wrapped or not and without appendix, and notices in many wordings."""
-    whole = [(p.stem, p.read_text(encoding="utf-8")) for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))] + [(n, KNOWN[n]) for n in ("MIT", "ISC")]
+    whole = whole_texts()
     whole += [(n, re.sub(APPENDIX, "", t)) for n, t in whole]
     whole += [(n, re.sub(r"(?<!\n)\n(?!\n)", " ", t)) for n, t in whole]
     whole += [(n, f"{title}\n\n{t}") for n, t in whole for title in TITLES.get(n, [])]
@@ -98,6 +98,23 @@ def _texts() -> list[tuple[str, str]]:
     return sorted({*KNOWN.items(), *whole, *notices, *tags})
 
 
+def whole_texts() -> list[tuple[str, str]]:
+    """The whole license texts: license_id, text."""
+    return [(p.stem, p.read_text(encoding="utf-8")) for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))] + [(n, KNOWN[n]) for n in ("MIT", "ISC")]
+
+
+def copies_of_texts(docs: DataFrame, every: int = 20) -> DataFrame:
+    """doc_id (below 0), text: for one in ``every`` documents a license file as people keep it, which one by its doc_id."""
+    texts = F.array(*[F.lit(t) for _, t in whole_texts()])
+    n = F.col("doc_id") / every
+    text = F.get(texts, F.pmod(n.cast("long"), F.size(texts)).cast("int"))
+    shouted = F.when(F.col("doc_id") % 3 == 0, F.upper(text)).otherwise(text)
+    spelt = F.when(F.col("doc_id") % 7 == 0, F.replace(shouted, F.lit("license"), F.lit("licence"))).otherwise(shouted)
+    wrapped = F.when(F.col("doc_id") % 11 == 0, F.regexp_replace(spelt, ",", " ,")).otherwise(spelt)
+    owner = F.concat(F.lit("Copyright (c) 2024 Author "), F.col("doc_id").cast("string"), F.lit("\nAll rights reserved.\n\n"))
+    return docs.where(F.col("doc_id") % every == 0).select((-1 - F.col("doc_id")).alias("doc_id"), F.concat(owner, wrapped).alias("text"))
+
+
 def known_licenses(spark: SparkSession) -> DataFrame:
     """license_id, text."""
     return spark.createDataFrame(_texts(), "license_id string, text string")

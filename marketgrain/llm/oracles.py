@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marketgrain.llm.licenses import EQUIVALENT, KNOWN
+from marketgrain.llm.licenses import EQUIVALENT, KNOWN, whole_texts
 from marketgrain.llm.quality import BOILERPLATE
 
 _SPACED = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
@@ -39,15 +39,29 @@ def _digest(text: str) -> str:
     return f"CASE WHEN {one} <> '' THEN sha256({one}) END"
 
 
-OP4 = f"""
-WITH known AS (SELECT {_digest('n')} AS digest, license_id FROM (SELECT license_id, {_normalised('text')} AS n FROM (VALUES {', '.join(f'({_quote(k)}, {_quote(v)})' for k, v in KNOWN.items())}) AS t(license_id, text))),
-d AS (SELECT doc_id, {_normalised('text')} AS n FROM documents),
+_VALUES = ", ".join(f"({_quote(k)}, {_quote(v)})" for k, v in KNOWN.items())
+
+
+def _scan(documents: str, known: str = _VALUES, more: str = "") -> str:
+    return f"""
+WITH {more}known AS (SELECT {_digest('n')} AS digest, min(license_id) AS license_id FROM (SELECT license_id, {_normalised('text')} AS n FROM (VALUES {known}) AS t(license_id, text)) GROUP BY 1),
+d AS (SELECT doc_id, {_normalised('text')} AS n FROM {documents}),
 whole AS (SELECT doc_id, {_digest('n')} AS digest FROM d),
 lines AS (SELECT doc_id, {_digest('l')} AS digest FROM (SELECT doc_id, unnest(string_split(n, chr(10))) AS l FROM d)),
 hits AS (SELECT doc_id, count(*) AS n, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS names FROM lines JOIN known USING (digest) GROUP BY 1)
 SELECT whole.doc_id, whole.digest AS text_sha256, known.license_id AS license, coalesce(hits.n, 0) AS n_license_lines, coalesce(names, '') AS line_licenses
 FROM whole LEFT JOIN known ON known.digest = whole.digest LEFT JOIN hits ON hits.doc_id = whole.doc_id"""
 
+
+OP4 = _scan("documents")
+_WHOLE = whole_texts()
+_COPIES = f"""texts AS (SELECT * FROM (VALUES {', '.join(f'({k}, {_quote(t)})' for k, (_, t) in enumerate(_WHOLE))}) AS t(k, t)),
+shouted AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN upper(t) ELSE t END AS t FROM documents JOIN texts ON k = (doc_id // 20) % {len(_WHOLE)} WHERE doc_id % 20 = 0),
+spelt AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN replace(t, 'license', 'licence') ELSE t END AS t FROM shouted),
+copies AS (SELECT -1 - doc_id AS doc_id, 'Copyright (c) 2024 Author ' || doc_id || chr(10) || 'All rights reserved.' || chr(10) || chr(10) || CASE WHEN doc_id % 11 = 0 THEN replace(t, ',', ' ,') ELSE t END AS text FROM spelt),
+"""
+OP4_TEXTS = _scan("(SELECT doc_id, text FROM documents UNION ALL SELECT doc_id, text FROM copies)", _VALUES + "".join(f", ({_quote(n)}, {_quote(t)})" for n, t in _WHOLE), _COPIES)
+
 _BOILERPLATE = " OR ".join(f"contains(lower(l), {_quote(p)})" for p in BOILERPLATE)
 _COUNT = "len(regexp_extract_all({}, '{}'))".format
 OP6 = f"""
@@ -103,4 +117,4 @@ s AS (SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 *
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s WHERE score > 0)
 SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 20"""
 
-ORACLE_SQL = {"op3_decontamination": OP3, "op4_license_scan": OP4, "op6_quality_rules": OP6, "op8_url_filter": OP8, "op8_url_list": OP8, "op9_warc": OP9, "op10_substring_dedup": OP10, "op11_top_k": OP11, "op13_ranked_search": OP13}
+ORACLE_SQL = {"op3_decontamination": OP3, "op4_license_scan": OP4, "op4_license_texts": OP4_TEXTS, "op6_quality_rules": OP6, "op8_url_filter": OP8, "op8_url_list": OP8, "op9_warc": OP9, "op10_substring_dedup": OP10, "op11_top_k": OP11, "op13_ranked_search": OP13}

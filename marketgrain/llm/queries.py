@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketgrain.llm.oracles import ORACLE_SQL  # noqa: F401
+from marketgrain.llm.shared import settled
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,27 +24,43 @@ def _tokenizer(name: str) -> str:
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marketgrain.llm.packing import pack_documents
 
-    return pack_documents(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), 1024, 2)
+    return settled(spark, lambda: pack_documents(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), 1024, 2), "packing")
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marketgrain.llm.neardups import near_duplicates
 
-    return near_duplicates(_table(spark, sf_dir, "documents"))
+    return settled(spark, lambda: near_duplicates(_table(spark, sf_dir, "documents")), "near-dedup")
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marketgrain.llm.decontaminate import decontaminate
 
-    found = decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    found = settled(spark, lambda: decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")), "decontamination")
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _licenses(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op4_license_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op4_license_scan, over documents that hold whole license texts: every document of which the number fits one of the known texts stands beside a
+    copy of it with a title, a copyright line, other case, punctuation, spelling and line ends."""
+    from marketgrain.llm.licenses import copies_of_texts
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _licenses(docs.unionByName(copies_of_texts(docs)))
+
+
+def _licenses(docs: DataFrame) -> DataFrame:
     from marketgrain.llm.licenses import known_licenses, license_scan
 
-    found = license_scan(_table(spark, sf_dir, "documents").select("doc_id", "text"), known_licenses(spark))
-    return found.select("doc_id", "text_sha256", "license", "n_license_lines", F.array_join("line_licenses", ",").alias("line_licenses"))
+    def scanned() -> DataFrame:
+        found = license_scan(docs, known_licenses(docs.sparkSession))
+        return found.select("doc_id", "text_sha256", "license", "n_license_lines", F.array_join("line_licenses", ",").alias("line_licenses"))
+
+    return settled(docs.sparkSession, scanned, "licenses")
 
 
 def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +107,7 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marketgrain.llm.urls import url_filter
 
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
-    return url_filter(pages, listed_urls(pages), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+    return settled(spark, lambda: url_filter(pages, listed_urls(pages), URL_RULES).select("page_id", "host", "path", "rule", "verdict"), "urls")
 
 
 def op8_url_list(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +116,7 @@ def op8_url_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
     listed = pages.where(host_of(F.col("url")).rlike(LISTED_NAMES)).select("url")
-    return url_filter(pages, listed, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+    return settled(spark, lambda: url_filter(pages, listed, URL_RULES).select("page_id", "host", "path", "rule", "verdict"), "urls")
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,7 +137,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marketgrain.llm.substrings import remove_repeats
 
-    return remove_repeats(_table(spark, sf_dir, "documents"), with_text=False)
+    return settled(spark, lambda: remove_repeats(_table(spark, sf_dir, "documents"), with_text=False), "substring-dedup")
 
 
 def op11_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,5 +159,5 @@ def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_near_dedup, op3_decontamination, op4_license_scan, op5_token_shards, op6_quality_rules, op7_toxicity, op8_url_filter, op8_url_list, op9_warc, op10_substring_dedup, op11_top_k, op12_whitening, op13_ranked_search)
+    f.__name__: f for f in (op1_packing, op2_near_dedup, op3_decontamination, op4_license_scan, op4_license_texts, op5_token_shards, op6_quality_rules, op7_toxicity, op8_url_filter, op8_url_list, op9_warc, op10_substring_dedup, op11_top_k, op12_whitening, op13_ranked_search)
 }
