@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketgrain.llm.shared import settled
+from marketgrain.llm.shared import fresh_path, remove, settle, settled
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -64,9 +64,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``; what a stage returns is written and read again as the next one's input, and what it wrote on
-    the way is deleted."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = settled(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    """All stages on ``documents``; what a stage returns is written and read again as the next one's input. What it wrote on the
+    way is deleted, and a stage's rows are once the next one's are there: the last stage's rows are left."""
+
+    def stages() -> DataFrame:
+        docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+        for name, stage in STAGES[:-1]:
+            path = fresh_path(spark, name)
+            docs = settle(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), path)
+            if before is not None:
+                remove(spark, before)
+            before = path
+        return STAGES[-1][1](spark, docs, sf_dir)
+
+    return settled(spark, stages, "pipeline")
