@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketgrain.functions import money, text, urls
@@ -433,42 +433,45 @@ def src_fuel_feed(s: Star) -> DataFrame:
 
 
 def _sitemap_files(s: Star) -> DataFrame:
-    """One sitemap file for each ten pages."""
+    """One sitemap file for each ten pages, twenty files for each site: site, n, url, body."""
     item = F.concat(F.lit("<url><loc>"), F.regexp_replace("url", "&", "&amp;"), F.lit("</loc></url>"))
-    return s.table("pages").groupBy(F.concat(F.lit("http://m/"), F.floor(F.col("page_id") / 10).cast("string")).alias("url")).agg(F.concat(F.lit("<urlset>"), F.array_join(F.array_sort(F.collect_list(item)), ""), F.lit("</urlset>")).alias("body"))
+    numbered = s.table("pages").withColumns({"site": F.floor(F.col("page_id") / 200), "n": F.floor(F.col("page_id") % 200 / 10)})
+    files = numbered.groupBy("site", "n").agg(F.concat(F.lit("<urlset>"), F.array_join(F.array_sort(F.collect_list(item)), ""), F.lit("</urlset>")).alias("body"))
+    return files.select("site", "n", F.format_string("http://m%d.example/files/%d", "site", "n").alias("url"), "body")
 
 
-def _index_of() -> Column:
-    entry = F.concat(F.lit("<sitemap><loc>"), F.col("url"), F.lit("</loc></sitemap>"))
-    return F.concat(F.lit('<sitemapindex xmlns="http://x">'), F.array_join(F.collect_list(entry), ""), F.lit("</sitemapindex>")).alias("body")
+def _sitemap_indexes(files: DataFrame) -> DataFrame:
+    """Each site's index of its files, in their order: site, body."""
+    named = F.transform(F.array_sort(F.collect_list(F.struct("n", "url"))), lambda x: F.concat(F.lit("<sitemap><loc>"), x["url"], F.lit("</loc></sitemap>")))
+    return files.groupBy("site").agg(F.concat(F.lit('<sitemapindex xmlns="http://x">'), F.array_join(named, ""), F.lit("</sitemapindex>")).alias("body"))
 
 
-def _sitemaps(s: Star) -> DataFrame:
-    """The files and a stored index of them."""
-    files = _sitemap_files(s)
-    index = files.agg(_index_of()).select(F.lit("http://m/index").alias("url"), "body")
-    return files.unionByName(index)
-
-
-@query("SELECT 'http://m/' || page_id // 10 AS url, count(*) AS n FROM pages GROUP BY 1")
+@query("SELECT 'http://m' || page_id // 200 || '.example/files/' || page_id % 200 // 10 AS url, count(*) AS n FROM pages GROUP BY 1")
 def src_sitemap_xml(s: Star) -> DataFrame:
-    parsed = _sitemaps(s).select("url", feeds.sitemap_locations("body").alias("x")).where(F.size("x.urls") > 0)
+    parsed = _sitemap_files(s).select("url", feeds.sitemap_locations("body").alias("x")).where(F.size("x.urls") > 0)
     return parsed.select("url", F.size("x.urls").cast("long").alias("n"))
 
 
-@query("SELECT DISTINCT url FROM pages WHERE 'http://m/' || page_id // 10 IN (SELECT DISTINCT 'http://m/' || page_id // 10 AS u FROM pages ORDER BY 1 LIMIT 14)")
+@query("SELECT DISTINCT 'http://m' || page_id // 200 || '.example/start' AS site, url FROM pages WHERE page_id % 200 // 10 < CASE page_id // 200 % 3 WHEN 0 THEN 10 ELSE 12 END")
 def src_sitemap_walk(s: Star) -> DataFrame:
-    """One crawl within its own limit: an index and fourteen files."""
-    return feeds.sitemap_walk(_sitemaps(s), s.spark.createDataFrame([("http://m/index",)], "url string"))
+    """One crawl for each site within its own limits. A third of the sites name their index in robots.txt, among lines that name nothing; a
+    third have no robots.txt and an index at a usual path; a third name a file, which the index names again."""
+    files, k = _sitemap_files(s), F.col("site") % 3
+    home = lambda path: F.format_string("http://m%d.example" + path, "site")
+    at = F.when(k == 0, home("/maps/index")).when(k == 1, home("/sitemap_index.xml")).otherwise(home("/sitemap.xml"))
+    indexes = _sitemap_indexes(files)
+    named = F.concat(F.lit("User-agent: *\r\nDisallow: /sitemap:\r\n SITEMAP :x\nsitemap:\n  SiteMap:  "), home("/maps/index"), F.lit(" \nSitemap: "), home("/gone.xml"))
+    robots = indexes.select(home("/start").alias("site"), F.when(k == 0, named).when(k == 2, F.concat(F.lit("Sitemap: "), home("/files/0"))).alias("body"))
+    return feeds.sitemap_walk(files.select("url", "body").unionByName(indexes.select(at.alias("url"), "body")), feeds.robots_roots(robots))
 
 
 @query("SELECT DISTINCT url FROM pages WHERE url IS NOT NULL")
 def src_sitemap_walk_all(s: Star) -> DataFrame:
-    """Every file, by an index for each hundred of them, without the limits of one crawl."""
+    """Every file of every site, without the limits of one crawl."""
     files = _sitemap_files(s)
-    name = F.concat(F.lit("http://m/index/"), F.floor(F.substring("url", 10, 20).cast("long") / 100).cast("string"))
-    indexes = files.groupBy(name.alias("index")).agg(_index_of()).withColumnRenamed("index", "url")
-    return feeds.sitemap_walk(files.unionByName(indexes), indexes.select("url"), None, None)
+    indexes = _sitemap_indexes(files).select(F.col("site").cast("string").alias("site"), F.format_string("http://m%d.example/index", "site").alias("url"), "body")
+    roots = indexes.select("site", "url", F.lit(0).alias("place"))
+    return feeds.sitemap_walk(files.select("url", "body").unionByName(indexes.select("url", "body")), roots, None, None).select("url").distinct()
 
 
 _NEWEST = "date_id = (SELECT max(date_id) FROM rates) AND source = 'feed_a'"

@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
+from marketgrain.sources.folders import fresh_folder, remove
+
+#: Where sitemaps are looked for besides what robots.txt names.
+SITEMAP_PATHS = ("/sitemap.xml", "/sitemap_index.xml", "/sitemap/sitemap.xml")
+
 
 def forex_feed(payloads: DataFrame, *keys: str) -> DataFrame:
     """``{"base": ..., "rates": {code: rate}}`` in column ``body``: pair, bid, ask (bid + 0.0001), spread, after the columns ``keys``."""
@@ -93,20 +99,54 @@ def sitemap_locations(bodies: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([_locations(x) for x in b], columns=["urls", "sitemaps"])
 
 
+def robots_roots(robots: DataFrame) -> DataFrame:
+    """Where each site's sitemaps may be (``site``, its base URL, and the ``body`` of its robots.txt or null): the addresses after ``sitemap:`` in
+    the order of their lines, then the usual paths. Returns site, url, place; lines that name nothing are passed over."""
+    lines = F.transform(F.split(F.coalesce("body", F.lit("")), r"\r\n|\r|\n"), lambda line: F.trim(F.regexp_replace(line, r"[\t\x0B\f]", " ")))
+    named = F.filter(F.transform(F.filter(lines, lambda line: F.lower(line).startswith("sitemap:")), lambda line: F.trim(F.substring(line, 9, 1 << 30))), lambda u: u != "")
+    # a path from the root replaces the base's own path
+    host = F.regexp_extract("site", r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
+    usual = F.array(*[F.concat(host, F.lit(p)) for p in SITEMAP_PATHS])
+    every = F.concat(named, F.filter(usual, lambda u: ~F.array_contains(named, u)))
+    return robots.select("site", F.posexplode(every).alias("place", "url")).select("site", "url", "place")
+
+
 def sitemap_walk(files: DataFrame, roots: DataFrame, most_files: int | None = 15, most_urls: int | None = 50_000) -> DataFrame:
-    """URLs reachable from root sitemaps (``url``) over stored files (``url``, ``body``): breadth first, three levels, within the crawl's own limits.
+    """The URLs that each site's sitemaps list, over stored files (``url``, ``body``): breadth first from its roots (``site``, ``url``, ``place``).
 
-    Files count over all levels together, by url within a level and whether they are stored or not; None lifts a limit.
+    Files are parsed once and written. Those named in one file come in its order, after all that were named before; each is visited
+    once. A site's visits, of files that aren't stored too, end with ``most_files`` of them, its URLs with ``most_urls``, repeats counted; None
+    lifts a limit. Returns site, url, each once.
     """
-
-    def first(df: DataFrame, n: int | None, *by: str) -> DataFrame:
-        return df if n is None else df.orderBy(*by).limit(n)
-
-    parsed = files.where(looks_like_sitemap(F.col("body"))).select("url", sitemap_locations("body").alias("x")).select("url", "x.urls", "x.sitemaps")
-    tried = frontier = first(roots.select("url", F.lit(0).alias("level")).distinct(), most_files, "url")
-    for k in (1, 2):
-        listed = frontier.select("url").join(parsed, "url").select(F.explode("sitemaps").alias("url")).distinct()
-        frontier = first(listed.join(tried.select("url"), "url", "left_anti").withColumn("level", F.lit(k)), most_files, "url")
-        tried = tried.unionByName(frontier)
-    found = first(tried, most_files, "level", "url").select("url").join(parsed, "url").select(F.explode("urls").alias("url")).distinct()
-    return first(found, most_urls, "url")
+    spark, folder = files.sparkSession, fresh_folder(files.sparkSession, "sitemaps")
+    files.where(looks_like_sitemap(F.col("body"))).select("url", sitemap_locations("body").alias("x")).select("url", "x.urls", "x.sitemaps").write.parquet(f"{folder}/parsed")
+    parsed = spark.read.parquet(f"{folder}/parsed")
+    named, level = roots.select("site", "url", F.array("place").alias("path")), 0
+    visited: list[DataFrame] = []
+    while True:
+        # a file that is named several times counts where it is named first
+        fresh = named.groupBy("site", "url").agg(F.min("path").alias("path"))
+        if visited:
+            before = reduce(DataFrame.unionByName, visited)
+            fresh = fresh.join(before.select("site", "url"), ["site", "url"], "left_anti")
+        if most_files is not None:
+            used = before.groupBy("site").agg(F.count("*").alias("used")) if visited else fresh.select("site").distinct().withColumn("used", F.lit(0))
+            place = F.row_number().over(Window.partitionBy("site").orderBy("path"))
+            fresh = fresh.withColumn("nth", place).where(F.col("nth") <= most_files).join(used, "site").where(F.col("nth") + F.col("used") <= most_files).drop("nth", "used")
+        fresh.write.parquet(f"{folder}/level-{level}")
+        now = spark.read.parquet(f"{folder}/level-{level}")
+        if now.isEmpty():
+            break
+        visited.append(now.withColumn("level", F.lit(level)))
+        named = now.join(parsed, "url").select("site", "path", F.posexplode("sitemaps").alias("at", "url")).select("site", "url", F.concat("path", F.array("at")).alias("path"))
+        level += 1
+    if not visited:
+        return roots.select("site", "url").limit(0)
+    listed = reduce(DataFrame.unionByName, visited).join(parsed, "url").select("site", "level", "path", F.posexplode("urls").alias("at", "url"))
+    if most_urls is not None:
+        nth = F.row_number().over(Window.partitionBy("site").orderBy("level", "path", "at"))
+        listed = listed.withColumn("nth", nth).where(F.col("nth") <= most_urls)
+    listed.select("site", "url").distinct().write.parquet(f"{folder}/urls")
+    for name in ("parsed", *(f"level-{k}" for k in range(level + 1))):
+        remove(spark, f"{folder}/{name}")
+    return spark.read.parquet(f"{folder}/urls")
