@@ -26,7 +26,7 @@ AGAINST_PRICE = ("%", "cashback", "кэшбэк", "bonus", "бонус", "ски
 AMOUNT = r"\d{1,3}(?:[ .,]\d{3})+(?:[.,]\d{1,2})?|\d+(?:[.,]\d{1,2})?"
 MAX_PRICE = 5_000_000.0
 CONTEXT = 20
-POINTS_MONEY, POINTS_FOR, POINTS_AGAINST, POINTS_BELOW_ONE = 8, 4, -6, -3
+POINTS_MONEY, POINTS_FOR, POINTS_AGAINST, POINTS_BELOW_ONE, POINTS_TOO_LARGE = 8, 4, -6, -3, -20
 
 
 def first_contained(text: Column, table: list[tuple[str, str]]) -> Column:
@@ -99,7 +99,7 @@ def amount(token: Column) -> Column:
 
 def price(text: Column | str) -> Column:
     """The most price-like amount of a text: a currency or a price word near it speaks for it, a discount word against; of
-    equally good ones the greatest. Null if there is none."""
+    equally good ones the greatest. Null if there is none, or if the best is over the limit."""
     spaced = F.translate(F.col(text) if isinstance(text, str) else text, "\u00a0\u202f\u2009", "   ")
     parts = F.struct(F.regexp_extract_all(spaced, F.lit(AMOUNT), 0).alias("tokens"), F.split(spaced, AMOUNT, -1).alias("between"), spaced.alias("text"))
 
@@ -112,10 +112,12 @@ def price(text: Column | str) -> Column:
         first = F.greatest(start - CONTEXT, F.lit(0))
         near = F.lower(F.substring(p["text"], first + 1, start - first + F.length(token) + CONTEXT))
         money = near.rlike(_any_of([t for t, _ in SYMBOLS + CODES]))
-        points = F.when(money, POINTS_MONEY).otherwise(0) + F.when(near.rlike(_any_of(FOR_PRICE)), POINTS_FOR).otherwise(0) + F.when(near.rlike(_any_of(AGAINST_PRICE)), POINTS_AGAINST).otherwise(0) + F.when(value < 1, POINTS_BELOW_ONE).otherwise(0)
-        return F.when(value <= MAX_PRICE, F.struct(points.alias("points"), value.alias("value")))
+        points = F.when(money, POINTS_MONEY).otherwise(0) + F.when(near.rlike(_any_of(FOR_PRICE)), POINTS_FOR).otherwise(0) + F.when(near.rlike(_any_of(AGAINST_PRICE)), POINTS_AGAINST).otherwise(0) + F.when(value < 1, POINTS_BELOW_ONE).when(value > MAX_PRICE, POINTS_TOO_LARGE).otherwise(0)
+        # an amount that is too large competes only beside a currency
+        return F.when(value.isNotNull() & ((value <= MAX_PRICE) | money), F.struct(points.alias("points"), value.alias("value")))
 
     places = lambda p: F.when(F.size(p["tokens"]) > 0, F.sequence(F.lit(0), F.size(p["tokens"]) - 1))
     # one element, so that the parts are found once and not for each token
-    best = F.transform(F.array(parts), lambda p: F.array_max(F.transform(places(p), lambda i: scored(p, i))))
-    return F.get(best, F.lit(0))["value"]
+    best = lambda p: F.array_max(F.transform(places(p), lambda i: scored(p, i)))["value"]
+    found = F.transform(F.transform(F.array(parts), best), lambda value: F.when(value <= MAX_PRICE, value))
+    return F.get(found, F.lit(0))

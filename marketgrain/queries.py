@@ -526,17 +526,22 @@ def _contains_any(words) -> str:
     return "(" + " OR ".join("contains(near, '" + w.replace("'", "''") + "')" for w in words) + ")"
 
 
+# the numbers, pattern and words of the rule are spelt out here, so that a slip in the implementation's shows
+_SHAPE = r"\d{1,3}(?:[ .,]\d{3})+(?:[.,]\d{1,2})?|\d+(?:[.,]\d{1,2})?"
+_SPEAKS_FOR = ["price", "цена", "стоимость", "total", "итого", "sale"]
+_SPEAKS_AGAINST = ["%", "cashback", "кэшбэк", "bonus", "бонус", "скидка", "discount", "save", "эконом"]
 _PRICE_SQL = f"""
 WITH t AS (SELECT doc_id, translate(text, chr(160) || chr(8239) || chr(8201), '   ') AS s FROM documents),
-p AS (SELECT doc_id, s, regexp_extract_all(s, '{text.AMOUNT}') AS tokens, regexp_split_to_array(s, '{text.AMOUNT}') AS rest FROM t),
+p AS (SELECT doc_id, s, regexp_extract_all(s, '{_SHAPE}') AS tokens, regexp_split_to_array(s, '{_SHAPE}') AS rest FROM t),
 u AS (SELECT doc_id, s, tokens[i] AS token, list_sum(list_transform(rest[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(tokens[1:i - 1], lambda x: length(x))), 0) AS start FROM p, generate_series(1, len(tokens)) AS g(i)),
-v AS (SELECT *, replace(token, ' ', '') AS bare, regexp_replace(token, '[0-9 ]', '', 'g') AS marks, length(regexp_extract(token, '([0-9]*)$', 1)) AS tail, lower(substr(s, CAST(greatest(start - {text.CONTEXT}, 0) + 1 AS BIGINT), CAST(start - greatest(start - {text.CONTEXT}, 0) + length(token) + {text.CONTEXT} AS BIGINT))) AS near FROM u),
+v AS (SELECT *, replace(token, ' ', '') AS bare, regexp_replace(token, '[0-9 ]', '', 'g') AS marks, length(regexp_extract(token, '([0-9]*)$', 1)) AS tail, lower(substr(s, CAST(greatest(start - 20, 0) + 1 AS BIGINT), CAST(start - greatest(start - 20, 0) + length(token) + 20 AS BIGINT))) AS near FROM u),
 w AS (SELECT doc_id, near, regexp_replace(bare, '[.,]', '', 'g') AS digits, tail, CASE
   WHEN contains(marks, '.') AND contains(marks, ',') THEN CASE WHEN length(marks) - length(replace(marks, right(marks, 1), '')) = 1 THEN 'decimal' ELSE 'odd' END
   WHEN marks = '' OR tail > 2 THEN 'whole' WHEN length(marks) = 1 OR right(marks, 1) = ',' THEN 'decimal' ELSE 'odd' END AS kind FROM v),
 x AS (SELECT doc_id, near, CASE kind WHEN 'whole' THEN TRY_CAST(digits AS DOUBLE) WHEN 'decimal' THEN TRY_CAST(left(digits, length(digits) - tail) || '.' || right(digits, tail) AS DOUBLE) END AS value FROM w),
-y AS (SELECT doc_id, value, {text.POINTS_MONEY} * CAST({_contains_any([t for t, _ in text.SYMBOLS + text.CODES])} AS INT) + {text.POINTS_FOR} * CAST({_contains_any(text.FOR_PRICE)} AS INT) + {text.POINTS_AGAINST} * CAST({_contains_any(text.AGAINST_PRICE)} AS INT) + {text.POINTS_BELOW_ONE} * CAST(value < 1 AS INT) AS points FROM x WHERE value > 0 AND value <= {text.MAX_PRICE})
-SELECT doc_id, (SELECT value FROM y WHERE y.doc_id = documents.doc_id ORDER BY points DESC, value DESC LIMIT 1) AS price FROM documents"""
+y AS (SELECT doc_id, value, {_contains_any([t for t, _ in text.SYMBOLS + text.CODES])} AS money, {_contains_any(_SPEAKS_FOR)} AS speaks_for, {_contains_any(_SPEAKS_AGAINST)} AS speaks_against FROM x WHERE value > 0),
+z AS (SELECT doc_id, value, 8 * CAST(money AS INT) + 4 * CAST(speaks_for AS INT) - 6 * CAST(speaks_against AS INT) - 3 * CAST(value < 1 AS INT) - 20 * CAST(value > 5000000 AS INT) AS points FROM y WHERE value <= 5000000 OR money)
+SELECT doc_id, CASE WHEN best <= 5000000 THEN best END AS price FROM (SELECT doc_id, (SELECT value FROM z WHERE z.doc_id = documents.doc_id ORDER BY points DESC, value DESC LIMIT 1) AS best FROM documents)"""
 
 
 @query(_PRICE_SQL)
