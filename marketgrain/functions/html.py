@@ -6,7 +6,6 @@ go. Expressions read the columns ``nodes`` and ``strings`` of ``with_nodes``.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -15,9 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketgrain.functions import text, urls
+from marketgrain.functions.selectors import selected
 
-NODES = "array<struct<id:int,parent:int,scope:int,tag:string,classes:string,attrs:map<string,string>,first:int,last:int,end:int>>"
-_NODE_TYPE = pa.list_(pa.struct([("id", pa.int32()), ("parent", pa.int32()), ("scope", pa.int32()), ("tag", pa.string()), ("classes", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("first", pa.int32()), ("last", pa.int32()), ("end", pa.int32())]))
+NODES = "array<struct<id:int,parent:int,scope:int,tag:string,classes:string,attrs:map<string,string>,first:int,last:int,end:int,nth:int>>"
+_NODE_TYPE = pa.list_(pa.struct([("id", pa.int32()), ("parent", pa.int32()), ("scope", pa.int32()), ("tag", pa.string()), ("classes", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("first", pa.int32()), ("last", pa.int32()), ("end", pa.int32()), ("nth", pa.int32())]))
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: What Open Graph, JSON-LD and microdata types say of a page's role.
 OG_ROLES = {"product": ["product", "product.group", "product.item"], "hub": ["website"], "listing": ["article", "blog", "news"]}
@@ -30,11 +30,11 @@ GRID_EXCLUDED = ("/cart", "/checkout", "/login", "/auth", "/account", "/wishlist
 
 
 class _Nodes(HTMLParser):
-    """Elements with their parents, in document order."""
+    """Elements with their parents and their places among these's children, in document order."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.nodes, self.open, self.strings = [], [], []
+        self.nodes, self.open, self.strings, self.children = [], [], [], {}
 
     def handle_starttag(self, tag, attrs):
         attrs = {k: v or "" for k, v in attrs}
@@ -42,7 +42,8 @@ class _Nodes(HTMLParser):
         scope = -1 if parent < 0 else parent if "itemscope" in self.nodes[parent]["attrs"] else self.nodes[parent]["scope"]
         classes = " ".join(sorted(set(attrs.get("class", "").split())))
         n, at = len(self.nodes), len(self.strings)
-        self.nodes.append({"id": n, "parent": parent, "scope": scope, "tag": tag, "classes": classes, "attrs": attrs, "first": at, "last": at, "end": n + 1})
+        self.children[parent] = nth = self.children.get(parent, 0) + 1
+        self.nodes.append({"id": n, "parent": parent, "scope": scope, "tag": tag, "classes": classes, "attrs": attrs, "first": at, "last": at, "end": n + 1, "nth": nth})
         if tag not in VOID:
             self.open.append(n)
 
@@ -244,47 +245,6 @@ def auto_fields(nodes: Column) -> Column:
     return _fields(title=_blank(node_text(first_node(nodes, lambda n: n["tag"] == "h1"))), price_text=best, image=image, description=F.substring(meta(nodes, "description", "og:description"), 1, 2000))
 
 
-_COMPOUND = re.compile(r"([a-zA-Z][\w-]*|\*)?((?:[.#][\w-]+|\[[\w-]+(?:=[^\]]*)?\])*)$")
-
-
-def _compound(part: str):
-    """The test of one part of a selector: a tag, ``.class``, ``#id``, ``[attribute]`` and ``[attribute=value]``, all of them."""
-    parsed = _COMPOUND.match(part)
-    if parsed is None or not part:
-        raise ValueError(f"no selector of this kind is known: {part!r}")
-    tag, more = parsed.groups()
-    tests = [] if tag in (None, "*") else [lambda n: n["tag"] == tag.lower()]
-    for kind, name, attribute, value in re.findall(r"([.#])([\w-]+)|\[([\w-]+)(?:=([^\]]*))?\]", more):
-        if kind == ".":
-            tests.append(lambda n, name=name: F.array_contains(F.split(n["classes"], " "), name))
-        elif kind == "#":
-            tests.append(lambda n, name=name: n["attrs"]["id"] == name)
-        else:
-            plain = value.strip("\"'")
-            tests.append(lambda n, a=attribute.lower(), v=plain: n["attrs"][a].isNotNull() if not v else n["attrs"][a] == v)
-
-    def test(n: Column) -> Column:
-        found = F.lit(True)
-        for t in tests:
-            found = found & F.coalesce(t(n), F.lit(False))
-        return found
-
-    return test
-
-
-def selected(nodes: Column, selector: str) -> Column:
-    """The first element that a CSS selector of compounds and descendants picks."""
-    tests = [_compound(p) for p in selector.split()]
-
-    def picks(n: Column, k: int) -> Column:
-        found = tests[k](n)
-        if k:
-            found = found & F.exists(nodes, lambda above: (above["id"] < n["id"]) & (n["id"] < above["end"]) & picks(above, k - 1))
-        return found
-
-    return first_node(nodes, lambda n: picks(n, len(tests) - 1))
-
-
 def selector_fields(nodes: Column, selectors: dict[str, str]) -> Column:
     """Fields by a marketplace's own selectors: any of title, price, image, original_price."""
     found = {}

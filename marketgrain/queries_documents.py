@@ -106,7 +106,7 @@ def doc_extract_auto(s: Star) -> DataFrame:
 
 @query(_fields_sql({2: ("name", "NULL", "NULL", "NULL", "NULL", "NULL"), 6: ("NULL", "price || ' €'", "price || ' €'", "NULL", "'/b.png'", "NULL")}))
 def doc_extract_selectors(s: Star) -> DataFrame:
-    return _fields(s, html.selector_fields(F.col("nodes"), {"title": "div[itemtype] b", "price": "div.price.current", "image": "img.product", "original_price": "#main"}))
+    return _fields(s, html.selector_fields(F.col("nodes"), {"title": "h2, div[itemtype$='/Product'] > b:first-child", "price": "img ~ span.none, h1 + span ~ div.price:not(.old)", "image": "img[class^=pro]:nth-child(2n+1)", "original_price": "#main"}))
 
 
 @query(_fields_sql({0: ("name", "price", "NULL", "'EUR'", "'http://img.example/' || page_id || '.jpg'", "'about ' || name"), 1: ("name", "price", "high", "'USD'", "NULL", "NULL"), 2: ("name", "price", "NULL", "'PLN'", "'/i.jpg'", "'about ' || name"), 4: ("name", "price", "NULL", "'GBP'", "'http://img/x.png'", "'about ' || name"), 5: _AUTO[5], 6: _AUTO[6], 7: _AUTO[7]}))
