@@ -50,9 +50,7 @@ def local_currency(domain: Column, country: Column) -> Column:
 
 def latest_rates(rates: DataFrame) -> DataFrame:
     """The newest date's rates, one row a currency: that of the least source."""
-    newest = rates.agg(F.max("date_id").alias("date_id"))
-    first = rates.join(F.broadcast(newest), "date_id").groupBy("currency_code").agg(F.min(F.struct("source", "rate_to_eur", "rate_to_usd")).alias("x"))
-    return first.select("currency_code", "x.rate_to_eur", "x.rate_to_usd", "x.source")
+    return newest_first(rates, ["currency_code"], [F.col("source")]).select("currency_code", "rate_to_eur", "rate_to_usd", "source")
 
 
 def live_rates(quotes: DataFrame) -> DataFrame:
@@ -132,3 +130,10 @@ def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     others = [c for c in df.columns if c not in keys]
     first = df.groupBy(*keys).agg(F.min(F.struct(*[c.alias(f"o{k}") for k, c in enumerate(order)], *others)).alias("_first"))
     return first.select(*keys, *[F.col("_first")[c].alias(c) for c in others]).select(*df.columns)
+
+
+def newest_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """Of the rows of the newest ``date_id`` one for each key, as ``first_by`` picks it. A key's own newest row is found first; which date is the
+    newest of all is then known from these few, so the table is read and shuffled once."""
+    own = first_by(df, keys, [-F.col("date_id"), *order])
+    return own.join(F.broadcast(own.agg(F.max("date_id").alias("date_id"))), "date_id", "left_semi").select(*df.columns)

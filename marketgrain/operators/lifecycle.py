@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketgrain.sources.folders import fresh_folder, remove
@@ -78,8 +78,6 @@ def sampled_trust(urls: DataFrame, seed: int = 7, small: int = 100, sample: int
     """Per group (columns ``group``, ``url``, ``role``): which URLs are taken. Up to ``small`` all are judged by role; else
     a hash-ordered sample decides: 80 % products or more take all, under 20 % the sample's products only, between the
     two every URL is judged."""
-    from pyspark.sql import Window
-
     placed = urls.withColumn("_place", F.struct(F.xxhash64("url", F.lit(seed)).alias("h"), F.col("url").alias("url")))
     product = F.col("role") == "product"
     # only the first rows of each group are ranked: the limit is applied before the shuffle too
@@ -121,24 +119,43 @@ def harvested_at(outcome: Column, now: Column) -> Column:
     return F.when(outcome == "useful", now).when(outcome == "timeout", ago(TIMEOUT_RETRY_HOURS)).otherwise(ago(BAD_RETRY_HOURS))
 
 
-def harvest_window(saved: Column, start: Column, deadline_at: Column) -> Column:
+def category_windows(rows: DataFrame, group: str, order: str, cursor: Column, bucket: int = 1024) -> DataFrame:
+    """The rows of each group that one run reads: group, n (rows in all), start, and window, an array of up to WINDOW_CATEGORIES rows in the order of
+    a numeric column.
+
+    ``cursor``: where a run starts, from the columns ``n`` and ``group``. Rows are counted by ranges of the order first, so that only the
+    ranges that a window reaches are ranked, and no group is gathered.
+    """
+    others = [c for c in rows.columns if c != group]
+    placed = rows.withColumn("_range", F.floor(F.col(order) / bucket))
+    counts = placed.groupBy(group, "_range").agg(F.count("*").alias("_n"))
+    sizes = counts.groupBy(group).agg(F.sum("_n").alias("n")).withColumn("start", cursor)
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    reached = counts.withColumn("_before", before).join(sizes, group).where((F.col("_before") < F.col("start") + WINDOW_CATEGORIES) & (F.col("_before") + F.col("_n") > F.col("start")))
+    ranked = placed.join(reached, [group, "_range"]).withColumn("_at", F.col("_before") + F.row_number().over(Window.partitionBy(group, "_range").orderBy(order)) - 1)
+    inside = ranked.where((F.col("_at") >= F.col("start")) & (F.col("_at") < F.col("start") + WINDOW_CATEGORIES))
+    found = inside.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("_at", *others))).alias("window"))
+    return sizes.join(found, group, "left").withColumn("window", F.coalesce("window", F.array()))
+
+
+def harvest_window(window: Column, n: Column, start: Column, deadline_at: Column) -> Column:
     """One run over categories: how many were read, where the next run begins, and whether one is needed.
 
-    ``saved``: each category's new rows, in order; ``start``: the cursor; ``deadline_at``: the category before which time runs
-    out, or null. A deadline leaves the cursor there; enough quiet categories, or the list's end, put it back to 0.
+    ``window``: the new rows of each category from the cursor ``start`` on, WINDOW_CATEGORIES at most, of ``n`` in all; ``deadline_at``:
+    the category before which time runs out, or null. A deadline leaves the cursor there; enough quiet categories, or the list's end,
+    put it back to 0.
     """
-    window = F.slice(saved, start + 1, F.lit(WINDOW_CATEGORIES))
     state = F.struct(F.lit(0).alias("read"), F.lit(0).alias("quiet"), F.lit("").alias("end"))
 
-    def step(s: Column, n: Column) -> Column:
+    def step(s: Column, new: Column) -> Column:
         late = F.coalesce(start + s["read"] >= deadline_at, F.lit(False))
-        quiet = F.when(n == 0, s["quiet"] + 1).otherwise(0)
+        quiet = F.when(new == 0, s["quiet"] + 1).otherwise(0)
         read = F.struct((s["read"] + 1).alias("read"), quiet.alias("quiet"), F.when(quiet >= QUIET_CATEGORIES, "converged").otherwise("").alias("end"))
         stopped = F.struct(s["read"].alias("read"), s["quiet"].alias("quiet"), F.lit("deadline").alias("end"))
         return F.when(s["end"] != "", s).when(late, stopped).otherwise(read)
 
     def told(s: Column) -> Column:
-        at, more = start + s["read"], F.when(s["end"] == "", start + s["read"] < F.size(saved)).otherwise(s["end"] == "deadline")
+        at, more = start + s["read"], F.when(s["end"] == "", start + s["read"] < n).otherwise(s["end"] == "deadline")
         return F.struct(s["read"].alias("read"), F.when(more, at).otherwise(0).alias("next_index"), more.alias("more"))
 
     return F.aggregate(window, state, step, told)
@@ -161,8 +178,6 @@ def admin_guards(users: DataFrame, actor: int) -> DataFrame:
 def attempt_streaks(logs: DataFrame, limit: int = DEACTIVATE_AFTER) -> DataFrame:
     """Each attempt with its listing's state after it: errors and last_error of this attempt alone, as they are cleared before it;
     streak, the failures in a row, which success clears; active, until a streak has reached the limit."""
-    from pyspark.sql import Window
-
     order = Window.partitionBy("listing_id").orderBy("created_at", "id")
     good = F.col("status").isin("success", "no_change")
     runs = logs.withColumn("_run", F.count_if(good).over(order))

@@ -2,37 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketgrain.functions.money import first_by
+from marketgrain.functions.money import newest_first
 
 METALS = ("XAU", "XAG", "XPT", "XPD")
 
 
-def newest(df: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """The rows of the newest date: overall, or of each key."""
-    if not by:
-        return df.join(F.broadcast(df.agg(F.max("date_id").alias("date_id"))), "date_id", "left_semi")
-    top = df.groupBy(*by).agg(F.max("date_id").alias("date_id"))
-    return df.join(top, [*by, "date_id"], "left_semi")
-
-
 def forex(rates: DataFrame) -> DataFrame:
-    return first_by(newest(rates), ["currency_code"], [F.col("source")])
+    return newest_first(rates, ["currency_code"], [F.col("source")])
 
 
 def crypto(prices: DataFrame) -> DataFrame:
     """The newest snapshot's best rank for each symbol; no rank counts as 9999."""
-    return first_by(newest(prices), ["symbol"], [F.coalesce("rank", F.lit(9999)), F.col("source")])
+    return newest_first(prices, ["symbol"], [F.coalesce("rank", F.lit(9999)), F.col("source")])
 
 
 def commodities(prices: DataFrame) -> DataFrame:
-    return first_by(newest(prices), ["symbol"], [F.col("source")])
+    return newest_first(prices, ["symbol"], [F.col("source")])
 
 
 def fuel(prices: DataFrame) -> DataFrame:
-    return newest(prices, ["country_code"])
+    """The rows of each country's newest date."""
+    top = F.max("date_id").over(Window.partitionBy("country_code"))
+    return prices.withColumn("_top", top).where(F.col("date_id") == F.col("_top")).drop("_top")
 
 
 def fuel_pivot(prices: DataFrame, types: list[str]) -> DataFrame:
@@ -63,8 +57,6 @@ def ticker(rates: DataFrame, coins: DataFrame, goods: DataFrame, fuels: DataFram
 
 def instruments(coins: DataFrame) -> DataFrame:
     """Coins by rank (none counts as 999999), market cap and symbol, numbered."""
-    from pyspark.sql import Window
-
     order = Window.orderBy(F.coalesce("rank", F.lit(999999)).asc(), F.col("market_cap").desc_nulls_last(), "symbol")
     return crypto(coins).withColumn("position", F.row_number().over(order))
 

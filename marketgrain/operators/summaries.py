@@ -100,13 +100,13 @@ def failure_streaks(logs: DataFrame, limit: int = 15) -> DataFrame:
     """Each listing's failures since its last success, and whether they deactivate it. Days are counted first, so that a hot
     listing's attempts are combined before they meet: failures of later days count whole, and those of the last good day
     as they were counted after that day's last success."""
-    since = _since_last_good(logs, "listing_id")
+    since = _since_last_good(logs, "listing_id", ("success", "no_change"))
     return since.select("listing_id", F.col("since").alias("streak"), (F.col("since") >= limit).alias("deactivated"))
 
 
-def _since_last_good(attempts: DataFrame, key: str) -> DataFrame:
-    """key, since: attempts after the last one with success or without change."""
-    good = F.col("status").isin("success", "no_change")
+def _since_last_good(attempts: DataFrame, key: str, statuses: tuple[str, ...]) -> DataFrame:
+    """key, since: attempts after the last one with one of the statuses."""
+    good = F.col("status").isin(*statuses)
     order = Window.partitionBy(key, "_day").orderBy(F.col("created_at").desc(), F.col("id").desc())
     # within a day, from its end: failures before the first success met
     met = attempts.withColumn("_day", F.to_date("created_at")).withColumn("_met", F.max(good).over(order))
@@ -157,11 +157,18 @@ def completed(seeds: DataFrame, rollup: DataFrame) -> DataFrame:
 def proxy_stats(attempts: DataFrame) -> DataFrame:
     """Totals of each proxy (column ``proxy``), success rate with one decimal, and failures since its last success."""
     good = F.col("status") == "success"
-    last = F.max(F.when(good, F.struct("created_at", "id")))
-    totals = attempts.groupBy("proxy").agg(F.count("*").alias("total"), F.count_if(good).alias("succeeded"), last.alias("last_good"))
-    later = attempts.join(totals.select("proxy", "last_good"), "proxy").where(F.col("last_good").isNull() | (F.struct("created_at", "id") > F.col("last_good"))).groupBy("proxy").agg(F.count("*").alias("since"))
+    totals = attempts.groupBy("proxy").agg(F.count("*").alias("total"), F.count_if(good).alias("succeeded"))
     rate = half_up(F.col("succeeded").cast("double") / F.col("total") * 100, 1)
-    return totals.join(later, "proxy", "left").select("proxy", "total", "succeeded", rate.alias("success_rate"), F.coalesce("since", F.lit(0).cast("long")).alias("consecutive_failures"))
+    since = _since_last_good(attempts, "proxy", ("success",))
+    return totals.join(since, "proxy", "left").select("proxy", "total", "succeeded", rate.alias("success_rate"), F.coalesce("since", F.lit(0).cast("long")).alias("consecutive_failures"))
+
+
+def job_progress(elapsed, done, estimated):
+    """speed (steps a minute, three decimals) and eta (seconds until all estimated steps are done, three decimals), each null unless all it
+    needs is positive; no eta where nothing is left."""
+    speed = F.when((elapsed > 0) & (done > 0), done.cast("double") / elapsed)
+    left = F.when(estimated > done, estimated - done)
+    return F.struct(half_up(speed * 60, 3).alias("speed"), half_up(left / speed, 3).alias("eta"))
 
 
 def convergence(steps: DataFrame, quiet: int = 3) -> DataFrame:

@@ -7,8 +7,8 @@ import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketgrain.functions import money, text, urls
-from marketgrain.operators import ingest, lifecycle, market, pool
+from marketgrain.functions import money, numbers, text, urls
+from marketgrain.operators import ingest, lifecycle, market, pool, summaries
 from marketgrain.plans import pages as page_plans
 from marketgrain.queries import ORACLE_SQL, QUERIES, _round, query
 from marketgrain.sources import feeds, sinks
@@ -528,10 +528,18 @@ def sink_delete_retention(s: Star) -> DataFrame:
     return told[0].unionByName(told[1]).unionByName(told[2]).unionByName(told[3])
 
 
-@query(f"SELECT id, {_round('CAST(successful AS DOUBLE) / (epoch_us(completed_at) - epoch_us(started_at)) * 6e7', 3)} AS speed FROM jobs WHERE completed_at > started_at")
+_ELAPSED = _round("CAST(epoch_us(CASE WHEN status IN ('running', 'pending') THEN now ELSE completed_at END) - epoch_us(started_at) AS DOUBLE) / 1e6", 3)
+
+
+@query(f"SELECT id, elapsed, CASE WHEN elapsed > 0 AND done > 0 THEN {_round('CAST(done AS DOUBLE) / elapsed * 60', 3)} END AS speed, CASE WHEN elapsed > 0 AND done > 0 AND estimated > done THEN {_round('(estimated - done) / (CAST(done AS DOUBLE) / elapsed)', 3)} END AS eta FROM (SELECT id, {_ELAPSED} AS elapsed, CASE WHEN marketplace_id % 5 = 4 THEN 0 ELSE successful + failed END AS done, marketplace_id * 10 AS estimated FROM jobs, as_of)")
 def agg_job_elapsed(s: Star) -> DataFrame:
-    span = F.unix_micros(F.col("completed_at").cast("timestamp")) - F.unix_micros(F.col("started_at").cast("timestamp"))
-    return s.jobs().where("completed_at > started_at").select("id", money.rounded(F.col("successful").cast("double") / span * 6e7, 3).alias("speed"))
+    """Every job's time so far, speed, and time to go; those that run are timed until now."""
+    end = F.when(F.col("status").isin("running", "pending"), F.col("now")).otherwise(F.col("completed_at"))
+    elapsed = numbers.duration_seconds(F.lit(None).cast("long"), F.col("started_at"), end)
+    done = F.when(F.col("marketplace_id") % 5 == 4, 0).otherwise(F.col("successful") + F.col("failed"))
+    timed = s.jobs().join(F.broadcast(s.now())).select("id", elapsed.alias("elapsed"), done.alias("done"), (F.col("marketplace_id") * 10).alias("estimated"))
+    told = summaries.job_progress(F.col("elapsed"), F.col("done"), F.col("estimated"))
+    return timed.select("id", "elapsed", told.alias("x")).select("id", "elapsed", "x.speed", "x.eta")
 
 
 @query("SELECT id, array_to_string(list_filter([CASE WHEN failed > 0 THEN 'failures' END, CASE WHEN successful + failed >= 20 AND failed >= 0.25 * (successful + failed) THEN 'ratio' END], lambda x: x IS NOT NULL), ',') AS flags FROM jobs")

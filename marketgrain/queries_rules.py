@@ -137,10 +137,11 @@ _WINDOWED = f"SELECT *, (g * 7) % n AS start, CASE WHEN g % 4 = 0 THEN (g * 7) %
 @query(f"SELECT g, CAST(CASE WHEN d IS NOT NULL AND (c IS NULL OR d <= c) THEN d - start WHEN c IS NOT NULL THEN c - start + 1 ELSE least(n - start, 60) END AS INTEGER) AS read, CAST(CASE WHEN d IS NOT NULL AND (c IS NULL OR d <= c) THEN d WHEN c IS NOT NULL THEN 0 WHEN start + 60 < n THEN start + 60 ELSE 0 END AS INTEGER) AS next_index, CASE WHEN d IS NOT NULL AND (c IS NULL OR d <= c) THEN TRUE WHEN c IS NOT NULL THEN FALSE ELSE start + 60 < n END AS more FROM (SELECT g, any_value(n) AS n, any_value(start) AS start, min(i) FILTER (WHERE late IS NOT NULL AND i >= late) AS d, min(i) FILTER (WHERE i >= start + 2 AND quiet = 3) AS c FROM (SELECT *, count(*) FILTER (WHERE saved = 0) OVER (PARTITION BY g ORDER BY i ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS quiet FROM ({_WINDOWED}) WHERE i >= start AND i < start + 60) GROUP BY g)")
 def disc_window(s: Star) -> DataFrame:
     rows = s.table("customer").select(F.col("c_nationkey").alias("g"), "c_custkey", (F.floor(F.abs("c_acctbal")) % 2).cast("int").alias("saved"))
-    lists = rows.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("c_custkey", "saved"))).alias("x")).select("g", F.col("x.saved").alias("saved"))
-    start = (F.col("g") * 7) % F.size("saved")
+    lists = lifecycle.category_windows(rows, "g", "c_custkey", (F.col("g") * 7) % F.col("n"))
+    start = F.col("start")
     late = F.when(F.col("g") % 4 == 0, start + F.col("g") % 5)
-    return lists.select("g", lifecycle.harvest_window(F.col("saved"), start, late).alias("w")).select("g", "w.read", "w.next_index", "w.more")
+    told = lists.select("g", lifecycle.harvest_window(F.col("window.saved"), F.col("n"), start, late).alias("w"))
+    return told.select("g", "w.read", F.col("w.next_index").cast("int").alias("next_index"), "w.more")
 
 
 _NOW_STAGE, _NOW_STAGE_SQL = _pick("id", ["queued", "dispatching", "scrape", None])
