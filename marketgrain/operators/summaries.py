@@ -116,13 +116,15 @@ def _since_last_good(attempts: DataFrame, key: str, statuses: tuple[str, ...]) -
     return later.groupBy(key).agg(F.sum("n").alias("since"))
 
 
-def merge_seeds(discovery: DataFrame, scrape: DataFrame) -> DataFrame:
-    """A marketplace's two child rows as one: discovery's figures, the scrape's status, both errors."""
-    d, s = discovery.alias("d"), scrape.alias("s")
-    both = F.col("d.marketplace_id").isNotNull() & F.col("s.marketplace_id").isNotNull()
+def merge_seeds(discovery: DataFrame, scrape: DataFrame, keys: tuple[str, ...] = ("marketplace_id",)) -> DataFrame:
+    """Two child rows with the same keys as one: discovery's figures, the scrape's status, both errors; one alone as it is."""
+    d, s = discovery.withColumn("_d", F.lit(True)).alias("d"), scrape.withColumn("_s", F.lit(True)).alias("s")
+    same, both = F.lit(True), F.col("d._d").isNotNull() & F.col("s._s").isNotNull()
+    for k in keys:
+        same = same & (F.col(f"d.{k}") == F.col(f"s.{k}"))
     pick = lambda c: F.coalesce(F.col(f"d.{c}"), F.col(f"s.{c}"))
-    return d.join(s, F.col("d.marketplace_id") == F.col("s.marketplace_id"), "full_outer").select(
-        pick("marketplace_id").alias("marketplace_id"),
+    return d.join(s, same, "full_outer").select(
+        *[pick(k).alias(k) for k in keys],
         pick("created").alias("created"),
         (F.coalesce(F.col("d.errors"), F.lit(0)) + F.coalesce(F.col("s.errors"), F.lit(0))).cast("long").alias("errors"),
         F.when(both, F.col("s.status")).otherwise(pick("status")).alias("status"),

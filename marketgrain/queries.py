@@ -438,15 +438,15 @@ def win_failure_streak(s: Star) -> DataFrame:
     return summaries.failure_streaks(s.logs())
 
 
-_SEED = "SELECT marketplace_id, CAST(successful AS BIGINT) AS created, CAST(failed AS BIGINT) AS errors, status FROM jobs WHERE parent_job_id = "
+_SEED = "SELECT parent_job_id // 2 AS pair, marketplace_id, CAST(successful AS BIGINT) AS created, CAST(failed AS BIGINT) AS errors, status FROM jobs WHERE job_type = "
 
 
-@query(f"SELECT coalesce(d.marketplace_id, s.marketplace_id) AS marketplace_id, coalesce(d.created, s.created) AS created, coalesce(d.errors, 0) + coalesce(s.errors, 0) AS errors, coalesce(s.status, d.status) AS status FROM ({_SEED}20240104) d FULL JOIN ({_SEED}20240105) s ON d.marketplace_id = s.marketplace_id")
+@query(f"SELECT coalesce(d.pair, s.pair) AS pair, coalesce(d.marketplace_id, s.marketplace_id) AS marketplace_id, coalesce(d.created, s.created) AS created, coalesce(d.errors, 0) + coalesce(s.errors, 0) AS errors, coalesce(s.status, d.status) AS status FROM ({_SEED}'discovery') d FULL JOIN ({_SEED}'scrape') s ON d.marketplace_id = s.marketplace_id AND d.pair = s.pair")
 def join_full_seeds(s: Star) -> DataFrame:
-    seed = lambda day: s.jobs().where(F.col("parent_job_id") == day).select("marketplace_id", F.col("successful").alias("created"), F.col("failed").alias("errors"), "status")
-    return summaries.merge_seeds(seed(20240104), seed(20240105))
-
-
+    """Each marketplace's discovery and the scrape of the day after it."""
+    pair = F.floor(F.col("parent_job_id") / 2).cast("long")
+    seed = lambda kind: s.jobs().where(F.col("job_type") == kind).select(pair.alias("pair"), "marketplace_id", F.col("successful").alias("created"), F.col("failed").alias("errors"), "status")
+    return summaries.merge_seeds(seed("discovery"), seed("scrape"), ("pair", "marketplace_id"))
 
 
 @query("SELECT parent_job_id, id, status FROM jobs WHERE parent_job_id IN (SELECT DISTINCT parent_job_id FROM jobs WHERE status = 'failed')")
@@ -455,10 +455,15 @@ def join_self_parent(s: Star) -> DataFrame:
     return s.jobs().join(failed, "parent_job_id", "left_semi").select("parent_job_id", "id", "status")
 
 
-@query("SELECT marketplace_id, count(*) AS errors FROM logs WHERE marketplace_id NOT IN (SELECT marketplace_id FROM jobs WHERE parent_job_id = 20240104 AND status = 'completed') GROUP BY 1")
+_DAY_ID = "CAST(strftime(created_at, '%Y%m%d') AS BIGINT)"
+
+
+@query(f"SELECT {_DAY_ID} AS parent_job_id, marketplace_id, count(*) AS errors FROM logs ANTI JOIN (SELECT parent_job_id AS p, marketplace_id AS m FROM jobs WHERE status = 'completed') ON p = {_DAY_ID} AND m = marketplace_id GROUP BY ALL")
 def join_anti_seed(s: Star) -> DataFrame:
-    seeds = s.jobs().where("parent_job_id = 20240104 and status = 'completed'").select("marketplace_id")
-    return s.logs().join(F.broadcast(seeds), "marketplace_id", "left_anti").groupBy("marketplace_id").agg(F.count("*").alias("errors"))
+    """Attempts of each day's job and marketplace that no completed child accounts for; counted first, then joined."""
+    seeds = s.jobs().where("status = 'completed'").select("parent_job_id", "marketplace_id")
+    counts = s.logs().groupBy(F.date_format("created_at", "yyyyMMdd").cast("long").alias("parent_job_id"), "marketplace_id").agg(F.count("*").alias("errors"))
+    return counts.join(seeds, ["parent_job_id", "marketplace_id"], "left_anti")
 
 
 @query("SELECT m.marketplace_id, coalesce(r_name, '') AS region FROM marketplaces m LEFT JOIN region ON r_regionkey = m.region_id AND r_regionkey < 3")

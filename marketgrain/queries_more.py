@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketgrain.functions import money, numbers, text, urls
@@ -554,7 +554,9 @@ def plan_overview(s: Star) -> DataFrame:
     return page_plans.overview(s).select("id", "price", "price_eur")
 
 
-@query("SELECT id, price FROM pool WHERE marketplace_id = 5 ORDER BY sha256(CAST(id AS VARCHAR) || ':7'), id LIMIT 30")
+@query("SELECT id, marketplace_id, price FROM (SELECT *, row_number() OVER (PARTITION BY marketplace_id ORDER BY sha256(CAST(id AS VARCHAR) || ':7'), id) AS k FROM pool) WHERE k <= 30")
 def win_seeded_shuffle(s: Star) -> DataFrame:
+    """Thirty rows of each marketplace in an order that a seed fixes."""
     order = F.sha2(F.concat(F.col("id").cast("string"), F.lit(":7")), 256)
-    return pool.pool(s).where("marketplace_id = 5").orderBy(order, "id").limit(30).select("id", "price")
+    k = F.row_number().over(Window.partitionBy("marketplace_id").orderBy(order, "id"))
+    return pool.pool(s).withColumn("k", k).where("k <= 30").select("id", "marketplace_id", "price")
