@@ -13,8 +13,8 @@ first). A larger benchmark is joined by shuffles: each batch of documents sends
 the rows that have it, so what meets under a common one is bounded by the number of batches.
 
 Nulls and edges: a null text has no words; an item without words has no window and matches nothing; a document
-without words has no hits and isn't contaminated; items with a null id count as one item, which items_sha256 leaves
-out; repeated items and documents each count; texts of any length are read whole; further columns are ignored; without
+without words has no hits and isn't contaminated; items that share an item_id count as one item, whose windows are those
+of all of them, and so do items with a null id, which items_sha256 leaves out; repeated documents each count; texts of any length are read whole; further columns are ignored; without
 items nothing is contaminated.
 """
 

@@ -6,8 +6,10 @@ underfull bins, exchanged one-for-one or two-for-one with smaller items there. E
 filled bin to a fuller one, so the sum of squared fills grows until donors are empty. Bins that stay underfull
 meet those of other tasks in further rounds, until one task holds what is left.
 
-Nulls and edges: a null text is empty and yields its end token alone; repeated rows are packed as often as they
-occur; an empty table yields no rows; columns besides id and text are ignored.
+Nulls and edges: a null text is empty and yields its end token alone; a null doc_id is an id like any other; repeated rows
+are packed as often as they occur; texts of any length are tokenised whole and cut; which of pieces of one length goes
+into a sequence isn't defined, sequences and places are whole and gapless all the same; an empty table yields no rows;
+columns besides id and text are ignored.
 """
 
 from __future__ import annotations

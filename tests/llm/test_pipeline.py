@@ -162,6 +162,7 @@ def planted(spark, tmp_path):
     texts += [(300, words(50) + " " + passage), (301, words(50) + " " + passage + " " + words(10)), (302, passage), (303, passage + " " + words(90))]
     texts += [(400, words(30) + " " + item), (401, words(900) + " " + item), (None, item)]
     texts += [(500, None), (501, ""), (502, " \n"), (None, None)]
+    texts += [(600, words(60_000)), (601, "x" * 300_000)]  # very long ones, one of them a single word
     documents = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "clash", 1) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long, row string, toxic int")
     documents.coalesce(2).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(i, int(i >= 100)) for i in [*range(30), *range(100, 110)] if i != 3], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
@@ -175,6 +176,7 @@ def test_planted_rows(spark, planted):
     assert not [r for r in kept["toxicity"] if "vile" in (r[1] or "")] and ids["toxicity"].count(3) == 1  # the clean row under the id stays
     assert {200} == {i for i in ids["near_dedup"] if i in (200, 201, 202, 203)} and ids["near_dedup"].count(None) == 2  # a text of the benchmark, and null
     assert 400 not in ids["decontamination"] and 401 in ids["decontamination"] and ids["decontamination"].count(None) == 1
+    assert {600, 601} <= set(ids["decontamination"]) and [len(r[1]) for r in kept["decontamination"] if r[0] == 601] == [300_000]
     assert {500, 501, 502} <= set(ids["decontamination"]) and {r.doc_id for r in pieces} >= {500, 501, 502, 300}
 
 
