@@ -3,7 +3,8 @@
 Decisions are taken row by row, so that rows which share a doc_id, or have none, are judged by their own texts: a rejected
 row takes no other with it, and a row without doc_id is rejected like any other. Null and empty texts are neither toxic nor
 contaminated nor copies of one another; the last stage packs their end tokens. Repeated rows are near duplicates, of which one stays.
-Further columns of ``documents`` are left out whatever their names; an empty table gives no rows; labels and benchmark may
+Texts of any length are judged whole. Of rows that tie (one doc_id, or none, in a group of
+copies) the one that was read first stays. Further columns of ``documents`` are left out whatever their names; an empty table gives no rows; labels and benchmark may
 be empty, which rejects nothing.
 """
 
