@@ -32,6 +32,7 @@ def test_equals_oracle(spark, sf_dir, db, name):
 
 @pytest.mark.parametrize("name", [n for n in distinct() if n not in ORACLE_SQL])
 def test_runs(spark, sf_dir, name):
+    """Those without SQL have tests of their own: test_pages.py, test_sample_trust.py."""
     QUERIES[name](spark, sf_dir).collect()
 
 
