@@ -41,9 +41,11 @@ from marketgrain.llm.vectors import matrix, usual_length
 #: Rows from which routing objects of the top level are chosen, and how many of these there are at most.
 SAMPLE_ROWS = 4096
 MOST_ROUTES = 1024
-#: A small table is dealt over about so many shards; from there on a shard has about SHARD_ROWS rows.
+#: A small table is dealt over about so many shards; from there on a shard has about SHARD_ROWS rows, fewer if vectors are so long that these
+#: would have more than SHARD_BYTES as doubles.
 LEAST_SHARDS = 64
 SHARD_ROWS = 32_768
+SHARD_BYTES = 64 << 20
 LEAF, FANOUT = 128, 16
 #: Queries that meet a shard at once.
 QUERY_ROWS = 4096
@@ -174,9 +176,11 @@ def build_index(vectors: DataFrame) -> Index:
 
     n, square = vectors.select("u").mapInArrow(lengths, "n long, square double").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("square"), F.lit(0.0))).first()
     metric = Metric(square)
+    longest = vectors.select("u").first()
+    most = max(1, min(SHARD_ROWS, SHARD_BYTES // max(1, 2 * len(longest["u"])))) if longest is not None else 1
     sample = vectors.select("row", "u").orderBy(F.xxhash64("row"), "row").limit(SAMPLE_ROWS).collect()
     chosen = _int32(pa.array([r["u"] for r in sample], pa.binary())) if sample else np.zeros((0, 0))
-    routes = chosen[apart(chosen, metric.extra(chosen), min(MOST_ROUTES, max(LEAST_SHARDS, -(-n // SHARD_ROWS))))] if sample else chosen
+    routes = chosen[apart(chosen, metric.extra(chosen), min(MOST_ROUTES, max(LEAST_SHARDS, -(-n // most))))] if sample else chosen
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,7 +193,7 @@ def build_index(vectors: DataFrame) -> Index:
     told = {r["route"]: r for r in placed.groupBy("route").agg(F.count("*").alias("n"), F.max("distance").alias("radius")).collect()}
     counts = np.array([told[k]["n"] if k in told else 0 for k in range(len(routes))], np.int64)
     radii = np.array([told[k]["radius"] if k in told else 0.0 for k in range(len(routes))])
-    size = max(1, min(SHARD_ROWS, -(-2 * n // LEAST_SHARDS)))
+    size = max(1, min(most, -(-2 * n // LEAST_SHARDS)))
     parts = -(-counts // size)
     first = np.concatenate([[0], np.cumsum(parts)[:-1]]).astype(np.int64)
     dealt = pd.DataFrame({"route": np.arange(len(routes), dtype=np.int32), "first": first, "parts": parts})
