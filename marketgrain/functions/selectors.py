@@ -13,6 +13,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from marketgrain.functions.text import let
+
 _NAME = r"-?(?:[A-Za-z_\u0080-￿]|\\.)(?:[\w\u0080-￿-]|\\.)*"
 _SIMPLE = re.compile(
     rf"(?P<any>\*)|(?P<tag>{_NAME})|\#(?P<id>(?:[\w\u0080-￿-]|\\.)+)|\.(?P<cls>{_NAME})"
@@ -134,10 +136,6 @@ def parse(selector: str) -> list[Steps]:
     return _Reader(selector).list()
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _placed(place: Column, a: int, b: int) -> Column:
     return place == b if a == 0 else ((place - b) % a == 0) & ((place - b) / a >= 0)
 
@@ -206,7 +204,7 @@ _RELATED: dict[str, Callable[[Column, Column], Column]] = {
 def _next(picked: Column, combinator: str, compound: Compound, nodes: Column) -> Column:
     """The elements that stand so to one of ``picked``, which is found once."""
     near = _RELATED[combinator]
-    return _let(picked, lambda before: F.filter(nodes, lambda n: _test(compound, n, nodes) & F.exists(before, lambda a: near(a, n))))
+    return let(picked, lambda before: F.filter(nodes, lambda n: _test(compound, n, nodes) & F.exists(before, lambda a: near(a, n))))
 
 
 def _picked(steps: Steps, nodes: Column) -> Column:
