@@ -43,3 +43,12 @@ def test_an_only_amount_and_rivals(spark):
     rows = [("12.50 €", 12.5), ("1,5", 1.5), ("1.234.567,89", 1234567.89), ("0", None), ("9000000 €", None), ("9000000", None), ("7 items, 8 €", 8.0), ("sale 9000000 items, 12", 12.0), ("a", None), (None, None)]
     got = spark.createDataFrame(rows, "t string, want double").select("t", "want", text.price("t").alias("got")).collect()
     assert [(r.t, r.got) for r in got] == rows
+
+
+def test_a_crawls_pages_are_parsed_once(spark, sf_dir, monkeypatch):
+    from marketgrain.registry import QUERIES
+
+    asked, links = [], html.links
+    monkeypatch.setattr(html, "links", lambda pages, *more: asked.append(pages._jdf.queryExecution().toString()) or links(pages, *more))
+    QUERIES["disc_bfs"](spark, sf_dir)
+    assert asked and not any("MapInArrow" in plan for plan in asked)
