@@ -75,7 +75,9 @@ ORACLE_SQL["stream_streaks"] = ORACLE_SQL["win_failure_streak"]
 @query()
 def stream_streaks(s: Star) -> DataFrame:
     logs = _logs(s).select("listing_id", "id", "created_at", F.col("status").isin("success", "no_change").alias("ok"))
-    return _newest(_to_files(logs, "created_at", ingest.streaks, "update"), "listing_id")
+    store = Snapshots(s.spark, fresh_folder(s.spark, "streaks"))
+    _streamed(logs, "created_at", lambda stream: stream, "append", ingest.streak_batches(store))
+    return store.read().select("listing_id", "streak", "deactivated")
 
 
 _FIRST_PART = "(SELECT min(epoch_us(created_at)) + (max(epoch_us(created_at)) - min(epoch_us(created_at))) // 3 + 1 FROM logs)"

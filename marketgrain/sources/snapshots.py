@@ -61,7 +61,8 @@ class Snapshots:
         if part is None:
             df.write.parquet(to)
             return {"": [folder]}
-        df.withColumn(_PART, part).write.partitionBy(_PART).parquet(to)
+        # a part's rows meet first: else every task leaves a file in every part
+        df.withColumn(_PART, part).hint("rebalance", _PART).write.partitionBy(_PART).parquet(to)
         inside = [n for n in folders.names(self.spark, to) if n.startswith(f"{_PART}=")]
         return {n[len(_PART) + 1 :]: [f"{folder}/{n}"] for n in inside}
 

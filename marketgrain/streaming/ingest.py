@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from marketgrain.operators.ingest import SAME_PRICE
 from marketgrain.operators.lifecycle import DEACTIVATE_AFTER
 from marketgrain.sources import folders, sinks
 from marketgrain.sources.snapshots import Snapshots
@@ -26,34 +28,21 @@ def suppressed(observations: DataFrame) -> DataFrame:
     one kept in state: the batch rule of ``ingest`` on a stream."""
 
     def judge(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get if state.exists else None
         rows = pd.concat(list(frames)).sort_values(["observed_at", "id"])
-        outcomes = []
-        for price, currency, stock in zip(rows["price"], rows["currency"], rows["in_stock"]):
-            price, stock = float(price), None if pd.isna(stock) else bool(stock)
-            same = last is not None and abs(price - last[0]) < 0.001 and currency == last[1] and stock == last[2]
-            outcomes.append("no_change" if same else "success")
-            last = (price, currency, stock)
-        state.update(last)
-        yield rows.assign(outcome=outcomes)
+        price, currency, known = rows["price"].to_numpy().astype(float), rows["currency"].to_numpy(object), rows["in_stock"].notna().to_numpy()
+        stock = np.full(len(rows), -1)  # unknown
+        stock[known] = rows["in_stock"].to_numpy()[known].astype(bool)
+        last = state.get if state.exists else (np.nan, None, None)  # no price is near none
+        before = lambda now, first: np.concatenate([np.array([first], now.dtype), now[:-1]])
+        near = np.abs(price - before(price, last[0])) < SAME_PRICE
+        same = near & (currency == before(currency, last[1])) & (stock == before(stock, -1 if last[2] is None else int(last[2])))
+        state.update((float(price[-1]), currency[-1], None if stock[-1] < 0 else bool(stock[-1])))
+        yield rows.assign(outcome=np.where(same, "no_change", "success"))
 
     own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in observations.schema)
     return observations.groupBy("listing_id").applyInPandasWithState(judge, f"{own}, outcome string", "price double, currency string, in_stock boolean", "append", GroupStateTimeout.NoTimeout)
 
 
-def streaks(attempts: DataFrame) -> DataFrame:
-    """Each listing's current failures in a row (listing_id, id, created_at, ok), and whether they deactivate it."""
-
-    def count(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        streak = state.get[0] if state.exists else 0
-        for ok in pd.concat(list(frames)).sort_values(["created_at", "id"])["ok"]:
-            streak = 0 if ok else streak + 1
-        state.update((streak,))
-        yield pd.DataFrame({"listing_id": [key[0]], "streak": [streak], "deactivated": [streak >= DEACTIVATE_AFTER]})
-
-    return attempts.groupBy("listing_id").applyInPandasWithState(count, "listing_id long, streak long, deactivated boolean", "streak long", "update", GroupStateTimeout.NoTimeout)
-
-
 def to_files(path: str):
     """A foreachBatch function: each batch's rows in a folder of its own (column ``batch``), written anew if the batch is repeated."""
 
@@ -77,10 +66,43 @@ def upsert_batches(store: Snapshots, keys: list[str], last: list[str] = [], part
         if number <= state["ledger"].get("batch", -1):
             return
         with folders.passing_folder(spark, "batch") as path:
-            sinks.one_per_key(batch, keys, last).withColumn("_part", part).write.partitionBy("_part").parquet(path)
+            sinks.one_per_key(batch, keys, last).withColumn("_part", part).hint("rebalance", "_part").write.partitionBy("_part").parquet(path)
             touched = [n.partition("=")[2] for n in folders.names(spark, path) if n.startswith("_part=")]
             new = spark.read.schema(batch.schema).parquet(path).select(*batch.columns)
             rows = new if state["schema"] is None else sinks.replaced_by_key(store.read(touched, state), new, keys)
             store.replace_parts(rows.select(*batch.columns), part, ledger={"batch": number})
 
     return write
+
+
+def batch_streaks(attempts: DataFrame) -> DataFrame:
+    """Each listing of a batch (listing_id, id, created_at, ok): its failures since its last success there, and whether it had one."""
+    last = F.max(F.when(F.col("ok"), F.struct("created_at", "id"))).over(Window.partitionBy("listing_id"))
+    after = F.coalesce(F.struct("created_at", "id") > F.col("last"), F.lit(True))
+    return attempts.withColumn("last", last).groupBy("listing_id").agg(F.count_if(after).alias("failed"), F.max(F.col("last").isNotNull()).alias("reset"))
+
+
+def streak_batches(store: Snapshots, partitions: int = 64):
+    """A foreachBatch function: each listing's current failures in a row, and whether they deactivate it (listing_id, streak,
+    deactivated), go on from what is stored. Batches are aggregated natively, so a listing costs a row and no call of its own.
+
+    Parts and ledger are as in ``upsert_batches``.
+    """
+    part = F.pmod(F.xxhash64("listing_id"), F.lit(partitions))
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark, state = batch.sparkSession, store.state()
+        if number <= state["ledger"].get("batch", -1):
+            return
+        with folders.passing_folder(spark, "batch") as path:
+            batch_streaks(batch).withColumn("_part", part).hint("rebalance", "_part").write.partitionBy("_part").parquet(path)
+            touched = [n.partition("=")[2] for n in folders.names(spark, path) if n.startswith("_part=")]
+            new = spark.read.schema("listing_id long, failed long, reset boolean").parquet(path).select("listing_id", "failed", "reset")
+            if state["schema"] is not None:
+                stored = store.read(touched, state).select("listing_id", F.col("streak").alias("failed"), F.lit(None).cast("boolean").alias("reset"))
+                new = new.unionByName(stored)
+            own, reset = F.sum(F.when(F.col("reset").isNotNull(), F.col("failed"))), F.coalesce(F.max("reset"), F.lit(False))
+            rows = new.groupBy("listing_id").agg(F.when(reset, own).otherwise(F.sum("failed")).alias("streak"))
+            store.replace_parts(rows.withColumn("deactivated", F.col("streak") >= DEACTIVATE_AFTER), part, ledger={"batch": number})
+
+    return write

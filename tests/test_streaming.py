@@ -186,3 +186,29 @@ def test_slices_follow_rows_not_files(spark, tmp_path, urls, monkeypatch):
     assert sum(s.rows for s in slices) == 450 and max(s.rows for s in slices) <= 100
     rows = [r for s in slices for b in reader.read(s) for r in b.to_pylist()]
     assert [r["id"] for r in rows] == list(range(30, 480)) == [r[queue.PLACE] for r in rows]
+
+
+def test_streaks_by_batch_go_on_from_what_is_stored(spark, tmp_path):
+    from marketgrain.sources.snapshots import Snapshots
+
+    rng = random.Random(11)
+    rows = [(rng.choice([None, *range(5)]), k, NOON + datetime.timedelta(minutes=k // 2), rng.choice([True, False, False, False, None])) for k in range(90)]
+    store = Snapshots(spark, f"file://{tmp_path}/streaks")
+    write, want = streams.streak_batches(store, partitions=4), {}
+    for number in range(3):
+        # the last batch has one listing only, the others stay
+        part = [r for r in rows if r[1] // 30 == number and (number < 2 or r[0] == 1)]
+        for listing, _, _, ok in part:
+            want[listing] = 0 if ok else want.get(listing, 0) + 1
+        batch = spark.createDataFrame(rng.sample(part, len(part)), "listing_id long, id long, created_at timestamp, ok boolean").repartition(3)
+        write(batch, number)
+        write(batch, number)  # repeated: told by the ledger
+    assert {r.listing_id: (r.streak, r.deactivated) for r in store.read().collect()} == {k: (n, n >= 15) for k, n in want.items()}
+
+
+def test_a_part_is_written_by_one_task(spark, tmp_path):
+    from marketgrain.sources.snapshots import Snapshots
+
+    store = Snapshots(spark, f"file://{tmp_path}/parts")
+    store.replace(spark.range(0, 400, numPartitions=8).withColumn("v", F.col("id") * 2), F.col("id") % 5)
+    assert len(list(tmp_path.glob("parts/data-*/*/*.parquet"))) == 5 and store.read().count() == 400
