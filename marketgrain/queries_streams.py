@@ -120,13 +120,13 @@ ORACLE_SQL["stream_one_per_day"] = ORACLE_SQL["ing_one_per_day"]
 def stream_one_per_day(s: Star) -> DataFrame:
     """Observations pass the gate and are compared with the last one kept; the day's last price of each listing is upserted."""
     observed = rules.gate(_observed(s)).where("passed").select("listing_id", "id", F.col("observed_at").cast("timestamp").alias("observed_at"), "price", "currency", "in_stock")
-    store = Snapshots(s.spark, fresh_folder(s.spark, "daily"))
+    store, last = (Snapshots(s.spark, fresh_folder(s.spark, name)) for name in ("daily", "last"))
+    upsert = ingest.upsert_batches(store, ["listing_id", "date_id"], ["observed_at", "id", "price"])
 
-    def plan(stream: DataFrame) -> DataFrame:
-        rows = ingest.suppressed(stream).where("outcome = 'success'")
-        return rows.select("listing_id", F.date_format("observed_at", "yyyyMMdd").cast("int").alias("date_id"), "observed_at", "id", "price")
+    def write(rows: DataFrame, number: int) -> None:
+        upsert(rows.select("listing_id", F.date_format("observed_at", "yyyyMMdd").cast("int").alias("date_id"), "observed_at", "id", "price"), number)
 
-    _streamed(observed, "observed_at", plan, "append", ingest.upsert_batches(store, ["listing_id", "date_id"], ["observed_at", "id", "price"]))
+    _streamed(observed, "observed_at", lambda stream: stream, "append", ingest.changed_batches(last, write))
     before = F.lag("price").over(Window.partitionBy("listing_id").orderBy("date_id"))
     return store.read().select("listing_id", "date_id", "price", numbers.change_pct(F.col("price"), before).alias("change_pct"))
 

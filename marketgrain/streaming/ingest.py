@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from marketgrain.operators.ingest import SAME_PRICE
+from marketgrain.operators.ingest import SAME_PRICE, unchanged
 from marketgrain.operators.lifecycle import DEACTIVATE_AFTER
 from marketgrain.sources import folders, sinks
 from marketgrain.sources.snapshots import Snapshots
@@ -75,6 +75,27 @@ def upsert_batches(store: Snapshots, keys: list[str], last: list[str] = [], part
     return write
 
 
+def changed_batches(last: Snapshots, write_changed: Callable[[DataFrame, int], None]):
+    """A foreachBatch function: of passing observations those that changed something go to ``write_changed``, judged natively by
+    one window a listing against the last one kept in ``last``; ``suppressed`` is the same rule on Spark's own state.
+
+    ``write_changed`` comes first and must know repeated batches; what was kept last is told by the batch alone.
+    """
+    kept = ["listing_id", "observed_at", "id", "price", "currency", "in_stock"]
+    remember = upsert_batches(last, kept[:1], kept[1:])
+    w = Window.partitionBy("listing_id").orderBy(F.col("_old").desc(), "observed_at", "id")
+
+    def write(batch: DataFrame, number: int) -> None:
+        rows, state = batch.select(*kept).withColumn("_old", F.lit(False)), last.state()
+        if state["schema"] is not None:
+            rows = rows.unionByName(last.read(state=state).select(*kept).withColumn("_old", F.lit(True)))
+        pairs = [x for c in kept[3:] for x in (F.col(c), F.lag(c).over(w))]
+        write_changed(rows.withColumn("_same", unchanged(*pairs)).where("not _old and not _same").select(*kept), number)
+        remember(batch.select(*kept), number)
+
+    return write
+
+
 def batch_streaks(attempts: DataFrame) -> DataFrame:
     """Each listing of a batch (listing_id, id, created_at, ok): its failures since its last success there, and whether it had one."""
     last = F.max(F.when(F.col("ok"), F.struct("created_at", "id"))).over(Window.partitionBy("listing_id"))

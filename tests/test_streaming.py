@@ -212,3 +212,15 @@ def test_a_part_is_written_by_one_task(spark, tmp_path):
     store = Snapshots(spark, f"file://{tmp_path}/parts")
     store.replace(spark.range(0, 400, numPartitions=8).withColumn("v", F.col("id") * 2), F.col("id") % 5)
     assert len(list(tmp_path.glob("parts/data-*/*/*.parquet"))) == 5 and store.read().count() == 400
+
+
+def test_changed_batches_equal_the_batch_rule(spark, tmp_path):
+    from marketgrain.sources.snapshots import Snapshots
+
+    frame, told = _observations(spark), []
+    write = streams.changed_batches(Snapshots(spark, f"file://{tmp_path}/last"), lambda rows, number: told.extend((number, r.id) for r in rows.collect()))
+    for number in range(4):
+        write(frame.where(f"id >= {number * 10} and id < {number * 10 + 10}"), number)
+    full = frame.selectExpr("*", "'n' AS product_name", "'t' AS title", "cast(null as double) AS original_price", "'' AS currency_raw", "array('EUR') AS allowed")
+    want = [r.id for r in ingest.ingest(full.where("id < 40")).where("outcome = 'success'").collect()]
+    assert sorted(told) == sorted((k // 10, k) for k in want)
