@@ -1,5 +1,8 @@
 """What keeps the work of a page bounded: pages dealt over tasks, slices of a batch, and parts of expressions found once."""
 
+import tracemalloc
+from types import SimpleNamespace
+
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -32,6 +35,21 @@ def test_batches_are_parsed_in_slices(spark):
     assert [(r.id, r.s, r.c) for r in got] == [(k, str(k), "x y") for k in range(3000)]
 
 
+def test_a_slice_is_gone_before_the_next_is_parsed():
+    parse = html.with_nodes(SimpleNamespace(schema=[], mapInArrow=lambda parse, schema: parse))
+
+    def peak(slices: int) -> int:
+        batch = pa.record_batch({"html": ["<p class='a b'>x</p>" * 20] * (slices * html.SLICE_PAGES)})
+        tracemalloc.start()
+        assert sum(done.num_rows for done in parse(iter([batch]))) == len(batch)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most
+
+    peak(1)
+    assert peak(6) < 1.3 * peak(1)
+
+
 def test_parts_of_expressions_are_found_once():
     nodes = F.col("nodes")
     assert str(text.currency(F.col("t"))).count("lower(") == 2
