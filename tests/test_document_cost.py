@@ -50,6 +50,28 @@ def test_a_slice_is_gone_before_the_next_is_parsed():
     assert peak(6) < 1.3 * peak(1)
 
 
+@pytest.mark.parametrize("name", ["doc_pages_title"])
+def test_a_page_query_holds_one_slice(spark, sf_dir, monkeypatch, name):
+    from marketgrain.registry import QUERIES
+
+    frame, steps = type(spark.range(0)), []
+    kept = frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, step, *more: steps.append(step) or kept(self, step, *more))
+    QUERIES[name](spark, sf_dir)
+    (parse,) = steps
+
+    def peak(pages: int) -> int:
+        batch = pa.record_batch({"page_id": list(range(pages)), "url": ["http://a.example/b"] * pages, "html": ["<p class='a b'>x</p>" * 20] * pages})
+        tracemalloc.start()
+        assert sum(done.num_rows for done in parse(iter([batch]))) == pages
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most
+
+    peak(500)
+    assert peak(3000) < 1.5 * peak(500)
+
+
 def test_parts_of_expressions_are_found_once():
     nodes = F.col("nodes")
     assert str(text.currency(F.col("t"))).count("lower(") == 2
