@@ -50,7 +50,7 @@ def test_a_slice_is_gone_before_the_next_is_parsed():
     assert peak(6) < 1.3 * peak(1)
 
 
-@pytest.mark.parametrize("name", ["doc_pages_title"])
+@pytest.mark.parametrize("name", ["doc_pages_title", "doc_pages_role"])
 def test_a_page_query_holds_one_slice(spark, sf_dir, monkeypatch, name):
     from marketgrain.registry import QUERIES
 
